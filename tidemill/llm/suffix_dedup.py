@@ -30,6 +30,8 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tidemill.llm.common import table
 
@@ -94,7 +96,7 @@ class Bucket:
     """The documents of a bucket with their segments; the same rows always give the same numbering."""
 
     def __init__(self, ids: list[int], texts: list[bytes]) -> None:
-        order = sorted(range(len(ids)), key=lambda i: (ids[i], texts[i]))
+        order = self.order = sorted(range(len(ids)), key=lambda i: (ids[i], texts[i]))
         self.ids, self.texts = [ids[i] for i in order], [texts[i] for i in order]
         parts = [segments(np.frombuffer(t, np.uint8)) for t in self.texts]
         self.count = np.array([len(p[0]) for p in parts], np.int64)
@@ -293,45 +295,47 @@ def _spans(b: Bucket, status: np.ndarray, masks: dict[int, int]) -> Iterator[tup
         yield row, np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-def _finish(n: int):
-    """Bucket with its texts and answers -> id, sizes and the bytes that stay."""
+DIGESTS = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+
+
+def _finish(n: int, schema: pa.Schema, carried: bool):
+    """Bucket with its texts and answers -> the digests, or the other columns with the text that stays."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        names = (("doc", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary()), ("was", pa.binary()))
         if not left.num_rows:
-            return pa.table({c: pa.array([], k) for c, k in names})
+            return schema.empty_table()
         b = _bucket(left)
-        answers = right.filter(pa.compute.is_valid(right.column("status")))
-        status = _statuses(b, answers, n) if len(b.doc) else np.zeros(0, np.uint8)
+        status = _statuses(b, right.filter(pa.compute.is_valid(right.column("status"))), n)
         found = right.filter(pa.compute.is_valid(right.column("mask")))
         masks: dict[int, int] = {}
         for s, m in zip(found.column("segment").to_pylist(), found.column("mask").to_pylist(), strict=True):
             masks[s] = masks.get(s, 0) | m
-        rows = []
+        rows, texts = [], []
         for row, starts, ends in _spans(b, status, masks):
             text, at, kept = b.texts[row], 0, []
             for x, y in zip(starts.tolist(), ends.tolist(), strict=True):
                 kept.append(text[at:x])
                 at = y
             left_over = b"".join(kept) + text[at:] if kept else text
-            rows.append((b.ids[row], len(text), len(text) - len(left_over), len(starts), hashlib.sha256(left_over).hexdigest(), left_over if kept else None, hashlib.md5(text).digest()))
-        return pa.table({c: pa.array(x, k) for (c, k), x in zip(names, zip(*rows, strict=True), strict=True)})
+            if carried:
+                texts.append(left_over.decode("utf-8", "ignore"))
+            else:
+                doc = None if b.ids[row] == NULL_ID else b.ids[row]
+                rows.append((doc, len(text), len(text) - len(left_over), len(starts), hashlib.sha256(left_over).hexdigest()))
+        if not carried:
+            return pa.table([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+        rest = left.select([c for c in left.column_names if c.startswith("c_")]).take(b.order)
+        return pa.table([pa.array(texts, pa.string()), *rest.columns], schema=schema)
 
     return run
 
 
-def covered(docs: DataFrame, with_text: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, and with_text the bytes left (null: all of them)."""
-    spark = docs.sparkSession
-    source = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
-    total = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-total // BUCKET_BYTES))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shards = max(n, parts)
-    placed = source.select(F.pmod(F.xxhash64("doc"), F.lit(n)).alias("bucket"), "doc", "text")
-    sent = placed.groupBy("bucket").applyInArrow(_send(shards), "bucket long, shard long, blob binary")
+def _replies(placed: DataFrame, shards: int, parts: int) -> DataFrame:
+    """For each bucket: the statuses of its segments by shard, and the covered places of single segments."""
+    narrow = placed.select("bucket", "doc", "text")
+    sent = narrow.groupBy("bucket").applyInArrow(_send(shards), "bucket long, shard long, blob binary")
     answers = sent.groupBy("shard").applyInArrow(_answer, "bucket long, shard long, status binary")
-    again = placed.groupBy("bucket").cogroup(answers.groupBy("bucket"))
+    again = narrow.groupBy("bucket").cogroup(answers.groupBy("bucket"))
     contexts = again.applyInArrow(_contexts(shards), "bucket long, segment long, doc long, heavy boolean, anchor long, bytes binary")
     light = contexts.filter("NOT heavy").repartition(parts, "anchor").sortWithinPartitions("doc").mapInArrow(_scan, "bucket long, segment long, mask long")
     grams = contexts.filter("heavy").select("bucket", "segment", "doc", "bytes", F.explode(F.sequence(F.lit(0), F.octet_length("bytes") - WINDOW)).alias("o"))
@@ -340,29 +344,46 @@ def covered(docs: DataFrame, with_text: bool = False) -> DataFrame:
     hot = grams.join(owners, (F.col("gram") == F.col("g")) & (F.col("owner") < F.col("doc")))
     hot = hot.groupBy("bucket", "segment").agg(F.bit_or(F.expr("shiftleft(1L, o)")).alias("mask"))
     nothing = lambda kind: F.lit(None).cast(kind)
-    replies = answers.select("bucket", "shard", "status", nothing("long").alias("segment"), nothing("long").alias("mask")).unionByName(
+    return answers.select("bucket", "shard", "status", nothing("long").alias("segment"), nothing("long").alias("mask")).unionByName(
         light.unionByName(hot).select("bucket", nothing("long").alias("shard"), nothing("binary").alias("status"), "segment", "mask")
     )
-    done = placed.groupBy("bucket").cogroup(replies.groupBy("bucket")).applyInArrow(_finish(shards), "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, was binary")
-    out = done.withColumn("doc_id", F.when(F.col("doc") != NULL_ID, F.col("doc")))
-    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
-    return out.select(*names, "kept", "was") if with_text else out.select(*names)
+
+
+def _apply(docs: DataFrame, carry: list[str]) -> DataFrame:
+    """One plan: the texts are dealt to buckets once, and that exchange is read by each of the three steps."""
+    spark = docs.sparkSession
+    text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(1, -(-total // BUCKET_BYTES))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shards = max(n, parts)
+    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))
+    placed = docs.select(F.pmod(F.xxhash64(doc), F.lit(n)).alias("bucket"), doc.alias("doc"), text.alias("text"), *[F.col(f"`{c}`").alias(f"c_{k}") for k, c in enumerate(carry)])
+    if carry:
+        kinds = [("text", T.StringType()), *[(f"c_{k}", docs.schema[c].dataType) for k, c in enumerate(carry)]]
+    else:
+        kinds = [(f.name, f.dataType) for f in T.StructType.fromDDL(DIGESTS)]
+    schema = T.StructType([T.StructField(c, k) for c, k in kinds])
+    replies = _replies(placed, shards, parts)
+    return placed.groupBy("bucket").cogroup(replies.groupBy("bucket")).applyInArrow(_finish(shards, to_arrow_schema(schema), bool(carry)), schema)
+
+
+def covered(docs: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256: a row for each row of docs."""
+    return _apply(docs.select("doc_id", "text"), [])
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """docs with the repeated bytes taken out of their texts; the rest of a character cut through goes too.
 
-    A text of which nothing is left stays as an empty row; ``n_chars`` follows the text where it
-    is a column.
+    A text of which nothing is left stays as an empty row; a null text becomes empty; ``n_chars``
+    follows the text where it is a column.
     """
-    found = covered(docs, with_text=True).filter("kept IS NOT NULL").select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("k_doc"), F.col("was").alias("k_was"), F.col("kept").alias("k_text"))
-    found = found.dropDuplicates(["k_doc", "k_was"])
-    old = F.coalesce(F.col("text"), F.lit(""))
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))
-    joined = docs.join(found, (key == F.col("k_doc")) & (F.unhex(F.md5(old)) == F.col("k_was")), "left")
-    new = F.when(F.col("k_text").isNull(), F.col("text")).otherwise(F.replace(F.make_valid_utf8(F.col("k_text").cast("string")), F.lit("�"), F.lit("")))
-    columns = [new.alias("text") if c == "text" else F.when(F.col("k_text").isNull(), F.col("n_chars")).otherwise(F.length(new)).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
-    return joined.select(*columns)
+    carry = [c for c in docs.columns if c not in ("text", "n_chars")]
+    out = _apply(docs, carry).select("text", *[F.col(f"c_{k}").alias(c) for k, c in enumerate(carry)])
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
