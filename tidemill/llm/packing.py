@@ -13,6 +13,7 @@ input are ignored. A null doc_id is kept as it is.
 from __future__ import annotations
 
 import os
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -25,16 +26,24 @@ from tidemill.llm.common import table, texts
 MAX_LEN = 2048
 END_ID = 1
 #: Words whose ids a worker remembers; the cache is emptied beyond it, which only costs time.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 700_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, bucket int"
 
 
+#: Signs that may end a word and always form a token group of their own behind letters.
+_SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: The tokenizer's printable stand-ins of bytes: those that print stand for themselves, the rest follow from 256 on.
+_PRINT = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTES = {x: x for x in _PRINT} | {x: 256 + k for k, x in enumerate(x for x in range(256) if x not in set(_PRINT))}
+
+
 class WordIds:
     """Ids of white-space separated words as little-endian unsigned 32-bit bytes, remembered by word.
 
     The tokenizer drops white space and no token spans it, so a text's ids are its words' ids in a
     row. Only blank and newline are split at; a word with other white space goes to the tokenizer
-    as it stands, which gives the same ids.
+    as it stands, which gives the same ids. A word of Latin letters, with signs behind or not, goes
+    to the tokenizer's model at once: its steps before the model lower it and map its bytes.
     """
 
     def __init__(self, path: str) -> None:
@@ -42,19 +51,55 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.known: dict[str, bytes] = {}
+        self.letters: dict[str, bytes] = {}
+
+    def _whole(self, word: str) -> bytes:
+        ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _letters(self, core: str) -> bytes:
+        if (got := self.letters.get(core)) is None:
+            if len(self.letters) > CACHE_WORDS:
+                self.letters.clear()
+            ids = [x.id for x in self.model.tokenize(core.encode().decode("latin-1").translate(_BYTES))]
+            got = self.letters[core] = struct.pack(f"<{len(ids)}I", *ids)
+        return got
+
+    def _word(self, word: str) -> bytes:
+        core = word.rstrip(_SIGNS)
+        if not core.isalpha() or max(core) >= "\u0130":
+            return self._whole(word)
+        if len(core) == len(word):
+            return self._letters(core.lower())
+        signs = word[len(core) :]
+        if (tail := self.letters.get(signs)) is None:
+            tail = self.letters[signs] = self._whole(signs)
+        return self._letters(core.lower()) + tail
 
     def __call__(self, text: str) -> bytes:
         words = text.replace("\n", " ").split(" ")
         known = self.known
-        new = [w for w in set(words) if w not in known]
-        if new:
-            if len(known) + len(new) > CACHE_WORDS:
+        try:
+            return b"".join(map(known.__getitem__, words))
+        except KeyError:
+            if len(known) > CACHE_WORDS:
                 known.clear()
-                new = list(set(words))
-            for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                known[w] = b"".join(i.to_bytes(4, "little") for i in e.ids)
-        return b"".join(map(known.__getitem__, words))
+            for w in words:
+                if w not in known:
+                    known[w] = self._word(w)
+            return b"".join(map(known.__getitem__, words))
+
+
+_workers: dict[str, WordIds] = {}
+
+
+def word_ids(path: str) -> WordIds:
+    """One for each tokenizer and worker process, kept from task to task."""
+    if path not in _workers:
+        _workers[path] = WordIds(path)
+    return _workers[path]
 
 
 def cuts(n: int, max_len: int) -> list[tuple[int, int]]:
@@ -86,7 +131,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, max_len: int = MAX_LEN,
     schema = PIECES + (", ids binary" if with_ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, tail = WordIds(tokenizer), end_id.to_bytes(4, "little")
+        ids_of, tail = word_ids(tokenizer), end_id.to_bytes(4, "little")
         for batch in batches:
             doc, start, length, crc, total, bucket, ids = [], [], [], [], [], [], []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
