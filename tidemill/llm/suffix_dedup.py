@@ -39,8 +39,9 @@ WINDOW = 50
 K = 20
 #: Bytes of text in a bucket, the unit that one Python call holds, on average.
 BUCKET_BYTES = 4 << 20
-#: Distinct segments of one anchor beyond which its windows are aggregated by Spark.
-HEAVY = 2000
+#: Distinct segments of one anchor beyond which its windows are aggregated by Spark. Up to it an index
+#: of their suffixes takes some 40 MB of a task's memory (15 windows of 58 bytes each).
+HEAVY = 50_000
 #: Suffixes in a batch of the index.
 BATCH = 1 << 15
 NULL_ID = -(1 << 63)
@@ -252,6 +253,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows by ascending document: segments in batches through the index."""
     index = SuffixLevels()
     for batch in batches:
+        batch = batch.filter(pa.compute.invert(batch.column("heavy")))
         cols = {c: batch.column(c) for c in ("bucket", "segment", "doc", "bytes")}
         bucket, segment, masks = [], [], []
         step = max(1, BATCH // 16)
@@ -337,8 +339,11 @@ def _replies(placed: DataFrame, shards: int, parts: int) -> DataFrame:
     answers = sent.groupBy("shard").applyInArrow(_answer, "bucket long, shard long, status binary")
     again = narrow.groupBy("bucket").cogroup(answers.groupBy("bucket"))
     contexts = again.applyInArrow(_contexts(shards), "bucket long, segment long, doc long, heavy boolean, anchor long, bytes binary")
-    light = contexts.filter("NOT heavy").repartition(parts, "anchor").sortWithinPartitions("doc").mapInArrow(_scan, "bucket long, segment long, mask long")
-    grams = contexts.filter("heavy").select("bucket", "segment", "doc", "bytes", F.explode(F.sequence(F.lit(0), F.octet_length("bytes") - WINDOW)).alias("o"))
+    # both ways read one exchange; a filter below it would make the contexts twice
+    dealt = contexts.repartition(parts, "anchor", F.when(F.col("heavy"), F.col("segment")))
+    light = dealt.sortWithinPartitions("doc").mapInArrow(_scan, "bucket long, segment long, mask long")
+    places = F.when(F.col("heavy"), F.sequence(F.lit(0), F.octet_length("bytes") - WINDOW))
+    grams = dealt.select("bucket", "segment", "doc", "bytes", F.explode_outer(places).alias("o")).filter("o IS NOT NULL")
     grams = grams.select("bucket", "segment", "doc", "o", F.substring("bytes", F.col("o") + 1, F.lit(WINDOW)).alias("gram"))
     owners = grams.groupBy("gram").agg(F.min("doc").alias("owner"), F.max("doc").alias("latest")).filter("owner < latest").select(F.col("gram").alias("g"), "owner")
     hot = grams.join(owners, (F.col("gram") == F.col("g")) & (F.col("owner") < F.col("doc")))
