@@ -1 +1,553 @@
-"""Queries over the tables."""
+r"""Queries of the operators over the driver's tables, each with the SQL that states its result.
+
+The tables hold no arm records, lexicons or checker reports, so queries derive them: records from
+documents (nine to a task), a lexicon from the words and word pairs of benchmark, reports from
+events, entries and alternatives from part names.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tidemill.functions import text as X
+from tidemill.operators import compliance, layout, lexicon, rules, scoring, stats, validation, watermark
+from tidemill.plans.registry import query
+from tidemill.sources import files
+
+#: DuckDB's upper() leaves the German sharp s, which Spark's makes SS.
+UP = "upper(replace({}, 'ß', 'ss'))"
+TOKENS = f"regexp_extract_all({UP.format('text')}, '[A-Z0-9][A-Z0-9\\-'']*')"
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# ---- text -------------------------------------------------------------------------------------
+
+
+@query("c1_tokenize", f"SELECT doc_id, len(t)::INT AS n_tokens, md5(array_to_string(t, ' ')) AS tokens_md5 FROM (SELECT doc_id, {TOKENS} AS t FROM documents)")
+def c1_tokenize(spark, d):
+    t = X.tokens(F.col("text"))
+    return _t(spark, d, "documents").select("doc_id", F.size(t).alias("n_tokens"), F.md5(F.array_join(t, " ")).alias("tokens_md5"))
+
+
+LEXICON_SQL = f"""
+w AS (SELECT item_id, {TOKENS} AS t FROM benchmark),
+u AS (SELECT item_id, i, t[i] AS a, t[i + 1] AS b FROM w, LATERAL (SELECT unnest(range(1, len(t) + 1)) AS i)),
+lex AS (
+  SELECT a AS phrase FROM u GROUP BY a HAVING count(*) >= 3
+  UNION SELECT a || ' ' || b FROM u WHERE b IS NOT NULL GROUP BY a || ' ' || b HAVING count(*) >= 2
+)"""
+
+
+def _lexicon(spark, d) -> DataFrame:
+    t = _t(spark, d, "benchmark").select(X.tokens(F.col("text")).alias("t"))
+    u = t.select(F.explode(F.transform("t", lambda a, i: F.struct(a.alias("a"), F.get("t", i + 1).alias("b")))).alias("p")).select("p.*")
+    one = u.groupBy(F.col("a").alias("phrase")).agg(F.count("*").alias("n")).filter("n >= 3")
+    two = u.filter("b IS NOT NULL").groupBy(F.concat_ws(" ", "a", "b").alias("phrase")).agg(F.count("*").alias("n")).filter("n >= 2")
+    return one.union(two).select("phrase").distinct()
+
+
+@query("c3_phrase_set", f"WITH {LEXICON_SQL} SELECT phrase, len(string_split(phrase, ' '))::INT AS n_words FROM lex")
+def c3_phrase_set(spark, d):
+    return _lexicon(spark, d).select("phrase", F.size(F.split("phrase", " ")).alias("n_words"))
+
+
+@query("c4_greedy_match", f"""
+WITH RECURSIVE {LEXICON_SQL},
+c AS (SELECT conv_id, turn, {TOKENS} AS t FROM conversations),
+walk AS (
+  SELECT conv_id, turn, t, 1 AS i, 0 AS good, 0 AS bad FROM c
+  UNION ALL
+  SELECT conv_id, turn, t, i + CASE WHEN l2.phrase IS NOT NULL THEN 2 ELSE 1 END,
+    good + CASE WHEN l2.phrase IS NOT NULL OR l1.phrase IS NOT NULL THEN 1 ELSE 0 END,
+    bad + CASE WHEN l2.phrase IS NULL AND l1.phrase IS NULL THEN 1 ELSE 0 END
+  FROM walk LEFT JOIN lex l2 ON l2.phrase = t[i] || ' ' || t[i + 1] LEFT JOIN lex l1 ON l1.phrase = t[i]
+  WHERE i <= len(t)
+)
+SELECT conv_id, turn, good AS n_conforming, bad AS n_nonconforming FROM walk WHERE i > len(t)
+""")
+def c4_greedy_match(spark, d):
+    match = compliance.match(spark, compliance.lexicon_of(_lexicon(spark, d)))
+    m = _t(spark, d, "conversations").select("conv_id", "turn", match(X.tokens(F.col("text"))).alias("m"))
+    return m.select("conv_id", "turn", F.size("m.conforming").alias("n_conforming"), F.size("m.nonconforming").alias("n_nonconforming"))
+
+
+@query("c5_naive_compliance")
+def c5_naive_compliance(spark, d):
+    """No SQL form: the second match runs over what the first leaves, joined anew."""
+    rate = compliance.naive(spark, compliance.lexicon_of(_lexicon(spark, d)))
+    c = _t(spark, d, "conversations").select("conv_id", "turn", rate(F.col("text"), F.array(F.lit("the"), F.lit("answer"))).alias("c"))
+    return c.select("conv_id", "turn", F.round("c.rate", 6).alias("rate"), F.size("c.words").alias("n_flagged"))
+
+
+_PART_WORDS = "(SELECT DISTINCT unnest(string_split(p_name, ' ')) AS w FROM part)"
+
+
+def _part_words(spark, d):
+    return _t(spark, d, "part").select(F.explode(F.split("p_name", " ")).alias("w")).distinct()
+
+
+@query("c6_term_phrases", rf"""
+SELECT w, unnest(list_filter([upper(w), upper(w) || 'S', upper(w) || 'ES',
+  CASE WHEN regexp_matches(upper(w), '[^AEIOU]Y$') THEN upper(w)[:-2] || 'IES' END], lambda x: x IS NOT NULL)) AS phrase FROM {_PART_WORDS}
+WHERE regexp_full_match(w, '[a-z]+')
+""")
+def c6_term_phrases(spark, d):
+    return _part_words(spark, d).filter("w rlike '^[a-z]+$'").select("w", F.explode(X.term_phrases(F.array("w"))).alias("phrase"))
+
+
+@query("c7_plural", rf"""
+SELECT w, CASE WHEN regexp_matches(lower(w), '(s|x|z|ch|sh)$') THEN w || 'es'
+  WHEN regexp_matches(lower(w), '[^aeiou]y$') THEN w[:-2] || 'ies' ELSE w || 's' END AS plural FROM {_PART_WORDS}
+""")
+def c7_plural(spark, d):
+    return _part_words(spark, d).select("w", X.plural(F.col("w")).alias("plural"))
+
+
+def _cut(end, add):
+    n = len(end)
+    return ", ".join(f"CASE WHEN w LIKE '%{end}' AND length(w) > {n + 2} THEN w[:-{n + 1}] || '{a}' END" for a in (add, "e"))
+
+
+@query("c8_stems", f"""
+WITH b AS (SELECT DISTINCT lower(unnest(regexp_extract_all(text, '[A-Za-z]+'))) AS w FROM benchmark)
+SELECT w, (SELECT count(DISTINCT x) FROM (SELECT unnest([w, {_cut('ies', 'y')}, {_cut('ied', 'y')}, {_cut('es', '')}, {_cut('ed', '')}, {_cut('ing', '')},
+  CASE WHEN w LIKE '%s' OR w LIKE '%d' THEN w[:-2] END]) AS x) WHERE x IS NOT NULL)::INT AS n_stems FROM b
+""")
+def c8_stems(spark, d):
+    b = _t(spark, d, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("w")).select(F.lower("w").alias("w")).distinct()
+    return b.select("w", F.size(X.stems(F.col("w"))).alias("n_stems"))
+
+
+@query("c9_sentence_case")
+def c9_sentence_case(spark, d):
+    """No SQL form: DuckDB's regular expressions have no replacement that changes case."""
+    return _t(spark, d, "benchmark").select("item_id", F.md5(X.sentence_case(F.upper("text"))).alias("text_md5"))
+
+
+@query("c10_words", "SELECT doc_id, len(w)::INT AS n_words, md5(array_to_string(w, ' ')) AS words_md5 FROM (SELECT doc_id, regexp_extract_all(text, '[A-Za-z][A-Za-z''’-]*[A-Za-z]|[A-Za-z]') AS w FROM documents)")
+def c10_words(spark, d):
+    w = X.words_of(F.col("text"))
+    return _t(spark, d, "documents").select("doc_id", F.size(w).alias("n_words"), F.md5(F.array_join(w, " ")).alias("words_md5"))
+
+
+# ---- scores -----------------------------------------------------------------------------------
+
+
+@query("t6_score", """
+WITH o AS (SELECT o_orderkey, o_orderkey % 5 AS k, o_orderkey % 3 AS g FROM orders)
+SELECT o_orderkey, CASE WHEN k = 4 THEN 'writing' WHEN g = 0 THEN 'qa' ELSE 'math' END AS kind,
+  CASE WHEN k = 4 THEN NULL WHEN k IN (0, 1) THEN k = 0 ELSE false END AS correct,
+  CASE WHEN k = 4 OR k IN (0, 1) THEN NULL WHEN k = 2 THEN true ELSE false END AS fallback
+FROM o
+""")
+def t6_score(spark, d):
+    o = _t(spark, d, "orders").select("o_orderkey")
+    k, g, n = F.col("o_orderkey") % 5, F.col("o_orderkey") % 3, F.col("o_orderkey").cast("string")
+    kind = F.when(k == 4, "writing").when(g == 0, "qa").otherwise("math")
+    gold = F.when(g == 0, F.concat(F.lit("part "), n)).otherwise(n)
+    wrong = F.when(g == 0, F.lit("another")).otherwise(F.concat(n, F.lit("9")))
+    text = F.when(k == 0, F.concat(F.lit("Answer: "), wrong, F.lit("\nso\nAnswer:\n "), gold, F.lit(" it is"))).when(k == 1, F.concat(gold, F.lit("\nAnswer: "), wrong)).when(k == 2, F.concat(F.lit("it is "), gold)).otherwise(F.concat(F.lit("it is "), wrong))
+    s = scoring.score(F.col("kind"), F.col("o_orderkey").cast("double"), F.concat(F.lit("Part "), n), F.col("text"))
+    return o.select("o_orderkey", kind.alias("kind"), text.alias("text")).withColumn("s", s).select("o_orderkey", "kind", "s.correct", "s.fallback")
+
+
+@query("t7_degenerate", rf"SELECT doc_id, len({TOKENS}) < 2 OR regexp_matches(ltrim(text), '^(I cannot|I can''t|I''m sorry|I am sorry|I’m sorry|I can’t)') AS degenerate FROM documents")
+def t7_degenerate(spark, d):
+    return _t(spark, d, "documents").select("doc_id", X.degenerate(F.col("text")).alias("degenerate"))
+
+
+@query("t9_think_split", """
+WITH c AS (SELECT conv_id, turn, text AS x, (conv_id + turn) % 4 AS k FROM conversations)
+SELECT conv_id, turn,
+  md5(CASE k WHEN 0 THEN x WHEN 1 THEN x WHEN 2 THEN '' ELSE x END) AS reasoning_md5,
+  md5(CASE k WHEN 0 THEN 'a' || 'b' WHEN 1 THEN 'b' WHEN 2 THEN x ELSE 'a' END) AS final_md5 FROM c
+""")
+def t9_think_split(spark, d):
+    c = _t(spark, d, "conversations")
+    k, x = (F.col("conv_id") + F.col("turn")) % 4, F.col("text")
+    made = F.when(k == 0, F.concat(F.lit("a<think>"), x, F.lit("</think>b"))).when(k == 1, F.concat(x, F.lit("</think>b"))).when(k == 2, x).otherwise(F.concat(F.lit("a<think>"), x))
+    s = X.split_think(F.col("made"), F.lit(False))
+    return c.withColumn("made", made).withColumn("s", s).select("conv_id", "turn", F.md5("s.reasoning").alias("reasoning_md5"), F.md5("s.final").alias("final_md5"))
+
+
+# ---- records and statistics -------------------------------------------------------------------
+
+RECORDS_SQL = f"""
+rec AS (
+  SELECT d.doc_id // 9 AS task_id, 'A' || (d.doc_id % 3) AS arm, (d.doc_id // 3) % 3 AS sample, l.quality = 1 AS correct,
+    (d.doc_id % 10) = 7 AS truncated, len({TOKENS}) AS output_tokens, len({TOKENS}) * 2 AS generated_tokens
+  FROM documents d LEFT JOIN labels l USING (doc_id)
+), smp AS (
+  SELECT arm, sample, count(*) AS n, avg(correct::INT) FILTER (NOT truncated) AS accuracy, avg(output_tokens) AS output, avg(generated_tokens) AS generated
+  FROM rec GROUP BY arm, sample
+), arms AS (
+  SELECT arm, count(DISTINCT sample) AS k, sum(n)::BIGINT AS n, avg(accuracy) AS accuracy, CASE WHEN count(accuracy) = 1 THEN 0.0 ELSE stddev_samp(accuracy) END AS accuracy_sd,
+    avg(output) AS output, CASE WHEN count(output) = 1 THEN 0.0 ELSE stddev_samp(output) END AS output_sd, avg(generated) AS generated
+  FROM smp GROUP BY arm
+)"""
+
+
+def _records(spark, d) -> DataFrame:
+    docs, labels = _t(spark, d, "documents"), _t(spark, d, "labels").select("doc_id", "quality")
+    i, n = F.col("doc_id"), F.size(X.tokens(F.col("text")))
+    nothing = lambda kind: F.lit(None).cast(kind)
+    return docs.join(labels, "doc_id", "left").select(
+        F.expr("doc_id div 9").alias("task_id"), F.concat(F.lit("A"), i % 3).alias("arm"), (F.expr("doc_id div 3") % 3).alias("sample"), (F.col("quality") == 1).alias("correct"),
+        nothing("boolean").alias("fallback_correct"), (i % 10 == 7).alias("truncated"), F.lit(False).alias("degenerate"), n.alias("output_tokens"), (n * 2).alias("generated_tokens"), n.alias("reasoning_tokens"),
+        nothing("double").alias("latency_s"), nothing("double").alias("compliance"), F.lit("qa").alias("kind"), (i % 3 == 2).alias("has_rewrite"),
+    )
+
+
+@query("g2_per_sample", f"WITH {RECORDS_SQL} SELECT arm, sample, n, round(accuracy, 6) AS accuracy, round(output, 6) AS output FROM smp")
+def g2_per_sample(spark, d):
+    return stats.per_sample(_records(spark, d)).select("arm", "sample", "n", F.round("accuracy", 6).alias("accuracy"), F.round("output", 6).alias("output"))
+
+
+@query("g3_arm_summary", f"WITH {RECORDS_SQL} SELECT arm, k, n, round(accuracy, 6) AS accuracy, round(accuracy_sd, 6) AS accuracy_sd, round(output, 6) AS output, round(output_sd, 6) AS output_sd FROM arms")
+def g3_arm_summary(spark, d):
+    a = stats.spread(stats.per_sample(_records(spark, d)))
+    return a.select("arm", "k", "n", *[F.round(c, 6).alias(c) for c in ("accuracy", "accuracy_sd", "output", "output_sd")])
+
+
+@query("j12_tax", f"""WITH {RECORDS_SQL} SELECT a.arm, round(a.accuracy - z.accuracy, 6) AS accuracy_diff, round(a.output / z.output, 6) AS output_ratio,
+  round(a.generated / z.generated, 6) AS generated_ratio FROM arms a, arms z WHERE z.arm = 'A0' AND a.arm <> 'A0'""")
+def j12_tax(spark, d):
+    t = stats.tax(stats.spread(stats.per_sample(_records(spark, d))))
+    return t.select("arm", *[F.round(c, 6).alias(c) for c in ("accuracy_diff", "output_ratio", "generated_ratio")])
+
+
+@query("v3_record_violations", """SELECT doc_id // 9 AS task_id, 'A' || (doc_id % 3) AS arm, (doc_id // 3) % 3 AS sample, 1::INT AS n_broken
+  FROM documents LEFT JOIN labels USING (doc_id) WHERE quality IS NULL""")
+def v3_record_violations(spark, d):
+    return validation.record_violations(_records(spark, d)).select("task_id", "arm", "sample", F.size("broken").alias("n_broken"))
+
+
+@query("g6_task_counts", "SELECT lang, source, count(*) AS n FROM documents GROUP BY ALL")
+def g6_task_counts(spark, d):
+    return _t(spark, d, "documents").groupBy("lang", "source").agg(F.count("*").alias("n"))
+
+
+# ---- reports ----------------------------------------------------------------------------------
+
+#: Reports from events: one for each user, a finding for each event; the token is the value's whole part.
+KINDS_SQL = "CASE event_id % 4 WHEN 0 THEN 'not_approved' WHEN 1 THEN 'ing_form' WHEN 2 THEN 'passive' ELSE 'not_approved' END"
+
+
+def _findings(spark, d) -> DataFrame:
+    e = _t(spark, d, "events")
+    kind = F.when(F.col("event_id") % 4 == 1, "ing_form").when(F.col("event_id") % 4 == 2, "passive").otherwise("not_approved")
+    return e.select(F.col("user_id").alias("id"), "event_id", kind.alias("kind"), F.concat(F.lit("t"), F.floor("value") % 20).alias("token"), F.when(F.col("event_id") % 7 == 0, "head").alias("headword"))
+
+
+FINDINGS_SQL = f"f AS (SELECT user_id AS id, event_id, {KINDS_SQL} AS kind, 't' || (floor(value)::BIGINT % 20) AS token, CASE WHEN event_id % 7 = 0 THEN 'head' END AS headword FROM events)"
+KEPT_SQL = "kind = 'passive' OR (kind = 'not_approved' AND token NOT IN ('t1', 't2') AND (headword IS NOT NULL OR token IN ('t3', 't4', 't5')))"
+
+
+@query("v6_gate", f"WITH {FINDINGS_SQL} SELECT id, count(*) AS n_findings, count(*) FILTER ({KEPT_SQL}) AS gate_findings, count(*) FILTER ({KEPT_SQL}) = 0 AS gate_ok FROM f GROUP BY id")
+def v6_gate(spark, d):
+    known, h = F.array(*map(F.lit, ("t3", "t4", "t5"))), F.array(F.lit("t1"), F.lit("t2"))
+    f = _findings(spark, d).withColumn("keep", compliance.gate_keeps(F.struct("kind", "token", "headword"), known, h))
+    return f.groupBy("id").agg(F.count("*").alias("n_findings"), F.count_if("keep").alias("gate_findings"), (F.count_if("keep") == 0).alias("gate_ok"))
+
+
+@query("p5_checked", f"WITH {FINDINGS_SQL} SELECT id, count(*)::INT AS n_findings, count(DISTINCT kind)::INT AS n_kinds, count(*) FILTER (kind = 'not_approved')::INT AS n_words FROM f GROUP BY id")
+def p5_checked(spark, d):
+    r = _findings(spark, d).groupBy("id").agg(F.collect_list(F.struct("kind", "token", "headword")).alias("findings")).withColumn("ok", F.size("findings") == 0)
+    c = compliance.checked(r)
+    return c.select("id", "n_findings", F.size("by_kind").alias("n_kinds"), F.size("words").alias("n_words"))
+
+
+@query("g7_findings_by_kind", f"WITH {FINDINGS_SQL} SELECT kind, count(*) AS n_items, count(DISTINCT id) AS n_examples FROM f GROUP BY kind")
+def g7_findings_by_kind(spark, d):
+    return _findings(spark, d).groupBy("kind").agg(F.count("*").alias("n_items"), F.countDistinct("id").alias("n_examples"))
+
+
+@query("g8_document_frequency", f"WITH w AS (SELECT DISTINCT doc_id, unnest({TOKENS}) AS w FROM documents) SELECT w, count(*) AS n FROM w GROUP BY w HAVING count(*) >= 2")
+def g8_document_frequency(spark, d):
+    w = _t(spark, d, "documents").select("doc_id", F.explode(F.array_distinct(X.tokens(F.col("text")))).alias("w"))
+    return w.groupBy("w").agg(F.count("*").alias("n")).filter("n >= 2")
+
+
+@query("g9_allow_list", f"""WITH w AS (SELECT DISTINCT doc_id, unnest({TOKENS}) AS w FROM documents), {LEXICON_SQL.replace("w AS (SELECT item_id", "bw AS (SELECT item_id").replace("FROM w, LATERAL", "FROM bw, LATERAL")}
+SELECT w FROM w WHERE w NOT IN (SELECT phrase FROM lex) GROUP BY w HAVING count(*) >= 2""")
+def g9_allow_list(spark, d):
+    return g8_document_frequency(spark, d).join(_lexicon(spark, d), F.col("w") == F.col("phrase"), "left_anti").select("w")
+
+
+@query("g10_attested", f"WITH {FINDINGS_SQL} SELECT token FROM f WHERE kind = 'not_approved' GROUP BY token HAVING count(DISTINCT id) >= 2")
+def g10_attested(spark, d):
+    return _findings(spark, d).filter("kind = 'not_approved'").groupBy("token").agg(F.countDistinct("id").alias("n")).filter("n >= 2").select("token")
+
+
+@query("g11_gate_table", f"""WITH {FINDINGS_SQL}, r AS (SELECT id, count(*) AS every, count(*) FILTER (kind <> 'ing_form') AS no_ing, count(*) FILTER ({KEPT_SQL}) AS gated FROM f GROUP BY id)
+SELECT gate, count(*) FILTER (n > 0) AS rejects, round(100.0 * count(*) FILTER (n > 0) / count(*), 4) AS percent
+FROM (SELECT id, unnest(['every', 'no_ing', 'gated']) AS gate, unnest([every, no_ing, gated]) AS n FROM r) GROUP BY gate""")
+def g11_gate_table(spark, d):
+    known, h = F.array(*map(F.lit, ("t3", "t4", "t5"))), F.array(F.lit("t1"), F.lit("t2"))
+    f = _findings(spark, d).withColumn("keep", compliance.gate_keeps(F.struct("kind", "token", "headword"), known, h))
+    r = f.groupBy("id").agg(F.count("*").alias("every"), F.count_if(F.col("kind") != "ing_form").alias("no_ing"), F.count_if("keep").alias("gated"))
+    g = r.select(F.explode(F.array(*[F.struct(F.lit(c).alias("gate"), F.col(c).alias("n")) for c in ("every", "no_ing", "gated")])).alias("g")).select("g.*")
+    return g.groupBy("gate").agg(F.count_if(F.col("n") > 0).alias("rejects"), F.round(100.0 * F.count_if(F.col("n") > 0) / F.count("*"), 4).alias("percent"))
+
+
+@query("g13_confusion", f"WITH {FINDINGS_SQL} SELECT token, count(*) FILTER (kind = 'not_approved') AS not_approved, count(*) FILTER (kind = 'ing_form') AS ing_form, count(*) FILTER (kind = 'passive') AS passive FROM f GROUP BY token")
+def g13_confusion(spark, d):
+    return _findings(spark, d).groupBy("token").pivot("kind", ["not_approved", "ing_form", "passive"]).agg(F.count(F.lit(1))).fillna(0)
+
+
+@query("j8_origin", f"""WITH {FINDINGS_SQL}, s AS (SELECT 't' || (p_partkey % 12) AS token, p_size % 5 = 0 AS approved, p_size % 3 = 0 AS names_term, p_partkey % 2 = 0 AS noun FROM part WHERE p_partkey % 12 > 6 AND p_size > 40),
+o AS (SELECT token, CASE WHEN bool_or(approved) THEN 'dictionary' WHEN bool_or(names_term) OR NOT bool_or(noun) THEN 'homograph' ELSE 'dictionary' END AS origin FROM s GROUP BY token)
+SELECT coalesce(origin, 'unknown') AS origin, count(*) AS n FROM f LEFT JOIN o USING (token) WHERE kind = 'not_approved' GROUP BY 1""")
+def j8_origin(spark, d):
+    s = _t(spark, d, "part").filter("p_partkey % 12 > 6 AND p_size > 40").selectExpr("concat('t', p_partkey % 12) AS token", "p_size % 5 = 0 AS approved", "p_size % 3 = 0 AS names_term", "p_partkey % 2 = 0 AS noun")
+    f = _findings(spark, d).filter("kind = 'not_approved'").join(compliance.origins(s), "token", "left")
+    return f.groupBy(F.coalesce("origin", F.lit("unknown")).alias("origin")).agg(F.count("*").alias("n"))
+
+
+@query("g12_recall", f"""WITH {FINDINGS_SQL}, e AS (SELECT id, max(CASE WHEN kind = 'not_approved' AND token = 't3' THEN 2 WHEN kind IN ('not_approved', 'ing_form') AND token LIKE 't3%' THEN 1 ELSE 0 END) AS h FROM f GROUP BY id)
+SELECT CASE h WHEN 2 THEN 'finding' WHEN 1 THEN 'inflected' ELSE 'miss' END AS hit, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM e GROUP BY h""")
+def g12_recall(spark, d):
+    i = _findings(spark, d).groupBy("id").agg(F.collect_list(F.struct(F.lit("finding").alias("group"), "kind", "token", F.coalesce("headword", F.lit("")).alias("headword"))).alias("items"))
+    h = i.select(compliance.hit(F.col("items"), F.array(F.lit("t3")), F.lit("t3")).alias("hit")).groupBy("hit").agg(F.count("*").alias("n"))
+    return h.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy()), 6))
+
+
+@query("g15_timing", "SELECT event_type, round(avg(value), 6) AS mean, max(value) AS most FROM events GROUP BY 1")
+def g15_timing(spark, d):
+    return _t(spark, d, "events").groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("mean"), F.max("value").alias("most"))
+
+
+@query("o7_top_ties", f"WITH {FINDINGS_SQL} SELECT token, count(*) AS n, min(event_id) AS first_seen FROM f GROUP BY token ORDER BY n DESC, first_seen LIMIT 10")
+def o7_top_ties(spark, d):
+    return _findings(spark, d).groupBy("token").agg(F.count("*").alias("n"), F.min("event_id").alias("first_seen")).orderBy(F.desc("n"), "first_seen").limit(10)
+
+
+# ---- tasks ------------------------------------------------------------------------------------
+
+
+@query("v1_task_errors", """
+SELECT o_orderkey, CASE o_orderkey % 9 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 1 WHEN 4 THEN 1 WHEN 5 THEN 1 WHEN 6 THEN 1 WHEN 7 THEN 1 ELSE 1 END::INT AS n_errors FROM orders
+""")
+def v1_task_errors(spark, d):
+    good = {"id": "'t{}'", "kind": "'math'", "prompt": "'p'", "answer": "{}", "technical_terms": "['a']", "source": "'s'", "split": "'x'", "license": "'l'"}
+
+    def line(**change):
+        body = ", ".join(f'"{k}": {v}' for k, v in (good | change).items() if v is not None).replace("'", '"')
+        left, *rest = ("{" + body + "}").split("{}")
+        out = F.lit(left)
+        for r in rest:
+            out = F.concat(out, F.col("o_orderkey").cast("string"), F.lit(r))
+        return out
+
+    made = [line(), line(kind="'essay'"), line(answer="true", license="' '"), line(technical_terms="['a', '']"), line(meta="3"), line(source=None), line(extra="1"), F.lit("[1]"), F.lit("{broken")]
+    text = F.element_at(F.array(*made), (F.col("o_orderkey") % 9 + 1).cast("int"))
+    return _t(spark, d, "orders").select("o_orderkey", F.size(validation.task_errors(text)).alias("n_errors"))
+
+
+@query("v2_duplicate_ids", """WITH v AS (SELECT o_custkey AS id, o_orderkey % 4 AS file_pos, o_orderkey AS line_no FROM orders), f AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY file_pos, line_no) AS k, first_value(line_no) OVER (PARTITION BY id ORDER BY file_pos, line_no) AS fl FROM v)
+SELECT id, line_no::VARCHAR AS "where", fl::VARCHAR AS first_where FROM f WHERE k > 1""")
+def v2_duplicate_ids(spark, d):
+    v = _t(spark, d, "orders").select(F.col("o_custkey").alias("id"), (F.col("o_orderkey") % 4).alias("file_pos"), F.col("o_orderkey").alias("line_no"), F.col("o_orderkey").cast("string").alias("where"))
+    return validation.duplicates(v)
+
+
+@query("v10_plain_numbers", r"SELECT o_orderkey, regexp_full_match(x, '-?(\d+|\d{1,3}(,\d{3})+)(\.\d+)?') AS plain FROM (SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN o_orderkey::VARCHAR WHEN 1 THEN '-1,' || o_orderkey WHEN 2 THEN o_orderkey || '.5' ELSE 'x' || o_orderkey END AS x FROM orders)")
+def v10_plain_numbers(spark, d):
+    k, n = F.col("o_orderkey") % 4, F.col("o_orderkey").cast("string")
+    x = F.when(k == 0, n).when(k == 1, F.concat(F.lit("-1,"), n)).when(k == 2, F.concat(n, F.lit(".5"))).otherwise(F.concat(F.lit("x"), n))
+    return _t(spark, d, "orders").select("o_orderkey", x.rlike(X.PLAIN_NUMBER).alias("plain"))
+
+
+@query("v11_gold_number", "SELECT o_orderkey, (o_orderkey * 1000)::DOUBLE AS gold FROM orders")
+def v11_gold_number(spark, d):
+    answer = F.concat(F.lit("steps #### "), F.format_number(F.col("o_orderkey") * 1000, 0))
+    return _t(spark, d, "orders").select("o_orderkey", validation.gold_number(answer).alias("gold"))
+
+
+@query("v9_undated", r"SELECT p_partkey, p_size % 3 = 1 AND NOT regexp_matches(p_type || ' last', '\b(current|latest)\b') AND p_size % 2 = 0 AS kept FROM part")
+def v9_undated(spark, d):
+    answers = F.array_repeat(F.lit("a"), F.col("p_size") % 3)
+    question = F.concat("p_type", F.when(F.col("p_size") % 2 == 0, F.lit(" lasting")).otherwise(F.lit(" last")))
+    return _t(spark, d, "part").select("p_partkey", validation.undated_single(answers, question).alias("kept"))
+
+
+@query("v14_repeated_keys", "SELECT p_brand, p_type, p_size, count(*) AS n FROM part GROUP BY ALL HAVING count(*) > 1")
+def v14_repeated_keys(spark, d):
+    return validation.repeated_keys(_t(spark, d, "part"), "p_brand", "p_type", "p_size")
+
+
+@query("o1_seeded_sample")
+def o1_seeded_sample(spark, d):
+    """No SQL form: positions come from CPython's generator."""
+    return files.seeded_sample(_t(spark, d, "benchmark").select("item_id"), ["item_id"], 20, 7)
+
+
+@query("o2_stride_sample", "SELECT p_partkey FROM (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) - 1 AS r FROM part) WHERE r % 7 = 0")
+def o2_stride_sample(spark, d):
+    at = F.row_number().over(Window.orderBy("p_partkey")) - 1
+    return _t(spark, d, "part").select("p_partkey", at.alias("r")).filter("r % 7 = 0").select("p_partkey")
+
+
+# ---- watermark --------------------------------------------------------------------------------
+
+
+def _sequences(spark, d) -> DataFrame:
+    e = _t(spark, d, "events").select(F.col("user_id").alias("seq"), F.struct("ts", "event_id", (F.col("event_id") * 7 % 50).alias("tok")).alias("x"))
+    return e.groupBy("seq").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["tok"]).alias("tokens"))
+
+
+PAIRS_SQL = "p AS (SELECT user_id AS seq, event_id * 7 % 50 AS prev, lead(event_id * 7 % 50) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS cur FROM events)"
+
+
+@query("w2_pairs", f"WITH {PAIRS_SQL} SELECT seq, prev, cur, count(*) AS n FROM p WHERE cur IS NOT NULL GROUP BY ALL")
+def w2_pairs(spark, d):
+    return watermark.pairs(_sequences(spark, d)).groupBy("seq", "prev", "cur").agg(F.count("*").alias("n"))
+
+
+@query("w3_unique_pairs", f"WITH {PAIRS_SQL} SELECT seq, count(DISTINCT (prev, cur)) AS n FROM p WHERE cur IS NOT NULL GROUP BY seq")
+def w3_unique_pairs(spark, d):
+    return watermark.pairs(_sequences(spark, d)).distinct().groupBy("seq").agg(F.count("*").alias("n"))
+
+
+_GREEN = ", ".join(f"({p}, {c})" for p in range(50) for c in sorted(watermark.green_list(watermark.Scheme(50), p)))
+
+
+@query("w5_detect", f"""WITH {PAIRS_SQL}, g(prev, cur) AS (VALUES {_GREEN}), s AS (SELECT p.seq, count(p.cur) AS scored, count(g.cur) AS greens FROM p LEFT JOIN g ON p.prev = g.prev AND p.cur = g.cur GROUP BY p.seq)
+SELECT seq, greens, scored, round(CASE WHEN scored = 0 THEN 0.0 ELSE (greens - 0.25 * scored) / sqrt(scored * 0.25 * 0.75) END, 6) AS z FROM s""")
+def w5_detect(spark, d):
+    r = watermark.detect(_sequences(spark, d), watermark.Scheme(50))
+    return r.select("seq", "greens", "scored", F.round("z", 6).alias("z"))
+
+
+@query("w4_matched", "WITH n AS (SELECT user_id, count(*) AS n FROM events GROUP BY 1) SELECT user_id AS seq, min(n) OVER (PARTITION BY user_id % 10)::INT AS n FROM n")
+def w4_matched(spark, d):
+    s = _sequences(spark, d).withColumn("task", F.col("seq") % 10)
+    return watermark.matched(s, "task").select("seq", F.size("tokens").alias("n"))
+
+
+# ---- lexicon ----------------------------------------------------------------------------------
+
+
+def _approved(spark, d) -> DataFrame:
+    return _t(spark, d, "part").filter("p_partkey % 3 = 0").select(F.col("p_partkey").alias("seq"), F.concat(F.lit("e"), "p_partkey").alias("id"), F.split("p_name", " ")[0].alias("word"), F.when(F.col("p_size") % 2 == 0, "n").otherwise("v").alias("pos"), F.array(F.split("p_name", " ")[0], F.split("p_name", " ")[1]).alias("forms"))
+
+
+@query("j2_resolve", """
+WITH a AS (SELECT p_partkey AS seq, 'e' || p_partkey AS id, string_split(p_name, ' ')[1] AS word, CASE WHEN p_size % 2 = 0 THEN 'n' ELSE 'v' END AS pos, string_split(p_name, ' ')[2] AS form FROM part WHERE p_partkey % 3 = 0),
+f AS (SELECT seq, id, pos, word AS form FROM a UNION ALL SELECT seq, id, pos, form FROM a WHERE form IS NOT NULL),
+k AS (SELECT word, pos, arg_max(id, seq) AS by_key FROM a GROUP BY 1, 2), bf AS (SELECT form, pos, arg_min(id, seq) AS by_form FROM f GROUP BY 1, 2),
+bv AS (SELECT form, arg_min(id, seq) AS by_verb FROM f WHERE pos = 'v' GROUP BY 1), ba AS (SELECT word, arg_min(id, seq) AS by_any FROM a GROUP BY 1),
+t AS (SELECT p_partkey, string_split(p_name, ' ')[2] AS word, CASE p_partkey % 3 WHEN 0 THEN 'n' WHEN 1 THEN 'v' ELSE 'adj' END AS pos FROM part)
+SELECT t.word, t.pos, coalesce(by_key, by_form, by_verb, by_any) AS ref, CASE WHEN by_key IS NOT NULL THEN 'word' WHEN by_form IS NOT NULL THEN 'form' WHEN by_verb IS NOT NULL THEN 'participle' WHEN by_any IS NOT NULL THEN 'any' ELSE 'unresolved' END AS how
+FROM t LEFT JOIN k ON t.word = k.word AND t.pos = k.pos LEFT JOIN bf ON t.word = bf.form AND t.pos = bf.pos LEFT JOIN bv ON t.word = bv.form AND t.pos = 'adj' LEFT JOIN ba ON t.word = ba.word
+""")
+def j2_resolve(spark, d):
+    p = F.col("p_partkey") % 3
+    t = _t(spark, d, "part").select(F.split("p_name", " ")[1].alias("word"), F.when(p == 0, "n").when(p == 1, "v").otherwise("adj").alias("pos"))
+    return lexicon.resolved(t, _approved(spark, d))
+
+
+@query("p9_lexicon", r"""SELECT word || ' (' || pos || ')' AS id, word, pos, CASE WHEN pos = 'n' THEN CASE WHEN regexp_matches(word, '(s|x|z|ch|sh)$') THEN word || 'es' WHEN regexp_matches(word, '[^aeiou]y$') THEN word[:-2] || 'ies' ELSE word || 's' END END AS plural
+FROM (SELECT lower(string_split(p_name, ' ')[1]) AS word, CASE WHEN p_size % 2 = 0 THEN 'n' ELSE 'v' END AS pos FROM part WHERE p_partkey % 3 = 0)""")
+def p9_lexicon(spark, d):
+    return lexicon.built(_approved(spark, d)).select("id", "word", "pos", "plural")
+
+
+@query("j4_dangling", "SELECT l_partkey AS ref FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size < 25)")
+def j4_dangling(spark, d):
+    refs = _t(spark, d, "lineitem").select(F.col("l_partkey").alias("ref"))
+    return lexicon.dangling(refs, _t(spark, d, "part").filter("p_size < 25").select(F.col("p_partkey").alias("id")))
+
+
+@query("j5_multiset_gaps", """WITH l AS (SELECT l_returnflag AS a, l_linenumber AS b FROM lineitem WHERE l_orderkey % 2 = 0), r AS (SELECT l_returnflag AS a, l_linenumber AS b FROM lineitem WHERE l_orderkey % 2 = 1)
+SELECT side, a, b, count(*) AS n FROM ((SELECT 'left' AS side, * FROM (FROM l EXCEPT ALL FROM r)) UNION ALL (SELECT 'right' AS side, * FROM (FROM r EXCEPT ALL FROM l))) GROUP BY ALL""")
+def j5_multiset_gaps(spark, d):
+    li = _t(spark, d, "lineitem")
+    side = lambda k: li.filter(F.col("l_orderkey") % 2 == k).select(F.col("l_returnflag").alias("a"), F.col("l_linenumber").alias("b"))
+    return lexicon.multiset_gaps(side(0), side(1)).groupBy("side", "a", "b").agg(F.count("*").alias("n"))
+
+
+@query("j6_manifest_gaps", """WITH m AS (SELECT doc_id AS path, CASE WHEN doc_id % 11 = 0 THEN 0 ELSE n_chars END AS bytes, md5(text) AS digest FROM documents WHERE doc_id % 7 <> 0),
+f AS (SELECT doc_id AS path, n_chars AS bytes, CASE WHEN doc_id % 13 = 0 THEN 'x' ELSE md5(text) END AS digest FROM documents WHERE doc_id % 5 <> 0)
+SELECT coalesce(f.path, m.path) AS path, CASE WHEN f.path IS NULL THEN 'missing' WHEN m.path IS NULL THEN 'extra' WHEN f.bytes <> m.bytes THEN 'size' ELSE 'digest' END AS gap
+FROM f FULL JOIN m ON f.path = m.path WHERE f.path IS NULL OR m.path IS NULL OR f.bytes <> m.bytes OR f.digest <> m.digest""")
+def j6_manifest_gaps(spark, d):
+    docs, i = _t(spark, d, "documents"), F.col("doc_id")
+    m = docs.filter(i % 7 != 0).select(i.alias("path"), F.when(i % 11 == 0, 0).otherwise(F.col("n_chars")).alias("bytes"), F.md5("text").alias("digest"))
+    f = docs.filter(i % 5 != 0).select(i.alias("path"), F.col("n_chars").alias("bytes"), F.when(i % 13 == 0, "x").otherwise(F.md5("text")).alias("digest"))
+    return validation.file_gaps(m, f)
+
+
+@query("g14_dictionary_counts", "SELECT count(*) AS entries, count(DISTINCT (p_name, p_type)) AS keys, count(DISTINCT lower(p_name)) AS words FROM part")
+def g14_dictionary_counts(spark, d):
+    return _t(spark, d, "part").agg(F.count("*").alias("entries"), F.countDistinct("p_name", "p_type").alias("keys"), F.countDistinct(F.lower("p_name")).alias("words"))
+
+
+@query("g18_dictionary_words", "SELECT DISTINCT lower(unnest(string_split(p_name, ' ')[1:2])) AS word FROM part WHERE p_partkey % 3 = 0")
+def g18_dictionary_words(spark, d):
+    a = _approved(spark, d).withColumn("plural", F.lit(None).cast("string"))
+    return compliance.dictionary_words(a, a.limit(0))
+
+
+# ---- layout -----------------------------------------------------------------------------------
+
+
+@query("o3_gap_groups", """SELECT user_id, max(g)::BIGINT AS n_groups FROM (SELECT user_id, sum(CASE WHEN gap > 3600 OR gap IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS g
+FROM (SELECT user_id, ts, event_id, epoch(ts)::BIGINT - lag(epoch(ts)::BIGINT) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap FROM events)) GROUP BY user_id""")
+def o3_gap_groups(spark, d):
+    e = _t(spark, d, "events").withColumn("at", F.round(F.unix_micros(F.col("ts").cast("timestamp")) / 1000000).cast("long"))
+    return layout.gap_groups(e, "user_id", F.col("at"), 3600, ["ts", "event_id"]).groupBy("user_id").agg(F.max("group_no").alias("n_groups"))
+
+
+@query("o6_carry", "SELECT event_id, last_value(h IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id) AS head FROM (SELECT event_id, user_id, CASE WHEN event_id % 5 = 0 THEN event_type END AS h FROM events)")
+def o6_carry(spark, d):
+    e = _t(spark, d, "events").select("event_id", "user_id", F.when(F.col("event_id") % 5 == 0, F.col("event_type")).alias("head"))
+    return layout.carried(e, "user_id", "event_id", "head").select("event_id", "head")
+
+
+@query("j13_band_join", """WITH w AS (SELECT event_id % 20 AS page, event_id::DOUBLE AS y FROM events), r AS (SELECT (event_id * 3) % 20 AS page, event_id * 3.0 AS y FROM events)
+SELECT w.page, w.y, min(r.y) AS rule FROM w LEFT JOIN r ON w.page = r.page AND r.y >= w.y - 7.0 AND r.y <= w.y + 2.0 GROUP BY 1, 2""")
+def j13_band_join(spark, d):
+    e = _t(spark, d, "events")
+    w = e.select((F.col("event_id") % 20).alias("page"), F.col("event_id").cast("double").alias("y"))
+    r = e.select((F.col("event_id") * 3 % 20).alias("page"), (F.col("event_id") * 3.0).alias("y"))
+    return layout.band_join(w, r, 7.0, 2.0)
+
+
+@query("j14_asof_span", """WITH s AS (SELECT user_id AS row, event_id::DOUBLE AS "right", 's' || event_id AS span FROM events WHERE event_id % 3 = 0), w AS (SELECT user_id AS row, event_id AS word, event_id + 0.5 AS mid FROM events WHERE event_id % 3 <> 0)
+SELECT w.row, w.word, coalesce((SELECT arg_min(span, "right") FROM s WHERE s.row = w.row AND s."right" >= w.mid), (SELECT arg_max(span, "right") FROM s WHERE s.row = w.row)) AS hit FROM w""")
+def j14_asof_span(spark, d):
+    e = _t(spark, d, "events")
+    s = e.filter("event_id % 3 = 0").select(F.col("user_id").alias("row"), F.col("event_id").cast("double").alias("right"), F.concat(F.lit("s"), "event_id").alias("span"))
+    w = e.filter("event_id % 3 <> 0").select(F.col("user_id").alias("row"), F.col("event_id").alias("word"), (F.col("event_id") + 0.5).alias("mid"))
+    return layout.asof_spans(w, s)
+
+
+# ---- rules ------------------------------------------------------------------------------------
+
+
+@query("r3_r5_rule_findings", r"SELECT doc_id, len(regexp_extract_all(text, ';'))::INT AS semicolons, len(regexp_extract_all(lower(text), '\b[a-z]+ing\b'))::INT AS ing_words FROM documents WHERE lang = 'en'")
+def r3_r5_rule_findings(spark, d):
+    f = rules.findings(F.col("text"))
+    return _t(spark, d, "documents").filter("lang = 'en'").withColumn("f", f).select("doc_id", "f.semicolons", "f.ing_words")
+
+
+@query("r1_long_sentences")
+def r1_long_sentences(spark, d):
+    """No SQL form: the sentence split looks behind, which DuckDB's regular expressions cannot."""
+    return _t(spark, d, "documents").filter("lang = 'en'").withColumn("f", rules.findings(F.col("text"))).select("doc_id", "f.long_sentences", "f.long_paragraphs", "f.contractions")
+
+
+@query("p1_messages", "SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS chat FROM conversations GROUP BY conv_id")
+def p1_messages(spark, d):
+    m = _t(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("m"))
+    return m.select("conv_id", F.array_join(F.transform("m", lambda x: F.concat(x["role"], F.lit(": "), x["text"])), "\n").alias("chat"))
+
+
+@query("u2_set_difference", "SELECT p_partkey AS k FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity < 3")
+def u2_set_difference(spark, d):
+    return _t(spark, d, "part").select(F.col("p_partkey").alias("k")).exceptAll(_t(spark, d, "lineitem").filter("l_quantity < 3").select("l_partkey").distinct().withColumnRenamed("l_partkey", "k"))
