@@ -1,0 +1,248 @@
+"""Operators of the subpackage against brute force, and their defined edge cases."""
+
+import hashlib
+import random
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tidemill.llm import chat, fingerprints, fixity, html, mixing, near_dedup, packing, quality, suffix_dedup, toxicity
+
+DOCS = "doc_id long, text string, source string, c_0 int, words string"
+
+
+def prose(rng, n, words=400):
+    return " ".join(f"w{rng.randrange(words)}" for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rng = random.Random(3)
+    base = [prose(rng, n) for n in (5, 60, 300, 1200)]
+    rows = [(k, t) for k, t in enumerate(base)]
+    shared = prose(rng, 40)
+    rows += [(10 + k, f"{prose(rng, 30)} {shared}\n{prose(rng, 20)} é中") for k in range(6)]
+    rows += [(20, base[2]), (21, base[2]), (22, base[2].replace("w1 ", "W1 ")), (23, base[3] + " tail"), (24, base[3][:4000])]
+    rows += [(30, None), (31, ""), (32, " \n\t"), (33, "a"), (33, "a"), (34, "\0" * 120), (35, "x\0" * 70), (36, "\0" * 120 + "é"), (None, base[1]), (40, "ab" * 30_000)]
+    return spark.createDataFrame([(i, t, None if i == 33 else f"s{(i or 0) % 3}", 1, "w") for i, t in rows], DOCS)
+
+
+def rows_of(docs):
+    return [(r.doc_id, r.text or "") for r in docs.collect()]
+
+
+def empty(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+def test_packing_round_trip(spark, docs):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    got = {}
+    for r in packing.pack(docs, with_ids=True).collect():
+        assert r.length & (r.length - 1) == 0 and r.length <= 2048 and r.offset == 0 and zlib.crc32(r.ids) == r.ids_crc32
+        got.setdefault((r.doc_id, r.doc_tokens), []).append((r.start, r.length, bytes(r.ids), r.sequence_id))
+    for key, text in set(rows_of(docs)):
+        ids = np.array(t.encode(text, add_special_tokens=False).ids + [1], "<u4").tobytes()
+        pieces = sorted(got[key, len(ids) // 4])
+        if rows_of(docs).count((key, text)) == 1:
+            assert b"".join(p[2] for p in pieces) == ids
+    ids = [p[3] for ps in got.values() for p in ps]
+    assert len(ids) == len(set(ids))
+    assert packing.pack(empty(spark)).count() == 0
+
+
+def test_word_ids_equal_whole_text():
+    import public_tokenizers
+
+    w = packing.WordIds(public_tokenizers.path("word_bpe_49k.json"))
+    rng = random.Random(1)
+    for _ in range(3000):
+        text = "".join(rng.choice("abcZÉßıİÿĀ 's'll -_.!<|>\n\t 中12½²ªﬁẞ") for _ in range(rng.randint(0, 30)))
+        want = w.tokenizer.encode(text, add_special_tokens=False).ids
+        assert w(text) == b"".join(i.to_bytes(4, "little") for i in want)
+
+
+def test_suffix_dedup_equals_brute_force(spark, docs, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "BUCKET_BYTES", 3000)
+    rows = [(suffix_dedup.NULL_ID if i is None else i, t.encode()) for i, t in rows_of(docs)]
+    owner = {}
+    for i, t in sorted(rows):
+        for p in range(len(t) - 49):
+            owner.setdefault(t[p : p + 50], i)
+    want = []
+    for i, t in rows:
+        on = bytearray(len(t))
+        for p in range(len(t) - 49):
+            if owner[t[p : p + 50]] < i:
+                on[p : p + 50] = b"\1" * 50
+        spans = sum(1 for p, o in enumerate(on) if o and not (p and on[p - 1]))
+        kept = bytes(c for c, o in zip(t, on, strict=True) if not o)
+        want.append((None if i == suffix_dedup.NULL_ID else i, len(t), sum(on), spans, hashlib.sha256(kept).hexdigest()))
+    got = [tuple(r) for r in suffix_dedup.covered(docs).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_suffix_levels_equal_sets():
+    rng = random.Random(2)
+    index, seen = suffix_dedup.SuffixLevels(), {}
+    for batch in range(20):
+        words = [bytes(rng.choices(b"ab", k=4)) for _ in range(6)]
+        doc = np.array(sorted(rng.randrange(batch, batch + 3) for _ in words))
+        for w, d in zip(words, doc.tolist(), strict=True):
+            seen[w] = min(seen.get(w, d), d)
+        got = index.add(np.array(words, "S4"), doc)
+        assert got.tolist() == [seen[w] < d for w, d in zip(words, doc.tolist(), strict=True)]
+    assert len(index.levels) <= 6
+
+
+def test_suffix_pipeline_form(spark, docs):
+    out = suffix_dedup.deduplicated(docs)
+    assert out.columns == docs.columns and out.count() == docs.count()
+    assert suffix_dedup.covered(empty(spark)).count() == 0
+
+
+def test_near_dedup_equals_brute_force(spark, docs):
+    rows = [(i, t) for i, t in rows_of(docs) if i is not None]
+    sets = {}
+    for i, t in rows:
+        w = tuple(t.encode().lower().split())
+        sets[i] = {w[k : k + 5] for k in range(len(w) - 4)} if len(w) >= 5 else ({w} if w else set())
+    parent = {i: i for i in sets}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            both = len(sets[a] & sets[b])
+            if a < b and both and 100 * both >= 85 * len(sets[a] | sets[b]):
+                x, y = parent[a], parent[b]
+                parent = {k: min(x, y) if v in (x, y) else v for k, v in parent.items()}
+    got = near_dedup.classes(docs).collect()
+    assert len(got) == docs.count()
+    for r in got:
+        if r.doc_id is None:
+            assert r.kept and r.component_id is None
+        else:
+            assert (r.n_shingles, r.component_id, r.kept) == (len(sets[r.doc_id]), parent[r.doc_id], r.doc_id == parent[r.doc_id])
+    assert near_dedup.classes(empty(spark)).count() == 0
+
+
+def test_bands_meet_at_the_threshold():
+    rng = np.random.default_rng(4)
+    for n in (7, 20, 300):
+        a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1))
+        k = int(len(a) * 0.92)
+        b = np.unique(np.concatenate([a[:k], rng.integers(0, 1 << 63, len(a) - k, dtype=np.uint64)]))
+        if len(np.intersect1d(a, b)) / len(np.union1d(a, b)) >= 0.85:
+            assert (near_dedup.bands(a) == near_dedup.bands(b)).any()
+
+
+def test_chat_reads_back(spark):
+    rows = [(1, 0, "system", "a\\b <s>"), (1, 1, "user", "[INST] x"), (1, 2, "assistant", "\\<role>\n</s>\n"), (2, 0, "assistant", None), (2, 0, None, "</turn>\n"), (2, 1, "to<role>ol", "y"), (None, 1, "user", "")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("segments", F.lit(1))
+    out = {r.conv_id: r for r in chat.digests(chat.format_chats(df)).collect()}
+    for key in (1, 2, None):
+        turns = sorted((t, r or "", x or "") for c, t, r, x in rows if c == key)
+        said = "".join(f"{r}\n{x}\n" for _, r, x in turns)
+        learned = "".join(x for _, r, x in turns if r == "assistant")
+        assert out[key].turns_sha256 == hashlib.sha256(said.encode()).hexdigest()
+        assert (out[key].loss_chars, out[key].loss_sha256) == (len(learned), hashlib.sha256(learned.encode()).hexdigest())
+    assert out[1].valid and not out[2].valid
+
+
+def test_mixing(spark, docs):
+    out = mixing.mix(docs).collect()
+    assert len(out) == docs.count() and all(r.taken <= 3 * r.size for r in out)
+    by = {}
+    for r in out:
+        by.setdefault(r.source, [r.source_size, r.target, 0])[2] += r.taken
+    total = sum(v[0] for v in by.values())
+    assert sum(v[1] for v in by.values()) == pytest.approx(total) and all(v[1] <= 3 * v[0] + 1e-6 for v in by.values())
+    assert sorted(map(tuple, out), key=str) == sorted(map(tuple, mixing.mix(docs).collect()), key=str)
+    assert mixing.mixed(docs).columns == docs.columns
+    assert mixing.mix(empty(spark)).count() == 0
+
+
+def test_mixing_meets_targets(spark):
+    df = spark.range(4000).selectExpr("id doc_id", "concat('s', id % 4) source", "repeat('w ', cast(1 + id % 97 as int)) text")
+    per = mixing.mix(df).groupBy("source").agg(F.first("target").alias("t"), F.sum("taken").alias("k")).collect()
+    assert all(abs(r.k - r.t) <= 0.01 * r.t for r in per)
+
+
+@pytest.mark.parametrize("page,want", [
+    ("<nav><a href=x>Home</a></nav><article><h1>T &amp; U</h1><p>One\n two<p>Be.</article><footer>f</footer>", "T & U\nOne two\nBe."),
+    ("<div class='ad'>buy</div><main><p>" + "long text " * 30 + "</p><aside>side</aside></main>", ("long text " * 30).strip()),
+    ("<div class=content><p>" + "word " * 60 + "</p></div><div id=comments><p>" + "reader says " * 30 + "</p></div>", ("word " * 60).strip()),
+    ("", ""), (None, ""), ("<p", ""), ("<script>x</script><style>y</style>", ""),
+])
+def test_html(page, want):
+    assert html.main_text(page or "") == want
+
+
+def test_min_cut_equals_brute_force():
+    rng = random.Random(6)
+    for _ in range(60):
+        n = rng.randint(1, 7)
+        costs = [rng.uniform(-3, 3) for _ in range(n)]
+        ties = [(i, j, rng.uniform(0, 2)) for i in range(n) for j in range(i) if rng.random() < 0.5]
+        value = lambda keep: sum(max(0, c) for c, k in zip(costs, keep, strict=True) if not k) + sum(max(0, -c) for c, k in zip(costs, keep, strict=True) if k) + sum(w for i, j, w in ties if keep[i] != keep[j])  # noqa: B023, E731
+        best = min(value([m >> i & 1 for i in range(n)]) for m in range(1 << n))
+        assert value(html.min_cut(costs, ties)) == pytest.approx(best)
+
+
+def test_fingerprints(spark, docs):
+    rows = sorted(rows_of(docs), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    got = sorted(fingerprints.with_next(docs).collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.n_chars, r.edited_sha256))
+    want = []
+    for k, (i, t) in enumerate(rows):
+        e = fingerprints.edited(t, rows[(k + 1) % len(rows)][1])
+        want.append((i, len(t), hashlib.sha256(e.encode()).hexdigest(), fingerprints.digest(t)))
+    assert sorted(((r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint) for r in got), key=str) == sorted(want, key=str)
+    assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got)
+    assert fingerprints.with_next(empty(spark)).count() == 0
+
+
+def test_quality(spark, docs):
+    got = {(r.doc_id, r.n_words, r.n_repeat_words, r.n_dup_lines) for r in quality.measures(docs).collect()}
+    for i, t in rows_of(docs):
+        w = t.split() if "\x1c" not in t else []
+        grams = [tuple(w[k : k + 3]) for k in range(len(w) - 2)]
+        on = {k + j for k, g in enumerate(grams) if grams.count(g) > 1 for j in range(3)} if len(w) < 2000 else set()
+        lines = [x for x in t.split("\n") if x.strip()]
+        assert (i, len(w), len(on), len(lines) - len(set(lines))) in got
+    assert quality.verdicts(quality.measures(empty(spark))).count() == 0
+
+
+def test_toxicity_learns_stems():
+    rng = random.Random(8)
+    rows = []
+    for k in range(300):
+        words = prose(rng, 60).split()
+        if k % 3 == 0:
+            for _ in range(3):
+                words.insert(rng.randrange(len(words)), "grumb" + rng.choice(["le", "lo", "er", "ix", "ak", "ul"]) + rng.choice("abcdef"))
+        rows.append((" ".join(words), int(k % 3 == 0)))
+    scorer = toxicity.Scorer(*toxicity.train(rows[:240]))
+    z = [(scorer(t), y) for t, y in rows[240:]]
+    assert sum((s > 0.5) == bool(y) for s, y in z) >= 0.9 * len(z)
+    assert scorer(prose(rng, 50) + " grumbozo") > scorer(prose(rng, 50))
+
+
+def test_toxicity_edges(spark, docs):
+    labels = spark.createDataFrame([(i, 1) for i in range(5)] + [(None, 1), (3, None)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    out = toxicity.score(docs, model)
+    assert out.columns[: len(docs.columns)] == docs.columns
+    assert out.filter("score IS NULL OR score < 0 OR score > 1 OR predicted IS NULL").count() == 0
+    assert toxicity.score(empty(spark), toxicity.train([])).count() == 0
+
+
+def test_fixity(spark):
+    a = spark.createDataFrame([(k, f"u{k}", f"<p>{k}") for k in range(300)] + [(5, "u5", "again"), (None, None, None)], "page_id long, url string, html string")
+    assert fixity.audit(a, a).count() == 0
+    b = a.filter("page_id IS NULL OR page_id NOT IN (17, 260)").withColumn("html", F.when(F.col("page_id") == 99, F.lit("bad")).otherwise(F.col("html"))).union(spark.createDataFrame([(900, "n", "new")], a.schema))
+    got = {(r.page_id, r.kind) for r in fixity.audit(a, b).collect()}
+    assert got == {(17, "missing"), (260, "missing"), (99, "changed"), (900, "extra")}
+    assert fixity.audit(a.limit(0), a.limit(0)).count() == 0

@@ -41,3 +41,20 @@ def n_words(text: Column) -> Column:
     return F.when(bare == "", F.lit(0)).otherwise(
         F.length(bare) - F.length(F.translate(bare, " ", "")) + 1
     ).cast("long")
+
+
+#: Slots of the filter below, which bound the rows that it broadcasts.
+SLOTS = 1 << 20
+
+
+def slot(key: Column) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(SLOTS))
+
+
+def slots(ids: DataFrame, key: str) -> DataFrame:
+    """At most SLOTS rows that stand for the ids: what is in none of their slots is surely not among them.
+
+    A filter before a shuffle of texts. It lets more through the more ids there are, and at worst
+    everything, so an exact join follows; its size never grows beyond SLOTS rows of one long.
+    """
+    return F.broadcast(ids.select(slot(F.col(key)).alias("__slot")).distinct())

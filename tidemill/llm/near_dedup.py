@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import stable, table, texts
+from tidemill.llm.common import slot, slots, stable, table, texts
 from tidemill.llm.components import components
 
 WORDS = 5
@@ -139,8 +139,9 @@ def _sizes_allow(percent: int):
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """pairs (a, b) -> those whose full sets meet the threshold. Each text in a pair is read once more."""
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    held = stable(docs.join(wanted, "doc_id"))
+    wanted = stable(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
+    likely = docs.join(slots(wanted, "doc_id"), slot(F.col("doc_id")) == F.col("__slot"), "left_semi")
+    held = stable(likely.join(wanted, "doc_id"))
     left = held.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     right = held.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
     joined = pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").sortWithinPartitions("a")

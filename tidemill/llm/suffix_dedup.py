@@ -117,6 +117,8 @@ class Bucket:
 
     def shards(self, n: int) -> list[tuple[int, np.ndarray]]:
         """(shard, segments sent there), the segments in ascending order."""
+        if not len(self.entries):
+            return []
         shard = (self.anchor[self.entries] % np.uint64(n)).astype(np.int64)
         order = np.argsort(shard, kind="stable")
         values, at = np.unique(shard[order], return_index=True)
