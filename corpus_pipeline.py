@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemill.llm import mixing, near_dedup, packing, suffix_dedup, toxicity
-from tidemill.llm.common import table
+from tidemill.llm.common import slot, slots, stable, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,11 +20,18 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest id stays; of rows with one id, that
-    with the smallest text. Rows without an id stay."""
-    kept = near_dedup.classes(docs).filter("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("kept_id")).distinct()
-    named = docs.join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi")
+    with the smallest text. Rows without an id stay. Only documents that may go, or whose id is repeated,
+    are shuffled with their texts."""
+    per = stable(near_dedup.classes(docs).filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("c_id")).agg(F.bool_and("kept").alias("kept"), F.count("*").alias("n")))
+    doubtful = slots(per.filter("NOT kept OR n > 1"), "c_id")
+    at = slot(F.col("doc_id").cast("long"))
+    sure = docs.join(doubtful, at == F.col("__slot"), "left_anti")
+    rest = docs.filter("doc_id IS NOT NULL").join(doubtful, at == F.col("__slot"), "left_semi").join(per.filter("kept").select("c_id"), F.col("doc_id") == F.col("c_id"), "left_semi")
     place = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    return named.withColumn("__place", place).filter("__place = 1").drop("__place").unionByName(docs.filter("doc_id IS NULL"))
+    rest = rest.withColumn("__place", place).filter("__place = 1").drop("__place")
+    # a null id has a slot of its own hash, which a doubtful id may share
+    nameless = docs.filter("doc_id IS NULL")
+    return sure.filter("doc_id IS NOT NULL").unionByName(rest).unionByName(nameless)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
