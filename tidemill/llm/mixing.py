@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import n_words, table
+from tidemill.llm.common import n_words, stable, table
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
@@ -85,23 +85,27 @@ def copies(docs: DataFrame) -> DataFrame:
     return out.withColumn("copies", (F.floor("rate") + more).cast("long")).drop("c_source", "c_size", "c_salt", "salt", "rank", "ahead", "at", "share", "rate")
 
 
+def _sized(docs: DataFrame) -> DataFrame:
+    """doc_id, source, size, tie (a hash of the text): written once, as the texts are read three times else."""
+    return stable(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("tie")))
+
+
 def mix(docs: DataFrame) -> DataFrame:
     """doc_id, size, source, source_size, target, copies, taken."""
-    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("tie"))
-    return copies(sized).withColumn("taken", F.col("copies") * F.col("size")).drop("tie")
+    return copies(_sized(docs)).withColumn("taken", F.col("copies") * F.col("size")).drop("tie")
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """The rows of docs, each repeated as often as the mix takes it; a row may be left out."""
-    names = [c for c in docs.columns]
-    rows = F.struct(*[F.col(f"`{c}`") for c in names]).alias("row")
-    sized = docs.select(rows, F.col("doc_id").cast("long").alias("doc_id"), "source", n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("tie"))
-    return (
-        copies(sized)
-        .select("row", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), "copies"))).alias("copy"), "copies")
-        .filter(F.col("copies") > 0)
-        .select("row.*")
-    )
+    """The rows of docs, each repeated as often as the mix takes it; a row may be left out.
+
+    Rows of one doc_id, source and text share their copies: one of them stands for all. The texts
+    are shuffled once, to meet their copies.
+    """
+    keys = (F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("__id"), F.coalesce("source", F.lit("\0")).alias("__source"))
+    per = copies(_sized(docs)).select(*keys, F.col("tie").alias("__tie"), "copies").groupBy("__id", "__source", "__tie").agg(F.sum("copies").alias("__copies"))
+    keyed = docs.select("*", *keys, F.xxhash64("text").alias("__tie"))
+    one = keyed.join(per.filter("__copies > 0"), ["__id", "__source", "__tie"]).dropDuplicates(["__id", "__source", "__tie"])
+    return one.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
