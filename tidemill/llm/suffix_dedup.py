@@ -80,17 +80,17 @@ def segments(data: np.ndarray, window: int = WINDOW, k: int = K) -> tuple[np.nda
     prefix = np.zeros(n + 1, np.uint64)
     np.cumsum(_BYTE[data] * up[:n], out=prefix[1:])
     h = _mix((prefix[k:] - prefix[:-k]) * down[: n - k + 1])
-    best, size = np.arange(len(h), dtype=np.int32), 1
-    while size < w:  # leftmost smallest of ever wider windows
+    least, size = h, 1
+    while size < w:  # smallest of ever wider windows
         step = min(size, w - size)
-        a, b = best[: len(best) - step], best[step:]
-        best = np.where(h[b] < h[a], b, a)
+        least = np.minimum(least[: len(least) - step], least[step:])
         size += step
-    cut = np.flatnonzero(np.diff(best)) + 1
+    # the leftmost smallest changes where it leaves the window or a smaller one enters
+    cut = np.flatnonzero((h[: len(least) - 1] == least[:-1]) | (h[w:] < least[:-1])) + 1
     first = np.concatenate([[0], cut])
-    last = np.concatenate([cut, [len(best)]]) - 1
+    last = np.concatenate([cut, [len(least)]]) - 1
     whole = _mix((prefix[last + window] - prefix[first]) * down[first] + (last - first).astype(np.uint64))
-    return first, last, h[best[first]], whole
+    return first, last, least[first], whole
 
 
 class Bucket:
@@ -106,10 +106,11 @@ class Bucket:
         self.row = np.repeat(np.arange(len(parts)), self.count)
         self.doc = np.array(self.ids, np.int64)[self.row]
         # entries: each distinct segment once, at its smallest document (rows are in that order)
-        order = np.lexsort((np.arange(len(self.doc)), self.whole, self.anchor))
-        a, s = self.anchor[order], self.whole[order]
+        # equal bytes have equal anchors, so the hash of the bytes alone groups them; the sort is stable
+        order = np.argsort(self.whole, kind="stable")
+        s = self.whole[order]
         new = np.ones(len(order), bool)
-        new[1:] = (a[1:] != a[:-1]) | (s[1:] != s[:-1])
+        new[1:] = s[1:] != s[:-1]
         lead = order[np.flatnonzero(new)]
         self.lead = np.empty(len(order), np.int64)
         self.lead[order] = lead[np.cumsum(new) - 1] if len(order) else order
