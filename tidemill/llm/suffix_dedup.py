@@ -214,11 +214,11 @@ class SuffixLevels:
 
     @staticmethod
     def _array(suffix: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        order = np.lexsort((doc, suffix))
+        order = np.argsort(suffix, kind="stable")  # two sorted runs merge in one pass
         suffix, doc = suffix[order], doc[order]
         new = np.ones(len(suffix), bool)
         new[1:] = suffix[1:] != suffix[:-1]
-        return suffix[new], doc[new]
+        return suffix[new], np.minimum.reduceat(doc, np.flatnonzero(new))
 
     def add(self, suffix: np.ndarray, doc: np.ndarray) -> np.ndarray:
         """Which suffixes a smaller document holds, of this batch or of an earlier one."""
