@@ -39,9 +39,9 @@ WINDOW = 50
 K = 20
 #: Bytes of text in a bucket, the unit that one Python call holds, on average.
 BUCKET_BYTES = 4 << 20
-#: Distinct segments of one anchor beyond which its windows are aggregated by Spark. Up to it an index
-#: of their suffixes takes some 40 MB of a task's memory (15 windows of 58 bytes each).
-HEAVY = 50_000
+#: Distinct segments of one anchor beyond which its windows are aggregated by Spark, so that a task's
+#: index of one anchor stays small and a hot anchor is dealt over many tasks.
+HEAVY = 2000
 #: Suffixes in a batch of the index.
 BATCH = 1 << 15
 NULL_ID = -(1 << 63)
