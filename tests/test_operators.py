@@ -162,3 +162,65 @@ def test_alternatives(spark):
 def test_rule_findings(spark):
     f = one(spark, rules.findings(F.col("t")), t="Don't stop; it's running. " + "word " * 26 + ".")
     assert (f.long_sentences, f.semicolons, f.contractions, f.ing_words) == (1, 1, 2, 1)
+
+
+def _heads(*rows):
+    import re
+
+    from tidemill.operators import headwords
+
+    return [h[:4] for h in headwords.parse([(re.findall(headwords.TOKEN, t), ruled) for t, ruled in rows])]
+
+
+def test_headword_grammar():
+    assert _heads(("OPEN (v),", True), ("OPENS, OPENED", False), ("", False), ("oil (n)", True)) == [("OPEN", None, "v", ["OPENS", "OPENED"]), ("oil", None, "n", [])]
+    assert _heads(("MATT (or MATTE) (adj)", True), ("SET UP", True), ("(a thing) (v)", False)) == [("MATT", None, "adj", ["MATTE"]), ("SET UP", "a thing", "v", [])]
+    assert _heads(("BE (v), IS, WAS,", True), ("(also ARE, WERE)", False)) == [("BE", None, "v", ["IS", "WAS", "ARE", "WERE"])]
+    assert _heads(("TOUCH (v)", True), ("TOUCHES,", False), ("TOUCHED", False)) == [("TOUCH", None, "v", ["TOUCHES", "TOUCHED"])]
+    assert _heads(("A (n),", True), ("B (n)", True)) == [("A", None, "n", []), ("B", None, "n", [])]
+    stream = [("PUSH (v)", True), ("", False), ("PUSHES", False), ("PUSHED OUT", False), ("", False), ("FOR EXAMPLE", True), ("", False)]
+    assert _heads(*stream) == [("PUSH", None, "v", ["PUSHES", "PUSHED OUT"]), ("FOR EXAMPLE", None, None, [])]
+    assert _heads() == _heads(("", False)) == []
+
+
+@pytest.mark.parametrize("rows", [["(n)"], ["A (b) C"], ["A (n), , B"], ["A (b"], ["A (or B)"]])
+def test_headword_errors(rows):
+    from tidemill.operators import headwords
+
+    with pytest.raises(headwords.HeadwordError):
+        _heads(*[(r, True) for r in rows])
+
+
+def test_alternatives(spark):
+    from tidemill.operators import headwords
+
+    cases = [["STOP (v)", "MAKE SURE", "(WITH A", "CLIP)", "and CAN (CANNOT) (v);", "PUMP", "(TN)"], ["(first) see Note, X"], [], ["no reference here."]]
+    df = spark.createDataFrame([(c,) for c in cases], "l array<string>")
+    got = [(r.a.alternatives, r.a.note) for r in df.select(headwords.alternatives(F.col("l")).alias("a")).collect()]
+    assert [tuple(a) for a in got[0][0]] == [("word", "STOP", "v", None), ("phrase", "MAKE SURE", None, "WITH A CLIP"), ("word", "CAN", "v", "CANNOT"), ("technical", "PUMP", "TN", None)]
+    assert got[0][1] == "and"
+    assert [tuple(a) for a in got[1][0]] == [("phrase", "X", None, None)] and got[1][1] == "first) see Note"
+    assert got[2:] == [([], None), ([], "no reference here")]
+
+
+def test_entries(spark):
+    from tidemill.operators import headwords
+
+    rows = [
+        ("p1", "OPEN (v),", True, "Not closed", "", "Open it.", ""), ("p1", "OPENS", False, "STOP (v)", "Use with care", "", ""), ("p2", "", False, "CLEAR (adj)", "", "Open the valve.", "x"),
+        ("p2", "big (adj)", True, "LARGE (adj)", "", "", "A big pump"),
+    ]
+    df = spark.createDataFrame([("b", k, *r) for k, r in enumerate(rows)], "book string, seq int, page string, head string, ruled boolean, main string, help string, ste string, nonste string")
+    a, b = headwords.entries(df).orderBy("entry").collect()
+    assert (a.word, a.pos, a.forms, a.kind, a.meaning, a.help, a.ste, a.nonste, a.page, a.note) == ("OPEN", "v", ["OPENS"], "approved", "Not closed", "Use with care", "Open it. Open the valve.", "x", "p1", None)
+    assert [x.word for x in a.alternatives] == ["STOP", "CLEAR"]
+    assert (b.word, b.kind, b.meaning, b.help, [x.word for x in b.alternatives], b.nonste) == ("big", "unapproved", None, None, ["LARGE"], "A big pump")
+
+
+def test_listed_rules(spark):
+    from tidemill.operators import headwords
+
+    lines = [(16.0, True, "Page head"), (14.0, True, "Section 1 – Words"), (13.0, True, "Summary of the rules"), (11.0, True, "Nouns"), (11.0, False, "Rule 1.1"), (11.0, False, "Use short"), (11.0, False, "words."), (11.0, True, "Verbs"), (11.0, False, "Rule 1.2"), (14.0, True, "General"), (11.0, False, "Rule 9.9")]
+    df = spark.createDataFrame([("b", 1, k, *x) for k, x in enumerate(lines)], "book string, page int, seq int, size double, bold boolean, text string")
+    got = [tuple(r) for r in headwords.listed_rules(df).select("id", "section", "section_title", "title", "statement").orderBy("id").collect()]
+    assert got == [("1.1", 1, "Words", "Nouns", "Use short words."), ("1.2", 1, "Words", "Verbs", "")]
