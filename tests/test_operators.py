@@ -224,3 +224,38 @@ def test_listed_rules(spark):
     df = spark.createDataFrame([("b", 1, k, *x) for k, x in enumerate(lines)], "book string, page int, seq int, size double, bold boolean, text string")
     got = [tuple(r) for r in headwords.listed_rules(df).select("id", "section", "section_title", "title", "statement").orderBy("id").collect()]
     assert got == [("1.1", 1, "Words", "Nouns", "Use short words."), ("1.2", 1, "Words", "Verbs", "")]
+
+
+def test_report_forms(spark):
+    from tidemill.operators import report
+
+    df = spark.createDataFrame([(1, 3), (0, 0)], "n long, t long")
+    assert [r.x for r in df.select(report.share(F.col("n"), F.col("t")).alias("x")).collect()] == ["33.3%", "n/a"]
+    assert report.table_head("a", "b") == "| a | b |\n| --- | --- |"
+    at = F.to_timestamp(F.lit("2024-01-02 03:04:05"))
+    assert spark.range(1).select(report.run_id(F.lit("hf"), F.lit("x/My model!"), at)).first()[0] == "hf-My-model-20240102T030405Z"
+
+
+def test_preflight_problems():
+    from tidemill.sources import environment
+
+    env = {"rocminfo": "x", "torch_devices": {"available": True}, "packages": {"vllm": "0.29.1"}, "gfx": ["gfx950"]}
+    assert environment.problems(env, "vllm") == []
+    assert environment.problems(env | {"rocminfo": None, "torch_devices": None}, "hf") == ["rocminfo: missing or failed", "torch: cannot be imported"]
+    assert environment.problems(env | {"torch_devices": {"available": False}, "packages": {"vllm": "0.9"}, "gfx": ["gfx908"]}, "vllm") == ["torch: sees no GPU", "vllm 0.9: older than 0.29", "gfx908: not served by vllm, take hf"]
+    assert environment.command("no-such-command") is None and environment.version("no-such-package") is None
+
+
+def test_commands(spark, tmp_path, capsys):
+    from tidemill.__main__ import main
+
+    row = {"id": "t1", "kind": "math", "prompt": "Two and two? Answer: n", "answer": 4, "technical_terms": [], "source": "s", "split": "t", "license": "l"}
+    (tmp_path / "a.jsonl").write_text(json.dumps(row) + "\n" + json.dumps(row | {"id": "t2", "kind": "writing", "answer": None}) + "\n")
+    assert main(["tasks", "--tasks", f"{tmp_path}/a.jsonl"]) == 0 and capsys.readouterr().out == "math: 1\nwriting: 1\n"
+    assert main(["run", "--tasks", f"{tmp_path}/*.jsonl", "--samples", "2", "--results", str(tmp_path / "out"), "--run-id", "r"]) == 0
+    capsys.readouterr()
+    assert main(["summarize", f"{tmp_path}/out/r"]) == 0
+    said = capsys.readouterr().out.splitlines()
+    assert len(said) == 5 and said[0].startswith("A0: n=4 k=2 accuracy=1.000±0.000")
+    (tmp_path / "b.jsonl").write_text(json.dumps(row))
+    assert main(["tasks", "--tasks", f"{tmp_path}/*.jsonl"]) == 1 and "task error" in capsys.readouterr().err

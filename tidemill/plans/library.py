@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemill.functions import text as X
-from tidemill.operators import compliance, layout, lexicon, rules, scoring, stats, validation, watermark
+from tidemill.operators import compliance, headwords, layout, lexicon, report, rules, scoring, stats, validation, watermark
 from tidemill.plans.registry import query
 from tidemill.sources import files
 
@@ -551,3 +551,68 @@ def p1_messages(spark, d):
 @query("u2_set_difference", "SELECT p_partkey AS k FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity < 3")
 def u2_set_difference(spark, d):
     return _t(spark, d, "part").select(F.col("p_partkey").alias("k")).exceptAll(_t(spark, d, "lineitem").filter("l_quantity < 3").select("l_partkey").distinct().withColumnRenamed("l_partkey", "k"))
+
+
+# ---- dictionary text --------------------------------------------------------------------------
+
+
+@query("x1_head_tokens", r"SELECT item_id, len(t)::INT AS n, md5(array_to_string(t, ' ')) AS tokens_md5 FROM (SELECT item_id, regexp_extract_all('(' || text || ') (adj), B (c', '\((?:n|v|adj|adv|prep|pron|art|conj|prefix)\)|[(),]|[^\s(),]+') AS t FROM benchmark)")
+def x1_head_tokens(spark, d):
+    t = headwords.head_tokens(F.concat(F.lit("("), "text", F.lit(") (adj), B (c")))
+    return _t(spark, d, "benchmark").select("item_id", F.size(t).alias("n"), F.md5(F.array_join(t, " ")).alias("tokens_md5"))
+
+
+def _dictionary(spark, d):
+    """A row of a dictionary for each part: fifty books, a qualifier for each fifth size, the form on the same row."""
+    k, tag = F.col("p_partkey").cast("string"), F.element_at(F.array(*map(F.lit, ("n", "v", "adj"))), F.col("p_size") % 3 + 1)
+    head = F.concat(F.lit("W"), k, F.when(F.col("p_size") % 5 == 0, " (of a part)").otherwise(""), F.lit(" ("), tag, F.lit("), W"), k, F.lit("S"))
+    main = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("R"), k, F.lit(" (v)"))).otherwise(F.concat(F.lit("a part of "), F.col("p_size").cast("string")))
+    return _t(spark, d, "part").select(
+        (F.col("p_partkey") % 50).alias("book"), F.col("p_partkey").alias("seq"), F.col("p_brand").alias("page"), head.alias("head"), F.lit(True).alias("ruled"), main.alias("main"),
+        F.when(F.col("p_size") % 2 == 0, "help").otherwise("").alias("help"), F.lit("").alias("ste"), F.col("p_name").alias("nonste"),
+    )
+
+
+HEADS_SQL = "SELECT p_partkey AS seq, 'W' || p_partkey AS word, CASE WHEN p_size % 5 = 0 THEN 'of a part' END AS qualifier, ['n', 'v', 'adj'][p_size % 3 + 1] AS tag, 'W' || p_partkey || 'S' AS forms FROM part"
+
+
+@query("x2_headwords", HEADS_SQL)
+def x2_headwords(spark, d):
+    return headwords.headwords(_dictionary(spark, d)).select("seq", "word", "qualifier", "tag", F.array_join("forms", ",").alias("forms"))
+
+
+@query("x3_alternatives", "SELECT p_partkey, 1 AS n, 'R' || p_partkey AS word, 'v' AS tag, 'with ' || p_brand AS context, 'note of ' || p_size AS note FROM part")
+def x3_alternatives(spark, d):
+    k = F.col("p_partkey").cast("string")
+    lines = F.array(F.concat(F.lit("R"), k), F.lit("(v)"), F.concat(F.lit("(with  "), "p_brand", F.lit(")")), F.concat(F.lit("- note of "), F.col("p_size").cast("string")))
+    a = _t(spark, d, "part").withColumn("a", headwords.alternatives(lines))
+    first = F.get("a.alternatives", 0)
+    return a.select("p_partkey", F.size("a.alternatives").alias("n"), first["word"].alias("word"), first["tag"].alias("tag"), first["context"].alias("context"), F.col("a.note").alias("note"))
+
+
+@query("x4_entries", f"SELECT h.seq AS entry, word, CASE WHEN p_size % 2 = 0 THEN '' ELSE 'a part of ' || p_size END AS meaning, CASE WHEN p_size % 2 = 0 THEN 'R' || p_partkey END AS alternative, p_name AS nonste, p_brand AS page FROM ({HEADS_SQL}) h JOIN part ON p_partkey = h.seq")
+def x4_entries(spark, d):
+    return headwords.entries(_dictionary(spark, d)).select("entry", "word", "meaning", F.get("alternatives", 0)["word"].alias("alternative"), "nonste", "page")
+
+
+@query("x5_listed_rules", "SELECT '1.' || item_id AS id, 1 AS section, 'Words' AS section_title, 'Nouns' AS title, text AS statement FROM benchmark")
+def x5_listed_rules(spark, d):
+    said = ((16.0, True, F.lit("Page head")), (14.0, True, F.lit("Section 1 – Words")), (13.0, True, F.lit(headwords.SUMMARY)), (11.0, True, F.lit("Nouns")), (11.0, False, F.concat(F.lit("Rule 1."), F.col("item_id").cast("string"))), (11.0, False, F.col("text")), (14.0, True, F.lit("Body")), (11.0, False, F.lit("Rule 9.9")))
+    lines = F.array(*[F.struct(F.lit(s).alias("size"), F.lit(b).alias("bold"), t.alias("text")) for s, b, t in said])
+    rows = _t(spark, d, "benchmark").select((F.col("item_id") % 10).alias("book"), F.col("item_id").alias("page"), F.posexplode(lines).alias("seq", "l")).select("book", "page", "seq", "l.*")
+    return headwords.listed_rules(rows).select("id", "section", "section_title", "title", "statement")
+
+
+@query("p12_text_table", "SELECT '| ' || event_type || ' | ' || coalesce((round(100.0 * count(*) FILTER (value > 90) / nullif(count(value), 0) * 10) / 10)::DECIMAL(5, 1)::VARCHAR || '%', 'n/a') || ' |' AS line FROM events GROUP BY event_type")
+def p12_text_table(spark, d):
+    g = _t(spark, d, "events").groupBy("event_type").agg(F.count_if(F.col("value") > 90).alias("hit"), F.count("value").alias("n"))
+    return g.select(report.table_line("event_type", report.share(F.col("hit"), F.col("n"))).alias("line"))
+
+
+@query("p13_detail")
+def p13_detail(spark, d):
+    """No SQL form: the result is JSON text, whose layout is the engine's."""
+    runs = _t(spark, d, "events").groupBy(F.col("user_id").alias("entry")).agg(
+        F.lit("ste").alias("side"), F.lit("").alias("text"), F.sum("value").alias("seconds"), F.array_sort(F.collect_list(F.struct(F.lit("finding").alias("group"), F.col("event_type").alias("kind"), F.col("event_id").cast("string").alias("token"), F.lit(None).cast("string").alias("origin")))).alias("items")
+    )
+    return runs.select("entry", report.detail_json().alias("detail"))
