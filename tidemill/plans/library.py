@@ -509,7 +509,7 @@ def o6_carry(spark, d):
     return layout.carried(e, "user_id", "event_id", "head").select("event_id", "head")
 
 
-@query("j13_band_join", """WITH w AS (SELECT event_id % 20 AS page, event_id::DOUBLE AS y FROM events), r AS (SELECT (event_id * 3) % 20 AS page, event_id * 3.0 AS y FROM events)
+@query("j13_band_join", """WITH w AS (SELECT event_id % 20 AS page, event_id::DOUBLE AS y FROM events), r AS (SELECT (event_id * 3) % 20 AS page, (event_id * 3)::DOUBLE AS y FROM events)
 SELECT w.page, w.y, min(r.y) AS rule FROM w LEFT JOIN r ON w.page = r.page AND r.y >= w.y - 7.0 AND r.y <= w.y + 2.0 GROUP BY 1, 2""")
 def j13_band_join(spark, d):
     e = _t(spark, d, "events")
