@@ -66,13 +66,19 @@ def copies(docs: DataFrame) -> DataFrame:
     """docs with source, size, doc_id -> also source_size, target, copies.
 
     Ranks come from counts of (source, size, salt) and the place inside such a part, so no task
-    gathers a source. The join with the sources is by source, with salted counts of a bounded
+    gathers a source: its running counts hold one row for each distinct size, those of the salts run
+    within one size. The join with the sources is by source, with salted counts of a bounded
     number of rows for each source.
     """
     parts = docs.withColumn("salt", F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(SALTS)).cast("int"))
     cells = parts.groupBy("source", "size", "salt").agg(F.count("*").alias("n"))
-    order = Window.partitionBy("source").orderBy(F.desc("size"), "salt").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.withColumn("ahead", F.coalesce(F.sum("n").over(order), F.lit(0)))
+    larger = Window.partitionBy("z_source").orderBy(F.desc("z_size")).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = cells.groupBy(F.col("source").alias("z_source"), F.col("size").alias("z_size")).agg(F.sum("n").alias("z_n"))
+    sizes = sizes.withColumn("larger", F.coalesce(F.sum("z_n").over(larger), F.lit(0)))
+    beside = Window.partitionBy("source", "size").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.withColumn("beside", F.coalesce(F.sum("n").over(beside), F.lit(0)))
+    cells = cells.join(sizes, F.col("source").eqNullSafe(F.col("z_source")) & (F.col("size") == F.col("z_size")))
+    cells = cells.withColumn("ahead", F.col("larger") + F.col("beside"))
     per = rates(docs).withColumnRenamed("source", "s_source")
     cells = cells.join(per, F.col("source").eqNullSafe(F.col("s_source"))).drop("s_source", "n")
     cells = cells.select(F.col("source").alias("c_source"), F.col("size").alias("c_size"), F.col("salt").alias("c_salt"), "ahead", "source_size", "target", "rate")
