@@ -2,13 +2,14 @@
 
 import json
 import random
+import sys
 from statistics import mean, pstdev
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidemill.functions import text as X
-from tidemill.operators import compliance, layout, lexicon, rules, scoring, stats, validation, watermark
+from tidemill.operators import compliance, layout, lexicon, rescoring, rules, scoring, stats, validation, watermark
 from tidemill.sources import files
 
 
@@ -246,6 +247,37 @@ def test_preflight_problems():
     assert environment.command("no-such-command") is None and environment.version("no-such-package") is None
 
 
+CHECKER = """
+import json
+def check(batches):
+    for b in batches:
+        said = [{"version": f"{i}/{len(t)}", "mode": "description", "ok": False, "findings": [{"kind": "ing_form", "token": "x"}]} for i, t in zip(b.task_id, b.terms)]
+        yield b[["task_id", "arm", "sample"]].assign(report=[json.dumps(r) for r in said])
+"""
+
+
+def test_rescoring_leaves_what_does_not_wait(spark):
+    said = "task_id string, arm string, sample int, text string, checker struct<status: string, ok: boolean, findings: int, by_kind: map<string,int>, words: array<string>, version: string, mode: string, gate_ok: boolean, gate_findings: int, reason: string>"
+    outcome = lambda status, reason: (status, None, None, None, None, None, None, None, None, reason)
+    rows = [("a", "A0", 0, "x", outcome("skipped", "off")), ("b", "A0", 0, "", outcome("skipped", "empty")), ("c", "A0", 0, "x", outcome("checked", None)), ("d", "A0", 0, None, outcome("skipped", None)), ("e", "A0", 0, "x", None)]
+    tasks = spark.createDataFrame([("a", "qa", ["t"]), ("d", "writing", None)], "id string, kind string, technical_terms array<string>")
+
+    def check(batches):
+        for b in batches:
+            report = [json.dumps({"version": "/".join(t), "ok": True, "findings": []}) if x else "not a report" for x, t in zip(b.text, b.terms, strict=True)]
+            yield b[["task_id", "arm", "sample"]].assign(report=report)
+
+    got = {r.task_id: r.checker for r in rescoring.rescored(spark.createDataFrame(rows, said), tasks, check).collect()}
+    assert (got["a"].status, got["a"].version, got["a"].findings) == ("checked", "t/Answer", 0)
+    assert got["b"].reason == "empty" and got["c"].status == "checked" and got["d"].status == "skipped" and got["e"] is None
+
+
+def test_changed_files(spark):
+    of = lambda rows: spark.createDataFrame(rows, "path string, digest string")
+    got = rescoring.changed_files(of([("a", "1"), ("b", "2"), ("c", "3")]), of([("a", "1"), ("b", "9"), ("d", "4")]))
+    assert {r.path for r in got.collect()} == {"b", "c", "d"}
+
+
 def test_commands(spark, tmp_path, capsys):
     from tidemill.__main__ import main
 
@@ -257,5 +289,15 @@ def test_commands(spark, tmp_path, capsys):
     assert main(["summarize", f"{tmp_path}/out/r"]) == 0
     said = capsys.readouterr().out.splitlines()
     assert len(said) == 5 and said[0].startswith("A0: n=4 k=2 accuracy=1.000±0.000")
+    (tmp_path / "said_checker.py").write_text(CHECKER)
+    sys.path.insert(0, str(tmp_path))
+    spark.sparkContext.addPyFile(str(tmp_path / "said_checker.py"))
+    again = ["rescore", f"{tmp_path}/out/r", "--checker", "said_checker:check"]
+    for _ in range(2):
+        assert main(again) == 0 and capsys.readouterr().out.splitlines() == said
+        got = spark.read.json(f"{tmp_path}/out/r/rescored").select("task_id", "checker.*").collect()
+        assert len(got) == 12 and {(r.status, r.ok, r.findings, r.version) for r in got} == {("checked", False, 1, "t1/1"), ("checked", False, 1, "t2/0")}
+    (tmp_path / "a.jsonl").write_text(json.dumps(row) + "\n")
+    assert main(again) == 1 and "changed" in capsys.readouterr().err
     (tmp_path / "b.jsonl").write_text(json.dumps(row))
     assert main(["tasks", "--tasks", f"{tmp_path}/*.jsonl"]) == 1 and "task error" in capsys.readouterr().err

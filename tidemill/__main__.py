@@ -1,16 +1,20 @@
 """Commands: ``tasks`` validates task files, ``run`` makes a run with canned answers, ``summarize`` prints
-the summary of a run, ``preflight`` says what keeps a GPU run from starting."""
+the summary of a run, ``rescore`` checks its records afterwards with a function of the user, ``preflight``
+says what keeps a GPU run from starting."""
 
 from __future__ import annotations
 
 import argparse
+import datetime
+import importlib
 import json
+import pathlib
 import sys
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.operators import report, scoring, stats
+from tidemill.operators import report, rescoring, scoring, stats
 from tidemill.sources import environment, files
 
 ARMS = ("A0", "A1", "A2")
@@ -47,12 +51,39 @@ def run(spark: SparkSession, args: argparse.Namespace) -> int:
     return 0
 
 
+def latest(spark: SparkSession, run: str) -> DataFrame:
+    """The records of a run as they were rescored, or as they were written."""
+    there = pathlib.Path(run, "rescored", "_SUCCESS").exists()
+    return files.read_records(spark, f"{run}/rescored" if there else f"{run}/records")
+
+
 def summarize(spark: SparkSession, args: argparse.Namespace) -> int:
-    arms = stats.spread(stats.per_sample(files.read_records(spark, f"{args.run}/records")))
+    arms = stats.spread(stats.per_sample(latest(spark, args.run)))
     print("\n".join(stats.summary_lines(arms, stats.tax(arms))))
     return 0
 
 
+def rescore(spark: SparkSession, args: argparse.Namespace) -> int:
+    """Check the records of a finished run whose check was skipped; the task files must be unchanged."""
+    manifest = json.loads(spark.read.text(f"{args.run}/manifest").first()[0])
+    if manifest["mode"] != "arms":
+        print("rescore: runs of arms only", file=sys.stderr)
+        return 1
+    paths = [f["path"].removeprefix("file:") for f in manifest["files"]]
+    then = spark.createDataFrame([(f["path"], f["digest"]) for f in manifest["files"]], "path string, digest string")
+    gone = [p for p in paths if not pathlib.Path(p).exists()]
+    if gone or rescoring.changed_files(then, files.digests(spark, paths)).limit(1).count():
+        print("rescore: a task file changed since the run", file=sys.stderr)
+        return 1
+    module, _, name = args.checker.partition(":")
+    checker = getattr(importlib.import_module(module), name)
+    # always from the records as written, so that a second rescore gives the same
+    rescoring.rescored(files.read_records(spark, f"{args.run}/records"), files.load_tasks(spark, paths), checker).write.mode("overwrite").option("ignoreNullFields", False).json(f"{args.run}/rescored")
+    stamp = manifest | {"rescored": {"at": datetime.datetime.now(datetime.UTC).isoformat(), "checker": args.checker}}
+    spark.createDataFrame([(json.dumps(stamp),)], "value string").coalesce(1).write.mode("overwrite").text(f"{args.run}/rescored-manifest")
+    return summarize(spark, args)
+
+
 def preflight(_: None, args: argparse.Namespace) -> int:
     found = environment.problems(environment.captured(gpu=True), args.backend)
     print("\n".join(found) or "ready")
@@ -80,6 +111,9 @@ def parser() -> argparse.ArgumentParser:
     r.add_argument("--results", default="results")
     r.add_argument("--run-id")
     add(summarize).add_argument("run")
+    again = add(rescore)
+    again.add_argument("run")
+    again.add_argument("--checker", required=True, metavar="MODULE:FUNCTION")
     add(preflight).add_argument("--backend", choices=["hf", "vllm"], default="vllm")
     return top
 

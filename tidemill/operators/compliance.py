@@ -101,15 +101,16 @@ def gate_keeps(finding: Column, known: Column, h: Column) -> Column:
     )
 
 
-def checked(report: DataFrame, known: Column | None = None, h: Column | None = None) -> DataFrame:
-    """Reports (id, ok, findings) -> counts by kind, words that are not approved, and the gate's verdict."""
+def checked(report: DataFrame, known: Column | None = None, h: Column | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Reports (id, ok, findings) -> counts by kind, words that are not approved, and the gate's verdict;
+    columns named in ``keep`` go along."""
     kinds = F.array_sort(F.array_distinct(F.transform("findings", lambda f: f["kind"])))
     count = lambda k: F.struct(k, F.size(F.filter("findings", lambda f: f["kind"] == k)))
     kept = F.size(F.filter("findings", lambda f: gate_keeps(f, known, h))) if known is not None else F.lit(None).cast("int")
     return report.select(
         "id", "ok", F.size("findings").alias("n_findings"), F.map_from_entries(F.transform(kinds, count)).alias("by_kind"),
         F.transform(F.filter("findings", lambda f: f["kind"] == "not_approved"), lambda f: f["token"]).alias("words"),
-        (kept == 0).alias("gate_ok"), kept.alias("gate_findings"),
+        (kept == 0).alias("gate_ok"), kept.alias("gate_findings"), *keep,
     )
 
 

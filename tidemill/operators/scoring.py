@@ -45,5 +45,5 @@ def arm_records(measured_: DataFrame) -> DataFrame:
         "task_id", "kind", "arm", "sample", F.col("s.correct").alias("correct"), F.col("s.fallback").alias("fallback_correct"), "degenerate",
         (F.col("truncated") | (a2 & F.coalesce("draft_truncated", F.lit(False)))).alias("truncated"),
         plus("reasoning_tokens", F.col("draft_reasoning_tokens")).alias("reasoning_tokens"), plus("generated_tokens", F.col("draft_generated_tokens")).alias("generated_tokens"),
-        "output_tokens", F.round(plus("latency_s", F.col("draft_latency_s")), 3).alias("latency_s"), F.round("compliance", 4).alias("compliance"), F.slice("nonconforming", 1, 50).alias("nonconforming"),
+        F.col("final").alias("text"), "output_tokens", F.round(plus("latency_s", F.col("draft_latency_s")), 3).alias("latency_s"), F.round("compliance", 4).alias("compliance"), F.slice("nonconforming", 1, 50).alias("nonconforming"),
     )
