@@ -129,6 +129,44 @@ def test_near_dedup_equals_brute_force(spark, docs):
     assert near_dedup.classes(empty(spark)).count() == 0
 
 
+def hub_family(n: int, hub: int, words: int = 400, seed: int = 3):
+    """Copies of one text, each with substitutions of its own, so that most are near the hub only."""
+    rng = random.Random(seed)
+    text = [f"w{rng.randrange(10**6)}" for _ in range(words)]
+    for i in range(n):
+        own = list(text)
+        if i != hub:
+            for at in rng.sample(range(words), rng.randint(4, 6)):
+                own[at] = f"x{i}x{at}"
+        yield i, " ".join(own)
+
+
+def test_near_dedup_joins_a_hub_family(spark):
+    family = list(hub_family(1000, 500))
+    sets = [near_dedup.Shingles()(t) for _, t in family]
+    near = [100 * (both := len(np.intersect1d(s, sets[500]))) >= 85 * (len(s) + len(sets[500]) - both) for s in sets]
+    got = {r.doc_id: r.component_id for r in near_dedup.classes(spark.createDataFrame(family, "doc_id long, text string")).collect()}
+    assert sum(near) > 900 and {got[i] for i in range(1000) if near[i]} == {got[500]}
+
+
+@pytest.mark.parametrize("small, members", [(16, 2048), (1, 8), (1, 2048)])
+def test_near_dedup_buckets_are_settled(spark, monkeypatch, small, members):
+    monkeypatch.setattr(near_dedup, "SMALL", small)
+    monkeypatch.setattr(near_dedup, "MEMBERS", members)
+    monkeypatch.setattr(near_dedup, "COLUMNS", 64)
+    family = list(hub_family(40, 23, words=200)) + [(100 + i, t) for i, t in hub_family(3, 1, seed=4)]
+    sets = {i: near_dedup.Shingles()(t) for i, t in family}
+    want = {i: i for i in sets}
+    for a in sets:
+        for b in sets:
+            both = len(np.intersect1d(sets[a], sets[b]))
+            if 100 * both >= 85 * (len(sets[a]) + len(sets[b]) - both):
+                x, y = sorted((want[a], want[b]))
+                want = {i: x if c == y else c for i, c in want.items()}
+    docs = spark.createDataFrame(family, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in near_dedup.classes(docs).collect()} == want
+
+
 def test_bands_meet_at_the_threshold():
     rng = np.random.default_rng(4)
     for n in (7, 20, 300):

@@ -6,12 +6,14 @@ random order of its own. Groups of ROWS bins are the bands. Documents with equal
 from the start. In each bucket of a band, members are tied to its smallest member and to one drawn by
 a hash of the bucket (a star, so candidate pairs grow with the members); pairs whose set sizes
 exclude the threshold go, and the rest are confirmed on their full sets. Buckets that still hold
-more than one component are tied again, each member to drawn members of the other components, for
-``rounds`` further rounds. Components are found by distributed label propagation.
+more than one component are then settled in full: in those of up to SMALL members every pair across
+components that was not yet compared is confirmed like the others; larger ones are dealt by salts
+into blocks, and each pair of salts is compared as a whole, by products of 0/1 matrices of the
+shingles that more than one of its members holds. A block gives a forest of links, so rows grow with
+the members and not with their pairs. Components are found by distributed label propagation.
 
-A pair at the threshold shares no band with probability (1 - 0.85**6)**42, about 2e-9. Within a
-bucket a pair of two followers is confirmed only where a star of some shared band or a later round
-compares it; it can matter only where no shared leader links them.
+A pair at the threshold shares no band with probability (1 - 0.85**6)**42, about 2e-9, and at 0.8
+about 3e-6. Every pair that shares a band is compared or in one component already.
 
 Defined cases: a null or blank text has an empty set and links with nothing; fewer than five words
 are one shingle; a null doc_id links with nothing, has no component and is kept; repeated rows form one
@@ -36,6 +38,8 @@ WORDS = 5
 BINS, BANDS, ROWS = 256, 42, 6
 PERCENT = 85
 CACHE_WORDS = 400_000
+#: Members of a bucket whose pairs are rows; members and shingles for each salt of a larger one; columns of a matrix.
+SMALL, MEMBERS, WEIGHT, COLUMNS = 16, 2048, 1 << 21, 2048
 _M1, _M2, _STEP = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(0x9E3779B97F4A7C15)
 _rng = np.random.default_rng(7)
 _ORDER = np.argsort(_rng.random((BINS, BINS)), axis=1).astype(np.int64)
@@ -133,22 +137,109 @@ def _confirm(percent: int):
     return run
 
 
+def common(sets: list[np.ndarray], first: int, second: int) -> np.ndarray:
+    """Numbers of shingles that each of sets[:first] shares with each of sets[second:]."""
+    held, at = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, column, count = np.unique(held, return_inverse=True, return_counts=True)
+    number = np.cumsum(count > 1) - 1
+    shared = count[column] > 1
+    at, column = at[shared], number[column[shared]]
+    order = np.argsort(column, kind="stable")
+    at, column = at[order], column[order]
+    out = np.zeros((first, len(sets) - second), np.int64)
+    for k in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        part = slice(*np.searchsorted(column, (k, k + COLUMNS)))
+        x = np.zeros((len(sets), COLUMNS), np.float32)
+        x[at[part], column[part] - k] = 1
+        out += (x[:first] @ x[second:].T).astype(np.int64)
+    return out
+
+
+def _links(rows: list[tuple[int, int, bool, np.ndarray]], one_salt: bool, percent: int) -> list[tuple[int, int]]:
+    """Rows (id, component, of the lower salt, shingles) of a block -> links that join whatever components its pairs join."""
+    rows = sorted((r for r in rows if len(r[3])), key=lambda r: not r[2])
+    first = len(rows) if one_salt else sum(r[2] for r in rows)
+    second = 0 if one_salt else first
+    labels = np.array([r[1] for r in rows], np.int64)
+    if not first or second == len(rows) or (labels == labels[0]).all():
+        return []
+    both, n, out = common([r[3] for r in rows], first, second), np.array([len(r[3]) for r in rows]), []
+    for i in range(first):
+        near = second + np.flatnonzero(100 * both[i] >= percent * (n[i] + n[second:] - both[i]))
+        joined, which = np.unique(labels[near], return_index=True)
+        if (other := joined != labels[i]).any():
+            out += [(rows[i][0], rows[near[k]][0]) for k in which[other]]
+            labels[np.isin(labels, joined)] = labels[i]
+    return out
+
+
+def _blocks(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles, last, rows = Shingles(), None, []
+
+        def ended() -> pa.RecordBatch:
+            links = _links(rows, last[1] == last[2], percent) if last else []
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+        for batch in batches:
+            for key, lo, hi, lower, i, c, text in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if (key, lo, hi) != last:
+                    yield ended()
+                    last, rows = (key, lo, hi), []
+                rows.append((i, c, lower, shingles(text)))
+        yield ended()
+
+    return run
+
+
 def _sizes_allow(percent: int):
     return 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """pairs (a, b) -> those whose full sets meet the threshold. Each text in a pair is read once more."""
-    wanted = stable(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
+def _texts_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """Texts of the ids, each read once more."""
+    wanted = stable(ids.distinct())
     likely = docs.join(slots(wanted, "doc_id"), slot(F.col("doc_id")) == F.col("__slot"), "left_semi")
-    held = stable(likely.join(wanted, "doc_id"))
+    return stable(likely.join(wanted, "doc_id"))
+
+
+def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """pairs (a, b) -> those whose full sets meet the threshold."""
+    held = _texts_of(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")), docs)
     left = held.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     right = held.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
     joined = pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").sortWithinPartitions("a")
     return joined.mapInArrow(_confirm(percent), "a long, b long")
 
 
-def classes(docs: DataFrame, percent: int = PERCENT, rounds: int = 1) -> DataFrame:
+def _settled(ties: DataFrame, found: DataFrame, pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join whatever the buckets of several components still hold apart.
+
+    ties (key, id, n) are the members of the buckets, found (id, component), pairs (a, b) those compared before.
+    """
+    labels = found.select(F.col("id").alias("i"), "component")
+    labelled = ties.join(labels, F.col("id") == F.col("i"), "left").select("key", "id", "n", F.coalesce("component", "id").alias("c"))
+    mixed = labelled.groupBy(F.col("key").alias("k")).agg(F.min("c").alias("least"), F.max("c").alias("most"), F.count("*").alias("members"), F.sum("n").alias("weight")).filter("least < most")
+    open_ = stable(labelled.join(mixed, F.col("key") == F.col("k")).select("key", "id", "n", "c", "members", "weight"))
+    small = open_.filter(F.col("members") <= SMALL).select("key", "id", "n", "c")
+    other = small.select(F.col("key").alias("k"), F.col("id").alias("b"), F.col("n").alias("m"), F.col("c").alias("d"))
+    apart = small.join(other, (F.col("key") == F.col("k")) & (F.col("id") < F.col("b")) & (F.col("c") != F.col("d")))
+    apart = apart.filter(_sizes_allow(percent)).select(F.col("id").alias("a"), "b").distinct()
+    links = stable(_confirmed(stable(apart.join(pairs, ["a", "b"], "left_anti")), docs, percent))
+    large = open_.filter(F.col("members") > SMALL)
+    if large.limit(1).count() == 0:
+        return links
+    salts = F.greatest(F.ceil(F.col("members") / MEMBERS), F.ceil(F.col("weight") / WEIGHT))
+    salted = large.select("key", "id", "c", salts.alias("salts")).distinct().withColumn("salt", F.pmod(F.xxhash64("id", "key"), F.col("salts")))
+    dealt = salted.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)))
+    dealt = dealt.select("key", F.least("salt", "with").alias("lo"), F.greatest("salt", "with").alias("hi"), (F.col("salt") <= F.col("with")).alias("lower"), "id", "c")
+    held = _texts_of(large.select(F.col("id").alias("doc_id")), docs).distinct()
+    rows = dealt.join(held, F.col("id") == F.col("doc_id")).select("key", "lo", "hi", "lower", "id", "c", "text")
+    blocks = rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+    return links.union(stable(blocks.mapInArrow(_blocks(percent), "a long, b long")))
+
+
+def classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: a row for each row of docs."""
     source = texts(docs)
     scanned = stable(source.mapInArrow(_scan, "doc_id long, n long, digest binary, bands binary"))
@@ -162,33 +253,17 @@ def classes(docs: DataFrame, percent: int = PERCENT, rounds: int = 1) -> DataFra
         F.min(F.struct(F.xxhash64("key", "id").alias("h"), "id", "n")).alias("drawn"),
         F.max("id").alias("high"),
     ).filter(F.col("low.id") < F.col("high"))
-    ties = keys.join(stars.withColumnRenamed("key", "k"), F.col("key") == F.col("k"))
-
-    def pairs_of(ties: DataFrame, leaders: list) -> DataFrame:
-        tied = ties.select("id", "n", F.explode(F.array(*leaders)).alias("lead")).filter("lead.id <> id")
-        tied = tied.select(F.least("id", "lead.id").alias("a"), F.greatest("id", "lead.id").alias("b"), "n", F.col("lead.n").alias("m"))
-        return tied.filter(_sizes_allow(percent)).select("a", "b").distinct()
-
-    pairs = stable(pairs_of(ties, [F.col("low"), F.struct("drawn.id", "drawn.n")]))
+    ties = stable(keys.join(stars.withColumnRenamed("key", "k"), F.col("key") == F.col("k")).select("key", "id", "n", "low", F.struct("drawn.id", "drawn.n").alias("drawn")))
+    tied = ties.select("id", "n", F.explode(F.array("low", "drawn")).alias("lead")).filter("lead.id <> id")
+    tied = tied.select(F.least("id", "lead.id").alias("a"), F.greatest("id", "lead.id").alias("b"), "n", F.col("lead.n").alias("m"))
+    pairs = stable(tied.filter(_sizes_allow(percent)).select("a", "b").distinct())
     same = known.join(firsts, "digest").select(F.col("doc_id").alias("a"), F.col("id").alias("b")).filter("a <> b").distinct()
-    edges = stable(_confirmed(pairs, source.filter("doc_id IS NOT NULL"), percent))
+    named = source.filter("doc_id IS NOT NULL")
+    edges = stable(_confirmed(pairs, named, percent))
     found = components(edges.union(same))
-    for seed in range(rounds):
-        labelled = keys.join(found.withColumnRenamed("id", "i"), F.col("id") == F.col("i"), "left").select("key", "id", "n", F.coalesce("component", "id").alias("c"))
-        mixed = labelled.groupBy("key").agg(
-            F.min(F.struct("c", F.xxhash64("id", "key", F.lit(seed)).alias("h"), "id", "n")).alias("one"),
-            F.max(F.struct("c", F.xxhash64("id", "key", F.lit(seed)).alias("h"), "id", "n")).alias("two"),
-        ).filter(F.col("one.c") < F.col("two.c"))
-        again = labelled.join(mixed.withColumnRenamed("key", "k"), F.col("key") == F.col("k"))
-        lead = lambda name: F.when(F.col(f"{name}.c") != F.col("c"), F.struct(f"{name}.id", f"{name}.n"))
-        more = stable(pairs_of(again, [lead("one"), lead("two")]).join(pairs, ["a", "b"], "left_anti"))
-        if more.limit(1).count() == 0:
-            break
-        gained = stable(_confirmed(more, source.filter("doc_id IS NOT NULL"), percent))
-        if gained.limit(1).count() == 0:
-            break
-        edges, pairs = edges.union(gained), pairs.union(more)
-        found = components(edges.union(same))
+    gained = _settled(ties.select("key", "id", "n"), found, pairs, named, percent)
+    if gained.limit(1).count():
+        found = components(edges.union(gained).union(same))
     found = found.withColumnRenamed("id", "doc_id")
     out = scanned.select("doc_id", "n").join(found, "doc_id", "left")
     component = F.coalesce("component", "doc_id")
