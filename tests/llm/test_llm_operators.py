@@ -268,6 +268,25 @@ def test_toxicity_learns_stems():
     assert scorer(prose(rng, 50) + " grumbozo") > scorer(prose(rng, 50))
 
 
+def test_toxicity_reads_long_words_to_their_end():
+    rng = random.Random(9)
+    rows = []
+    for k in range(300):
+        words = prose(rng, 60).split()
+        if k % 3 == 0:
+            words[20:20] = ["grumbleta", "grumblexo", "grumbleri"]
+        rows.append((" ".join(words), int(k % 3 == 0)))
+    scorer = toxicity.Scorer(*toxicity.train(rows))
+    clean = "".join(prose(rng, 80).split())
+    assert len(clean) > 200
+    toxic = clean + "grumbletagrumblexogrumbleri" + "".join(prose(rng, 20).split())
+    assert scorer(toxic) > 0.5 > scorer(clean)
+    core = toxicity.marked(toxic)
+    pieces = [p[1:] for p in toxicity.units(toxic)]
+    assert all(any(core[i : i + 5] in p for p in pieces) for i in range(len(core) - 4))
+    assert pieces[-1].endswith(">") and toxicity.units("a" * 198) == ["a" * 198] and len(toxicity.units("a" * 199)) > 1
+
+
 def test_toxicity_edges(spark, docs):
     labels = spark.createDataFrame([(i, 1) for i in range(5)] + [(None, 1), (3, None)], "doc_id long, toxic int")
     model = toxicity.fit(docs, labels)

@@ -5,7 +5,9 @@ one table; a run of words has the mean of its words' vectors, which a linear sof
 Table and softmax are trained together in numpy. Only a document is labelled, so a document stands
 by its highest run: after rounds over whole documents, training goes on with the best run of each
 document (multiple-instance learning), and a text's score is the score of its best run. An unseen
-misspelling shares n-gram vectors with the words it comes from.
+misspelling shares n-gram vectors with the words it comes from. A word of over LONG characters with
+its marks (scripts without spaces, joined or encoded runs) is cut into pieces of PIECE characters,
+each a word of a run; they overlap so that every n-gram of the word is in a piece.
 
 Labels come only from rows whose crc32(doc_id as text) mod 3 is not 1, and of those at most
 ``per_class`` of each label by the order of a hash: the bounded sample that the driver trains on. The
@@ -38,12 +40,31 @@ RUN = 8
 PER_CLASS = 1500
 THRESHOLD = 0.7
 CACHE_WORDS = 400_000
+LONG, PIECE = 200, 12
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 
 
+def marked(word: str) -> str:
+    return f"<{_EDGES.sub('', word.lower()) or word}>"
+
+
+def units(text: str) -> list[str]:
+    """The words of a text, a long one as its pieces, each behind a space, which no word has."""
+    words = text.split()
+    if max(map(len, words), default=0) <= LONG // 2 - 1:  # lower() doubles a length at most
+        return words
+    out, step = [], PIECE - max(GRAMS) + 1
+    for w in words:
+        if len(core := marked(w)) <= LONG:
+            out.append(w)
+        else:
+            out += [f" {core[i : i + PIECE]}" for i in range(0, len(core) - PIECE + step, step)]
+    return out
+
+
 def buckets(word: str) -> list[int]:
-    """Buckets of a word's n-grams and of the word itself; a word without letters or digits keeps its signs."""
-    core = f"<{_EDGES.sub('', word.lower()) or word}>"[:200]
+    """Buckets of a word's (or piece's) n-grams and of itself; a word without letters or digits keeps its signs."""
+    core = word[1:] if word[0] == " " else marked(word)
     crc, m = zlib.crc32, len(core)
     if core.isascii():
         flat = core.encode()
@@ -62,7 +83,7 @@ class Bags:
 
     def words(self, text: str) -> np.ndarray:
         out = []
-        for w in text.split():
+        for w in units(text):
             if (k := self.number.get(w)) is None:
                 k = self.number[w] = len(self.grams)
                 self.grams.append(np.array(buckets(w), np.int32))
@@ -144,7 +165,7 @@ class Scorer:
         self.numbers, self.bias, self.known = numbers.tolist(), bias, {}
 
     def __call__(self, text: str) -> float:
-        words, known, numbers = text.split(), self.known, self.numbers
+        words, known, numbers = units(text), self.known, self.numbers
         if not words:
             return float(1 / (1 + np.exp(-self.bias)))
         try:
