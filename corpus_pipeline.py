@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from tidemill.llm import mixing, near_dedup, packing, suffix_dedup, toxicity
 from tidemill.llm.common import slot, slots, stable, table
 
+#: Similarity in percent from which documents are near duplicates of a stage; op9's query has its own.
+NEAR_PERCENT = 80
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier calls toxic go; it is trained on the labelled rows of this input."""
@@ -22,7 +25,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest id stays; of rows with one id, that
     with the smallest text. Rows without an id stay. Only documents that may go, or whose id is repeated,
     are shuffled with their texts."""
-    per = stable(near_dedup.classes(docs).filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("c_id")).agg(F.bool_and("kept").alias("kept"), F.count("*").alias("n")))
+    per = stable(near_dedup.classes(docs, NEAR_PERCENT).filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("c_id")).agg(F.bool_and("kept").alias("kept"), F.count("*").alias("n")))
     doubtful = slots(per.filter("NOT kept OR n > 1"), "c_id")
     at = slot(F.col("doc_id").cast("long"))
     sure = docs.join(doubtful, at == F.col("__slot"), "left_anti")

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tidemill.llm import chat, fingerprints, fixity, html, mixing, near_dedup, packing, quality, suffix_dedup, toxicity
 
 DOCS = "doc_id long, text string, source string, c_0 int, words string"
@@ -167,6 +168,21 @@ def test_near_dedup_buckets_are_settled(spark, monkeypatch, small, members):
     assert {r.doc_id: r.component_id for r in near_dedup.classes(docs).collect()} == want
 
 
+def test_pipeline_drops_near_copies_from_four_fifths(spark):
+    words = [f"w{i}" for i in range(204)]
+    far, farther = list(words), list(words)
+    for at in range(20, 200, 45):
+        far[at] = "far"
+    for at in range(10, 200, 20):
+        farther[at] = "farther"
+    sets = [near_dedup.Shingles()(" ".join(x)) for x in (words, far, farther)]
+    alike = [len(np.intersect1d(sets[0], s)) / len(np.union1d(sets[0], s)) for s in sets[1:]]
+    assert 0.8 <= alike[0] < 0.85 and alike[1] < 0.8
+    docs = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate((words, far, farther))], "doc_id long, text string")
+    assert {r.doc_id for r in corpus_pipeline.one_of_each(spark, docs, "").collect()} == {0, 2}
+    assert near_dedup.classes(docs).filter("kept").count() == 3
+
+
 def test_bands_meet_at_the_threshold():
     rng = np.random.default_rng(4)
     for n in (7, 20, 300):
