@@ -18,14 +18,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def stable(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint, in the folder that the cluster names.
 
-    ``spark.checkpoint.dir`` is read from the session; only where it is unset (tests on one
-    machine) a temporary folder takes its place.
+    ``spark.checkpoint.dir`` is read from the session; only where it is unset and the session runs on
+    one machine (tests) a temporary folder takes its place.
     """
-    spark = df.sparkSession
-    jsc = spark.sparkContext._jsc.sc()
-    if jsc.getCheckpointDir().isEmpty():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidemill-"))
+    context = df.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if named is None and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidemill-"))
     return df.checkpoint(eager=True)
 
 
@@ -43,18 +44,34 @@ def n_words(text: Column) -> Column:
     ).cast("long")
 
 
-#: Slots of the filter below, which bound the rows that it broadcasts.
-SLOTS = 1 << 20
+#: Keys of a join that are treated apart: at most so many, the most frequent ones.
+HOT_KEYS = 256
 
 
-def slot(key: Column) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(SLOTS))
+def by_key(left: DataFrame, right: DataFrame, key: str, counts: DataFrame) -> DataFrame:
+    """Inner join of left with right, whose ``key`` is unique, without a task that gathers a frequent key.
 
-
-def slots(ids: DataFrame, key: str) -> DataFrame:
-    """At most SLOTS rows that stand for the ids: what is in none of their slots is surely not among them.
-
-    A filter before a shuffle of texts. It lets more through the more ids there are, and at worst
-    everything, so an exact join follows; its size never grows beyond SLOTS rows of one long.
+    counts (key, n) says how often a key is in left. The HOT_KEYS most frequent keys are joined by
+    broadcast, a table of HOT_KEYS rows at most whatever the input; of the others, none holds more
+    than 1 / HOT_KEYS of the rows of left.
     """
-    return F.broadcast(ids.select(slot(F.col(key)).alias("__slot")).distinct())
+    hot = counts.filter("n > 1").orderBy(F.desc("n"), key).limit(HOT_KEYS).select(F.col(key).alias("hot_key"))
+    hot = F.broadcast(stable(hot))
+    is_hot = F.col(key) == F.col("hot_key")
+    often = left.join(hot, is_hot, "left_semi").join(F.broadcast(right.join(hot, is_hot, "left_semi")), key)
+    return often.unionByName(left.join(hot, is_hot, "left_anti").join(right, key))
+
+
+def private(df: DataFrame, *wanted: str) -> list[str]:
+    """Names like the wanted ones that no column of df has, in any case of letters."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+#: Longest word that a worker's cache of words keeps, so that its entries bound its bytes.
+CACHED_CHARS = 64

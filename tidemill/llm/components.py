@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import stable
+from tidemill.llm.common import by_key, stable
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -22,7 +22,9 @@ def components(edges: DataFrame) -> DataFrame:
         near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
         best = labels.join(near, "id").select("id", F.col("component").alias("old"), F.least("component", "near").alias("mid"))
         jump = labels.select(F.col("id").alias("mid"), F.col("component").alias("far"))
-        moved = stable(best.join(jump, "mid").select("id", "old", F.least("mid", "far").alias("component")))
+        # a large component is one frequent label
+        best = stable(best)
+        moved = stable(by_key(best, jump, "mid", best.groupBy("mid").agg(F.count("*").alias("n"))).select("id", "old", F.least("mid", "far").alias("component")))
         changed = moved.filter("old <> component").limit(1).count()
         labels = moved.select("id", "component")
         if not changed:

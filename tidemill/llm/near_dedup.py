@@ -17,7 +17,8 @@ about 3e-6. Every pair that shares a band is compared or in one component alread
 
 Defined cases: a null or blank text has an empty set and links with nothing; fewer than five words
 are one shingle; a null doc_id links with nothing, has no component and is kept; repeated rows form one
-component; an empty table gives no rows; other columns are ignored.
+component; an empty table gives no rows; other columns are ignored, whatever their names. A text is
+held whole by one task, with eight bytes for each word; nothing is cut from it.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import slot, slots, stable, table, texts
+from tidemill.llm.common import CACHED_CHARS, by_key, stable, table, texts
 from tidemill.llm.components import components
 
 WORDS = 5
@@ -69,10 +70,9 @@ class Shingles:
         except KeyError:
             if len(known) > CACHE_WORDS:
                 known.clear()
-            for x in words:
-                if x not in known:
-                    known[x] = xxhash.xxh64_intdigest(x)
-            w = np.fromiter(map(known.__getitem__, words), np.uint64, n)
+            fresh = {x: xxhash.xxh64_intdigest(x) for x in words if x not in known}
+            w = np.fromiter((known[x] if x in known else fresh[x] for x in words), np.uint64, n)
+            known.update((x, h) for x, h in fresh.items() if len(x) <= CACHED_CHARS)
         m = min(self.words, n)
         h = np.full(n - m + 1, m, np.uint64)
         for k in range(m):
@@ -196,26 +196,18 @@ def _sizes_allow(percent: int):
     return 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
 
 
-def _texts_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
-    """Texts of the ids, each read once more."""
-    wanted = stable(ids.distinct())
-    likely = docs.join(slots(wanted, "doc_id"), slot(F.col("doc_id")) == F.col("__slot"), "left_semi")
-    return stable(likely.join(wanted, "doc_id"))
-
-
-def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """pairs (a, b) -> those whose full sets meet the threshold."""
-    held = _texts_of(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")), docs)
+def _confirmed(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
+    """pairs (a, b) -> those whose full sets meet the threshold; held has the texts (doc_id, text) of both."""
     left = held.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     right = held.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
     joined = pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").sortWithinPartitions("a")
     return joined.mapInArrow(_confirm(percent), "a long, b long")
 
 
-def _settled(ties: DataFrame, found: DataFrame, pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+def _settled(ties: DataFrame, found: DataFrame, pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) that join whatever the buckets of several components still hold apart.
 
-    ties (key, id, n) are the members of the buckets, found (id, component), pairs (a, b) those compared before.
+    ties (key, id, n) are the members of the buckets, found (id, component), pairs (a, b) those compared before, held the texts of all members.
     """
     labels = found.select(F.col("id").alias("i"), "component")
     labelled = ties.join(labels, F.col("id") == F.col("i"), "left").select("key", "id", "n", F.coalesce("component", "id").alias("c"))
@@ -225,7 +217,7 @@ def _settled(ties: DataFrame, found: DataFrame, pairs: DataFrame, docs: DataFram
     other = small.select(F.col("key").alias("k"), F.col("id").alias("b"), F.col("n").alias("m"), F.col("c").alias("d"))
     apart = small.join(other, (F.col("key") == F.col("k")) & (F.col("id") < F.col("b")) & (F.col("c") != F.col("d")))
     apart = apart.filter(_sizes_allow(percent)).select(F.col("id").alias("a"), "b").distinct()
-    links = stable(_confirmed(stable(apart.join(pairs, ["a", "b"], "left_anti")), docs, percent))
+    links = stable(_confirmed(stable(apart.join(pairs, ["a", "b"], "left_anti")), held, percent))
     large = open_.filter(F.col("members") > SMALL)
     if large.limit(1).count() == 0:
         return links
@@ -233,7 +225,6 @@ def _settled(ties: DataFrame, found: DataFrame, pairs: DataFrame, docs: DataFram
     salted = large.select("key", "id", "c", salts.alias("salts")).distinct().withColumn("salt", F.pmod(F.xxhash64("id", "key"), F.col("salts")))
     dealt = salted.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)))
     dealt = dealt.select("key", F.least("salt", "with").alias("lo"), F.greatest("salt", "with").alias("hi"), (F.col("salt") <= F.col("with")).alias("lower"), "id", "c")
-    held = _texts_of(large.select(F.col("id").alias("doc_id")), docs).distinct()
     rows = dealt.join(held, F.col("id") == F.col("doc_id")).select("key", "lo", "hi", "lower", "id", "c", "text")
     blocks = rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
     return links.union(stable(blocks.mapInArrow(_blocks(percent), "a long, b long")))
@@ -244,9 +235,9 @@ def classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     source = texts(docs)
     scanned = stable(source.mapInArrow(_scan, "doc_id long, n long, digest binary, bands binary"))
     known = scanned.filter("doc_id IS NOT NULL AND digest IS NOT NULL")
-    firsts = known.groupBy("digest").agg(F.min("doc_id").alias("id"))
+    firsts = stable(known.groupBy("digest").agg(F.min("doc_id").alias("id"), F.count("*").alias("n")))
     # a repeated doc_id with different texts is several classes under one id; their links are the id's
-    reps = known.join(firsts.withColumnRenamed("digest", "d"), (F.col("doc_id") == F.col("id")) & (F.col("digest") == F.col("d"))).select("id", "n", "bands")
+    reps = known.join(firsts.select(F.col("digest").alias("d"), "id"), (F.col("doc_id") == F.col("id")) & (F.col("digest") == F.col("d"))).select("id", "n", "bands")
     keys = reps.mapInArrow(_unpack, "key long, id long, n long")
     stars = keys.groupBy("key").agg(
         F.min(F.struct("id", "n")).alias("low"),
@@ -257,11 +248,16 @@ def classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     tied = ties.select("id", "n", F.explode(F.array("low", "drawn")).alias("lead")).filter("lead.id <> id")
     tied = tied.select(F.least("id", "lead.id").alias("a"), F.greatest("id", "lead.id").alias("b"), "n", F.col("lead.n").alias("m"))
     pairs = stable(tied.filter(_sizes_allow(percent)).select("a", "b").distinct())
-    same = known.join(firsts, "digest").select(F.col("doc_id").alias("a"), F.col("id").alias("b")).filter("a <> b").distinct()
-    named = source.filter("doc_id IS NOT NULL")
-    edges = stable(_confirmed(pairs, named, percent))
+    # only copies: a set of its own has no one to be tied to
+    copied = firsts.filter("n > 1").select("digest", "id")
+    same = by_key(known.select("digest", "doc_id"), copied, "digest", firsts.select("digest", "n"))
+    same = same.select(F.col("doc_id").alias("a"), F.col("id").alias("b")).filter("a <> b").distinct()
+    # the texts are shuffled once, those of bucket members stay for all that is compared
+    members = stable(ties.select(F.col("id").alias("doc_id")).distinct())
+    held = stable(source.join(members, "doc_id").distinct())
+    edges = stable(_confirmed(pairs, held, percent))
     found = components(edges.union(same))
-    gained = _settled(ties.select("key", "id", "n"), found, pairs, named, percent)
+    gained = _settled(ties.select("key", "id", "n"), found, pairs, held, percent)
     if gained.limit(1).count():
         found = components(edges.union(gained).union(same))
     found = found.withColumnRenamed("id", "doc_id")
