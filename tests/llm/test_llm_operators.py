@@ -68,14 +68,12 @@ def test_word_ids_equal_whole_text():
         assert w(text) == b"".join(i.to_bytes(4, "little") for i in want)
 
 
-def test_suffix_dedup_equals_brute_force(spark, docs, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "BUCKET_BYTES", 3000)
-    rows = [(suffix_dedup.NULL_ID if i is None else i, t.encode()) for i, t in rows_of(docs)]
-    owner = {}
+def without_repeats(rows):
+    """The digests of suffix_dedup.covered by comparing every window."""
+    rows, owner, want = [(suffix_dedup.NULL_ID if i is None else i, t.encode()) for i, t in rows], {}, []
     for i, t in sorted(rows):
         for p in range(len(t) - 49):
             owner.setdefault(t[p : p + 50], i)
-    want = []
     for i, t in rows:
         on = bytearray(len(t))
         for p in range(len(t) - 49):
@@ -84,8 +82,36 @@ def test_suffix_dedup_equals_brute_force(spark, docs, monkeypatch):
         spans = sum(1 for p, o in enumerate(on) if o and not (p and on[p - 1]))
         kept = bytes(c for c, o in zip(t, on, strict=True) if not o)
         want.append((None if i == suffix_dedup.NULL_ID else i, len(t), sum(on), spans, hashlib.sha256(kept).hexdigest()))
-    got = [tuple(r) for r in suffix_dedup.covered(docs).collect()]
-    assert sorted(got, key=str) == sorted(want, key=str)
+    return sorted(want, key=str)
+
+
+@pytest.mark.parametrize(("heavy", "limit", "batch"), [(2000, 1 << 20, 2048), (1, 100, 3)])
+def test_suffix_dedup_equals_brute_force(spark, docs, monkeypatch, heavy, limit, batch):
+    """Also with every shared anchor cut further, and with an index that is often dropped."""
+    for name, value in (("BUCKET_BYTES", 3000), ("HEAVY", heavy), ("LIMIT", limit), ("BATCH", batch)):
+        monkeypatch.setattr(suffix_dedup, name, value)
+    rng = random.Random(8)  # one passage in ever other surroundings: an anchor with many segments
+    core = prose(rng, 14)
+    more = [(100 + k, f"{prose(rng, 12)} {core[: 30 + k % 40]} {prose(rng, 12)} {core}") for k in range(60)]
+    rows = rows_of(docs) + more
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((tuple(r) for r in suffix_dedup.covered(table).collect()), key=str) == without_repeats(rows)
+
+
+def test_suffix_index_of_two_batches(spark, docs, tmp_path, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "BATCH", 16)
+    rows = sorted(rows_of(docs), key=lambda r: -1 if r[0] is None else r[0])
+    want = without_repeats(rows)
+    got, folder = [], str(tmp_path / "index")
+    for part in (rows[:5], rows[5:14], [], rows[14:]):
+        got += [tuple(r) for r in suffix_dedup.extended(spark.createDataFrame(part, "doc_id long, text string"), folder, 4).collect()]
+    assert sorted(got, key=str) == want
+    sizes = {}
+    for r in spark.read.parquet(f"{folder}/generation-3").collect():
+        sizes.setdefault(r["shard"], []).append((r.level, r.size))
+    for levels in sizes.values():
+        n = [s for _, s in sorted(levels)]
+        assert all(a > 2 * b for a, b in zip(n, n[1:]))  # levels of like size have merged
 
 
 def test_suffix_levels_equal_sets():

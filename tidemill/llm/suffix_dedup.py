@@ -4,19 +4,29 @@ A byte goes if a string of WINDOW bytes that covers it also starts in a document
 
 1. Each text is cut into segments: in each window the leftmost smallest hash of K bytes is its
    anchor, and the windows of one anchor are one segment. Equal windows have equal anchors, so only
-   segments with one anchor hash can hold equal windows. Segments equal in whole need no more than
-   their hashes; each bucket of documents sends each distinct one once.
-2. Anchors that several different segments share go on with their bytes. In ascending doc_id,
-   batches of their suffixes (cut to one window) become sorted suffix arrays, are merge-scanned
-   against the levels of the index for matches in smaller documents, and are added; levels of
-   equal size merge, so a suffix is merged a logarithmic number of times. Anchors that more than
-   HEAVY segments share are resolved by one aggregation over their windows instead, which
-   combines before its shuffle and deals one anchor over many tasks.
-3. The answers meet the texts again by bucket, where covered bytes are removed.
+   segments with one anchor hash can hold equal windows. The hash places a segment and decides
+   nothing else; every match is found by comparing bytes.
+2. Buckets of documents ask shards of anchors which of their anchors other documents have too. A
+   bucket has a fixed size, so it sends a bounded number of messages, and their sum is linear.
+3. Segments with a shared anchor go on with their bytes, dealt by anchor. Where one anchor has more
+   than HEAVY segments, its segments are cut further by the second smallest hash of each window, so
+   that a frequent anchor is spread over many tasks.
+4. Of the segments of one key, by ascending doc_id, equal ones stand for each other; the suffixes of
+   the others (cut to one window) come in batches, each a sorted suffix array with the smallest
+   document of each suffix. A batch is merge-scanned against the levels of the index for matches in
+   smaller documents and becomes a level; levels of equal size merge, so a suffix is merged a
+   logarithmic number of times. A task drops its levels between two keys once they hold LIMIT suffixes.
+5. The answers meet the texts again by bucket, where covered bytes are removed.
+
+``covered`` and ``deduplicated`` judge one table and keep no index, so a segment whose anchor nobody
+shares never becomes a suffix. ``extended`` keeps one: its levels lie in a folder, every segment is
+indexed, and each new table is merge-scanned against the levels of those before.
 
 Defined cases: a null text is empty; a text below WINDOW bytes is kept whole; rows with one doc_id
 never match each other; a null doc_id comes before every other id; repeated rows are judged alike; an
-empty table gives no rows; other columns are left out by ``covered`` and kept by ``deduplicated``.
+empty table gives no rows; other columns are left out by ``covered`` and kept by ``deduplicated``,
+whatever their names. A very long text is one row of its bucket and is held whole by one task, with
+about 40 bytes for each of its own.
 """
 
 from __future__ import annotations
@@ -33,17 +43,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tidemill.llm.common import table
+from tidemill.llm.common import stable, table
 
 WINDOW = 50
 K = 20
 #: Bytes of text in a bucket, the unit that one Python call holds, on average.
 BUCKET_BYTES = 4 << 20
-#: Distinct segments of one anchor beyond which its windows are aggregated by Spark, so that a task's
-#: index of one anchor stays small and a hot anchor is dealt over many tasks.
+#: Bytes of text for each task of the index and for each shard of anchors.
+PART_BYTES, SHARD_BYTES = 32 << 20, 64 << 20
+#: Unlike segments of one anchor, summed over the buckets, beyond which they are cut by a second hash.
 HEAVY = 2000
-#: Suffixes in a batch of the index.
-BATCH = 1 << 15
+#: Segments in a batch of the index, and suffixes beyond which a task drops the levels of finished keys.
+BATCH, LIMIT = 1 << 11, 1 << 20
 NULL_ID = -(1 << 63)
 _rng = np.random.default_rng(11)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -70,16 +81,22 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ x >> np.uint64(29)
 
 
+def hashes(data: np.ndarray, k: int = K) -> np.ndarray:
+    """The hash of each string of k bytes."""
+    n = len(data)
+    up, down = Powers.get(n + 1)
+    prefix = np.zeros(n + 1, np.uint64)
+    np.cumsum(_BYTE[data] * up[:n], out=prefix[1:])
+    return _mix((prefix[k:] - prefix[:-k]) * down[: n - k + 1])
+
+
 def segments(data: np.ndarray, window: int = WINDOW, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """first and last window start of each segment, the hash of its anchor, the hash of its bytes."""
+    """first and last window start of each segment, the hash of its anchor, a hash of its two ends."""
     n, w = len(data), window - k + 1
     if n < window:
         empty = np.empty(0, np.int64)
         return empty, empty, empty.astype(np.uint64), empty.astype(np.uint64)
-    up, down = Powers.get(n + 1)
-    prefix = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE[data] * up[:n], out=prefix[1:])
-    h = _mix((prefix[k:] - prefix[:-k]) * down[: n - k + 1])
+    h = hashes(data, k)
     least, size = h, 1
     while size < w:  # smallest of ever wider windows
         step = min(size, w - size)
@@ -89,8 +106,19 @@ def segments(data: np.ndarray, window: int = WINDOW, k: int = K) -> tuple[np.nda
     cut = np.flatnonzero((h[: len(least) - 1] == least[:-1]) | (h[w:] < least[:-1])) + 1
     first = np.concatenate([[0], cut])
     last = np.concatenate([cut, [len(least)]]) - 1
-    whole = _mix((prefix[last + window] - prefix[first]) * down[first] + (last - first).astype(np.uint64))
-    return first, last, least[first], whole
+    return first, last, least[first], _mix(h[first] ^ h[last + w - 1] * np.uint64(3))
+
+
+def finer(data: bytes, anchor: int) -> list[tuple[int, int, int]]:
+    """(first, last, key) of the runs of windows of a segment that have one second smallest hash, the
+    smallest of the others than the anchor's. Equal windows have it in common."""
+    h = hashes(np.frombuffer(data, np.uint8))
+    h = np.where(h == np.uint64(anchor), np.uint64((1 << 64) - 1), h)
+    second = np.lib.stride_tricks.sliding_window_view(h, WINDOW - K + 1).min(1)
+    first = np.concatenate([[0], np.flatnonzero(second[1:] != second[:-1]) + 1])
+    last = np.append(first[1:], len(second)) - 1
+    keys = _mix(second[first] + np.uint64(anchor))
+    return list(zip(first.tolist(), last.tolist(), keys.tolist(), strict=True))
 
 
 class Bucket:
@@ -102,28 +130,52 @@ class Bucket:
         parts = [segments(np.frombuffer(t, np.uint8)) for t in self.texts]
         self.count = np.array([len(p[0]) for p in parts], np.int64)
         join = lambda k, kind: np.concatenate([p[k] for p in parts]) if parts else np.empty(0, kind)
-        self.first, self.last, self.anchor, self.whole = join(0, np.int64), join(1, np.int64), join(2, np.uint64), join(3, np.uint64)
+        self.first, self.last, self.anchor, self.ends = join(0, np.int64), join(1, np.int64), join(2, np.uint64), join(3, np.uint64)
         self.row = np.repeat(np.arange(len(parts)), self.count)
         self.doc = np.array(self.ids, np.int64)[self.row]
-        # entries: each distinct segment once, at its smallest document (rows are in that order)
-        # equal bytes have equal anchors, so the hash of the bytes alone groups them; the sort is stable
-        order = np.argsort(self.whole, kind="stable")
-        s = self.whole[order]
+        # each anchor once, and whether several documents have it
+        order = np.argsort(self.anchor, kind="stable")
+        s, d = self.anchor[order], self.doc[order]
         new = np.ones(len(order), bool)
         new[1:] = s[1:] != s[:-1]
-        lead = order[np.flatnonzero(new)]
-        self.lead = np.empty(len(order), np.int64)
-        self.lead[order] = lead[np.cumsum(new) - 1] if len(order) else order
-        self.entries = np.sort(lead)
+        at = np.flatnonzero(new)
+        self.anchors = s[at]
+        self.several = d[np.append(at[1:], len(s)) - 1] > d[at]  # rows ascend by document
+        self.number = np.empty(len(order), np.int64)
+        self.number[order] = np.cumsum(new) - 1
+
+    def sizes(self) -> np.ndarray:
+        """How many unlike segments each anchor has, as far as their ends tell."""
+        order = np.lexsort((self.ends, self.number))
+        a, e = self.number[order], self.ends[order]
+        new = np.ones(len(a), bool)
+        new[1:] = (a[1:] != a[:-1]) | (e[1:] != e[:-1])
+        return np.bincount(a[new], minlength=len(self.anchors))
 
     def shards(self, n: int) -> list[tuple[int, np.ndarray]]:
-        """(shard, segments sent there), the segments in ascending order."""
-        if not len(self.entries):
+        """(shard, numbers of the anchors sent there), in ascending order."""
+        if not len(self.anchors):
             return []
-        shard = (self.anchor[self.entries] % np.uint64(n)).astype(np.int64)
+        shard = (self.anchors % np.uint64(n)).astype(np.int64)
         order = np.argsort(shard, kind="stable")
         values, at = np.unique(shard[order], return_index=True)
-        return list(zip(values.tolist(), np.split(self.entries[order], at[1:]), strict=True))
+        return list(zip(values.tolist(), np.split(order, at[1:]), strict=True))
+
+    def leads(self, which: np.ndarray) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+        """Of the segments ``which``: those with bytes that none before them has, these bytes, and for each
+        segment the place of the one that stands for it."""
+        seen: dict[bytes, int] = {}
+        lead, own, data = np.empty(len(which), np.int64), [], []
+        texts = self.texts
+        for i, (r, f, e) in enumerate(zip(self.row[which].tolist(), self.first[which].tolist(), (self.last[which] + WINDOW).tolist(), strict=True)):
+            x = texts[r][f:e]
+            k = seen.setdefault(x, len(own))
+            if k == len(own):
+                own.append(i)
+                data.append(x)
+            lead[i] = k
+        own = which[np.array(own, np.int64)] if own else which[:0]
+        return own, data, lead
 
 
 def _bucket(t: pa.Table) -> Bucket:
@@ -131,17 +183,17 @@ def _bucket(t: pa.Table) -> Bucket:
 
 
 def _send(n: int):
-    """Bucket -> for each shard: documents (packed differences), anchor hashes, segment hashes."""
+    """Bucket -> for each shard: 31 bits of each anchor and whether several documents of the bucket have it,
+    then the numbers of segments (255: so many or more)."""
 
     def run(t: pa.Table) -> pa.Table:
         b = _bucket(t)
-        shards, blobs = [], []
+        shards, blobs, size = [], [], b.sizes()
         for shard, which in b.shards(n):
-            doc = zlib.compress(np.diff(b.doc[which], prepend=0).astype("<i8").tobytes(), 1)
-            anchor = (b.anchor[which] >> np.uint64(32)).astype("<u4").tobytes()
-            whole = b.whole[which].astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
+            marks = (b.anchors[which] >> np.uint64(33)).astype(np.uint32) << np.uint32(1) | b.several[which].astype(np.uint32)
+            sizes = zlib.compress(np.minimum(size[which], 255).astype(np.uint8).tobytes(), 1)
             shards.append(shard)
-            blobs.append(len(which).to_bytes(8, "little") + anchor + whole + doc)
+            blobs.append(len(which).to_bytes(8, "little") + marks.astype("<u4").tobytes() + sizes)
         key = t.column("bucket")[0].as_py()
         return pa.table({"bucket": pa.array([key] * len(shards), pa.int64()), "shard": pa.array(shards, pa.int64()), "blob": pa.array(blobs, pa.binary())})
 
@@ -149,59 +201,59 @@ def _send(n: int):
 
 
 def _answer(t: pa.Table) -> pa.Table:
-    """Shard -> for each bucket a status for each segment sent: 1 a smaller document has it whole,
-    2 the anchor has other segments too, 3 so many that Spark aggregates them, 0 nothing to do."""
-    anchors, wholes, docs, sizes = [], [], [], []
+    """Shard -> for each bucket a status for each anchor sent: 1 another document has it too, 2 with
+    many segments, 0 nothing to do. Two anchors with the same 31 bits only cost a needless comparison."""
+    marks, sizes, own = [], [], []
     for blob in t.column("blob").to_pylist():
         n = int.from_bytes(blob[:8], "little")
-        sizes.append(n)
-        anchors.append(np.frombuffer(blob, "<u4", n, 8))
-        six = np.frombuffer(blob, np.uint8, 6 * n, 8 + 4 * n).reshape(-1, 6)
-        wide = np.zeros((n, 8), np.uint8)
-        wide[:, :6] = six
-        wholes.append(wide.view("<u8").ravel())
-        docs.append(np.cumsum(np.frombuffer(zlib.decompress(blob[8 + 10 * n :]), "<i8")))
-    anchor, whole, doc = np.concatenate(anchors), np.concatenate(wholes), np.concatenate(docs)
-    order = np.lexsort((doc, whole, anchor))
-    a, s, d = anchor[order], whole[order], doc[order]
-    group = np.ones(len(a), bool)
-    group[1:] = a[1:] != a[:-1]
-    part = group.copy()
-    part[1:] |= s[1:] != s[:-1]
-    owner = d[np.maximum.accumulate(np.where(part, np.arange(len(a)), 0))]
-    g = np.cumsum(group) - 1
-    kinds = np.bincount(g, part)[g]
-    status = np.zeros(len(a), np.uint8)
-    status[kinds > 1] = 2
-    status[kinds > HEAVY] = 3
-    status[d > owner] = 1
-    out = np.empty(len(a), np.uint8)
-    out[order] = status
-    pieces = np.split(out, np.cumsum(sizes)[:-1])
+        own.append(n)
+        marks.append(np.frombuffer(blob, "<u4", n, 8))
+        sizes.append(np.frombuffer(zlib.decompress(blob[8 + 4 * n :]), np.uint8))
+    mark, size = np.concatenate(marks), np.concatenate(sizes).astype(np.int64)
+    _, place, count = np.unique(mark >> np.uint32(1), return_inverse=True, return_counts=True)
+    shared = count > 1
+    shared[place[(mark & np.uint32(1)) == 1]] = True
+    status = (shared[place] + (shared & (np.bincount(place, size) > HEAVY))[place]).astype(np.uint8)
+    pieces = np.split(status, np.cumsum(own)[:-1])
     return pa.table({"bucket": t.column("bucket"), "shard": t.column("shard"), "status": pa.array([zlib.compress(p.tobytes(), 1) for p in pieces], pa.binary())})
 
 
 def _statuses(b: Bucket, t: pa.Table, n: int) -> np.ndarray:
-    """The status of each entry, by its segment number."""
-    out = np.zeros(len(b.doc), np.uint8)
+    """The status of each segment."""
+    out = np.zeros(len(b.anchors), np.uint8)
     got = dict(zip(t.column("shard").to_pylist(), t.column("status").to_pylist(), strict=True))
     for shard, which in b.shards(n):
         out[which] = np.frombuffer(zlib.decompress(got[shard]), np.uint8)
-    return out
+    return out[b.number]
+
+
+SEGMENTS = "bucket long, segment long, doc long, key long, place long, bytes binary"
+
+
+def _rows(bucket: int, b: Bucket, own: np.ndarray, data: list[bytes], heavy: np.ndarray) -> pa.Table:
+    """SEGMENTS of the segments own; of heavy ones their parts, ``place`` being the part's first window."""
+    key, place, segment, doc = b.anchor[own].view(np.int64), np.zeros(len(own), np.int64), own, b.doc[own]
+    if heavy.any():
+        out = []
+        for i, k, x, many in zip(range(len(own)), b.anchor[own].tolist(), data, heavy.tolist(), strict=True):
+            out += [(i, f, c, x[f : e + WINDOW]) for f, e, c in finer(x, k)] if many else [(i, 0, k, x)]
+        at = np.array([r[0] for r in out], np.int64)
+        key, place = np.array([r[2] for r in out], np.uint64).view(np.int64), np.array([r[1] for r in out], np.int64)
+        segment, doc, data = own[at], b.doc[own][at], [r[3] for r in out]
+    numbers = {"bucket": np.full(len(segment), bucket, np.int64), "segment": segment, "doc": doc, "key": key, "place": place}
+    return pa.table({c: pa.array(v, pa.int64()) for c, v in numbers.items()} | {"bytes": pa.array(data, pa.binary())})
+
 
+def _segments(n: int | None):
+    """Bucket and its answers -> the segments to compare; without shards all of them."""
 
-def _contexts(n: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return pa.table({c: pa.array([], k) for c, k in (("bucket", pa.int64()), ("segment", pa.int64()), ("doc", pa.int64()), ("heavy", pa.bool_()), ("anchor", pa.int64()), ("bytes", pa.binary()))})
+        if not left.num_rows or (n and not right.num_rows):
+            return pa.schema([(c.split()[0], pa.binary() if c.endswith("binary") else pa.int64()) for c in SEGMENTS.split(", ")]).empty_table()
         b = _bucket(left)
-        status = _statuses(b, right, n)
-        which = np.flatnonzero(status >= 2)
-        data = [b.texts[r][f : e + WINDOW] for r, f, e in zip(b.row[which].tolist(), b.first[which].tolist(), b.last[which].tolist(), strict=True)]
-        return pa.table({
-            "bucket": pa.array([left.column("bucket")[0].as_py()] * len(which), pa.int64()), "segment": pa.array(which, pa.int64()), "doc": pa.array(b.doc[which], pa.int64()),
-            "heavy": pa.array(status[which] == 3), "anchor": pa.array(b.anchor[which].view(np.int64), pa.int64()), "bytes": pa.array(data, pa.binary()),
-        })
+        status = _statuses(b, right, n) if n else np.ones(len(b.doc), np.uint8)
+        own, data, _ = b.leads(np.flatnonzero(status))
+        return _rows(left.column("bucket")[0].as_py(), b, own, data, status[own] > 1)
 
     return run
 
@@ -246,54 +298,83 @@ def windows(data: list[bytes], window: int = WINDOW) -> tuple[np.ndarray, np.nda
     return np.ascontiguousarray(view[at]).view(f"S{window}").ravel(), count
 
 
-def _masks(covered: np.ndarray, count: np.ndarray) -> list[int]:
+def _masks(covered: np.ndarray, count: np.ndarray) -> np.ndarray:
     owner = np.repeat(np.arange(len(count)), count)
     place = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    return np.bincount(owner, covered * 2.0**place, len(count)).astype(np.int64).tolist()  # at most 31 places: exact
+    return np.bincount(owner, covered * 2.0**place, len(count)).astype(np.int64)  # at most 31 places: exact
+
+
+class Scanner:
+    """Segments by key and ascending document -> the windows of each that a smaller document holds."""
+
+    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray]] | None = None, keep: bool = False) -> None:
+        self.index, self.keep, self.key, self.seen = SuffixLevels(), keep, None, {}
+        self.index.levels = levels or []
+
+    def __call__(self, key: np.ndarray, doc: np.ndarray, data: list[bytes]) -> np.ndarray:
+        """A mask for each segment. A call ends where a key ends, or within one key."""
+        if not len(key):
+            return np.empty(0, np.int64)
+        if not self.keep and key[0] != self.key and sum(len(x[0]) for x in self.index.levels) > LIMIT:
+            self.index = SuffixLevels()
+        seen = self.seen if key[0] == self.key else {}
+        first = np.array([seen.setdefault(x, d) for x, d in zip(data, doc.tolist(), strict=True)], np.int64)
+        size = np.array([len(x) for x in data], np.int64) - WINDOW + 1
+        out = np.where(first < doc, (1 << size) - 1, 0)
+        # a segment alone with its key meets nobody, unless its key goes on or the index outlives the table
+        alone = np.ones(len(key), bool)
+        same = key[1:] == key[:-1]
+        alone[1:] &= ~same
+        alone[:-1] &= ~same
+        alone &= (key != self.key) & (key != key[-1])
+        which = np.flatnonzero((out == 0) & (~alone | self.keep))
+        if len(which):
+            suffix, count = windows([data[i] for i in which.tolist()])
+            out[which] = _masks(self.index.add(suffix, np.repeat(doc[which], count)), count)
+        last = int(np.flatnonzero(key != key[-1])[-1]) + 1 if (key != key[-1]).any() else 0
+        if key[-1] != self.key:
+            self.key, self.seen = key[-1], {}
+        for x, d in zip(data[last:], first[last:].tolist(), strict=True):
+            self.seen.setdefault(x, d)
+        return out
+
+
+def _answers_of(scanner: Scanner, t: pa.RecordBatch | pa.Table) -> tuple[list[np.ndarray], Scanner]:
+    """bucket, segment, mask of the segments with covered windows."""
+    bucket, segment, doc, key, place = (t.column(c).to_numpy(zero_copy_only=False) if isinstance(t, pa.RecordBatch) else t.column(c).to_numpy() for c in ("bucket", "segment", "doc", "key", "place"))
+    data, masks = t.column("bytes").to_pylist(), np.zeros(len(key), np.int64)
+    for at in range(0, len(key), BATCH):
+        masks[at : at + BATCH] = scanner(key[at : at + BATCH], doc[at : at + BATCH], data[at : at + BATCH])
+    hit = masks != 0
+    return [bucket[hit], segment[hit], (masks << place)[hit]], scanner
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows by ascending document: segments in batches through the index."""
-    index = SuffixLevels()
+    scanner = Scanner()
     for batch in batches:
-        batch = batch.filter(pa.compute.invert(batch.column("heavy")))
-        cols = {c: batch.column(c) for c in ("bucket", "segment", "doc", "bytes")}
-        bucket, segment, masks = [], [], []
-        step = max(1, BATCH // 16)
-        for at in range(0, batch.num_rows, step):
-            part = {c: v.slice(at, step) for c, v in cols.items()}
-            suffix, count = windows(part["bytes"].to_pylist())
-            covered = index.add(suffix, np.repeat(part["doc"].to_numpy(zero_copy_only=False), count))
-            got = _masks(covered, count)
-            keep = [i for i, m in enumerate(got) if m]
-            bucket += [part["bucket"][i].as_py() for i in keep]
-            segment += [part["segment"][i].as_py() for i in keep]
-            masks += [got[i] for i in keep]
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (bucket, segment, masks)], ["bucket", "segment", "mask"])
-
-
-def _spans(b: Bucket, status: np.ndarray, masks: dict[int, int]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each row: (row, starts, ends) of its maximal covered runs."""
-    lead = b.lead
-    whole = (b.doc[lead] < b.doc) | (status[lead] == 1)
-    part = {}
-    if masks:
-        hit = np.isin(lead, np.fromiter(masks, np.int64, len(masks))) & ~whole
-        part = {i: masks[int(lead[i])] for i in np.flatnonzero(hit).tolist()}
+        out, scanner = _answers_of(scanner, batch)
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["bucket", "segment", "mask"])
+
+
+def _spans(b: Bucket, shared: np.ndarray, masks: dict[int, int]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each row: (row, starts, ends) of its maximal covered runs. shared: the segments that were compared."""
+    cover = np.zeros(len(b.doc), np.int64)
+    own, _, lead = b.leads(shared)
+    if len(shared):
+        got = np.array([masks.get(i, 0) for i in own.tolist()], np.int64)[lead]
+        every = (np.int64(1) << (b.last[shared] - b.first[shared] + 1)) - 1
+        cover[shared] = np.where(b.doc[own][lead] < b.doc[shared], every, got)
     at = 0
     for row, n in enumerate(b.count.tolist()):
         mark = np.zeros(len(b.texts[row]) + 1, np.int32)
-        w = at + np.flatnonzero(whole[at : at + n])
-        np.add.at(mark, b.first[w], 1)
-        np.add.at(mark, b.last[w] + WINDOW, -1)
-        if part:
-            for i in range(at, at + n):
-                if m := part.get(i):
-                    f = int(b.first[i])
-                    for o in range(m.bit_length()):
-                        if m >> o & 1:
-                            mark[f + o] += 1
-                            mark[f + o + WINDOW] -= 1
+        part = cover[at : at + n]
+        live = at + np.flatnonzero(part)
+        if len(live):
+            o = np.arange(WINDOW - K + 1)
+            hit = (cover[live][:, None] >> o & 1).astype(bool)
+            start = (b.first[live][:, None] + o)[hit]
+            np.add.at(mark, start, 1)
+            np.add.at(mark, start + WINDOW, -1)
         at += n
         on = np.cumsum(mark[:-1]) > 0
         edge = np.diff(np.concatenate([[False], on, [False]]).astype(np.int8))
@@ -303,20 +384,20 @@ def _spans(b: Bucket, status: np.ndarray, masks: dict[int, int]) -> Iterator[tup
 DIGESTS = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def _finish(n: int, schema: pa.Schema, carried: bool):
+def _finish(n: int | None, schema: pa.Schema, carried: bool):
     """Bucket with its texts and answers -> the digests, or the other columns with the text that stays."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return schema.empty_table()
         b = _bucket(left)
-        status = _statuses(b, right.filter(pa.compute.is_valid(right.column("status"))), n)
+        status = _statuses(b, right.filter(pa.compute.is_valid(right.column("status"))), n) if n else np.ones(len(b.doc), np.uint8)
         found = right.filter(pa.compute.is_valid(right.column("mask")))
         masks: dict[int, int] = {}
         for s, m in zip(found.column("segment").to_pylist(), found.column("mask").to_pylist(), strict=True):
             masks[s] = masks.get(s, 0) | m
         rows, texts = [], []
-        for row, starts, ends in _spans(b, status, masks):
+        for row, starts, ends in _spans(b, np.flatnonzero(status), masks):
             text, at, kept = b.texts[row], 0, []
             for x, y in zip(starts.tolist(), ends.tolist(), strict=True):
                 kept.append(text[at:x])
@@ -335,47 +416,92 @@ def _finish(n: int, schema: pa.Schema, carried: bool):
     return run
 
 
-def _replies(placed: DataFrame, shards: int, parts: int) -> DataFrame:
-    """For each bucket: the statuses of its segments by shard, and the covered places of single segments."""
+def _replies(placed: DataFrame, total: int, shards: int) -> DataFrame:
+    """For each bucket: the statuses of its anchors by shard, and the covered windows of single segments."""
     narrow = placed.select("bucket", "doc", "text")
     sent = narrow.groupBy("bucket").applyInArrow(_send(shards), "bucket long, shard long, blob binary")
     answers = sent.groupBy("shard").applyInArrow(_answer, "bucket long, shard long, status binary")
-    again = narrow.groupBy("bucket").cogroup(answers.groupBy("bucket"))
-    contexts = again.applyInArrow(_contexts(shards), "bucket long, segment long, doc long, heavy boolean, anchor long, bytes binary")
-    # both ways read one exchange; a filter below it would make the contexts twice
-    dealt = contexts.repartition(parts, "anchor", F.when(F.col("heavy"), F.col("segment")))
-    light = dealt.sortWithinPartitions("doc").mapInArrow(_scan, "bucket long, segment long, mask long")
-    places = F.when(F.col("heavy"), F.sequence(F.lit(0), F.octet_length("bytes") - WINDOW))
-    grams = dealt.select("bucket", "segment", "doc", "bytes", F.explode_outer(places).alias("o")).filter("o IS NOT NULL")
-    grams = grams.select("bucket", "segment", "doc", "o", F.substring("bytes", F.col("o") + 1, F.lit(WINDOW)).alias("gram"))
-    owners = grams.groupBy("gram").agg(F.min("doc").alias("owner"), F.max("doc").alias("latest")).filter("owner < latest").select(F.col("gram").alias("g"), "owner")
-    hot = grams.join(owners, (F.col("gram") == F.col("g")) & (F.col("owner") < F.col("doc")))
-    hot = hot.groupBy("bucket", "segment").agg(F.bit_or(F.expr("shiftleft(1L, o)")).alias("mask"))
+    dealt = narrow.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(_segments(shards), SEGMENTS)
+    found = dealt.repartition(_tasks(placed.sparkSession, total), "key").sortWithinPartitions("key", "doc").mapInArrow(_scan, "bucket long, segment long, mask long")
     nothing = lambda kind: F.lit(None).cast(kind)
     return answers.select("bucket", "shard", "status", nothing("long").alias("segment"), nothing("long").alias("mask")).unionByName(
-        light.unionByName(hot).select("bucket", nothing("long").alias("shard"), nothing("binary").alias("status"), "segment", "mask")
+        found.select("bucket", nothing("long").alias("shard"), nothing("binary").alias("status"), "segment", "mask")
     )
 
 
+def _tasks(spark: SparkSession, total: int) -> int:
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_BYTES))
+
+
+def _bytes(docs: DataFrame) -> int:
+    return docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+
+
+def _placed(docs: DataFrame, total: int, carry: list[str]) -> DataFrame:
+    """Texts dealt to buckets by document and text, so that rows without an id spread as well."""
+    text, doc = F.coalesce(F.col("text"), F.lit("")).cast("binary"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))
+    bucket = F.pmod(F.xxhash64(doc, text), F.lit(max(1, -(-total // BUCKET_BYTES))))
+    return docs.select(bucket.alias("bucket"), doc.alias("doc"), text.alias("text"), *[F.col(f"`{c}`").alias(f"c_{k}") for k, c in enumerate(carry)])
+
+
 def _apply(docs: DataFrame, carry: list[str]) -> DataFrame:
     """One plan: the texts are dealt to buckets once, and that exchange is read by each of the three steps."""
-    spark = docs.sparkSession
-    text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-total // BUCKET_BYTES))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shards = max(n, parts)
-    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))
-    placed = docs.select(F.pmod(F.xxhash64(doc), F.lit(n)).alias("bucket"), doc.alias("doc"), text.alias("text"), *[F.col(f"`{c}`").alias(f"c_{k}") for k, c in enumerate(carry)])
+    total = _bytes(docs)
+    shards = max(1, -(-total // SHARD_BYTES), min(64, -(-total // BUCKET_BYTES)))
+    placed = _placed(docs, total, carry)
     if carry:
         kinds = [("text", T.StringType()), *[(f"c_{k}", docs.schema[c].dataType) for k, c in enumerate(carry)]]
     else:
         kinds = [(f.name, f.dataType) for f in T.StructType.fromDDL(DIGESTS)]
     schema = T.StructType([T.StructField(c, k) for c, k in kinds])
-    replies = _replies(placed, shards, parts)
+    replies = _replies(placed, total, shards)
     return placed.groupBy("bucket").cogroup(replies.groupBy("bucket")).applyInArrow(_finish(shards, to_arrow_schema(schema), bool(carry)), schema)
 
 
+LEVELS = "shard long, level int, size long, suffixes binary, docs binary"
+
+
+def _indexed(left: pa.Table, right: pa.Table) -> pa.Table:
+    """A shard's new segments and its levels -> the answers and the levels as they then are."""
+    levels = sorted(zip(*(right.column(c).to_pylist() for c in ("level", "size", "suffixes", "docs")), strict=True)) if right.num_rows else []
+    levels = [(np.frombuffer(s, f"S{WINDOW}"), np.frombuffer(d, np.int64)) for _, n, s, d in levels]
+    shard = (left if left.num_rows else right).column("shard")[0].as_py()
+    order = np.lexsort((left.column("doc").to_numpy(), left.column("key").to_numpy())) if left.num_rows else []
+    (bucket, segment, mask), scanner = _answers_of(Scanner(levels, keep=True), left.take(pa.array(order, pa.int64())))
+    held, n = scanner.index.levels, len(bucket)
+    none = [None] * len(held)
+    return pa.table({
+        "bucket": pa.array([*bucket.tolist(), *none], pa.int64()), "segment": pa.array([*segment.tolist(), *none], pa.int64()), "mask": pa.array([*mask.tolist(), *none], pa.int64()),
+        "shard": pa.array([shard] * (n + len(held)), pa.int64()), "level": pa.array([None] * n + list(range(len(held))), pa.int32()), "size": pa.array([None] * n + [len(s) for s, _ in held], pa.int64()),
+        "suffixes": pa.array([None] * n + [s.tobytes() for s, _ in held], pa.binary()), "docs": pa.array([None] * n + [d.tobytes() for _, d in held], pa.binary()),
+    })
+
+
+def extended(docs: DataFrame, folder: str, shards: int = 64) -> DataFrame:
+    """``covered`` against these documents and all that were added to the index in ``folder`` before; they
+    are added themselves. Documents judged earlier are not judged anew, so ids should ascend.
+
+    ``folder`` is shared by all executors; each call writes one generation of levels there and reads
+    the one before, so a call that fails leaves the index as it was. A task holds the suffixes of one
+    shard, about 60 bytes for each byte of text that falls to it: choose ``shards`` for all that will come.
+    """
+    spark, total = docs.sparkSession, _bytes(docs)
+    placed = _placed(docs, total, [])
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    done = [int(f.getPath().getName().rpartition("-")[2]) for f in (files.listStatus(path) if files.exists(path) else []) if files.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f.getPath(), "_SUCCESS"))]
+    before = max(done, default=-1)
+    levels = spark.read.parquet(f"{folder}/generation-{before}") if done else spark.createDataFrame([], LEVELS)
+    narrow = placed.select("bucket", "doc", "text")
+    dealt = narrow.groupBy("bucket").applyInArrow(lambda t: _segments(None)(t, t), SEGMENTS)
+    dealt = dealt.withColumn("shard", F.pmod("key", F.lit(shards)))
+    both = dealt.groupBy("shard").cogroup(levels.groupBy("shard")).applyInArrow(_indexed, "bucket long, segment long, mask long, " + LEVELS)
+    both = stable(both)
+    both.filter("level IS NOT NULL").select(*[c.split()[0] for c in LEVELS.split(", ")]).write.mode("overwrite").parquet(f"{folder}/generation-{before + 1}")
+    schema = T.StructType.fromDDL(DIGESTS)
+    return placed.groupBy("bucket").cogroup(both.filter("level IS NULL").select("bucket", "segment", "mask").groupBy("bucket")).applyInArrow(_finish(None, to_arrow_schema(schema), False), schema)
+
+
 def covered(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256: a row for each row of docs."""
     return _apply(docs.select("doc_id", "text"), [])
