@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.llm.common import table, texts
@@ -198,19 +198,28 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tuple
     return train([(r.text, int(r.toxic > 0)) for r in rows])
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float = THRESHOLD) -> DataFrame:
-    """docs with ``score`` and ``predicted`` appended; one pass, no shuffle."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
+def scored(docs: DataFrame, model: tuple[np.ndarray, float]) -> Column:
+    """The scores of docs' texts as a column; one pass, no shuffle."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
-    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         scorer = Scorer(*shared.value)
         for batch in batches:
             yield pd.Series([scorer(t or "") for t in batch], dtype="float64")
 
-    out = docs.withColumn("__score", scored(F.coalesce(F.col("text"), F.lit(""))))
-    return out.withColumns({"score": F.col("__score"), "predicted": (F.col("__score") >= threshold).cast("int")}).drop("__score")
+    return run(F.coalesce(F.col("text"), F.lit("")))
+
+
+def score(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, score, predicted."""
+    out = docs.select("doc_id", scored(docs, model).alias("score"))
+    return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def flagged(docs: DataFrame, model: tuple[np.ndarray, float], name: str, threshold: float = THRESHOLD) -> DataFrame:
+    """docs with a column ``name`` that says whether the text is called toxic."""
+    return docs.withColumn(name, scored(docs, model) >= threshold)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -219,4 +228,4 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
-__all__ = ["Scorer", "fit", "held_out", "op10_toxicity", "score", "train"]
+__all__ = ["Scorer", "fit", "flagged", "held_out", "op10_toxicity", "score", "train"]
