@@ -5,36 +5,37 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.llm import mixing, near_dedup, packing, suffix_dedup, toxicity
-from tidemill.llm.common import slot, slots, stable, table
+from tidemill.llm.common import private, stable, table
 
 #: Similarity in percent from which documents are near duplicates of a stage; op9's query has its own.
 NEAR_PERCENT = 80
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier calls toxic go; it is trained on the labelled rows of this input."""
+    """Documents that the classifier calls toxic go; it is trained on the labelled rows of this input.
+
+    The score lies beside the columns of docs under names that none of them has, so columns that
+    are called ``score`` or ``predicted`` come out as they were."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).filter("predicted = 0").select(*docs.columns)
+    (hit,) = private(docs, "judged_toxic")
+    return toxicity.flagged(docs, model, hit).filter(~F.col(hit)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays; of rows with one id, that
-    with the smallest text. Rows without an id stay. Only documents that may go, or whose id is repeated,
-    are shuffled with their texts."""
-    per = stable(near_dedup.classes(docs, NEAR_PERCENT).filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("c_id")).agg(F.bool_and("kept").alias("kept"), F.count("*").alias("n")))
-    doubtful = slots(per.filter("NOT kept OR n > 1"), "c_id")
-    at = slot(F.col("doc_id").cast("long"))
-    sure = docs.join(doubtful, at == F.col("__slot"), "left_anti")
-    rest = docs.filter("doc_id IS NOT NULL").join(doubtful, at == F.col("__slot"), "left_semi").join(per.filter("kept").select("c_id"), F.col("doc_id") == F.col("c_id"), "left_semi")
-    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    rest = rest.withColumn("__place", place).filter("__place = 1").drop("__place")
-    # a null id has a slot of its own hash, which a doubtful id may share
-    nameless = docs.filter("doc_id IS NULL")
-    return sure.filter("doc_id IS NOT NULL").unionByName(rest).unionByName(nameless)
+    """Of each group of near duplicates one document stays, that with the smallest id.
+
+    Ids that repeat or are null do not tell rows apart: then each row has a number of its own, by
+    which the groups are found, so unlike texts under one id all stay and like ones go."""
+    (key,) = private(docs, "row_no")
+    repeated = docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 OR doc_id IS NULL").limit(1).count()
+    rows = stable(docs.withColumn(key, F.monotonically_increasing_id())) if repeated else docs.withColumn(key, F.col("doc_id").cast("long"))
+    found = near_dedup.classes(rows.select(F.col(key).alias("doc_id"), "text"), NEAR_PERCENT)
+    gone = stable(found.filter("NOT kept").select(F.col("doc_id").alias(key)))
+    return rows.join(gone, key, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,10 +62,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over documents; what each returns is written as Parquet in the shared folder and read again."""
+    """The stages over documents; what each returns is written as Parquet in the shared folder and read again.
+
+    The rows of a stage are removed once the next stage has written its own."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    docs, folder = table(spark, sf_dir, "documents"), f"{root}/pipeline-{uuid.uuid4().hex}"
+    docs, folder, last = table(spark, sf_dir, "documents"), f"{root}/pipeline-{uuid.uuid4().hex}", None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if last:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{last}")
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        last = name
     return docs
