@@ -54,7 +54,7 @@ PART_BYTES, SHARD_BYTES = 32 << 20, 64 << 20
 #: Unlike segments of one anchor, summed over the buckets, beyond which they are cut by a second hash.
 HEAVY = 2000
 #: Segments in a batch of the index, and suffixes beyond which a task drops the levels of finished keys.
-BATCH, LIMIT = 1 << 11, 1 << 20
+BATCH, LIMIT = 1 << 11, 1 << 16
 NULL_ID = -(1 << 63)
 _rng = np.random.default_rng(11)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -265,24 +265,27 @@ class SuffixLevels:
         self.levels: list[tuple[np.ndarray, np.ndarray]] = []
 
     @staticmethod
-    def _array(suffix: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _array(suffix: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The sorted array, the smallest document of each suffix, and the place of each given suffix in it."""
         order = np.argsort(suffix, kind="stable")  # two sorted runs merge in one pass
-        suffix, doc = suffix[order], doc[order]
+        sorted_ = suffix[order]
         new = np.ones(len(suffix), bool)
-        new[1:] = suffix[1:] != suffix[:-1]
-        return suffix[new], np.minimum.reduceat(doc, np.flatnonzero(new))
+        new[1:] = sorted_[1:] != sorted_[:-1]
+        place = np.empty(len(suffix), np.int64)
+        place[order] = np.cumsum(new) - 1
+        return sorted_[new], np.minimum.reduceat(doc[order], np.flatnonzero(new)), place
 
     def add(self, suffix: np.ndarray, doc: np.ndarray) -> np.ndarray:
         """Which suffixes a smaller document holds, of this batch or of an earlier one."""
-        own, first = self._array(suffix, doc)
+        own, first, place = self._array(suffix, doc)
         for old, old_doc in self.levels:
             at = np.minimum(np.searchsorted(old, own), len(old) - 1)
             first = np.where(old[at] == own, np.minimum(first, old_doc[at]), first)
-        covered = first[np.searchsorted(own, suffix)] < doc
+        covered = first[place] < doc
         self.levels.append((own, first))
         while len(self.levels) > 1 and len(self.levels[-2][0]) <= 2 * len(self.levels[-1][0]):
             b, a = self.levels.pop(), self.levels.pop()
-            self.levels.append(self._array(np.concatenate([a[0], b[0]]), np.concatenate([a[1], b[1]])))
+            self.levels.append(self._array(np.concatenate([a[0], b[0]]), np.concatenate([a[1], b[1]]))[:2])
         return covered
 
 
