@@ -251,6 +251,41 @@ def test_mixing_meets_targets(spark):
     assert all(abs(r.k - r.t) <= 0.01 * r.t for r in per)
 
 
+def test_mixing_is_the_entropy_optimum(spark):
+    """Against a solver of the same problem over single documents in numpy."""
+    rng = random.Random(5)
+    rows = [(k, f"s{k % 5}", "w " * (rng.randrange(1, 60) ** (1 + k % 3))) for k in range(1500)]
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, text string")).toPandas()
+    tilted = 0
+    for _, g in out.groupby("source"):
+        size, target = g["size"].to_numpy(float), g["target"].iloc[0]
+        if target >= mixing.MOST * size.sum() * (1 - 1e-9):
+            assert (g["copies"] == mixing.MOST).all()
+            continue
+        low, high = -60.0, 60.0
+        for _ in range(200):
+            mid = (low + high) / 2
+            low, high = (mid, high) if (np.minimum(mixing.MOST, np.exp(mid * size / size.mean())) * size).sum() < target else (low, mid)
+        want = np.minimum(mixing.MOST, np.exp(mid * size / size.mean()))
+        assert g["rate"].to_numpy() == pytest.approx(want, abs=2e-6)
+        assert (abs(g["copies"] - g["rate"]) < 1).all() and abs(g["taken"].sum() - target) <= size.max()
+        tilted += g["rate"].nunique() > 5
+    assert tilted >= 2
+
+
+def test_mixing_edge_cases(spark, monkeypatch):
+    """Null ids, one hot size over many salts, columns named like the helpers, a text of a million words."""
+    monkeypatch.setattr(mixing, "SALT_ROWS", 3)
+    rows = [(None if k % 2 else k, "a" if k % 3 else None, "x y" if k < 300 else f"t{k} " * (k % 7), k, k) for k in range(400)] + [(5, "b", "w " * 1_000_000, 1, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string, mix_id int, __id int")
+    out = mixing.mix(df).toPandas()
+    assert len(out) == len(rows) and (out["taken"] <= 3 * out["size"]).all() and out["size"].max() == 1_000_000
+    again = mixing.mix(df.repartition(7)).toPandas()
+    key = ["doc_id", "source", "size", "copies"]
+    assert sorted(map(str, out[key].values.tolist())) == sorted(map(str, again[key].values.tolist()))
+    assert mixing.mixed(df).columns == df.columns
+
+
 @pytest.mark.parametrize("page,want", [
     ("<nav><a href=x>Home</a></nav><article><h1>T &amp; U</h1><p>One\n two<p>Be.</article><footer>f</footer>", "T & U\nOne two\nBe."),
     ("<div class='ad'>buy</div><main><p>" + "long text " * 30 + "</p><aside>side</aside></main>", ("long text " * 30).strip()),
