@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -286,16 +287,61 @@ def test_mixing_edge_cases(spark, monkeypatch):
     assert mixing.mixed(df).columns == df.columns
 
 
+LONG = "word goes here, " * 20 + "end."
+
+
 @pytest.mark.parametrize("page,want", [
     ("<nav><a href=x>Home</a></nav><article><h1>T &amp; U</h1><p>One\n two<p>Be.</article><footer>f</footer>", "T & U\nOne two\nBe."),
-    ("<div class='ad'>buy</div><main><p>" + "long text " * 30 + "</p><aside>side</aside></main>", ("long text " * 30).strip()),
-    ("<div class=content><p>" + "word " * 60 + "</p></div><div id=comments><p>" + "reader says " * 30 + "</p></div>", ("word " * 60).strip()),
+    (f"<div class='ad'>buy</div><main><p>{LONG}</p><aside>side</aside></main>", LONG),
+    (f"<div class=content><p>{LONG}</p></div><div id=comments><p>{LONG}</p></div>", LONG),
     ("", ""), (None, ""), ("<p", ""), ("<script>x</script><style>y</style>", ""),
+    # a script that writes a body, and one without an end
+    (f"<article><p>{LONG}</p><script>document.write(\"<body>\"); var secret=1;</script><p>{LONG}</p></article>", f"{LONG}\n{LONG}"),
+    (f"<article><p>{LONG}</p><script>var secret='<p>{LONG}</p>'", LONG),
+    # formulas are text, drawings are not
+    (f"<article><p>{LONG} <math><mi>x</mi><mo>=</mo><mn>2</mn></math> so</p><svg><text>axis</text></svg></article>", f"{LONG} x=2 so"),
+    # tags that never end hide nothing
+    *[(f"<article><{t}><p>{LONG}</p></article>", LONG) for t in ("button", "select", "svg", "object", "noscript", "video")],
+    (f"<head><title>t</title><p>{LONG}", LONG), (f"<head><title>t</title></head><body><article><p>{LONG}</article>", LONG),
+    # a form around a whole page is no form to fill in
+    (f"<body><form><nav><a href=x>a</a></nav><div><p>{LONG}</p><p>{LONG}</p></div></form></body>", f"{LONG}\n{LONG}"),
+    (f"<article><p>{LONG}</p><form><label>Your mail</label><input><p>{LONG[:60]}</p></form></article>", LONG),
+    (f"<article><header><h1>A title</h1></header><p>{LONG}</p></article>", f"A title\n{LONG}"),
+    (f"<article><p>{LONG}</p></article><section class=comments><article class=comment><p>{LONG}</p></article></section>", LONG),
+    (f"<!--> <article><p>{LONG}</p><!-- <p>gone</p> --><!-- never closed <p>gone</p></article>", LONG),
 ])
 def test_html(page, want):
     assert html.main_text(page or "") == want
 
 
+def test_html_cut_changes_labels():
+    """Short lines that look like nothing by themselves go with the text around them."""
+    page = f"<div><p>{LONG}</p><div>so it is</div><p>{LONG}</p><div>and yet</div><p>{LONG}</p></div><ul>" + "<li><a href=x>one two</a></li>" * 8 + "</ul>"
+    found, weights = html.blocks(page), np.array(list(html.PRIOR.values()))
+    own, cut = html.odds(found, weights) > 0, html.labels(found, weights)
+    assert [b.text for b, o, c in zip(found, own, cut, strict=True) if o != c] == ["so it is", "and yet"]
+    assert html.main_text(page) == "\n".join([LONG, "so it is", LONG, "and yet", LONG])
+
+
+def test_html_takes_long_nested_pages():
+    start = time.time()
+    for page in ("<div>x" * 170_000, "<p " * 300_000, "<!" * 300_000, "<a '" * 200_000, "<div>so it is</div><p>go on.</p>" * 40_000):
+        html.main_text(page)
+    assert time.time() - start < 60
+
+
+def test_html_extract(spark):
+    page = f"<nav><a href=x>Home page</a></nav><article><h1>T</h1><p>{LONG}</p></article><footer>foot of it</footer>"
+    rows = [(k, f"u{k}", page, "t", 1.5) for k in range(30)] + [(30, None, None, "t", 1.5), (31, "", "", "t", 1.5), (None, "u", page, "t", 1.5), (7, "u7", page, "t", 1.5), (32, "u", "<div>x" * 100_000, "t", 1.5)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars double")
+    got = {(r.page_id, r.url): r.text for r in html.extract(df).collect()}
+    assert html.extract(df).count() == len(rows) and got[7, "u7"] == got[None, "u"] == f"T\n{LONG}" and got[30, None] == got[31, ""] == ""
+    none = spark.createDataFrame([], df.schema)
+    assert html.extract(none).count() == 0 and html.fit(none).tolist() == list(html.PRIOR.values())
+    weights = html.fit(df)
+    assert weights.tolist() == html.fit(df.repartition(5)).tolist() and weights.tolist() != list(html.PRIOR.values())
+
+
 def test_min_cut_equals_brute_force():
     rng = random.Random(6)
     for _ in range(60):
