@@ -4,6 +4,7 @@ import hashlib
 import random
 import time
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -414,15 +415,188 @@ def test_toxicity_edges(spark, docs):
     labels = spark.createDataFrame([(i, 1) for i in range(5)] + [(None, 1), (3, None)], "doc_id long, toxic int")
     model = toxicity.fit(docs, labels)
     out = toxicity.score(docs, model)
-    assert out.columns[: len(docs.columns)] == docs.columns
+    assert out.columns == ["doc_id", "score", "predicted"]
     assert out.filter("score IS NULL OR score < 0 OR score > 1 OR predicted IS NULL").count() == 0
     assert toxicity.score(empty(spark), toxicity.train([])).count() == 0
 
 
-def test_fixity(spark):
-    a = spark.createDataFrame([(k, f"u{k}", f"<p>{k}") for k in range(300)] + [(5, "u5", "again"), (None, None, None)], "page_id long, url string, html string")
-    assert fixity.audit(a, a).count() == 0
-    b = a.filter("page_id IS NULL OR page_id NOT IN (17, 260)").withColumn("html", F.when(F.col("page_id") == 99, F.lit("bad")).otherwise(F.col("html"))).union(spark.createDataFrame([(900, "n", "new")], a.schema))
-    got = {(r.page_id, r.kind) for r in fixity.audit(a, b).collect()}
-    assert got == {(17, "missing"), (260, "missing"), (99, "changed"), (900, "extra")}
-    assert fixity.audit(a.limit(0), a.limit(0)).count() == 0
+PAGES = "page_id long, url string, html string, digest string, v int"
+
+
+def record_of(url, html):
+    body = (html or "").encode()
+    return b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Target-URI: " + (url or "").encode() + b"\r\nContent-Length: " + str(len(body)).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
+
+
+def test_fixity_finds_the_damage(spark):
+    """Places against a layout in plain Python, kinds against a comparison of all records; ids of either sign, a null id."""
+    rows = [(k * 37 - 9000, f"u{k}", "x" * (k % 301) + "é", "d", 1) for k in range(500)] + [(None, None, None, "d", 1), (9_000_000_000_000, "far", "y" * 200_000, "d", 1)]
+    a = fixity.laid_out(spark.createDataFrame(rows, PAGES))
+    at, place = {}, {}
+    for i, u, h, _, _ in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
+        v = (fixity.NO_ID if i is None else i) >> fixity.VOLUME_BITS
+        place[i] = (v, at.get(v, 0), len(record_of(u, h)))
+        at[v] = at.get(v, 0) + place[i][2]
+    assert {r.page_id: (r.volume, r.offset, r.length) for r in a.collect()} == place
+    changed, moved, missing = {-9000, 9_000_000_000_000, rows[77][0]}, {rows[5][0], rows[300][0]}, {rows[6][0], rows[400][0]}
+    i = F.col("page_id")
+    b = a.filter(i.isNull() | ~i.isin(missing)).withColumns({
+        "html": F.when(i.isin(changed), F.concat(F.lit("!"), F.substring("html", 2, 1 << 20))).otherwise(F.col("html")),
+        "offset": F.when(i == rows[300][0], F.col("offset") + 1_000_000).when(i.isin(moved), F.col("offset") + 1).otherwise(F.col("offset")),
+    })
+    extra = spark.createDataFrame([(-5, "new", "z", 0, 77, 5)], "page_id long, url string, html string, volume long, offset long, length long")
+    want = {(k, kind, *place[k]) for kind, ids in (("changed", changed), ("moved", moved), ("missing", missing)) for k in ids} | {(-5, "extra", 0, 77, 5)}
+    got = [(r.page_id, r.kind, r.volume, r.offset, r.length) for r in fixity.audit(a, b.unionByName(extra)).collect()]
+    assert len(got) == len(want) and set(got) == want
+    assert fixity.audit(a, a.repartition(7)).count() == 0
+
+
+def test_fixity_edges(spark):
+    none = fixity.laid_out(spark.createDataFrame([], PAGES))
+    assert fixity.audit(none, none).count() == 0
+    twice = fixity.laid_out(spark.createDataFrame([(1, "u", "h", "d", 1), (1, "u", "h", "d", 1), (-1, "u", "h", "d", 1)], PAGES))
+    assert twice.count() == 3 and fixity.audit(twice, twice).count() == 0
+    assert [(r.page_id, r.kind) for r in fixity.audit(twice, twice.dropDuplicates()).collect()] == [(1, "changed")]
+    assert {(r.page_id, r.kind) for r in fixity.audit(none, twice).collect()} == {(1, "extra"), (-1, "extra")}
+
+
+def test_packing_buckets(spark, docs, tmp_path):
+    """Each bucket is a folder with its lengths alone and a range of sequence ids; ids do not depend on the split."""
+    pieces = packing.pack(docs, with_ids=True)
+    packing.write_buckets(pieces, str(tmp_path / "buckets"))
+    back = spark.read.parquet(str(tmp_path / "buckets"))
+    rows = back.collect()
+    assert len(rows) == pieces.count() and all(r.length == 1 << r.bucket and len(r.ids) == 4 * r.length for r in rows)
+    ends = [(min(ids), max(ids)) for _, ids in sorted({b: [r.sequence_id for r in rows if r.bucket == b] for b in {r.bucket for r in rows}}.items())]
+    assert len(ends) > 5 and all(a[1] < b[0] for a, b in zip(ends, ends[1:], strict=False))
+    key = lambda rows: sorted((str(r.doc_id), r.start, r.ids_crc32, r.doc_tokens, r.sequence_id) for r in rows)
+    assert key(rows) == key(packing.pack(docs.repartition(9)).collect())
+
+
+def test_word_ids_of_another_tokenizer():
+    import public_tokenizers
+
+    w = packing.WordIds(public_tokenizers.path("byte_bpe_50k.json"))
+    assert not w.by_words and packing.WordIds(public_tokenizers.path("word_bpe_49k.json")).by_words
+    for text in ("Two  words\n and CAPITALS", "", " x"):
+        assert w(text) == b"".join(i.to_bytes(4, "little") for i in w.tokenizer.encode(text, add_special_tokens=False).ids)
+
+
+def test_word_caches_hold_short_words_only():
+    import public_tokenizers
+
+    w, s = packing.WordIds(public_tokenizers.path("word_bpe_49k.json")), near_dedup.Shingles()
+    text = "a " + "b" * 5000 + " " + "é" * 300 + "!" * 300 + " c"
+    assert w(text) == b"".join(i.to_bytes(4, "little") for i in w.tokenizer.encode(text, add_special_tokens=False).ids)
+    assert s(text).tolist() == s(text).tolist() and len(s(text)) == 1
+    assert all(len(x) <= 64 for cache in (w.known, w.letters, s.known) for x in cache)
+
+
+def plain_digest(text):
+    """The quartile digest by its definition, one window after the other."""
+    data, counts = text.encode(), [0] * 128
+    for k in range(len(data) - 4):
+        x = data[k : k + 5]
+        for (a, b, c), m in zip([(0, 1, 2), (0, 1, 3), (0, 2, 3), (0, 1, 4), (0, 2, 4), (0, 3, 4)], [2654435761, 2246822519, 3266489917, 668265263, 374761393, 2869860233], strict=True):
+            counts[((x[a] + (x[b] << 8) + (x[c] << 16)) * m % (1 << 32)) >> 25] += 1
+    q1, q2, q3 = (sorted(counts)[k] for k in (31, 63, 95))
+    codes = [sum(c > q for q in (q1, q2, q3)) for c in counts]
+    body = "".join(f"{sum(codes[k + j] << 2 * j for j in range(4)):02x}" for k in range(0, 128, 4))
+    return f"{min(255, round(8 * np.log2(len(data) + 1))):02x}{15 * q1 // q3 if q3 else 0:x}{15 * q2 // q3 if q3 else 0:x}{body}", codes, (q1, q2, q3), len(data)
+
+
+def test_fingerprints_against_plain_digest():
+    rng = random.Random(12)
+    texts = ["", "a", "abcd", "abcde", "é" * 40, prose(rng, 30), prose(rng, 400), prose(rng, 400) + " tail", "x" * 3000]
+    for a in texts:
+        fa, ca, qa, na = plain_digest(a)
+        assert fingerprints.digest(a) == fa
+        for b in texts:
+            fb, cb, _, nb = plain_digest(b)
+            gaps = [abs(x - y) for x, y in zip(ca, cb, strict=True)]
+            ends = sum(2 * abs(int(fa[i:j], 16) - int(fb[i:j], 16)) for i, j in ((0, 2), (2, 3), (3, 4)))
+            want = 1.0 if fa == fb else max(0.0, 1 - (sum(gaps) + 3 * gaps.count(3) + ends) / fingerprints.FAR)
+            assert fingerprints.likeness(fa, fb) == pytest.approx(want) and fingerprints.likeness(fa, fb) == fingerprints.likeness(fb, fa)
+    near, far = fingerprints.likeness(fingerprints.digest(texts[6]), fingerprints.digest(texts[7])), fingerprints.likeness(fingerprints.digest(texts[6]), fingerprints.digest(prose(rng, 400, 40)))
+    assert near > 0.8 > far
+
+
+def test_toxicity_scores_by_definition():
+    """A score is the best run's mean over its words of the mean over their buckets, squashed."""
+    rng = np.random.default_rng(3)
+    numbers, bias = rng.normal(size=toxicity.BUCKETS).astype(np.float32), -0.3
+    scorer = toxicity.Scorer(numbers, bias)
+    for text in ("", "one", "Two, words!", prose(random.Random(2), 37) + " ÉTÉ --- " + "z" * 450):
+        words = toxicity.units(text)
+        means = [np.mean([float(numbers[b]) for b in toxicity.buckets(w)]) for w in words]
+        runs = [np.mean(means[k : k + toxicity.RUN]) for k in range(0, len(means), toxicity.RUN)] or [0.0]
+        assert scorer(text) == pytest.approx(1 / (1 + np.exp(-(max(runs) + bias))), abs=1e-9)
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.1").exists(), reason="no test tables here")
+def test_toxicity_on_held_out_rows(spark):
+    d = "/root/testdata/sf0.1"
+    out = toxicity.op10_toxicity(spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").filter("held_out")
+    hit, n, wrong, clean = out.agg(F.sum(F.expr("toxic * predicted")), F.sum("toxic"), F.sum(F.expr("(1 - toxic) * predicted")), F.sum(F.expr("1 - toxic"))).first()
+    assert n > 50 and hit >= 0.7 * n and wrong <= 0.03 * clean
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.001").exists(), reason="no test tables here")
+def test_pipeline_on_the_tables(spark):
+    """Each stage against its own input: what stays, what goes, and that other columns come out as they were."""
+    d = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{d}/documents.parquet").withColumns({c: F.col("doc_id") * 2 for c in ("score", "predicted", "judged_toxic", "row_no", "mix_id", "__id")})
+    stages = dict(corpus_pipeline.STAGES)
+    clean = stages["toxicity"](spark, docs, d)
+    assert clean.columns == docs.columns and clean.filter("score <> doc_id * 2 OR predicted <> doc_id * 2 OR judged_toxic <> doc_id * 2").count() == 0
+    gone = {r.doc_id for r in docs.join(clean, "doc_id", "left_anti").collect()}
+    scored = toxicity.score(docs, toxicity.fit(docs, spark.read.parquet(f"{d}/labels.parquet")))
+    assert gone == {r.doc_id for r in scored.filter("predicted = 1").collect()}
+    one = stages["near_dedup"](spark, clean, d)
+    kept = {r.doc_id for r in near_dedup.classes(clean, 80).filter("kept").collect()}
+    assert one.columns == docs.columns and sorted(r.doc_id for r in one.collect()) == sorted(kept)
+    thin = stages["suffix_dedup"](spark, one, d)
+    want = {r[0]: r[4] for r in without_repeats(sorted(rows_of(one)))}
+    assert thin.columns == docs.columns and thin.count() == len(want)
+    whole = {r.doc_id: r.text for r in one.collect()}
+    assert all(hashlib.sha256(r.text.encode()).hexdigest() == want[r.doc_id] for r in thin.collect() if whole[r.doc_id].isascii())
+    mixed = stages["mixing"](spark, thin, d)
+    copies = {r.doc_id: r.copies for r in mixing.mix(thin).collect() if r.copies}
+    counted = {r.doc_id: r["count"] for r in mixed.groupBy("doc_id").count().collect()}
+    assert mixed.columns == docs.columns and counted == copies
+    final = stages["packing"](spark, mixed, d)
+    assert final.agg(F.sum("length")).first()[0] == sum(r.doc_tokens * copies[r.doc_id] for r in packing.pack(thin.filter(F.col("doc_id").isin(*copies))).filter("start = 0").collect())
+
+
+def test_pipeline_run(spark, tmp_path):
+    """run() over small tables with nulls, repeated ids and names of helpers gives the packed pieces of what stays."""
+    rng = random.Random(21)
+    rows = [(k, prose(rng, 80), f"s{k % 3}", 1) for k in range(40)] + [(None, prose(rng, 30), None, 1), (None, None, "s0", 1), (3, prose(rng, 50), "s1", 1), (50, "", "s2", 1), (51, "ab" * 30_000, "s1", 1)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, score int").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, int(k % 4 == 0)) for k in range(0)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert set(out.columns) >= {"doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"}
+    got = out.collect()
+    assert len({r.sequence_id for r in got}) == len(got) and {r.doc_tokens for r in got if r.doc_id == 51} and len({r.doc_tokens for r in got if r.doc_id == 3}) <= 2
+
+
+def test_one_of_each_keeps_unlike_texts_of_one_id(spark):
+    rng = random.Random(31)
+    a, b, c = (prose(rng, 60, 5000) for _ in range(3))
+    rows = [(1, a), (1, b), (1, a), (2, a + " x"), (None, c), (None, c), (None, b), (None, None), (4, None)]
+    got = corpus_pipeline.one_of_each(spark, spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), "").collect()
+    texts = [r.text for r in got]
+    assert sorted(map(str, texts)) == sorted(map(str, [a, b, c, None, None])) or sorted(map(str, texts)) == sorted(map(str, [a + " x", b, c, None, None]))
+
+
+def test_near_dedup_of_many_copies(spark, monkeypatch):
+    """Frequent sets and labels are joined apart; the result is that of the plain joins."""
+    monkeypatch.setattr("tidemill.llm.common.HOT_KEYS", 2)
+    rng = random.Random(41)
+    texts = [prose(rng, 30, 9000) for _ in range(6)]
+    rows = [(k, texts[0] if k % 2 else texts[1 + k % 5]) for k in range(400)]
+    first = {}
+    for i, t in rows:
+        first.setdefault(t, i)
+    got = {r.doc_id: r.component_id for r in near_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: first[t] for i, t in rows}

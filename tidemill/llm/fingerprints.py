@@ -7,8 +7,9 @@ likeness of 0 to 1.
 
 Defined cases: a null text is empty; a text under five bytes has no triplet and gets the digest of
 its length alone; equal texts have equal digests and likeness 1; an empty table gives no rows; a
-single document is its own next one. Rows with one doc_id are ordered by text. Other columns of
-the input are ignored.
+single document is its own next one. Rows with one doc_id (or none, which come first) are ordered by
+a hash of the text and then by the text, so that many of them spread over tasks. Other columns of the input are
+ignored, whatever their names. A very long text is counted in blocks of a million bytes.
 """
 
 from __future__ import annotations
@@ -113,7 +114,8 @@ def with_next(docs: DataFrame) -> DataFrame:
     One range shuffle by doc_id brings neighbours together; only the texts at the borders of the
     partitions (two each) are joined afterwards.
     """
-    ordered = texts(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    hashed = texts(docs).withColumn("tie", F.xxhash64("text"))
+    ordered = hashed.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").drop("tie")
     rows = stable(ordered.mapInArrow(_scan, ROWS))
     heads, tails = (rows.filter(F.col("kind") == k).select("part", "doc_id", "text") for k in (1, 2))
     order = Window.orderBy("part")  # a row for each partition, without its text

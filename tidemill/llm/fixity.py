@@ -1,14 +1,19 @@
 """Merkle fixity audit of WARC replicas.
 
-Each record is hashed where it is read. Records are ordered by id; a record's range of byte offsets
-in its volume follows from the lengths before it. Ranges of FANOUT neighbours are hashed together, level upon
-level, to one root for each replica. The audit compares the roots and then descends: of each level
-only the children of differing nodes are compared, down to the records that are damaged, missing
-or extra.
-
-Defined cases: null url or html is empty; the records of one id (repeated rows) are one leaf, whose
-digest does not depend on their order; a null id is a leaf of its own, in no volume; empty
-replicas agree; other columns are ignored. Nothing but the number of levels depends on the driver.
+``laid_out`` gives each record its place: a volume holds the records of 2**VOLUME_BITS ids in their
+order, and a record's range of byte offsets follows from the lengths before it. A replica is a table
+of records with the places that its own index states. Each record is hashed where it is read; its
+leaf covers volume, offset, length and content. The leaves whose records begin in one range of
+2**RANGE_BITS offsets are hashed together in order, FANOUT ranges make a node of the next level, up to a
+root for each volume, and FANOUT volumes make a node, up to one root for each replica. The audit compares the
+roots and then descends: of each level only the children of differing nodes are compared, down
+to the records that are changed, moved, missing or extra.
+
+Defined cases: null url or html is empty; rows with one id and place (repeated rows) are one leaf,
+whose digest does not depend on their order; a null id is a record like others, in a volume of its
+own; ids may be negative; a replica without places (null volume or offset) has its records in one
+range at the start; empty replicas agree; a very long page is hashed in one task and only its digest is moved;
+other columns are ignored, whatever their names. Nothing but the highest places reaches the driver.
 """
 
 from __future__ import annotations
@@ -18,9 +23,10 @@ from pyspark.sql import functions as F
 
 from tidemill.llm.common import stable, table
 
-#: Bits of the fan-out of the tree, and of the records in a volume.
-FANOUT_BITS, VOLUME_BITS = 4, 12
+#: Bits of the fan-out of the tree, of the ids in a volume, and of the offsets in a leaf's range.
+FANOUT_BITS, VOLUME_BITS, RANGE_BITS = 4, 12, 16
 NO_ID = -(1 << 62)
+PLACE = ("volume", "offset", "length")
 
 
 def record(url: Column, html: Column) -> Column:
@@ -30,60 +36,97 @@ def record(url: Column, html: Column) -> Column:
     return F.concat(head, F.octet_length(body).cast("string"), F.lit("\r\n\r\n"), body, F.lit("\r\n\r\n"))
 
 
-def leaves(pages: DataFrame) -> DataFrame:
-    """id, length, digest, volume, offset: a row for each id. Only digests and lengths are shuffled."""
+def _id() -> Column:
+    return F.coalesce(F.col("page_id").cast("long"), F.lit(NO_ID))
+
+
+def laid_out(pages: DataFrame) -> DataFrame:
+    """page_id, url, html and the place of the record: volume, offset, length.
+
+    Places come from the lengths of the records of an id alone; repeated rows lie one behind the
+    other and are stated at the first one's offset.
+    """
+    size = F.octet_length(record(F.col("url"), F.col("html"))).cast("long")
+    one = pages.select(_id().alias("id"), size.alias("length")).groupBy("id").agg(F.sum("length").alias("length"))
+    before = Window.partitionBy("volume").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
+    placed = one.withColumn("volume", F.shiftright("id", VOLUME_BITS)).withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)))
+    return pages.select("page_id", "url", "html", _id().alias("id")).join(placed.select("id", *PLACE), "id").drop("id")
+
+
+def leaves(replica: DataFrame) -> DataFrame:
+    """id, volume, offset, length, digest: a row for each record. Only digests and places are shuffled."""
     rec = record(F.col("url"), F.col("html"))
-    hashed = pages.select(F.coalesce(F.col("page_id").cast("long"), F.lit(NO_ID)).alias("id"), F.octet_length(rec).cast("long").alias("length"), F.sha2(rec, 256).alias("sha"))
+    hashed = replica.select(_id().alias("id"), F.coalesce("volume", F.lit(0)).cast("long").alias("volume"), F.greatest(F.coalesce("offset", F.lit(0)), F.lit(0)).cast("long").alias("offset"), F.coalesce("length", F.lit(0)).cast("long").alias("length"), F.sha2(rec, 256).alias("sha"))
     part = lambda k: F.sum(F.conv(F.substring("sha", k, 15), 16, 10).cast("decimal(20,0)")).cast("string")
-    one = hashed.groupBy("id").agg(F.sum("length").alias("length"), F.sha2(F.concat_ws(":", F.count("*").cast("string"), *[part(k) for k in (1, 16, 31, 46)]), 256).alias("digest"))
-    before = Window.partitionBy("volume").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
-    return one.withColumn("volume", F.shiftright("id", VOLUME_BITS)).withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)))
+    content = F.sha2(F.concat_ws(":", F.count("*").cast("string"), *[part(k) for k in (1, 16, 31, 46)]), 256)
+    one = hashed.groupBy("id", *PLACE).agg(content.alias("content"))
+    return one.withColumn("digest", F.sha2(F.concat_ws(":", *[F.col(c).cast("string") for c in ("id", *PLACE)], "content"), 256))
+
+
+def _hashed(nodes: DataFrame, order: tuple[str, ...], *by: Column) -> DataFrame:
+    """Nodes of one parent hashed together in their order, each with its place."""
+    line = F.struct(*order, "digest")
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: F.concat_ws(":", *[x[c].cast("string") for c in order], x["digest"])), ",")
+    return nodes.groupBy(*by).agg(F.sha2(joined, 256).alias("digest"))
 
 
-def parents(nodes: DataFrame) -> DataFrame:
-    """The next level: ordered ranges of at most 2**FANOUT_BITS nodes hashed together."""
-    ordered = F.array_sort(F.collect_list(F.struct("id", "digest")))
-    return nodes.groupBy(F.shiftright("id", FANOUT_BITS).alias("id")).agg(
-        F.sha2(F.array_join(F.transform(ordered, lambda x: F.concat(x["id"].cast("string"), F.lit(":"), x["digest"])), ","), 256).alias("digest")
-    )
+def tree(leaf: DataFrame, base: int, range_levels: int, volume_levels: int) -> list[DataFrame]:
+    """The levels above the leaves, from ranges of offsets to the root; ``base`` is the lowest volume."""
+    out = [stable(_hashed(leaf.withColumn("v", F.col("volume") - base), ("offset", "id", "length"), F.col("v"), F.shiftright("offset", RANGE_BITS).alias("k")))]
+    for _ in range(range_levels):
+        out.append(stable(_hashed(out[-1].withColumn("at", F.col("k")), ("at",), F.col("v"), F.shiftright("k", FANOUT_BITS).alias("k"))))
+    for _ in range(volume_levels):
+        out.append(stable(_hashed(out[-1].withColumn("at", F.col("v")), ("at",), F.shiftright("v", FANOUT_BITS).alias("v"), F.col("k"))))
+    return out
 
 
-def differing(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Ids whose digests differ or that one side lacks."""
-    right = b.select(F.col("id").alias("b_id"), F.col("digest").alias("b_digest"))
-    both = a.select("id", "digest").join(right, F.col("id") == F.col("b_id"), "full_outer")
-    return both.filter(~F.col("digest").eqNullSafe(F.col("b_digest"))).select(F.coalesce("id", "b_id").alias("id"))
+def differing(a: DataFrame, b: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Keys whose digests differ or that one side lacks."""
+    right = b.select(*[F.col(c).alias(f"b_{c}") for c in (*keys, "digest")])
+    same = [F.col(c) == F.col(f"b_{c}") for c in keys]
+    both = a.select(*keys, "digest").join(right, same, "full_outer")
+    return both.filter(~F.col("digest").eqNullSafe(F.col("b_digest"))).select(*[F.coalesce(c, f"b_{c}").alias(c) for c in keys])
 
 
 def audit(first: DataFrame, second: DataFrame) -> DataFrame:
-    """page_id, kind (changed, missing, extra), volume, offset and length in the replica that has it."""
-    trees = [[stable(leaves(x))] for x in (first, second)]
-    bounds = trees[0][0].select("id").union(trees[1][0].select("id")).filter(F.col("id") != NO_ID).agg(F.min("id"), F.max("id")).first()
-    low, high = bounds[0] or 0, bounds[1] or 0
-    while low >> FANOUT_BITS * (len(trees[0]) - 1) != high >> FANOUT_BITS * (len(trees[0]) - 1):
-        for tree in trees:
-            tree.append(stable(parents(tree[-1])))
-    bad = differing(trees[0][-1], trees[1][-1])
-    for a, b in zip(trees[0][-2::-1], trees[1][-2::-1], strict=True):
-        up = bad.select(F.col("id").alias("up"))
-        a, b = (x.join(up, F.shiftright("id", FANOUT_BITS) == F.col("up"), "left_semi") for x in (a, b))
-        bad = stable(differing(a, b))
-    one, two = (t[0].select(F.col("id"), F.struct("volume", "offset", "length").alias(n)) for t, n in zip(trees, ("one", "two"), strict=True))
-    found = bad.join(one, "id", "left").join(two, "id", "left")
+    """page_id, kind, volume, offset, length of the records that differ between two replicas.
+
+    kind: changed (other content at its place), moved (its content elsewhere), missing and extra (in
+    the first or the second alone). The place is that in the first replica, of an extra one in the second.
+    """
+    leaf = [stable(leaves(x)) for x in (first, second)]
+    ends = leaf[0].select("volume", "offset").union(leaf[1].select("volume", "offset")).agg(F.min("volume"), F.max("volume"), F.max("offset")).first()
+    base, volumes, ranges = ends[0] or 0, (ends[1] or 0) - (ends[0] or 0), (ends[2] or 0) >> RANGE_BITS
+    levels = [-(-n.bit_length() // FANOUT_BITS) for n in (ranges, volumes)]
+    trees = [tree(x, base, *levels) for x in leaf]
+    bad = differing(trees[0][-1], trees[1][-1], ("v", "k"))
+    for up, (a, b) in enumerate(list(zip(*trees, strict=True))[-2::-1]):
+        of_volume = up < levels[1]
+        parent = [F.shiftright("v", FANOUT_BITS), F.col("k")] if of_volume else [F.col("v"), F.shiftright("k", FANOUT_BITS)]
+        above = bad.select(F.col("v").alias("up_v"), F.col("k").alias("up_k"))
+        a, b = (x.join(above, (parent[0] == F.col("up_v")) & (parent[1] == F.col("up_k")), "left_semi") for x in (a, b))
+        bad = stable(differing(a, b, ("v", "k")))
+    above = bad.select((F.col("v") + base).alias("up_v"), F.col("k").alias("up_k"))
+    held = [x.join(above, (F.col("volume") == F.col("up_v")) & (F.shiftright("offset", RANGE_BITS) == F.col("up_k")), "left_semi") for x in leaf]
+    keys = ("id", *PLACE)
+    wrong = stable(differing(*held, keys))
+    one, two = (x.join(wrong, list(keys), "left_semi").select("id", F.struct(*PLACE).alias(n), F.col("content").alias(f"{n}_content")) for x, n in zip(held, ("one", "two"), strict=True))
+    both = one.join(two, "id", "full_outer")
+    kind = F.when(F.col("two").isNull(), "missing").when(F.col("one").isNull(), "extra").when(F.col("one_content") == F.col("two_content"), "moved").otherwise("changed")
     at = F.coalesce("one", "two")
-    kind = F.when(F.col("two").isNull(), "missing").when(F.col("one").isNull(), "extra").otherwise("changed")
-    page = F.when(F.col("id") != NO_ID, F.col("id"))
-    return found.select(page.alias("page_id"), kind.alias("kind"), F.when(page.isNotNull(), at["volume"]).alias("volume"), at["offset"].alias("offset"), at["length"].alias("length"))
+    return both.select(F.when(F.col("id") != NO_ID, F.col("id")).alias("page_id"), kind.alias("kind"), *[at[c].alias(c) for c in PLACE])
 
 
-def worn(pages: DataFrame) -> DataFrame:
-    """A replica with known damage: of 1,000 records about 20 changed and 5 lost, by a hash of the id."""
+def worn(replica: DataFrame) -> DataFrame:
+    """A replica with known damage: of 1,000 records about 20 overwritten in place, 5 lost, 3 at another offset,
+    by a hash of the id."""
     mark = F.crc32(F.col("page_id").cast("string")) % 1000
-    kept = pages.filter(F.coalesce(~mark.between(500, 504), F.lit(True)))
-    return kept.withColumn("html", F.when(mark < 20, F.concat("html", F.lit("~"))).otherwise(F.col("html")))
+    kept = replica.filter(F.coalesce(~mark.between(500, 504), F.lit(True)))
+    body = F.when(mark < 20, F.concat(F.substring("html", F.lit(1), F.length("html") - 1), F.lit("~"))).otherwise(F.col("html"))
+    return kept.withColumns({"html": body, "offset": F.when(mark.between(800, 802), F.col("offset") + 1).otherwise(F.col("offset"))})
 
 
 def op6_fixity_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole pages table against a replica with known damage."""
-    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
-    return audit(pages, worn(pages))
+    """The whole pages table, laid out in volumes, against a replica with known damage."""
+    replica = laid_out(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return audit(replica, worn(replica))

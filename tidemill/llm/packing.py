@@ -3,30 +3,38 @@
 Each document's token ids are cut into pieces whose lengths are powers of two (the binary
 expansion of its length, largest first, with as many full ``max_len`` pieces as fit). A piece is a
 training sequence of its own: it needs no padding, crosses no document, and pieces of equal length
-form buckets from which a trainer draws batches of one shape.
+form buckets from which a trainer draws batches of one shape. Sequence ids are given out bucket by
+bucket: the highest bits are the bucket's, then come a cell of the bucket, chosen by a hash of the
+piece, and the place in the cell. So they follow from the documents and not from how the input is
+split, one bucket's ids are a range of their own, and no task numbers a bucket alone.
 
 Defined cases: a null or empty text gives the end id alone (one piece of length 1); a repeated row
 is packed again under further sequence ids; an empty table gives no rows; other columns of the
-input are ignored. A null doc_id is kept as it is.
+input are ignored, whatever their names. A null doc_id is kept as it is. A very long text is tokenized
+whole by one task, which holds its ids.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import table, texts
+from tidemill.llm.common import CACHED_CHARS, table, texts
 
 MAX_LEN = 2048
 END_ID = 1
 #: Words whose ids a worker remembers; the cache is emptied beyond it, which only costs time.
 CACHE_WORDS = 700_000
+#: Bits of a sequence id for the cell in a bucket and for the place in a cell.
+CELL_BITS, PLACE_BITS = 20, 36
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, bucket int"
 
 
@@ -37,13 +45,27 @@ _PRINT = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTES = {x: x for x in _PRINT} | {x: 256 + k for k, x in enumerate(x for x in range(256) if x not in set(_PRINT))}
 
 
+#: The steps before the model, a fixed value, for which the ids of a text are those of its words in a row.
+STEPS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+
+
 class WordIds:
     """Ids of white-space separated words as little-endian unsigned 32-bit bytes, remembered by word.
 
     The tokenizer drops white space and no token spans it, so a text's ids are its words' ids in a
     row. Only blank and newline are split at; a word with other white space goes to the tokenizer
     as it stands, which gives the same ids. A word of Latin letters, with signs behind or not, goes
-    to the tokenizer's model at once: its steps before the model lower it and map its bytes.
+    to the tokenizer's model at once: its steps before the model lower it and map its bytes. A
+    tokenizer with other steps than STEPS, or with tokens of its own that hold white space, gets the text as a whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -51,6 +73,9 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            said = json.load(f)
+        self.by_words = all(said.get(k) == v for k, v in STEPS.items()) and not any(re.search(r"\s", t["content"]) or t["lstrip"] or t["rstrip"] or t["single_word"] for t in said["added_tokens"])
         self.model = self.tokenizer.model
         self.known: dict[str, bytes] = {}
         self.letters: dict[str, bytes] = {}
@@ -64,7 +89,9 @@ class WordIds:
             if len(self.letters) > CACHE_WORDS:
                 self.letters.clear()
             ids = [x.id for x in self.model.tokenize(core.encode().decode("latin-1").translate(_BYTES))]
-            got = self.letters[core] = struct.pack(f"<{len(ids)}I", *ids)
+            got = struct.pack(f"<{len(ids)}I", *ids)
+            if len(core) <= CACHED_CHARS:
+                self.letters[core] = got
         return got
 
     def _word(self, word: str) -> bytes:
@@ -75,10 +102,14 @@ class WordIds:
             return self._letters(core.lower())
         signs = word[len(core) :]
         if (tail := self.letters.get(signs)) is None:
-            tail = self.letters[signs] = self._whole(signs)
+            tail = self._whole(signs)
+            if len(signs) <= CACHED_CHARS:
+                self.letters[signs] = tail
         return self._letters(core.lower()) + tail
 
     def __call__(self, text: str) -> bytes:
+        if not self.by_words:
+            return self._whole(text)
         words = text.replace("\n", " ").split(" ")
         known = self.known
         try:
@@ -86,10 +117,11 @@ class WordIds:
         except KeyError:
             if len(known) > CACHE_WORDS:
                 known.clear()
+            long = {}
             for w in words:
                 if w not in known:
-                    known[w] = self._word(w)
-            return b"".join(map(known.__getitem__, words))
+                    (known if len(w) <= CACHED_CHARS else long)[w] = self._word(w)
+            return b"".join([known[w] if w in known else long[w] for w in words])
 
 
 _workers: dict[str, WordIds] = {}
@@ -119,8 +151,8 @@ def cuts(n: int, max_len: int) -> list[tuple[int, int]]:
 def pack(docs: DataFrame, tokenizer: str | None = None, max_len: int = MAX_LEN, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
     """Rows of pieces; ``bucket`` is log2 of the length, ``with_ids`` adds the ids themselves.
 
-    One pass over the scan and no shuffle. Sequence ids number the pieces of each input partition
-    in their order, so a rerun over the same partitions gives the same ids.
+    One pass over the scan, then one shuffle of the pieces, which are a few numbers each (and their
+    ids only if ``with_ids``).
     """
     if tokenizer is None:
         import public_tokenizers
@@ -154,9 +186,15 @@ def pack(docs: DataFrame, tokenizer: str | None = None, max_len: int = MAX_LEN,
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    return texts(docs).mapInArrow(run, schema).select(
-        "*", F.monotonically_increasing_id().alias("sequence_id"), F.lit(0).cast("long").alias("offset")
-    )
+    return numbered(texts(docs).mapInArrow(run, schema))
+
+
+def numbered(pieces: DataFrame) -> DataFrame:
+    """Pieces with their sequence ids, bucket by bucket."""
+    cell = F.shiftrightunsigned(F.xxhash64("doc_id", "start", "ids_crc32"), 64 - CELL_BITS)
+    place = F.row_number().over(Window.partitionBy("bucket", "cell").orderBy("doc_id", "start", "ids_crc32", "doc_tokens")) - 1
+    number = F.shiftleft(F.col("bucket").cast("long"), CELL_BITS + PLACE_BITS) + F.shiftleft("cell", PLACE_BITS) + place
+    return pieces.withColumn("cell", cell).withColumn("sequence_id", number).drop("cell").withColumn("offset", F.lit(0).cast("long"))
 
 
 def write_buckets(pieces: DataFrame, path: str) -> None:

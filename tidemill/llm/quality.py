@@ -1,11 +1,13 @@
 r"""Quality rules: a threshold table compiled into one Spark projection, without user functions.
 
 Measures of a text: words ``[^\x20\x09-\x0D]+``, code points in words, symbols, lines that repeat
-an earlier line, words in three-word windows that occur twice or more, kinds of stop words. The
-rule table bounds ratios of them; a row whose base rule fails is not kept, else the table decides.
+an earlier line, words in three-word windows that occur twice or more (windows are compared by a
+64-bit hash of their words, within one text), stop words in any case of letters. The rule table
+bounds ratios of them; a row whose base rule fails is not kept, else the table decides.
 
 Defined cases: a null or empty text has no words, fails the base rule and has zero for every count;
-repeated rows are judged alike; an empty table gives no rows; other columns are ignored.
+repeated rows are judged alike; an empty table gives no rows; other columns are ignored, whatever
+their names. A very long text is judged whole, in arrays of its words.
 """
 
 from __future__ import annotations
@@ -31,11 +33,9 @@ THRESHOLDS = (
     ("long_words", "word_chars", "n_words", ">", 20.0),
     ("symbols", "n_symbols", "n_words", ">", 0.3),
     ("shouting", "n_marks", "n_words", ">", 0.5),
-    ("few_stop_words", "n_stop_kinds", "one", "<", 2.0),
-    ("repeated_lines", "n_dup_lines", "n_lines", ">", 0.3),
+    ("few_stop_words", "n_stop_words", "n_words", "<", 0.06),
+    ("repeated_lines", "n_dup_lines", "n_lines", ">", 0.5),
 )
-#: A rule on lines speaks only from so many repeated lines on.
-LEAST_DUP_LINES = 5
 MIN_WORDS, MAX_REPEAT = 50, 50
 
 
@@ -64,7 +64,7 @@ def measures(docs: DataFrame) -> DataFrame:
         F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
         F.size("lines").cast("long").alias("n_lines"),
         _count(F.col("text"), "!?").alias("n_marks"),
-        F.size(F.array_intersect("words", F.array(*map(F.lit, dict.fromkeys(STOP_WORDS))))).cast("long").alias("n_stop_kinds"),
+        F.size(F.filter(F.split(F.lower("flat"), " +"), lambda w: w.isin(*dict.fromkeys(STOP_WORDS)))).cast("long").alias("n_stop_words"),
     )
 
 
@@ -74,9 +74,8 @@ def verdicts(measured: DataFrame, thresholds=THRESHOLDS) -> DataFrame:
 
     def broken(rule) -> Column:
         name, what, per, relation, factor = rule
-        bound = F.lit(factor) * (F.lit(1) if per == "one" else F.col(per))
-        out = F.col(what) < bound if relation == "<" else F.col(what) > bound
-        return out & (F.col("n_dup_lines") >= LEAST_DUP_LINES) if what == "n_dup_lines" else out
+        bound = F.lit(factor) * F.col(per)
+        return F.col(what) < bound if relation == "<" else F.col(what) > bound
 
     named = F.array_compact(F.array(*[F.when(broken(r), F.lit(r[0])) for r in thresholds]))
     any_broken = reduce(lambda a, b: a | b, map(broken, thresholds))
@@ -91,8 +90,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _rule_sql(rule) -> str:
     name, what, per, relation, factor = rule
-    out = f"{what} {relation} {factor} * {'1' if per == 'one' else per}"
-    return f"({out} AND n_dup_lines >= {LEAST_DUP_LINES})" if what == "n_dup_lines" else f"({out})"
+    return f"({what} {relation} {factor} * {per})"
 
 
 ORACLE_OP8 = rf"""
@@ -113,7 +111,7 @@ WITH d AS (
     length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
     (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words, len(lines) AS n_lines,
     length(text) - length(regexp_replace(text, '[!?]', '', 'g')) AS n_marks,
-    len(list_intersect(list_distinct(words), [{", ".join(f"'{x}'" for x in dict.fromkeys(STOP_WORDS))}])) AS n_stop_kinds
+    len(list_filter(words, lambda x: lower(x) IN ({", ".join(f"'{x}'" for x in dict.fromkeys(STOP_WORDS))}))) AS n_stop_words
   FROM w LEFT JOIN covered USING (rid)
 ), b AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT} * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,

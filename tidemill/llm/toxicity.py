@@ -5,7 +5,8 @@ one table; a run of words has the mean of its words' vectors, which a linear sof
 Table and softmax are trained together in numpy. Only a document is labelled, so a document stands
 by its highest run: after rounds over whole documents, training goes on with the best run of each
 document (multiple-instance learning), and a text's score is the score of its best run. An unseen
-misspelling shares n-gram vectors with the words it comes from. A word of over LONG characters with
+misspelling shares n-gram vectors with the words it comes from. The bias is set so that the threshold
+cuts best on rows that were left out. A word of over LONG characters with
 its marks (scripts without spaces, joined or encoded runs) is cut into pieces of PIECE characters,
 each a word of a run; they overlap so that every n-gram of the word is in a piece.
 
@@ -14,7 +15,7 @@ Labels come only from rows whose crc32(doc_id as text) mod 3 is not 1, and of th
 trained table reaches the executors as one number for each bucket (BUCKETS floats, a fixed size).
 
 Defined cases: a null or empty text has no run and scores as the bias alone; with one label or none
-in the sample every text scores the share of toxic labels or 0; a null doc_id is not held out and
+in the sample every text scores the share of toxic labels or 0; a very long text is scored whole; a null doc_id is not held out and
 not labelled; repeated rows score alike; of repeated labels the largest holds; an empty table gives no
 rows; other columns are ignored.
 """
@@ -38,6 +39,8 @@ GRAMS = (3, 4, 5)
 #: Words in a run.
 RUN = 8
 PER_CLASS = 1500
+#: Toxic rows that each part needs for the threshold to be set on rows that were not learned.
+LEAST_CALIBRATION = 10
 THRESHOLD = 0.7
 CACHE_WORDS = 400_000
 LONG, PIECE = 200, 12
@@ -160,14 +163,38 @@ def train(rows: list[tuple[str, int]], seed: int = 0, noisy_rounds: int = 25, be
     return (vectors @ (soft[:, 1] - soft[:, 0])).astype(np.float32), float(bias)
 
 
+def calibrated(rows: list[tuple[str, int]], clean_weight: float = 1.0, threshold: float = THRESHOLD) -> tuple[np.ndarray, float]:
+    """``train`` with a bias for which the threshold is the best cut on rows that were not learned.
+
+    A model that has seen all rows is surer of them than of others. So a third of the rows, chosen by a
+    hash of their text, is first left out, and the cut of the best F1 on it becomes the threshold of
+    the model of all rows. clean_weight says how many clean rows one of the sample stands for.
+    """
+    numbers, bias = train(rows)
+    out = [zlib.crc32(t.encode("utf-8", "surrogatepass")) % 3 == 0 for t, _ in rows]
+    seen, unseen = ([r for r, o in zip(rows, out, strict=True) if o == left] for left in (False, True))
+    if min((sum(y for _, y in part) for part in (seen, unseen)), default=0) < LEAST_CALIBRATION or all(y for _, y in unseen) or all(y for _, y in seen):
+        return numbers, bias
+    scorer = Scorer(*train(seen))
+    z = sorted(((scorer.logit(t), y) for t, y in unseen), reverse=True)
+    y = np.array([b for _, b in z], float)
+    hits, wrong = np.cumsum(y), np.cumsum(1 - y) * clean_weight
+    best = int(np.argmax(2 * hits / (hits + wrong + y.sum())))
+    cut = (z[best][0] + z[min(best + 1, len(z) - 1)][0]) / 2
+    return numbers, float(bias + np.log(threshold / (1 - threshold)) - cut)
+
+
 class Scorer:
     def __init__(self, numbers: np.ndarray, bias: float) -> None:
         self.numbers, self.bias, self.known = numbers.tolist(), bias, {}
 
     def __call__(self, text: str) -> float:
+        return float(1 / (1 + np.exp(-np.clip(self.logit(text), -50, 50))))
+
+    def logit(self, text: str) -> float:
         words, known, numbers = units(text), self.known, self.numbers
         if not words:
-            return float(1 / (1 + np.exp(-self.bias)))
+            return self.bias
         try:
             v = np.fromiter(map(known.__getitem__, words), np.float64, len(words))
         except KeyError:
@@ -180,7 +207,7 @@ class Scorer:
             v = np.fromiter(map(known.__getitem__, words), np.float64, len(words))
         at = np.arange(0, len(v), RUN)
         mean = np.add.reduceat(v, at) / np.diff(np.append(at, len(v)))
-        return float(1 / (1 + np.exp(-np.clip(mean.max() + self.bias, -50, 50))))
+        return float(mean.max()) + self.bias
 
 
 def held_out(key):
@@ -195,7 +222,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tuple
     picked = [named.filter(c).orderBy(mark, "doc_id").limit(per_class) for c in (F.col("toxic") > 0, F.col("toxic") <= 0)]
     sample = texts(docs).join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id").select("doc_id", "text", "toxic")
     rows = sorted(sample.toLocalIterator(), key=lambda r: (r.doc_id, r.text))
-    return train([(r.text, int(r.toxic > 0)) for r in rows])
+    counted = {bool(r.toxic): r["count"] for r in named.select((F.col("toxic") > 0).alias("toxic")).groupBy("toxic").count().collect()}
+    return calibrated([(r.text, int(r.toxic > 0)) for r in rows], max(1.0, counted.get(False, 0) / per_class) / max(1.0, counted.get(True, 0) / per_class))
 
 
 def scored(docs: DataFrame, model: tuple[np.ndarray, float]) -> Column:
