@@ -40,7 +40,7 @@ BINS, BANDS, ROWS = 256, 42, 6
 PERCENT = 85
 CACHE_WORDS = 400_000
 #: Members of a bucket whose pairs are rows; members and shingles for each salt of a larger one; columns of a matrix.
-SMALL, MEMBERS, WEIGHT, COLUMNS = 16, 2048, 1 << 21, 2048
+SMALL, MEMBERS, WEIGHT, COLUMNS = 16, 1024, 1 << 20, 1024
 _M1, _M2, _STEP = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(0x9E3779B97F4A7C15)
 _rng = np.random.default_rng(7)
 _ORDER = np.argsort(_rng.random((BINS, BINS)), axis=1).astype(np.int64)
@@ -146,12 +146,12 @@ def common(sets: list[np.ndarray], first: int, second: int) -> np.ndarray:
     at, column = at[shared], number[column[shared]]
     order = np.argsort(column, kind="stable")
     at, column = at[order], column[order]
-    out = np.zeros((first, len(sets) - second), np.int64)
+    out = np.zeros((first, len(sets) - second), np.int32)
     for k in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
         part = slice(*np.searchsorted(column, (k, k + COLUMNS)))
         x = np.zeros((len(sets), COLUMNS), np.float32)
         x[at[part], column[part] - k] = 1
-        out += (x[:first] @ x[second:].T).astype(np.int64)
+        out += (x[:first] @ x[second:].T).astype(np.int32)
     return out
 
 
@@ -165,7 +165,7 @@ def _links(rows: list[tuple[int, int, bool, np.ndarray]], one_salt: bool, percen
         return []
     both, n, out = common([r[3] for r in rows], first, second), np.array([len(r[3]) for r in rows]), []
     for i in range(first):
-        near = second + np.flatnonzero(100 * both[i] >= percent * (n[i] + n[second:] - both[i]))
+        near = second + np.flatnonzero(100 * both[i].astype(np.int64) >= percent * (n[i] + n[second:] - both[i]))
         joined, which = np.unique(labels[near], return_index=True)
         if (other := joined != labels[i]).any():
             out += [(rows[i][0], rows[near[k]][0]) for k in which[other]]
@@ -182,11 +182,11 @@ def _blocks(percent: int):
             return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
 
         for batch in batches:
-            for key, lo, hi, lower, i, c, text in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+            for key, lo, hi, lower, i, c, text in zip(*(x.to_pylist() for x in batch.columns[:-1]), batch.columns[-1], strict=True):
                 if (key, lo, hi) != last:
                     yield ended()
                     last, rows = (key, lo, hi), []
-                rows.append((i, c, lower, shingles(text)))
+                rows.append((i, c, lower, shingles(text.as_py())))
         yield ended()
 
     return run

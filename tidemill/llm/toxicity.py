@@ -27,7 +27,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -230,11 +230,11 @@ def scored(docs: DataFrame, model: tuple[np.ndarray, float]) -> Column:
     """The scores of docs' texts as a column; one pass, no shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scorer = Scorer(*shared.value)
-        for batch in batches:
-            yield pd.Series([scorer(t or "") for t in batch], dtype="float64")
+        for batch in batches:  # one text at a time is a Python string
+            yield pa.array([scorer(t.as_py()) for t in batch], pa.float64())
 
     return run(F.coalesce(F.col("text"), F.lit("")))
 
