@@ -129,7 +129,7 @@ def test_load_tasks(spark, tmp_path):
         files.load_tasks(spark, [str(tmp_path / "*.jsonl")])
     assert "b.jsonl:1: not JSON" in str(e.value) and "first at" in str(e.value)
     with pytest.raises(FileNotFoundError):
-        files.expand([str(tmp_path / "*.none")])
+        files.expand(spark, [str(tmp_path / "*.none")])
 
 
 def test_records_round_trip(spark, tmp_path):
@@ -153,7 +153,7 @@ def test_layout(spark):
     assert [r.text for r in layout.soft_hyphens(text, "page", "n").orderBy("n").collect()] == ["softwareshop", "x", "a-", "1"]
 
 
-def test_alternatives(spark):
+def test_resolved_alternatives(spark):
     approved = spark.createDataFrame([(1, "a1", "cut", "v", ["cut", "cutting"]), (2, "a2", "cut", "v", ["cut"]), (3, "a3", "pump", "n", ["pump", "pumps"]), (4, "a4", "pump", "v", ["pump"])], "seq int, id string, word string, pos string, forms array<string>")
     alts = spark.createDataFrame([("cut", "v"), ("pumps", "n"), ("cutting", "adj"), ("cut pump", None), ("pump", "x"), ("none", "n")], "word string, pos string")
     got = {(r.word, r.pos): (r.ref, r.how) for r in lexicon.resolved(alts, approved).collect()}
@@ -240,11 +240,14 @@ def test_report_forms(spark):
 def test_preflight_problems():
     from tidemill.sources import environment
 
-    env = {"rocminfo": "x", "torch_devices": {"available": True}, "packages": {"vllm": "0.29.1"}, "gfx": ["gfx950"]}
-    assert environment.problems(env, "vllm") == []
-    assert environment.problems(env | {"rocminfo": None, "torch_devices": None}, "hf") == ["rocminfo: missing or failed", "torch: cannot be imported"]
-    assert environment.problems(env | {"torch_devices": {"available": False}, "packages": {"vllm": "0.9"}, "gfx": ["gfx908"]}, "vllm") == ["torch: sees no GPU", "vllm 0.9: older than 0.29", "gfx908: not served by vllm, take hf"]
-    assert environment.command("no-such-command") is None and environment.version("no-such-package") is None
+    facts = {"rocm": "Name: gfx950", "gpus": 8, "pkg.vllm": "0.29.1"}
+    assert environment.problems(facts, "vllm") == [] == environment.problems({}, "mock")
+    assert environment.problems(facts | {"rocm": None, "gpus": None}, "hf") == ["rocminfo gives nothing", "torch is not installed"]
+    assert environment.problems(facts | {"gpus": 0, "pkg.vllm": "0.9", "rocm": "gfx908"}, "vllm") == ["torch sees no GPU", "vllm 0.9 is too old", "gfx908 is served by hf only"]
+    assert environment.problems(facts | {"pkg.vllm": None}, "vllm") == ["vllm is not installed"]
+    assert environment.heard("no-such-command") is None and environment.heard("echo hi") == "hi"
+    found = environment.facts()
+    assert found["pkg.pyspark"] and found["host"] and "pkg.torch" in found
 
 
 CHECKER = """
@@ -283,18 +286,18 @@ def test_commands(spark, tmp_path, capsys):
 
     row = {"id": "t1", "kind": "math", "prompt": "Two and two? Answer: n", "answer": 4, "technical_terms": [], "source": "s", "split": "t", "license": "l"}
     (tmp_path / "a.jsonl").write_text(json.dumps(row) + "\n" + json.dumps(row | {"id": "t2", "kind": "writing", "answer": None}) + "\n")
-    assert main(["tasks", "--tasks", f"{tmp_path}/a.jsonl"]) == 0 and capsys.readouterr().out == "math: 1\nwriting: 1\n"
+    assert main(["tasks", "--tasks", f"{tmp_path}/a.jsonl"]) == 0 and capsys.readouterr().out == "math s t: 1\nwriting s t: 1\n"
     assert main(["run", "--tasks", f"{tmp_path}/*.jsonl", "--samples", "2", "--results", str(tmp_path / "out"), "--run-id", "r"]) == 0
     capsys.readouterr()
     assert main(["summarize", f"{tmp_path}/out/r"]) == 0
     said = capsys.readouterr().out.splitlines()
-    assert len(said) == 5 and said[0].startswith("A0: n=4 k=2 accuracy=1.000±0.000")
+    assert len(said) == 5 and said[0].startswith("A0: k=2 n=4 accuracy=1.000±0.000")
     (tmp_path / "said_checker.py").write_text(CHECKER)
     sys.path.insert(0, str(tmp_path))
     spark.sparkContext.addPyFile(str(tmp_path / "said_checker.py"))
     again = ["rescore", f"{tmp_path}/out/r", "--checker", "said_checker:check"]
     for _ in range(2):
-        assert main(again) == 0 and capsys.readouterr().out.splitlines() == said
+        assert main(again) == 0 and [x.split(" ")[:3] for x in capsys.readouterr().out.splitlines()] == [x.split(" ")[:3] for x in said]
         got = spark.read.json(f"{tmp_path}/out/r/rescored").select("task_id", "checker.*").collect()
         assert len(got) == 12 and {(r.status, r.ok, r.findings, r.version) for r in got} == {("checked", False, 1, "t1/1"), ("checked", False, 1, "t2/0")}
     (tmp_path / "a.jsonl").write_text(json.dumps(row) + "\n")

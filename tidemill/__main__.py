@@ -1,23 +1,30 @@
-"""Commands: ``tasks`` validates task files, ``run`` makes a run with canned answers, ``summarize`` prints
-the summary of a run, ``rescore`` checks its records afterwards with a function of the user, ``preflight``
-says what keeps a GPU run from starting."""
+"""Commands: ``tasks`` validates task files, ``run`` makes a run of a back end's answers, ``watermark`` one of
+watermarked token sequences, ``summarize`` prints the summary of a run, ``rescore`` checks its records afterwards with
+a function of the user, ``validate`` compares a text with a lexicon, ``verify`` checks artifacts against each other,
+``preflight`` says what keeps a GPU run from starting."""
 
 from __future__ import annotations
 
 import argparse
 import datetime
-import importlib
 import json
 import pathlib
+import re
 import sys
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.operators import report, rescoring, scoring, stats
-from tidemill.sources import environment, files
+from tidemill.functions import text as X
+from tidemill.operators import compliance, lexicon, prompts, report, rescoring, scoring, stats, verification, watermark
+from tidemill.sources import checkers, environment, files
 
 ARMS = ("A0", "A1", "A2")
+#: What each preset of decoding sets.
+PRESETS = {
+    "thinking": {"temperature": 1.0, "top_p": 0.95, "top_k": 20, "max_new_tokens": 16384, "samples": 3},
+    "greedy": {"temperature": 0.0, "top_p": 1.0, "top_k": 0, "max_new_tokens": 1024, "samples": 1},
+}
 
 
 def positive(text: str) -> int:
@@ -28,36 +35,110 @@ def positive(text: str) -> int:
 
 
 def tasks(spark: SparkSession, args: argparse.Namespace) -> int:
-    for r in files.load_tasks(spark, args.tasks).groupBy("kind").count().orderBy("kind").collect():
-        print(f"{r['kind']}: {r['count']}")
+    counted = files.load_tasks(spark, task_files(spark, args), root=str(pathlib.Path.cwd())).groupBy("kind", "source", "split").count()
+    for r in counted.orderBy("kind", "source", "split").collect():
+        print(f"{r['kind']} {r['source']} {r['split']}: {r['count']}")
     return 0
 
 
+def task_files(spark: SparkSession, args: argparse.Namespace) -> list[str]:
+    """The files that were named, else the default ones."""
+    return args.tasks or files.default_tasks(spark)
+
+
+def decoding(args: argparse.Namespace) -> dict[str, float | int]:
+    """The preset, with every flag that was given in its place."""
+    return {k: v if getattr(args, k, None) is None else getattr(args, k) for k, v in PRESETS[args.decoding].items()}
+
+
 def run(spark: SparkSession, args: argparse.Namespace) -> int:
-    """Every task, arm and sample with the canned answers; other models plug in by ``files.hooked``."""
-    loaded = files.load_tasks(spark, args.tasks)
-    drawn = files.seeded_sample(loaded, ["file_pos", "line_no"], args.limit, args.sample_seed)
-    each = drawn.withColumn("arm", F.explode(F.array(*map(F.lit, args.arms)))).withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(args.samples - 1))))
-    none = {"think_open": "boolean", "draft_truncated": "boolean", "draft_reasoning_tokens": "int", "draft_generated_tokens": "int", "draft_latency_s": "double", "compliance": "double", "nonconforming": "array<string>"}
-    said = files.mock_answers(each).withColumns({k: F.lit(None).cast(v) for k, v in none.items()} | {"truncated": F.lit(False), "latency_s": F.lit(0.0)})
+    """Every task, sample and arm, task by task, then by sample, then by arm as given."""
+    paths, chosen = task_files(spark, args), decoding(args)
+    drawn = files.seeded_sample(files.load_tasks(spark, paths), ["file_pos", "line_no"], args.limit, args.sample_seed)
+    arms = F.posexplode(F.array(*map(F.lit, args.arms))).alias("arm_pos", "arm")
+    each = drawn.withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(chosen["samples"] - 1)))).select("*", arms)
+    words = approved = None
+    if args.lexicon:
+        approved, unapproved = files.read_lexicon(spark, args.lexicon)
+        words = lexicon.id_list(approved) if args.word_list else None
+    answer = checkers.backend(args.backend)
+    flat = lambda d: d.withColumn("prompt", F.array_join(F.transform("messages", lambda m: m["content"]), "\n"))
+    none = {"think_open": "boolean", "draft_truncated": "boolean", "draft_reasoning_tokens": "int", "draft_generated_tokens": "int", "draft_latency_s": "double"}
+    said = answer(flat(prompts.assembled(each, words))).withColumns({k: F.lit(None).cast(v) for k, v in none.items()} | {"truncated": F.lit(False), "latency_s": F.lit(0.0)})
     made = scoring.measured(said).withColumns({"task_id": F.col("id"), "gold_number": F.col("answer_num"), "gold_text": F.col("answer_str")})
-    records = scoring.arm_records(made).withColumns({"model": F.lit(args.model), "backend": F.lit("mock"), "checker": F.struct(F.lit("skipped").alias("status"), F.lit("off").alias("reason"))})
-    name = args.run_id or spark.range(1).select(report.run_id(F.lit("mock"), F.lit(args.model), F.current_timestamp())).first()[0]
+    terms = scoring.allowed_terms(F.col("kind"), F.coalesce("technical_terms", F.array().cast("array<string>")))
+    if approved is not None:
+        rate = compliance.naive(spark, compliance.lexicon_of(compliance.approved_phrases(approved)))
+        made = made.withColumn("c", rate(F.col("final"), terms)).withColumns({"compliance": F.col("c.rate"), "nonconforming": F.col("c.words")})
+    else:
+        made = made.withColumns({"compliance": F.lit(None).cast("double"), "nonconforming": F.lit(None).cast("array<string>")})
+    places = made.select(F.col("id").alias("task_id"), "arm", "sample", "file_pos", "line_no", "arm_pos")
+    records = scoring.arm_records(made).withColumns({"model": F.lit(args.model), "backend": F.lit(args.backend)})
+    if args.checker == "off":
+        records = records.withColumn("checker", F.struct(F.lit("skipped").alias("status"), F.lit("off").alias("reason")))
+    else:
+        asked = made.select(F.concat_ws("/", "id", "arm", F.col("sample").cast("string")).alias("id"), F.col("final").alias("text"), terms.alias("terms"))
+        done = checkers.checker_column(checkers.outcomes(asked, "id", checkers.named(args.checker)))
+        records = records.withColumn("key", F.concat_ws("/", "task_id", "arm", F.col("sample").cast("string"))).join(done.withColumnRenamed("id", "key"), "key").drop("key")
+    ordered = records.join(places, ["task_id", "arm", "sample"]).repartitionByRange("file_pos", "line_no", "sample", "arm_pos").sortWithinPartitions("file_pos", "line_no", "sample", "arm_pos")
+    name = args.run_id or spark.range(1).select(report.run_id(F.lit(args.backend), F.lit(args.model), F.current_timestamp())).first()[0]
     out = f"{args.results}/{name}"
-    files.write_records(records, f"{out}/records")
-    manifest = {"run_id": name, "mode": "arms", "model": args.model, "arms": args.arms, "samples": args.samples, "files": [r.asDict() for r in files.digests(spark, files.expand(args.tasks)).collect()], "environment": environment.captured()}
-    spark.createDataFrame([(json.dumps(manifest),)], "value string").coalesce(1).write.mode("errorifexists").text(f"{out}/manifest")
+    files.write_records(ordered.drop("file_pos", "line_no", "arm_pos"), f"{out}/records")
+    manifest = {"run_id": name, "mode": "arms", "model": args.model, "arms": args.arms, "decoding": chosen, "files": [r.asDict() for r in files.digests(spark, files.expand(spark, paths)).collect()], "environment": environment.facts()}
+    files.write_manifest(spark, manifest, f"{out}/manifest")
     print(out)
     return 0
 
 
+def watermark_(spark: SparkSession, args: argparse.Namespace) -> int:
+    """z of token sequences (task, arm, pos, token) in JSON lines, in full and at the length that a task's arms share."""
+    rows = spark.read.schema("task string, arm string, pos long, token long").json(args.tokens)
+    records = watermark.row_records(rows, watermark.Scheme(args.vocab_size, args.gamma, args.wm_key), "pos")
+    out = f"{args.results}/{args.run_id or 'watermark-' + files.stamp()}"
+    records.write.mode("errorifexists").json(f"{out}/records")
+    files.write_manifest(spark, {"mode": "watermark", "gamma": args.gamma, "key": args.wm_key, "vocab_size": args.vocab_size}, f"{out}/manifest")
+    print(out)
+    return 0
+
+
+def validate(spark: SparkSession, args: argparse.Namespace) -> int:
+    """The words of a text (or of a file, -f) that the lexicon does not approve."""
+    said = "\n".join(r.value for r in spark.read.text(args.file, wholetext=True).collect()) if args.file else " ".join(args.text)
+    phrases = compliance.lexicon_of(compliance.approved_phrases(files.read_lexicon(spark, args.lexicon)[0]))
+    match = compliance.match(spark, phrases)
+    r = spark.createDataFrame([(said,)], "text string").select(X.tokens(F.col("text")).alias("t")).select("t", match(F.col("t")).alias("m")).first()
+    print(f"tokens {len(r.t)}, conforming phrases {len(r.m.conforming)}, other words {len(r.m.nonconforming)}")
+    for w in sorted(set(r.m.nonconforming)):
+        print(f"  {w}")
+    return int(bool(r.m.nonconforming))
+
+
+def verify(spark: SparkSession, args: argparse.Namespace) -> int:
+    """Faults of a lexicon and a rule table; the notes are no faults."""
+    approved, unapproved = files.read_lexicon(spark, args.lexicon)
+    refs = unapproved.select(F.col("word").alias("from_word"), F.explode("alternatives").alias("a")).filter("a.ref IS NOT NULL").select("from_word", F.col("a.ref").alias("ref"))
+    unresolved = unapproved.select("word", F.explode("alternatives").alias("a")).filter("a.unresolved IS NOT NULL").select("word", "a.unresolved")
+    faults = verification.report(dangling=lexicon.dangling(refs, approved), unresolved=unresolved, dead_end=verification.dead_ends(unapproved), repeated=approved.groupBy("id").count().filter("count > 1"))
+    for r in verification.notes(unapproved, approved).orderBy("note", "word", "detail").collect():
+        print(f"note {r.note}: {r.word or ''} {r.detail}")
+    found = faults.orderBy("check", "fault").collect()
+    for r in found:
+        print(f"fault {r.check}: {r.fault}")
+    print(f"{len(found)} faults")
+    return int(bool(found))
+
+
 def latest(spark: SparkSession, run: str) -> DataFrame:
     """The records of a run as they were rescored, or as they were written."""
-    there = pathlib.Path(run, "rescored", "_SUCCESS").exists()
+    there = checkers.exists(spark, f"{run}/rescored/_SUCCESS")
     return files.read_records(spark, f"{run}/rescored" if there else f"{run}/records")
 
 
 def summarize(spark: SparkSession, args: argparse.Namespace) -> int:
+    if files.read_manifest(spark, args.run)["mode"] == "watermark":
+        lines = watermark.summary_lines(spark.read.schema(files.WATERMARK).json(f"{args.run}/records"))
+        print("\n".join(r.line for r in lines.orderBy("line").toLocalIterator()))
+        return 0
     arms = stats.spread(stats.per_sample(latest(spark, args.run)))
     print("\n".join(stats.summary_lines(arms, stats.tax(arms))))
     return 0
@@ -65,27 +146,32 @@ def summarize(spark: SparkSession, args: argparse.Namespace) -> int:
 
 def rescore(spark: SparkSession, args: argparse.Namespace) -> int:
     """Check the records of a finished run whose check was skipped; the task files must be unchanged."""
-    manifest = json.loads(spark.read.text(f"{args.run}/manifest").first()[0])
+    manifest = files.read_manifest(spark, args.run)
     if manifest["mode"] != "arms":
         print("rescore: runs of arms only", file=sys.stderr)
         return 1
     paths = [f["path"].removeprefix("file:") for f in manifest["files"]]
     then = spark.createDataFrame([(f["path"], f["digest"]) for f in manifest["files"]], "path string, digest string")
-    gone = [p for p in paths if not pathlib.Path(p).exists()]
+    gone = [p for p in paths if not checkers.exists(spark, p)]
     if gone or rescoring.changed_files(then, files.digests(spark, paths)).limit(1).count():
         print("rescore: a task file changed since the run", file=sys.stderr)
         return 1
-    module, _, name = args.checker.partition(":")
-    checker = getattr(importlib.import_module(module), name)
+    checker = checkers.named(args.checker)
     # always from the records as written, so that a second rescore gives the same
     rescoring.rescored(files.read_records(spark, f"{args.run}/records"), files.load_tasks(spark, paths), checker).write.mode("overwrite").option("ignoreNullFields", False).json(f"{args.run}/rescored")
     stamp = manifest | {"rescored": {"at": datetime.datetime.now(datetime.UTC).isoformat(), "checker": args.checker}}
-    spark.createDataFrame([(json.dumps(stamp),)], "value string").coalesce(1).write.mode("overwrite").text(f"{args.run}/rescored-manifest")
+    files.write_manifest(spark, stamp, f"{args.run}/rescored-manifest", "overwrite")
     return summarize(spark, args)
 
 
 def preflight(_: None, args: argparse.Namespace) -> int:
-    found = environment.problems(environment.captured(gpu=True), args.backend)
+    """The facts of this machine and what stops a run, also as a JSON file."""
+    facts = environment.facts()
+    found = environment.problems(facts, args.backend)
+    host = re.sub(r"[^A-Za-z0-9.]+", "-", facts["host"]) or "host"
+    out = pathlib.Path(args.out or f"{args.results}/preflight-{host}-{files.stamp()}.json")
+    out.parent.mkdir(parents=True, exist_ok=True)
+    out.write_text(json.dumps({"at": datetime.datetime.now(datetime.UTC).isoformat(), "backend": args.backend, "problems": found, "environment": facts}, indent=1))
     print("\n".join(found) or "ready")
     return int(bool(found))
 
@@ -95,10 +181,10 @@ def parser() -> argparse.ArgumentParser:
     sub = top.add_subparsers(required=True)
 
     def add(f, *with_tasks: str) -> argparse.ArgumentParser:
-        p = sub.add_parser(f.__name__, help=f.__doc__)
+        p = sub.add_parser(f.__name__.rstrip("_"), help=f.__doc__)
         p.set_defaults(func=f)
         if with_tasks:
-            p.add_argument("--tasks", action="append", required=True, metavar="GLOB")
+            p.add_argument("--tasks", action="append", metavar="GLOB", help="default: tasks.jsonl, then tasks/*.jsonl")
         return p
 
     add(tasks, "tasks")
@@ -106,15 +192,38 @@ def parser() -> argparse.ArgumentParser:
     r.add_argument("--limit", type=positive)
     r.add_argument("--sample-seed", type=int, default=0)
     r.add_argument("--arms", nargs="+", choices=ARMS, default=["A0", "A2", "A1"])
-    r.add_argument("--samples", type=positive, default=1)
+    r.add_argument("--decoding", choices=sorted(PRESETS), default="greedy")
+    r.add_argument("--samples", type=positive)
+    r.add_argument("--temperature", type=float)
+    r.add_argument("--top-p", type=float)
+    r.add_argument("--top-k", type=int)
+    r.add_argument("--max-new-tokens", type=positive)
+    r.add_argument("--backend", default="mock", help="a registered back end or MODULE:FUNCTION")
+    r.add_argument("--checker", default="off", help="off or MODULE:FUNCTION of (text, terms)")
+    r.add_argument("--lexicon", metavar="FILE")
+    r.add_argument("--word-list", action="store_true")
     r.add_argument("--model", default="mock")
-    r.add_argument("--results", default="results")
-    r.add_argument("--run-id")
+    w = add(watermark_)
+    w.add_argument("tokens")
+    w.add_argument("--vocab-size", type=positive, required=True)
+    w.add_argument("--gamma", type=float, default=0.25)
+    w.add_argument("--wm-key", type=int, default=0)
+    for p in (r, w):
+        p.add_argument("--results", default="results")
+        p.add_argument("--run-id")
     add(summarize).add_argument("run")
     again = add(rescore)
     again.add_argument("run")
     again.add_argument("--checker", required=True, metavar="MODULE:FUNCTION")
-    add(preflight).add_argument("--backend", choices=["hf", "vllm"], default="vllm")
+    v = add(validate)
+    v.add_argument("text", nargs="*")
+    v.add_argument("-f", "--file")
+    for p in (v, add(verify)):
+        p.add_argument("--lexicon", required=True, metavar="FILE")
+    f = add(preflight)
+    f.add_argument("--backend", choices=["hf", "vllm"], default="vllm")
+    f.add_argument("--results", default="results")
+    f.add_argument("--out")
     return top
 
 

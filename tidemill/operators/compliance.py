@@ -115,13 +115,21 @@ def checked(report: DataFrame, known: Column | None = None, h: Column | None = N
 
 
 def items(report: DataFrame, senses: DataFrame) -> DataFrame:
-    """Reports -> one row for each finding and signal; origin only of words that are not approved.
+    """Reports (id, findings, signals) -> one row for each finding, then each signal; origin only of words that
+    are not approved.
 
     senses: token, approved, names_term, noun. Unknown without a sense; dictionary with an approved
     one; homograph where one names the word as a term, or none is a noun; else dictionary.
     """
-    f = F.explode(F.transform("findings", lambda x: F.struct(F.lit("finding").alias("g"), x.alias("x"))))
-    flat = report.select("id", f.alias("i")).select("id", F.col("i.g").alias("group"), F.col("i.x.kind").alias("kind"), F.lower(F.coalesce("i.x.token", "i.x.mark", F.lit(""))).alias("token"), F.lower(F.coalesce("i.x.headword", F.lit(""))).alias("headword"))
+
+    def named(column: str, group: str) -> Column:
+        fields = {f.name for f in report.schema[column].dataType.elementType.fields}
+        get = lambda x, f: x[f] if f in fields else F.lit(None).cast("string")
+        one = lambda x: F.struct(F.lit(group).alias("group"), x["kind"].alias("kind"), F.lower(F.coalesce(get(x, "token"), get(x, "mark"), F.lit(""))).alias("token"), F.lower(F.coalesce(get(x, "headword"), F.lit(""))).alias("headword"))
+        return F.transform(F.coalesce(column, F.array()), one)
+
+    every = F.concat(named("findings", "finding"), *([named("signals", "signal")] if "signals" in report.columns else []))
+    flat = report.select("id", F.posexplode(every).alias("place", "i")).select("id", "place", "i.*")
     return flat.join(origins(senses), "token", "left").withColumn("origin", F.when(F.col("kind") == "not_approved", F.coalesce("origin", F.lit("unknown"))).otherwise(""))
 
 

@@ -191,6 +191,22 @@ def entries(rows: DataFrame) -> DataFrame:
     )
 
 
+def from_rows(rows: DataFrame) -> DataFrame:
+    """Page rows (book, page, group_no, head, ...) numbered over a book, with heads joined over line-end hyphens.
+
+    A head that ends in a letter and a hyphen takes the next row's head where that starts with a letter; the next row
+    keeps its other cells. Of heads in a row that would each take the next, every second does.
+    """
+    book = Window.partitionBy("book").orderBy("page", "group_no")
+    d = rows.withColumn("seq", F.row_number().over(book).cast("long"))
+    joins = F.coalesce(F.lag("head").over(book).rlike("[A-Za-z]-$") & F.col("head").rlike("^[A-Za-z]"), F.lit(False))
+    d = d.withColumn("joins", joins).withColumn("free", F.max(F.when(~F.col("joins"), F.col("seq"))).over(book.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    d = d.withColumn("taken", F.col("joins") & ((F.col("seq") - F.col("free")) % 2 == 1))
+    d = d.withColumns({"next_head": F.lead("head").over(book), "next_taken": F.coalesce(F.lead("taken").over(book), F.lit(False))})
+    head = F.when(F.col("taken"), "").when(F.col("next_taken"), F.concat(F.regexp_replace("head", "-$", ""), "next_head")).otherwise(F.col("head"))
+    return d.withColumn("head", head).drop("joins", "free", "taken", "next_head", "next_taken")
+
+
 def listed_rules(lines: DataFrame) -> DataFrame:
     """lines (book, page, seq, size, bold, text) of summary pages -> the rules they list.
 

@@ -13,13 +13,27 @@ def gap_groups(rows: DataFrame, by: str, at: Column, gap: float, order: list) ->
     return rows.withColumn("group_no", F.sum(new.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
 
 
-def columns(words: DataFrame, starts: list[float], slack: float = 12.0) -> DataFrame:
-    """page, group_no, column -> text: a word is in the last column whose start is not right of it."""
-    col = F.lit(0)
-    for s in starts[1:]:
-        col = col + (F.col("x") >= s - slack).cast("int")
-    line = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x", "text"))), lambda w: w["text"]), " ")
-    return words.withColumn("column", col).groupBy("page", "group_no", "column").agg(line.alias("text"), F.bool_or("bold").alias("bold"), F.min("x").alias("x"))
+#: How far left of a column a word may start, how far in help text starts, gap between rows, reach of a rule line.
+SLACK, HELP_INDENT, ROW_GAP, RULE_ABOVE, RULE_BELOW = 12.0, 29.0, 2.5, 7.0, 2.0
+
+
+def page_rows(words: DataFrame, pages: DataFrame, rules: DataFrame) -> DataFrame:
+    """page, group_no, y, ruled, head, main, help, ste, nonste: the rows of dictionary pages.
+
+    words: page, x, y, text, bold; pages: page, starts (of the four columns); rules: page, y of the lines. Words of one row
+    are chained by their gaps; of the first column only bold words count; a second column that starts
+    far enough in is help.
+    """
+    placed = gap_groups(words, "page", F.col("y"), ROW_GAP, ["y", "x", "text"]).join(pages.select("page", "starts"), "page")
+    at = lambda k: F.col("x") >= F.get("starts", k) - SLACK
+    cell = F.when(at(3), "nonste").when(at(2), "ste").when(at(1), "main").when(F.col("bold"), "head")
+    line = lambda n: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("cell") == n, F.struct("x", "text")))), lambda w: w["text"]), " ")
+    rows = placed.withColumn("cell", cell).groupBy("page", "group_no").agg(
+        F.min("y").alias("y"), *[line(n).alias(n) for n in ("head", "main", "ste", "nonste")], F.min(F.when(F.col("cell") == "main", F.col("x"))).alias("main_x"), F.first("starts").alias("starts")
+    )
+    is_help = F.coalesce(F.col("main_x") >= F.get("starts", 1) + HELP_INDENT, F.lit(False))
+    lined = band_join(rows, rules, RULE_ABOVE, RULE_BELOW)
+    return lined.select("page", "group_no", "y", F.col("rule").isNotNull().alias("ruled"), "head", F.when(is_help, "").otherwise(F.col("main")).alias("main"), F.when(is_help, F.col("main")).otherwise("").alias("help"), "ste", "nonste")
 
 
 def carried(rows: DataFrame, by: str, order: str, *names: str) -> DataFrame:
@@ -67,3 +81,8 @@ def soft_hyphens(rows: DataFrame, by: str, order: str) -> DataFrame:
     parts = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("text").alias("t"))))
     text = F.aggregate(parts, F.lit(""), lambda s, x: F.concat(F.when((s != "") & s.rlike("[A-Za-z]-$"), F.regexp_replace(s, "-$", "")).otherwise(s), x["t"]))
     return d.groupBy(by, "piece").agg(text.alias("text"), F.min(order).alias(order))
+
+
+def joined_text(*order: str) -> Column:
+    """The texts of a group in order, joined by spaces."""
+    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, "text"))), lambda x: x["text"]), " ")

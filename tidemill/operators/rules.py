@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 #: Limits in words and sentences, by kind of text.
 MAX_WORDS = {"procedure": 20, "note": 25, "description": 25}
 MAX_SENTENCES = 6
+#: Approved words that end in -ing.
+ING_APPROVED = ("lighting", "opening", "routing", "servicing", "mating", "missing", "remaining", "something", "during")
 CONTRACTION = r"(?i)\b[a-z]+(n['’]t|['’](re|ve|ll|d|m))\b|\b(it|that|there|he|she|what|let)['’]s\b"
 
 
@@ -28,12 +30,13 @@ def counted_words(sentence: Column) -> Column:
 
 
 def findings(text: Column, kind: str = "description", ing_allowed: Column | None = None) -> Column:
-    """Struct of counts: long sentences, long paragraphs, semicolons, contractions, -ing words."""
-    allowed = F.array().cast("array<string>") if ing_allowed is None else ing_allowed
+    """Struct of counts: long sentences, long paragraphs (of descriptions), semicolons, contractions, -ing words
+    other than the approved ones."""
+    allowed = F.array(*map(F.lit, ING_APPROVED)) if ing_allowed is None else ing_allowed
     ing = F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"\b[a-z]+ing\b"), F.lit(0)), lambda w: ~F.array_contains(allowed, w))
     return F.struct(
         F.size(F.filter(sentences(text), lambda s: counted_words(s) > MAX_WORDS[kind])).alias("long_sentences"),
-        F.size(F.filter(F.split(text, r"\n\s*\n"), lambda p: F.size(sentences(p)) > MAX_SENTENCES)).alias("long_paragraphs"),
+        (F.size(F.filter(F.split(text, r"\n\s*\n"), lambda p: F.size(sentences(p)) > MAX_SENTENCES)) if kind == "description" else F.lit(0)).alias("long_paragraphs"),
         (F.length(text) - F.length(F.replace(text, F.lit(";"), F.lit("")))).alias("semicolons"),
         F.regexp_count(text, F.lit(CONTRACTION)).alias("contractions"),
         F.size(ing).alias("ing_words"),
@@ -51,3 +54,25 @@ def assembled(listed: DataFrame, authored: DataFrame) -> DataFrame:
     both = listed.join(authored.withColumnRenamed("id", "a_id"), F.col("id") == F.col("a_id"), "full_outer")
     gap = F.when(F.col("id").isNull(), "not listed").when(F.col("a_id").isNull(), "not authored")
     return both.withColumn("gap", gap).withColumn("id", F.coalesce("id", "a_id")).drop("a_id")
+
+
+def ing_allowed(rules: DataFrame) -> Column:
+    """The approved -ing words of a rule table, a literal of at most some dozen words."""
+    row = rules.filter("id = '3.5'").select(F.from_json(F.get_json_object("parameters", "$.ing_approved"), "array<string>").alias("w")).first()
+    return F.array(*[F.lit(w.split(" ")[0]) for w in (row.w if row and row.w else ING_APPROVED)])
+
+
+def vocabulary(words: DataFrame, approved: DataFrame, terms: DataFrame) -> DataFrame:
+    """words (id, word, pos) -> also verdict, by the rules on vocabulary: ``listed`` (a form that the dictionary lists
+    for the part of speech), ``plural`` (of an approved noun), ``term`` (a technical noun or verb), ``form`` (another form
+    or part of speech of an approved word) or ``unknown``. approved: word, pos, forms, plural; terms: term."""
+    low = F.lower(F.col("word"))
+    forms = approved.select(F.col("pos").alias("f_pos"), F.explode(F.concat(F.array("word"), "forms")).alias("f")).select(F.lower("f").alias("form"), "f_pos").distinct()
+    per = forms.groupBy("form").agg(F.collect_set("f_pos").alias("kinds"))
+    plurals = approved.filter("plural IS NOT NULL AND pos = 'n'").select(F.lower("plural").alias("p_word")).distinct().withColumn("is_plural", F.lit(True))
+    named = terms.select(F.lower("term").alias("t_word")).distinct().withColumn("is_term", F.lit(True))
+    out = words.join(per, low == F.col("form"), "left").join(plurals, low == F.col("p_word"), "left").join(named, low == F.col("t_word"), "left")
+    fits = F.col("pos").isNull() & F.col("form").isNotNull() | F.coalesce(F.array_contains("kinds", F.col("pos")), F.lit(False))
+    noun = F.col("pos").isNull() | (F.col("pos") == "n")
+    verdict = F.when(fits, "listed").when(F.coalesce("is_plural", F.lit(False)) & noun, "plural").when(F.coalesce("is_term", F.lit(False)), "term").when(F.col("form").isNotNull() | F.coalesce("is_plural", F.lit(False)), "form").otherwise("unknown")
+    return out.select(*words.columns, verdict.alias("verdict"))

@@ -8,18 +8,25 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MEASURES = ("accuracy", "reasoning", "generated", "output", "latency", "compliance")
+MEASURES = ("accuracy", "reasoning", "generated", "output", "latency", "compliance", "checker_ok", "gate_ok", "findings")
+COUNTS = ("n", "n_scored", "no_line", "fallback_hits", "n_truncated", "n_degenerate", "n_checked")
 
 
 def per_sample(records: DataFrame) -> DataFrame:
-    """arm, sample -> counts and means. Accuracy leaves out unscored and truncated records."""
+    """arm, sample -> counts and means. Accuracy leaves out unscored and truncated records; the checker's means
+    are over checked records, gate_ok over those with a gate. Records without a checker column count as unchecked."""
+    if "checker" not in records.columns:
+        records = records.withColumn("checker", F.lit(None).cast("struct<status: string, ok: boolean, findings: int, gate_ok: boolean>"))
+    checked = F.coalesce(F.col("checker.status") == "checked", F.lit(False))
+    of_checked = lambda c: F.avg(F.when(checked, F.col(c).cast("double")))
     scored = F.col("correct").isNotNull() & ~F.col("truncated")
     mean = lambda c: F.avg(F.when(~F.isnan(c.cast("double")), c.cast("double")))
     return records.groupBy("arm", "sample").agg(
         F.count("*").alias("n"), F.avg(F.when(scored, F.col("correct").cast("double"))).alias("accuracy"), F.count_if(scored).alias("n_scored"),
         F.count("fallback_correct").alias("no_line"), F.count_if("fallback_correct").alias("fallback_hits"), F.count_if("truncated").alias("n_truncated"), F.count_if("degenerate").alias("n_degenerate"),
         mean(F.col("reasoning_tokens")).alias("reasoning"), mean(F.col("generated_tokens")).alias("generated"), mean(F.col("output_tokens")).alias("output"),
-        mean(F.col("latency_s")).alias("latency"), mean(F.col("compliance")).alias("compliance"),
+        mean(F.col("latency_s")).alias("latency"), mean(F.col("compliance")).alias("compliance"), F.count_if(checked).alias("n_checked"),
+        of_checked("checker.ok").alias("checker_ok"), of_checked("checker.gate_ok").alias("gate_ok"), of_checked("checker.findings").alias("findings"),
     )
 
 
@@ -28,25 +35,33 @@ def spread(samples: DataFrame) -> DataFrame:
     cols = []
     for m in MEASURES:
         cols += [F.avg(m).alias(m), F.when(F.count(m) == 1, F.lit(0.0)).otherwise(F.stddev_samp(m)).alias(f"{m}_sd")]
-    sums = [F.sum(c).alias(c) for c in ("n", "n_scored", "no_line", "fallback_hits", "n_truncated", "n_degenerate")]
+    sums = [F.sum(c).alias(c) for c in COUNTS]
     return samples.groupBy("arm").agg(F.countDistinct("sample").alias("k"), *sums, *cols)
 
 
 def tax(arms: DataFrame, base: str = "A0") -> DataFrame:
-    """Each other arm against the baseline: difference of accuracy, ratios of cost; no baseline, no rows.
+    """Each other arm against the baseline: differences of accuracy, compliance, the checker's means and of reasoning,
+    ratios of cost; no baseline, no rows.
 
     The baseline is one row, so the join carries a row of fixed size to each arm.
     """
     zero = arms.filter(F.col("arm") == base).select(*[F.col(m).alias(f"base_{m}") for m in MEASURES])
-    ratio = lambda m: F.try_divide(F.col(m), F.col(f"base_{m}")).alias(f"{m}_ratio")
-    return arms.filter(F.col("arm") != base).join(F.broadcast(zero.limit(1)), F.lit(True)).select("arm", (F.col("accuracy") - F.col("base_accuracy")).alias("accuracy_diff"), *[ratio(m) for m in MEASURES[1:5]])
+    ratio = [F.try_divide(F.col(m), F.col(f"base_{m}")).alias(f"{m}_ratio") for m in MEASURES[1:5]]
+    diff = [(F.col(m) - F.col(f"base_{m}")).alias(f"{m}_diff") for m in ("accuracy", "reasoning", "compliance", "checker_ok", "gate_ok")]
+    return arms.filter(F.col("arm") != base).join(F.broadcast(zero.limit(1)), F.lit(True)).select("arm", *diff, *ratio)
 
 
 def summary_lines(arms: DataFrame, taxes: DataFrame) -> list[str]:
     """The text summary: one line for each arm and each tax; at most a handful of rows by construction."""
-    show = lambda x: "n/a" if x is None else f"{x:.3f}"
-    out = [f"{r.arm}: n={r.n} k={r.k} accuracy={show(r.accuracy)}±{show(r.accuracy_sd)} output={show(r.output)}±{show(r.output_sd)} compliance={show(r.compliance)}" for r in arms.orderBy("arm").collect()]
-    return out + [f"{r.arm} vs base: accuracy {show(r.accuracy_diff)}, output x{show(r.output_ratio)}, latency x{show(r.latency_ratio)}" for r in taxes.orderBy("arm").collect()]
+    show = lambda x, sign="": "n/a" if x is None else f"{x:{sign}.3f}"
+    out = []
+    for r in arms.orderBy("arm").collect():
+        means = " ".join(f"{m}={show(r[m])}±{show(r[f'{m}_sd'])}" for m in MEASURES)
+        out.append(f"{r.arm}: k={r.k} n={r.n} {means} no_line={r.no_line} fallback_hits={r.fallback_hits} checked={r.n_checked} degenerate={r.n_degenerate} truncated={r.n_truncated}")
+    for r in taxes.orderBy("arm").collect():
+        diffs = ", ".join(f"{m} {show(r[f'{m}_diff'], '+')}" for m in ("accuracy", "reasoning", "compliance", "checker_ok", "gate_ok"))
+        out.append(f"{r.arm} vs base: {diffs}, " + ", ".join(f"{m} x{show(r[f'{m}_ratio'])}" for m in ("generated", "output", "latency")))
+    return out
 
 
 def pairs_needed(sd: float, rho: float, effect: float, alpha: float, power: float) -> int:

@@ -23,12 +23,12 @@ def query(name: str, sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from tidemill.plans import library  # noqa: F401  fills the tables
+    from tidemill.plans import library, reviews  # noqa: F401  fill the tables
 
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from tidemill.plans import library  # noqa: F401
+    from tidemill.plans import library, reviews  # noqa: F401
 
     return dict(_SQL)

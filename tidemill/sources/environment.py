@@ -4,59 +4,52 @@ from __future__ import annotations
 
 import platform
 import re
-import shutil
 import subprocess
+from collections.abc import Callable
 from importlib import metadata
 from typing import Any
 
+#: Shell lines whose output is a fact; a line that fails gives none.
+LINES = {"rocm": "rocminfo", "commit": "git -C {folder} rev-parse HEAD", "changes": "git -C {folder} status --porcelain"}
+PACKAGES = ("pyspark", "pyarrow", "torch", "transformers", "vllm")
 #: Oldest serving library that a GPU run takes.
 LEAST_VLLM = (0, 29)
-PACKAGES = ("pyspark", "pyarrow", "torch", "transformers", "vllm")
 
+Facts = dict[str, Any]
 
-def command(*words: str, seconds: float = 30) -> str | None:
-    """What a command prints; None where it is missing, fails or takes too long."""
-    if shutil.which(words[0]) is None:
-        return None
-    try:
-        done = subprocess.run(words, capture_output=True, text=True, timeout=seconds)
-    except (OSError, subprocess.TimeoutExpired):
-        return None
-    return done.stdout.strip() if done.returncode == 0 else None
 
+def heard(line: str, seconds: int = 30) -> str | None:
+    status, text = subprocess.getstatusoutput(f"timeout {seconds} {line} 2>/dev/null")
+    return None if status else text.strip()
 
-def version(name: str) -> str | None:
-    try:
-        return metadata.version(name)
-    except metadata.PackageNotFoundError:
-        return None
 
+def facts(folder: str = ".") -> Facts:
+    """Flat facts: system, versions (pkg.*), what the shell lines say, and the GPUs that torch sees (None without torch)."""
+    found: Facts = {"python": platform.python_version(), "system": platform.platform(), "host": platform.node(), "gpus": None}
+    found |= {f"pkg.{p}": None for p in PACKAGES} | {f"pkg.{d.name}": d.version for d in metadata.distributions() if d.name in PACKAGES}
+    found |= {name: heard(line.format(folder=folder)) for name, line in LINES.items()}
+    if found["pkg.torch"]:
+        import torch
 
-def git_state(folder: str) -> dict[str, Any]:
-    commit = command("git", "-C", folder, "rev-parse", "HEAD")
-    return {"commit": commit, "dirty": None if commit is None else bool(command("git", "-C", folder, "status", "--porcelain"))}
+        found["gpus"] = torch.cuda.device_count() if torch.cuda.is_available() else 0
+    return found
 
 
-def captured(gpu: bool = False) -> dict[str, Any]:
-    info = command("rocminfo") if gpu else None
-    devices = None
-    if gpu and version("torch"):
-        import torch
+def _release(version: str | None) -> tuple[int, ...]:
+    return tuple(int(n) for n in re.findall("[0-9]+", version or "")[:2])
+
+
+#: For which back ends a fact must hold, what must hold, and what is said where it does not.
+NEEDS: tuple[tuple[frozenset[str], Callable[[Facts], bool], str], ...] = (
+    (frozenset(("hf", "vllm")), lambda f: f["rocm"] is not None, "rocminfo gives nothing"),
+    (frozenset(("hf", "vllm")), lambda f: f["gpus"] is not None, "torch is not installed"),
+    (frozenset(("hf", "vllm")), lambda f: f["gpus"] != 0, "torch sees no GPU"),
+    (frozenset(("vllm",)), lambda f: f["pkg.vllm"] is not None, "vllm is not installed"),
+    (frozenset(("vllm",)), lambda f: f["pkg.vllm"] is None or _release(f["pkg.vllm"]) >= LEAST_VLLM, "vllm {pkg.vllm} is too old"),
+    (frozenset(("vllm",)), lambda f: "gfx950" in (f["rocm"] or "") or "gfx908" not in (f["rocm"] or ""), "gfx908 is served by hf only"),
+)
+
 
-        devices = {"available": torch.cuda.is_available(), "count": torch.cuda.device_count()}
-    return {"python": platform.python_version(), "system": platform.platform(), "packages": {p: version(p) for p in PACKAGES}, "rocminfo": info, "gfx": sorted(set(re.findall(r"gfx[0-9a-f]+", info or ""))), "torch_devices": devices}
-
-
-def problems(env: dict[str, Any], backend: str) -> list[str]:
-    """What stops a run of the backend on this machine."""
-    devices, served = env["torch_devices"], env["packages"]["vllm"]
-    least = ".".join(map(str, LEAST_VLLM))
-    said = [
-        (env["rocminfo"] is None, "rocminfo: missing or failed"),
-        (devices is None, "torch: cannot be imported"),
-        (devices is not None and not devices["available"], "torch: sees no GPU"),
-        (backend == "vllm" and served is None, "vllm: missing"),
-        (backend == "vllm" and served is not None and tuple(map(int, re.findall(r"\d+", served)[:2])) < LEAST_VLLM, f"vllm {served}: older than {least}"),
-        (backend == "vllm" and "gfx908" in env["gfx"] and "gfx950" not in env["gfx"], "gfx908: not served by vllm, take hf"),
-    ]
-    return [text for wrong, text in said if wrong]
+def problems(found: Facts, backend: str) -> list[str]:
+    """What stops a run of the back end on this machine; none for one that needs no GPU."""
+    return [re.sub(r"\{(.*?)\}", lambda m: str(found[m[1]]), said) for ends, holds, said in NEEDS if backend in ends and not holds(found)]
