@@ -40,26 +40,35 @@ def _id() -> Column:
     return F.coalesce(F.col("page_id").cast("long"), F.lit(NO_ID))
 
 
-def laid_out(pages: DataFrame) -> DataFrame:
-    """page_id, url, html and the place of the record: volume, offset, length.
+def places(pages: DataFrame) -> DataFrame:
+    """id, volume, offset, length: the place of each id's record, from lengths alone.
 
-    Places come from the lengths of the records of an id alone; repeated rows lie one behind the
-    other and are stated at the first one's offset.
+    Repeated rows lie one behind the other and are stated at the first one's offset.
     """
     size = F.octet_length(record(F.col("url"), F.col("html"))).cast("long")
     one = pages.select(_id().alias("id"), size.alias("length")).groupBy("id").agg(F.sum("length").alias("length"))
     before = Window.partitionBy("volume").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
-    placed = one.withColumn("volume", F.shiftright("id", VOLUME_BITS)).withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)))
-    return pages.select("page_id", "url", "html", _id().alias("id")).join(placed.select("id", *PLACE), "id").drop("id")
+    return one.withColumn("volume", F.shiftright("id", VOLUME_BITS)).withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0))).select("id", *PLACE)
+
+
+def laid_out(pages: DataFrame) -> DataFrame:
+    """page_id, url, html and the place of the record: volume, offset, length."""
+    return pages.select("page_id", "url", "html", _id().alias("id")).join(places(pages), "id").drop("id")
+
+
+def hashed(pages: DataFrame) -> DataFrame:
+    """page_id, sha and the place, if pages states one: records hashed where they are read, without their content."""
+    return pages.select("page_id", F.sha2(record(F.col("url"), F.col("html")), 256).alias("sha"), *[c for c in PLACE if c in pages.columns])
 
 
 def leaves(replica: DataFrame) -> DataFrame:
     """id, volume, offset, length, digest: a row for each record. Only digests and places are shuffled."""
-    rec = record(F.col("url"), F.col("html"))
-    hashed = replica.select(_id().alias("id"), F.coalesce("volume", F.lit(0)).cast("long").alias("volume"), F.greatest(F.coalesce("offset", F.lit(0)), F.lit(0)).cast("long").alias("offset"), F.coalesce("length", F.lit(0)).cast("long").alias("length"), F.sha2(rec, 256).alias("sha"))
+    number = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
+    read = replica if "sha" in replica.columns else hashed(replica)
+    hashes = read.select(_id().alias("id"), number("volume").alias("volume"), F.greatest(number("offset"), F.lit(0)).alias("offset"), number("length").alias("length"), "sha")
     part = lambda k: F.sum(F.conv(F.substring("sha", k, 15), 16, 10).cast("decimal(20,0)")).cast("string")
     content = F.sha2(F.concat_ws(":", F.count("*").cast("string"), *[part(k) for k in (1, 16, 31, 46)]), 256)
-    one = hashed.groupBy("id", *PLACE).agg(content.alias("content"))
+    one = hashes.groupBy("id", *PLACE).agg(content.alias("content"))
     return one.withColumn("digest", F.sha2(F.concat_ws(":", *[F.col(c).cast("string") for c in ("id", *PLACE)], "content"), 256))
 
 
@@ -117,16 +126,27 @@ def audit(first: DataFrame, second: DataFrame) -> DataFrame:
     return both.select(F.when(F.col("id") != NO_ID, F.col("id")).alias("page_id"), kind.alias("kind"), *[at[c].alias(c) for c in PLACE])
 
 
-def worn(replica: DataFrame) -> DataFrame:
-    """A replica with known damage: of 1,000 records about 20 overwritten in place, 5 lost, 3 at another offset,
-    by a hash of the id."""
-    mark = F.crc32(F.col("page_id").cast("string")) % 1000
-    kept = replica.filter(F.coalesce(~mark.between(500, 504), F.lit(True)))
-    body = F.when(mark < 20, F.concat(F.substring("html", F.lit(1), F.length("html") - 1), F.lit("~"))).otherwise(F.col("html"))
-    return kept.withColumns({"html": body, "offset": F.when(mark.between(800, 802), F.col("offset") + 1).otherwise(F.col("offset"))})
+def _mark() -> Column:
+    return F.crc32(F.col("page_id").cast("string")) % 1000
+
+
+def overwritten(pages: DataFrame) -> DataFrame:
+    """Known damage to contents: of 1,000 records about 5 are lost and 20 end in another character, by a hash of the id."""
+    kept = pages.filter(F.coalesce(~_mark().between(500, 504), F.lit(True)))
+    return kept.withColumn("html", F.when(_mark() < 20, F.concat(F.substring("html", F.lit(1), F.length("html") - 1), F.lit("~"))).otherwise(F.col("html")))
+
+
+def displaced(records: DataFrame) -> DataFrame:
+    """Known damage to an index: of 1,000 records about 3 are stated one byte behind their place."""
+    return records.withColumn("offset", F.when(_mark().between(800, 802), F.col("offset") + 1).otherwise(F.col("offset")))
 
 
 def op6_fixity_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole pages table, laid out in volumes, against a replica with known damage."""
-    replica = laid_out(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
-    return audit(replica, worn(replica))
+    """The whole pages table, laid out in volumes, against a replica with known damage and a copy of its index."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    index = stable(places(pages))
+
+    def replica(rows: DataFrame) -> DataFrame:
+        return hashed(rows).withColumn("id", _id()).join(index, "id").drop("id")
+
+    return audit(replica(pages), displaced(replica(overwritten(pages))))
