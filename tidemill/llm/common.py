@@ -75,3 +75,15 @@ def private(df: DataFrame, *wanted: str) -> list[str]:
 
 #: Longest word that a worker's cache of words keeps, so that its entries bound its bytes.
 CACHED_CHARS = 64
+
+
+#: Rows of texts that go to a Python worker at once; a text may be long.
+TEXTS_AT_ONCE = 1000
+
+
+def few_at_once(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to TEXTS_AT_ONCE rows, so that a batch of long texts, of which the executor
+    and its Python worker hold copies, stays small. A session that asks for fewer keeps its own number."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= TEXTS_AT_ONCE:
+        spark.conf.set(name, str(TEXTS_AT_ONCE))

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import stable, table, texts
+from tidemill.llm.common import few_at_once, stable, table, texts
 
 BUCKETS = 128
 #: Offsets of the triplets in the window, each with a multiplier of its own.
@@ -114,6 +114,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     One range shuffle by doc_id brings neighbours together; only the texts at the borders of the
     partitions (two each) are joined afterwards.
     """
+    few_at_once(docs.sparkSession)
     hashed = texts(docs).withColumn("tie", F.xxhash64("text"))
     ordered = hashed.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").drop("tie")
     rows = stable(ordered.mapInArrow(_scan, ROWS))

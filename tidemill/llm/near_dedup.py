@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import CACHED_CHARS, by_key, stable, table, texts
+from tidemill.llm.common import CACHED_CHARS, by_key, few_at_once, stable, table, texts
 from tidemill.llm.components import components
 
 WORDS = 5
@@ -232,6 +232,7 @@ def _settled(ties: DataFrame, found: DataFrame, pairs: DataFrame, held: DataFram
 
 def classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: a row for each row of docs."""
+    few_at_once(docs.sparkSession)
     source = texts(docs)
     scanned = stable(source.mapInArrow(_scan, "doc_id long, n long, digest binary, bands binary"))
     known = scanned.filter("doc_id IS NOT NULL AND digest IS NOT NULL")

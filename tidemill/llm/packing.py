@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import CACHED_CHARS, table, texts
+from tidemill.llm.common import CACHED_CHARS, few_at_once, table, texts
 
 MAX_LEN = 2048
 END_ID = 1
@@ -160,6 +160,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, max_len: int = MAX_LEN,
         tokenizer = public_tokenizers.path("word_bpe_49k.json")
     if max_len < 1 or max_len & (max_len - 1):
         raise ValueError("max_len must be a power of two")
+    few_at_once(docs.sparkSession)
     schema = PIECES + (", ids binary" if with_ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import table, texts
+from tidemill.llm.common import few_at_once, table, texts
 
 BUCKETS = 1 << 17
 DIM = 8
@@ -228,6 +228,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tuple
 
 def scored(docs: DataFrame, model: tuple[np.ndarray, float]) -> Column:
     """The scores of docs' texts as a column; one pass, no shuffle."""
+    few_at_once(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("double")
