@@ -38,7 +38,7 @@ from tidemill.llm.components import components
 WORDS = 5
 BINS, BANDS, ROWS = 256, 42, 6
 PERCENT = 85
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 #: Members of a bucket whose pairs are rows; members and shingles for each salt of a larger one; columns of a matrix.
 SMALL, MEMBERS, WEIGHT, COLUMNS = 16, 1024, 1 << 20, 1024
 _M1, _M2, _STEP = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(0x9E3779B97F4A7C15)
@@ -57,8 +57,8 @@ def _mix(x: np.ndarray) -> np.ndarray:
 class Shingles:
     """Sorted distinct hashes of a text's shingles; A-Z are lowered and words split at ASCII white space."""
 
-    def __init__(self, words: int = WORDS) -> None:
-        self.words, self.known = words, {}
+    def __init__(self, words: int = WORDS, cache_words: int = CACHE_WORDS) -> None:
+        self.words, self.cache_words, self.known = words, cache_words, {}
 
     def __call__(self, text: str) -> np.ndarray:
         words, known = text.encode("utf-8", "surrogatepass").lower().split(), self.known
@@ -68,7 +68,7 @@ class Shingles:
         try:
             w = np.fromiter(map(known.__getitem__, words), np.uint64, n)
         except KeyError:
-            if len(known) > CACHE_WORDS:
+            if len(known) > self.cache_words:
                 known.clear()
             fresh = {x: xxhash.xxh64_intdigest(x) for x in words if x not in known}
             w = np.fromiter((known[x] if x in known else fresh[x] for x in words), np.uint64, n)

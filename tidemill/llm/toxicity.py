@@ -185,8 +185,8 @@ def calibrated(rows: list[tuple[str, int]], clean_weight: float = 1.0, threshold
 
 
 class Scorer:
-    def __init__(self, numbers: np.ndarray, bias: float) -> None:
-        self.numbers, self.bias, self.known = numbers.tolist(), bias, {}
+    def __init__(self, numbers: np.ndarray, bias: float, cache_words: int = CACHE_WORDS) -> None:
+        self.numbers, self.bias, self.cache_words, self.known = numbers.tolist(), bias, cache_words, {}
 
     def __call__(self, text: str) -> float:
         return float(1 / (1 + np.exp(-np.clip(self.logit(text), -50, 50))))
@@ -198,7 +198,7 @@ class Scorer:
         try:
             v = np.fromiter(map(known.__getitem__, words), np.float64, len(words))
         except KeyError:
-            if len(known) > CACHE_WORDS:
+            if len(known) > self.cache_words:
                 known.clear()
             for w in set(words):
                 if w not in known:
@@ -226,14 +226,14 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tuple
     return calibrated([(r.text, int(r.toxic > 0)) for r in rows], max(1.0, counted.get(False, 0) / per_class) / max(1.0, counted.get(True, 0) / per_class))
 
 
-def scored(docs: DataFrame, model: tuple[np.ndarray, float]) -> Column:
-    """The scores of docs' texts as a column; one pass, no shuffle."""
+def scored(docs: DataFrame, model: tuple[np.ndarray, float], cache_words: int = CACHE_WORDS) -> Column:
+    """The scores of docs' texts as a column; one pass, no shuffle. A worker remembers cache_words words."""
     few_at_once(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("double")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        scorer = Scorer(*shared.value)
+        scorer = Scorer(*shared.value, cache_words)
         for batch in batches:  # one text at a time is a Python string
             yield pa.array([scorer(t.as_py()) for t in batch], pa.float64())
 
@@ -246,9 +246,9 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float = T
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
-def flagged(docs: DataFrame, model: tuple[np.ndarray, float], name: str, threshold: float = THRESHOLD) -> DataFrame:
+def flagged(docs: DataFrame, model: tuple[np.ndarray, float], name: str, threshold: float = THRESHOLD, cache_words: int = CACHE_WORDS) -> DataFrame:
     """docs with a column ``name`` that says whether the text is called toxic."""
-    return docs.withColumn(name, scored(docs, model) >= threshold)
+    return docs.withColumn(name, scored(docs, model, cache_words) >= threshold)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
