@@ -13,6 +13,8 @@ from tidemill.llm.common import private, stable, table
 
 #: Similarity in percent from which documents are near duplicates of a stage; op9's query has its own.
 NEAR_PERCENT = 80
+#: Words that a worker remembers in a stage: workers live through all stages, so their caches add up.
+CACHE_WORDS = 100_000
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,7 +24,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     are called ``score`` or ``predicted`` come out as they were."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     (hit,) = private(docs, "judged_toxic")
-    return toxicity.flagged(docs, model, hit).filter(~F.col(hit)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return toxicity.flagged(docs, model, hit, cache_words=CACHE_WORDS).filter(~F.col(hit)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +49,7 @@ def to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs)
+    return packing.pack(docs, cache_words=CACHE_WORDS)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
