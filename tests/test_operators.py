@@ -132,6 +132,21 @@ def test_load_tasks(spark, tmp_path):
         files.expand(spark, [str(tmp_path / "*.none")])
 
 
+def test_lines_of_many_splits(spark, tmp_path):
+    """Numbers run over the splits of a file, over blank lines, line ends of two characters and a last line without one."""
+    texts = {"a b+c%20.jsonl": "".join(f"line {k} ä\r\n" if k % 3 else "\n" for k in range(400)), "empty.jsonl": "", "one.jsonl": "  \nlast"}
+    for name, text in texts.items():
+        (tmp_path / name).write_bytes(text.encode())
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300b")
+    try:
+        paths = [str(tmp_path / name) for name in texts]
+        got = sorted((r.file_pos, r.line_no, r.file, r.value) for r in files.lines(spark, paths).collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == [(n, k, p, x.rstrip("\r")) for n, (p, t) in enumerate(zip(paths, texts.values(), strict=True), 1) for k, x in enumerate(t.split("\n"), 1) if x.strip()]
+
+
 def test_records_round_trip(spark, tmp_path):
     row = spark.createDataFrame([("t", None)], "task_id string, sample int").withColumn("by", F.lit(1)).drop("by")
     files.write_records(row, str(tmp_path / "run"))

@@ -269,17 +269,13 @@ def test_summary_has_the_checker(spark):
 
 def test_details_are_whole_json(spark):
     """p13 against the rows it is made of."""
-    from tidemill.plans import registry
-
-    d = "/root/testdata/sf0.001"
-    events = {}
-    for r in spark.read.parquet(f"{d}/events.parquet").collect():
-        events.setdefault(r.user_id, []).append(r)
-    for r in registry.queries()["p13_detail"](spark, d).collect():
-        doc, own = json.loads(r.detail), events.pop(r.entry)
-        assert doc["seconds"] == pytest.approx(sum(e.value for e in own), abs=1e-3) and doc["side"] == "ste"
-        assert sorted((i["kind"], i["token"]) for i in doc["items"]) == sorted((e.event_type, str(e.event_id)) for e in own) and all(i["origin"] is None for i in doc["items"])
-    assert not events
+    from tidemill.operators import report
+
+    rows = [("ste", "a (n)", 'say "no"\nnow', 0.12345, [("finding", "not_approved", "a\\b", None)]), ("nonste", "b (v)", None, 2.0, [])]
+    made = spark.createDataFrame(rows, "side string, entry string, text string, seconds double, items array<struct<group: string, kind: string, token: string, origin: string>>")
+    got = [json.loads(r.detail) for r in made.select(report.detail_json().alias("detail")).collect()]
+    names = ("group", "kind", "token", "origin")
+    assert got == [{"side": s, "entry": e, "text": t, "seconds": round(n, 3), "items": [dict(zip(names, i, strict=True)) for i in items]} for s, e, t, n, items in rows]
 
 
 def test_contractions_and_sentence_case(spark):

@@ -35,9 +35,10 @@ def positive(text: str) -> int:
 
 
 def tasks(spark: SparkSession, args: argparse.Namespace) -> int:
-    counted = files.load_tasks(spark, task_files(spark, args), root=str(pathlib.Path.cwd())).groupBy("kind", "source", "split").count()
-    for r in counted.orderBy("kind", "source", "split").collect():
-        print(f"{r['kind']} {r['source']} {r['split']}: {r['count']}")
+    by = ("kind", "source", "split")
+    loaded = files.load_tasks(spark, task_files(spark, args), root=str(pathlib.Path.cwd()))
+    for r in stats.task_counts(loaded, *by).orderBy(*by).collect():
+        print(f"{r.kind} {r.source} {r.split}: {r.n}")
     return 0
 
 

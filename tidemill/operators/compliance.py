@@ -114,6 +114,11 @@ def checked(report: DataFrame, known: Column | None = None, h: Column | None = N
     )
 
 
+def findings_by_kind(findings: DataFrame) -> DataFrame:
+    """Findings (id, kind) -> kind, n_items, and n_examples that have one or more."""
+    return findings.groupBy("kind").agg(F.count("*").alias("n_items"), F.countDistinct("id").alias("n_examples"))
+
+
 def items(report: DataFrame, senses: DataFrame) -> DataFrame:
     """Reports (id, findings, signals) -> one row for each finding, then each signal; origin only of words that
     are not approved.

@@ -53,6 +53,11 @@ def dangling(refs: DataFrame, approved: DataFrame) -> DataFrame:
     return refs.join(approved.select(F.col("id").alias("ref")), "ref", "left_anti")
 
 
+def absent(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Distinct keys of left that right lacks."""
+    return left.select(key).distinct().join(right.select(key), key, "left_anti")
+
+
 def multiset_gaps(left: DataFrame, right: DataFrame) -> DataFrame:
     """Rows that one side has more often than the other, as often as they exceed."""
     return left.exceptAll(right).withColumn("side", F.lit("left")).unionByName(right.exceptAll(left).withColumn("side", F.lit("right")))

@@ -6,7 +6,7 @@ A run is one report: run_id, side (ste, nonste, probe), key, word, pos, scored,
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemill.functions.text import WORD, sentence_case, stems, words_of
@@ -101,11 +101,16 @@ def attested(run: DataFrame, least: int = 2) -> DataFrame:
     return each.groupBy("token").agg(F.count("*").alias("n")).filter(F.col("n") >= least).select("token")
 
 
+def document_frequency(texts: DataFrame, words: Column, least: int = 2) -> DataFrame:
+    """word, n of the words (an array column of texts) that two or more texts have."""
+    each = texts.select(F.explode(F.array_distinct(words)).alias("word"))
+    return each.groupBy("word").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+
+
 def allow_list(texts: DataFrame, senses: DataFrame, headwords: DataFrame, least: int = 2) -> DataFrame:
     """word of those in two or more texts (id, text) that no sense (token) knows and that are no -s or -ed form of a
     headword (word, lower case)."""
-    each = texts.select("id", F.explode(F.array_distinct(words_of(F.upper("text")))).alias("word"))
-    often = each.groupBy("word").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+    often = document_frequency(texts, words_of(F.upper("text")), least)
     unknown = often.join(senses.select(F.col("token").alias("s_token")).distinct(), F.lower("word") == F.col("s_token"), "left_anti")
     formed = unknown.select("word", F.explode(stems(F.col("word"), ing=False)).alias("base")).join(headwords.select(F.col("word").alias("base")).distinct(), "base", "left_semi")
     return unknown.select("word").join(formed.select("word").distinct(), "word", "left_anti")
@@ -138,8 +143,23 @@ def fresh_tokens(reports: DataFrame, senses: DataFrame) -> DataFrame:
     return fresh.filter(F.forall(F.split("token", r"\s+"), lambda w: w.rlike(f"^(?:{WORD})$")))
 
 
-def timing(run: DataFrame) -> DataFrame:
-    return run.agg(F.count("*").alias("runs"), F.avg("seconds").alias("mean"), F.max("seconds").alias("most"))
+def timing(run: DataFrame, *by: str) -> DataFrame:
+    """Runs, mean and longest seconds, of each group or of all."""
+    return run.groupBy(*by).agg(F.count("*").alias("runs"), F.avg("seconds").alias("mean"), F.max("seconds").alias("most"))
+
+
+def gate_table(gates: DataFrame, *names: str) -> DataFrame:
+    """gate, rejects, percent from a row for each example with its number of findings under each gate: an example with
+    any is rejected."""
+    each = gates.select(F.explode(F.array(*[F.struct(F.lit(c).alias("gate"), F.col(c).alias("n")) for c in names])).alias("g")).select("g.*")
+    rejects = F.count_if(F.col("n") > 0)
+    return each.groupBy("gate").agg(rejects.alias("rejects"), (100.0 * rejects / F.count("*")).alias("percent"))
+
+
+def recall(told: DataFrame) -> DataFrame:
+    """hit -> n and share of all; at most four rows reach the window."""
+    counted = told.groupBy("hit").agg(F.count("*").alias("n"))
+    return counted.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))
 
 
 def ranked(counted: DataFrame, most: int, *first_seen: str) -> DataFrame:
@@ -147,4 +167,4 @@ def ranked(counted: DataFrame, most: int, *first_seen: str) -> DataFrame:
     return counted.orderBy(F.desc("n"), *first_seen).limit(most)
 
 
-__all__ = ["allow_list", "any_of", "attested", "blamed", "by_kind", "by_pos", "entry_key", "false_positives", "fresh_tokens", "hits", "jobs", "kind_label", "kinds", "misses", "origins", "parsed", "probe_gaps", "ranked", "runs", "timing", "worst"]
+__all__ = ["allow_list", "any_of", "attested", "blamed", "by_kind", "by_pos", "document_frequency", "entry_key", "false_positives", "fresh_tokens", "gate_table", "hits", "jobs", "kind_label", "kinds", "misses", "origins", "parsed", "probe_gaps", "ranked", "recall", "runs", "timing", "worst"]

@@ -14,7 +14,9 @@ MAX_WORDS = {"procedure": 20, "note": 25, "description": 25}
 MAX_SENTENCES = 6
 #: Approved words that end in -ing.
 ING_APPROVED = ("lighting", "opening", "routing", "servicing", "mating", "missing", "remaining", "something", "during")
-CONTRACTION = r"(?i)\b[a-z]+(n['’]t|['’](re|ve|ll|d|m))\b|\b(it|that|there|he|she|what|let)['’]s\b"
+#: Borders of a word, spelled out: what \b means for letters beyond ASCII depends on the Java version.
+LEFT, RIGHT = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
+CONTRACTION = rf"(?i){LEFT}(?:[a-z]+(?:n['’]t|['’](?:re|ve|ll|d|m))|(?:it|that|there|he|she|what|let)['’]s){RIGHT}"
 
 
 def sentences(text: Column) -> Column:
@@ -33,7 +35,7 @@ def findings(text: Column, kind: str = "description", ing_allowed: Column | None
     """Struct of counts: long sentences, long paragraphs (of descriptions), semicolons, contractions, -ing words
     other than the approved ones."""
     allowed = F.array(*map(F.lit, ING_APPROVED)) if ing_allowed is None else ing_allowed
-    ing = F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"\b[a-z]+ing\b"), F.lit(0)), lambda w: ~F.array_contains(allowed, w))
+    ing = F.filter(F.regexp_extract_all(F.lower(text), F.lit(rf"{LEFT}[a-z]+ing{RIGHT}"), F.lit(0)), lambda w: ~F.array_contains(allowed, w))
     return F.struct(
         F.size(F.filter(sentences(text), lambda s: counted_words(s) > MAX_WORDS[kind])).alias("long_sentences"),
         (F.size(F.filter(F.split(text, r"\n\s*\n"), lambda p: F.size(sentences(p)) > MAX_SENTENCES)) if kind == "description" else F.lit(0)).alias("long_paragraphs"),

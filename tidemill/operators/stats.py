@@ -12,6 +12,10 @@ MEASURES = ("accuracy", "reasoning", "generated", "output", "latency", "complian
 COUNTS = ("n", "n_scored", "no_line", "fallback_hits", "n_truncated", "n_degenerate", "n_checked")
 
 
+def task_counts(tasks: DataFrame, *by: str) -> DataFrame:
+    return tasks.groupBy(*by).agg(F.count("*").alias("n"))
+
+
 def per_sample(records: DataFrame) -> DataFrame:
     """arm, sample -> counts and means. Accuracy leaves out unscored and truncated records; the checker's means
     are over checked records, gate_ok over those with a gate. Records without a checker column count as unchecked."""

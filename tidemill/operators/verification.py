@@ -109,6 +109,11 @@ def entry_faults(entries: DataFrame) -> DataFrame:
     return entries.select("word", F.explode(faults).alias("fault"))
 
 
+def dictionary_counts(entries: DataFrame) -> DataFrame:
+    """One row: entries (word, pos), distinct pairs of both, distinct words in lower case."""
+    return entries.agg(F.count("*").alias("entries"), F.countDistinct("word", "pos").alias("keys"), F.countDistinct(F.lower("word")).alias("words"))
+
+
 def dead_ends(unapproved: DataFrame) -> DataFrame:
     """word, pos of the entries without an alternative and without help."""
     return unapproved.filter("size(alternatives) = 0 AND coalesce(help, '') = ''").select("word", "pos")

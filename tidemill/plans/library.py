@@ -7,11 +7,11 @@ events, entries and alternatives from part names.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.functions import text as X
-from tidemill.operators import compliance, headwords, layout, lexicon, report, rules, scoring, stats, validation, watermark
+from tidemill.operators import compliance, headwords, layout, lexicon, report, reviews, rules, scoring, stats, validation, verification, watermark
 from tidemill.plans.registry import query
 from tidemill.sources import files
 
@@ -139,10 +139,12 @@ def c8_stems(spark, d):
     return b.select("w", F.array_join(F.array_sort(X.stems(F.col("w"))), " ").alias("stems"))
 
 
-@query("c9_sentence_case")
+@query("c9_sentence_case", r"""WITH s AS (SELECT doc_id, lower(text) AS t FROM documents),
+p AS (SELECT doc_id, regexp_extract_all(t, '[.!?:]\s+[a-z]|\(\w\)\s+[a-z]|(?s:.)') AS x FROM s)
+SELECT doc_id, md5(coalesce(array_to_string(list_transform(x, lambda y, i: CASE WHEN length(y) > 1 OR (i = 1 AND y BETWEEN 'a' AND 'z') THEN y[:-2] || upper(y[-1]) ELSE y END), ''), '')) AS text_md5 FROM p
+""")
 def c9_sentence_case(spark, d):
-    """No SQL form: DuckDB's regular expressions have no replacement that changes case."""
-    return _t(spark, d, "benchmark").select("item_id", F.md5(X.sentence_case(F.upper("text"))).alias("text_md5"))
+    return _t(spark, d, "documents").select("doc_id", F.md5(X.sentence_case(F.col("text"))).alias("text_md5"))
 
 
 @query("c10_words", "SELECT doc_id, len(w)::INT AS n_words, md5(array_to_string(w, ' ')) AS words_md5 FROM (SELECT doc_id, regexp_extract_all(text, '[A-Za-z][A-Za-z''’-]*[A-Za-z]|[A-Za-z]') AS w FROM documents)")
@@ -248,7 +250,7 @@ def v3_record_violations(spark, d):
 
 @query("g6_task_counts", "SELECT lang, source, count(*) AS n FROM documents GROUP BY ALL")
 def g6_task_counts(spark, d):
-    return _t(spark, d, "documents").groupBy("lang", "source").agg(F.count("*").alias("n"))
+    return stats.task_counts(_t(spark, d, "documents"), "lang", "source")
 
 
 # ---- reports ----------------------------------------------------------------------------------
@@ -284,13 +286,12 @@ def p5_checked(spark, d):
 
 @query("g7_findings_by_kind", f"WITH {FINDINGS_SQL} SELECT kind, count(*) AS n_items, count(DISTINCT id) AS n_examples FROM f GROUP BY kind")
 def g7_findings_by_kind(spark, d):
-    return _findings(spark, d).groupBy("kind").agg(F.count("*").alias("n_items"), F.countDistinct("id").alias("n_examples"))
+    return compliance.findings_by_kind(_findings(spark, d))
 
 
 @query("g8_document_frequency", f"WITH w AS (SELECT DISTINCT doc_id, unnest({TOKENS}) AS w FROM documents) SELECT w, count(*) AS n FROM w GROUP BY w HAVING count(*) >= 2")
 def g8_document_frequency(spark, d):
-    w = _t(spark, d, "documents").select("doc_id", F.explode(F.array_distinct(X.tokens(F.col("text")))).alias("w"))
-    return w.groupBy("w").agg(F.count("*").alias("n")).filter("n >= 2")
+    return reviews.document_frequency(_t(spark, d, "documents"), X.tokens(F.col("text"))).withColumnRenamed("word", "w")
 
 
 @query("g11_gate_table", f"""WITH {FINDINGS_SQL}, r AS (SELECT id, count(*) AS every, count(*) FILTER (kind <> 'ing_form') AS no_ing, count(*) FILTER ({KEPT_SQL}) AS gated FROM f GROUP BY id)
@@ -300,8 +301,7 @@ def g11_gate_table(spark, d):
     known, h = F.array(*map(F.lit, ("t3", "t4", "t5"))), F.array(F.lit("t1"), F.lit("t2"))
     f = _findings(spark, d).withColumn("keep", compliance.gate_keeps(F.struct("kind", "token", "headword"), known, h))
     r = f.groupBy("id").agg(F.count("*").alias("every"), F.count_if(F.col("kind") != "ing_form").alias("no_ing"), F.count_if("keep").alias("gated"))
-    g = r.select(F.explode(F.array(*[F.struct(F.lit(c).alias("gate"), F.col(c).alias("n")) for c in ("every", "no_ing", "gated")])).alias("g")).select("g.*")
-    return g.groupBy("gate").agg(F.count_if(F.col("n") > 0).alias("rejects"), F.round(100.0 * F.count_if(F.col("n") > 0) / F.count("*"), 4).alias("percent"))
+    return reviews.gate_table(r, "every", "no_ing", "gated").withColumn("percent", F.round("percent", 4))
 
 
 @query("j8_origin", f"""WITH {FINDINGS_SQL}, s AS (SELECT 't' || (p_partkey % 12) AS token, p_partkey % 12 = 3 AND p_size > 40 AS approved, p_partkey % 12 = 5 AND p_size % 3 = 0 AS names_term, p_partkey % 12 < 9 AS noun FROM part),
@@ -317,18 +317,19 @@ def j8_origin(spark, d):
 SELECT CASE h WHEN 2 THEN 'finding' WHEN 1 THEN 'inflected' ELSE 'miss' END AS hit, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM e GROUP BY h""")
 def g12_recall(spark, d):
     i = _findings(spark, d).groupBy("id").agg(F.collect_list(F.struct(F.lit("finding").alias("group"), "kind", "token", F.coalesce("headword", F.lit("")).alias("headword"))).alias("items"))
-    h = i.select(compliance.hit(F.col("items"), F.array(F.lit("t3")), F.lit("t3")).alias("hit")).groupBy("hit").agg(F.count("*").alias("n"))
-    return h.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy()), 6))
+    told = i.select(compliance.hit(F.col("items"), F.array(F.lit("t3")), F.lit("t3")).alias("hit"))
+    return reviews.recall(told).withColumn("share", F.round("share", 6))
 
 
-@query("g15_timing", "SELECT event_type, round(avg(value), 6) AS mean, max(value) AS most FROM events GROUP BY 1")
+@query("g15_timing", "SELECT event_type, count(*) AS runs, round(avg(value), 6) AS mean, max(value) AS most FROM events GROUP BY 1")
 def g15_timing(spark, d):
-    return _t(spark, d, "events").groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("mean"), F.max("value").alias("most"))
+    return reviews.timing(_t(spark, d, "events").withColumnRenamed("value", "seconds"), "event_type").withColumn("mean", F.round("mean", 6))
 
 
 @query("o7_top_ties", f"WITH {FINDINGS_SQL} SELECT token, count(*) AS n, min(event_id) AS first_seen FROM f GROUP BY token ORDER BY n DESC, first_seen LIMIT 10")
 def o7_top_ties(spark, d):
-    return _findings(spark, d).groupBy("token").agg(F.count("*").alias("n"), F.min("event_id").alias("first_seen")).orderBy(F.desc("n"), "first_seen").limit(10)
+    counted = _findings(spark, d).groupBy("token").agg(F.count("*").alias("n"), F.min("event_id").alias("first_seen"))
+    return reviews.ranked(counted, 10, "first_seen")
 
 
 # ---- tasks ------------------------------------------------------------------------------------
@@ -498,7 +499,7 @@ def j6_manifest_gaps(spark, d):
 
 @query("g14_dictionary_counts", "SELECT count(*) AS entries, count(DISTINCT (p_name, p_type)) AS keys, count(DISTINCT lower(p_name)) AS words FROM part")
 def g14_dictionary_counts(spark, d):
-    return _t(spark, d, "part").agg(F.count("*").alias("entries"), F.countDistinct("p_name", "p_type").alias("keys"), F.countDistinct(F.lower("p_name")).alias("words"))
+    return verification.dictionary_counts(_t(spark, d, "part").select(F.col("p_name").alias("word"), F.col("p_type").alias("pos")))
 
 
 @query("g18_dictionary_words", "SELECT DISTINCT lower(unnest(string_split(p_name, ' ')[1:2] || [p_brand || 's'])) AS word FROM part UNION SELECT lower(p_type) FROM part UNION SELECT lower(p_brand) FROM part")
@@ -565,15 +566,19 @@ def r1_long_sentences(spark, d):
     return _t(spark, d, "documents").withColumn("f", f).select("doc_id", "f.long_sentences", "f.long_paragraphs")
 
 
-@query("r4_contractions")
+#: DuckDB has no look-around: every character beside words is doubled, so that neighbours each have their own border.
+_CONTRACTION = r"(?i)(^|[^\p{L}\p{N}_])([a-z]+(n[''’]{2}t|[''’]{2}(re|ve|ll|d|m))|(it|that|there|he|she|what|let)[''’]{2}s)($|[^\p{L}\p{N}_])"
+
+
+@query("r4_contractions", rf"SELECT doc_id, len(regexp_extract_all(regexp_replace(text, '([^\p{{L}}\p{{N}}_])', '\1\1', 'g'), '{_CONTRACTION}'))::INT AS contractions FROM documents")
 def r4_contractions(spark, d):
-    """No SQL form: word borders next to other than ASCII letters differ between the engines' regular expressions."""
     return _t(spark, d, "documents").withColumn("f", rules.findings(F.col("text"))).select("doc_id", "f.contractions")
 
 
 @query("u2_set_difference", "SELECT p_partkey AS k FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity < 3")
 def u2_set_difference(spark, d):
-    return _t(spark, d, "part").select(F.col("p_partkey").alias("k")).exceptAll(_t(spark, d, "lineitem").filter("l_quantity < 3").select("l_partkey").distinct().withColumnRenamed("l_partkey", "k"))
+    taken = _t(spark, d, "lineitem").filter("l_quantity < 3").select(F.col("l_partkey").alias("k"))
+    return lexicon.absent(_t(spark, d, "part").select(F.col("p_partkey").alias("k")), taken, "k")
 
 
 # ---- dictionary text --------------------------------------------------------------------------
@@ -632,10 +637,14 @@ def p12_text_table(spark, d):
     return g.select(report.table_line("event_type", report.share(F.col("hit"), F.col("n"))).alias("line"))
 
 
-@query("p13_detail")
+@query("p13_detail", """SELECT user_id AS entry, 'ste' AS side, round(sum(value), 3) AS seconds, count(*)::INT AS n_items,
+  md5(string_agg('finding ' || event_type || ' ' || event_id, ',' ORDER BY event_type, event_id::VARCHAR)) AS items_md5, count(*)::INT AS n_null_origins FROM events GROUP BY user_id""")
 def p13_detail(spark, d):
-    """No SQL form: the result is JSON text, whose layout is the engine's."""
+    """Read back from the JSON text, whose layout is the engine's."""
     runs = _t(spark, d, "events").groupBy(F.col("user_id").alias("entry")).agg(
         F.lit("ste").alias("side"), F.lit("").alias("text"), F.sum("value").alias("seconds"), F.array_sort(F.collect_list(F.struct(F.lit("finding").alias("group"), F.col("event_type").alias("kind"), F.col("event_id").cast("string").alias("token"), F.lit(None).cast("string").alias("origin")))).alias("items")
     )
-    return runs.select("entry", report.detail_json().alias("detail"))
+    kind = "side string, entry long, text string, seconds double, items array<struct<group: string, kind: string, token: string, origin: string>>"
+    back = runs.select(F.from_json(report.detail_json(), kind).alias("r")).select("r.*")
+    said = F.transform("items", lambda i: F.concat_ws(" ", i["group"], i["kind"], i["token"]))
+    return back.select("entry", "side", F.round("seconds", 3).alias("seconds"), F.size("items").alias("n_items"), F.md5(F.array_join(said, ",")).alias("items_md5"), F.size(F.filter("items", lambda i: i["origin"].isNull())).alias("n_null_origins"))

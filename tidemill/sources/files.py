@@ -78,12 +78,25 @@ def shown(path: Column, root: str) -> Column:
 
 
 def lines(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """file, file_pos, line_no, value: every line that is not blank, numbered with the blank ones."""
+    """file, file_pos, line_no, value: every line that is not blank, numbered with the blank ones.
+
+    A file is read split by split: a first pass over the splits counts their lines, so a line's number is
+    its place in its split and the lines of the splits before. A row for each split reaches the driver."""
     if not paths:
         raise ValueError("no task files")
     order = F.array(*[F.lit(p) for p in paths])
-    whole = spark.read.text(paths, wholetext=True).withColumn("file", F.regexp_replace(F.col("_metadata.file_path"), "^file:/*", "/"))
-    return whole.select("file", F.array_position(order, F.col("file")).alias("file_pos"), F.posexplode(F.split("value", "\r?\n")).alias("pos", "value")).select("file", "file_pos", (F.col("pos") + 1).alias("line_no"), "value").filter("trim(value) <> ''")
+    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    raw = spark.read.option("lineSep", "\n").text(paths).select(
+        F.regexp_replace(path, "^file:/*", "/").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.regexp_replace("value", "\r$", "").alias("value")
+    )
+    splits = raw.groupBy("file", "block").agg(F.min("at").alias("first"), F.count("*").alias("n")).collect()
+    starts, before = [], dict.fromkeys(paths, 0)
+    for s in sorted(splits, key=lambda s: (s.file, s.block)):
+        starts.append((s.file, s.block, before[s.file] + 1 - s.first))
+        before[s.file] += s.n
+    shift = spark.createDataFrame(starts, "file string, block long, shift long")
+    numbered = raw.join(F.broadcast(shift), ["file", "block"]).withColumn("line_no", F.col("at") + F.col("shift"))
+    return numbered.select("file", F.array_position(order, F.col("file")).alias("file_pos"), "line_no", "value").filter("trim(value) <> ''")
 
 
 def load_tasks(spark: SparkSession, patterns: list[str], max_shown: int = 1000, root: str | None = None) -> DataFrame:
