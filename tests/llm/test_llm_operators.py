@@ -178,9 +178,10 @@ def test_near_dedup_joins_a_hub_family(spark):
     assert sum(near) > 900 and {got[i] for i in range(1000) if near[i]} == {got[500]}
 
 
-@pytest.mark.parametrize("small, members", [(16, 2048), (1, 8), (1, 2048)])
-def test_near_dedup_buckets_are_settled(spark, monkeypatch, small, members):
+@pytest.mark.parametrize("small, members, share", [(16, 2048, 1024), (1, 8, 3), (50, 2048, 2)])
+def test_near_dedup_buckets_are_settled(spark, monkeypatch, small, members, share):
     monkeypatch.setattr(near_dedup, "SMALL", small)
+    monkeypatch.setattr(near_dedup, "SHARE", share)
     monkeypatch.setattr(near_dedup, "MEMBERS", members)
     monkeypatch.setattr(near_dedup, "COLUMNS", 64)
     family = list(hub_family(40, 23, words=200)) + [(100 + i, t) for i, t in hub_family(3, 1, seed=4)]

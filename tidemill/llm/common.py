@@ -48,15 +48,16 @@ def n_words(text: Column) -> Column:
 HOT_KEYS = 256
 
 
-def by_key(left: DataFrame, right: DataFrame, key: str, counts: DataFrame) -> DataFrame:
-    """Inner join of left with right, whose ``key`` is unique, without a task that gathers a frequent key.
+def frequent(counts: DataFrame, key: str, over: int = 1) -> DataFrame:
+    """hot_key, n of the HOT_KEYS most frequent keys of counts (key, n) that stand more than ``over`` times: a table of
+    HOT_KEYS rows at most whatever the input. None of the other keys holds more than 1 / HOT_KEYS of the rows."""
+    most = counts.filter(F.col("n") > over).orderBy(F.desc("n"), key).limit(HOT_KEYS)
+    return F.broadcast(stable(most.select(F.col(key).alias("hot_key"), F.col("n").alias("hot_n"))))
 
-    counts (key, n) says how often a key is in left. The HOT_KEYS most frequent keys are joined by
-    broadcast, a table of HOT_KEYS rows at most whatever the input; of the others, none holds more
-    than 1 / HOT_KEYS of the rows of left.
-    """
-    hot = counts.filter("n > 1").orderBy(F.desc("n"), key).limit(HOT_KEYS).select(F.col(key).alias("hot_key"))
-    hot = F.broadcast(stable(hot))
+
+def by_key(left: DataFrame, right: DataFrame, key: str, hot: DataFrame) -> DataFrame:
+    """Inner join of left with right, whose ``key`` is unique, without a task that gathers a frequent key:
+    those of hot, the ``frequent`` keys of left, are joined by broadcast, so rows of right are small."""
     is_hot = F.col(key) == F.col("hot_key")
     often = left.join(hot, is_hot, "left_semi").join(F.broadcast(right.join(hot, is_hot, "left_semi")), key)
     return often.unionByName(left.join(hot, is_hot, "left_anti").join(right, key))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import by_key, stable
+from tidemill.llm.common import by_key, frequent, stable
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -18,13 +18,14 @@ def components(edges: DataFrame) -> DataFrame:
     e = edges.filter("a <> b").select("a", "b")
     both = stable(e.union(e.select("b", "a")).distinct())
     labels = stable(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("a"), F.min("b")).alias("component")))
+    hubs = frequent(both.groupBy("b").agg(F.count("*").alias("n")), "b")
     while True:
-        near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
+        near = by_key(both, labels.withColumnRenamed("id", "b"), "b", hubs).groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
         best = labels.join(near, "id").select("id", F.col("component").alias("old"), F.least("component", "near").alias("mid"))
         jump = labels.select(F.col("id").alias("mid"), F.col("component").alias("far"))
         # a large component is one frequent label
         best = stable(best)
-        moved = stable(by_key(best, jump, "mid", best.groupBy("mid").agg(F.count("*").alias("n"))).select("id", "old", F.least("mid", "far").alias("component")))
+        moved = stable(by_key(best, jump, "mid", frequent(best.groupBy("mid").agg(F.count("*").alias("n")), "mid")).select("id", "old", F.least("mid", "far").alias("component")))
         changed = moved.filter("old <> component").limit(1).count()
         labels = moved.select("id", "component")
         if not changed:

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import CACHED_CHARS, by_key, few_at_once, stable, table, texts
+from tidemill.llm.common import CACHED_CHARS, by_key, few_at_once, frequent, stable, table, texts
 from tidemill.llm.components import components
 
 WORDS = 5
@@ -41,6 +41,8 @@ PERCENT = 85
 CACHE_WORDS = 150_000
 #: Members of a bucket whose pairs are rows; members and shingles for each salt of a larger one; columns of a matrix.
 SMALL, MEMBERS, WEIGHT, COLUMNS = 16, 1024, 1 << 20, 1024
+#: Pairs of one document that meet its text in one task, on average; the text goes once to each such share.
+SHARE = 1024
 _M1, _M2, _STEP = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(0x9E3779B97F4A7C15)
 _rng = np.random.default_rng(7)
 _ORDER = np.argsort(_rng.random((BINS, BINS)), axis=1).astype(np.int64)
@@ -197,11 +199,18 @@ def _sizes_allow(percent: int):
 
 
 def _confirmed(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
-    """pairs (a, b) -> those whose full sets meet the threshold; held has the texts (doc_id, text) of both."""
-    left = held.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    right = held.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    joined = pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").sortWithinPartitions("a")
-    return joined.mapInArrow(_confirm(percent), "a long, b long")
+    """pairs (a, b) -> those whose full sets meet the threshold; held has the texts (doc_id, text) of both.
+
+    A leader is in the pairs of its whole bucket, on either side, so the pairs of a frequent one are dealt to shares."""
+    joined = pairs
+    for side, other in (("b", "a"), ("a", "b")):
+        hot = frequent(pairs.groupBy(side).agg(F.count("*").alias("n")), side, SHARE)
+        shares = F.coalesce(F.ceil(F.col("hot_n") / SHARE), F.lit(1).cast("long"))
+        every = held.join(hot, F.col("doc_id") == F.col("hot_key"), "left")
+        every = every.select(F.col("doc_id").alias(side), F.col("text").alias(f"text_{side}"), F.explode(F.sequence(F.lit(0).cast("long"), shares - 1)).alias("share"))
+        dealt = joined.join(hot, F.col(side) == F.col("hot_key"), "left").withColumn("share", F.pmod(F.xxhash64(other), shares)).drop("hot_key", "hot_n")
+        joined = dealt.join(every, [side, "share"]).drop("share")
+    return joined.select("a", "b", "text_a", "text_b").sortWithinPartitions("a").mapInArrow(_confirm(percent), "a long, b long")
 
 
 def _settled(ties: DataFrame, found: DataFrame, pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
@@ -251,7 +260,7 @@ def classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     pairs = stable(tied.filter(_sizes_allow(percent)).select("a", "b").distinct())
     # only copies: a set of its own has no one to be tied to
     copied = firsts.filter("n > 1").select("digest", "id")
-    same = by_key(known.select("digest", "doc_id"), copied, "digest", firsts.select("digest", "n"))
+    same = by_key(known.select("digest", "doc_id"), copied, "digest", frequent(firsts.select("digest", "n"), "digest"))
     same = same.select(F.col("doc_id").alias("a"), F.col("id").alias("b")).filter("a <> b").distinct()
     # the texts are shuffled once, those of bucket members stay for all that is compared
     members = stable(ties.select(F.col("id").alias("doc_id")).distinct())
