@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemill.llm.chat import ORACLE_OP3, op3_chat_formatting
+from tidemill.llm.collocations import ORACLE_OP12, op12_collocations
 from tidemill.llm.fingerprints import op7_fingerprints
 from tidemill.llm.fixity import op6_fixity_audit
 from tidemill.llm.html import op5_html_extraction
@@ -20,9 +21,9 @@ from tidemill.llm.toxicity import op10_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_packing, op2_suffix_dedup, op3_chat_formatting, op4_mixing, op5_html_extraction, op6_fixity_audit, op7_fingerprints, op8_quality_rules, op9_near_dedup, op10_toxicity, op13_conversation_repair)
+    found = (op1_packing, op2_suffix_dedup, op3_chat_formatting, op4_mixing, op5_html_extraction, op6_fixity_audit, op7_fingerprints, op8_quality_rules, op9_near_dedup, op10_toxicity, op12_collocations, op13_conversation_repair)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat_formatting": ORACLE_OP3, "op4_mixing": ORACLE_OP4, "op8_quality_rules": ORACLE_OP8, "op13_conversation_repair": ORACLE_OP13}
+    return {"op3_chat_formatting": ORACLE_OP3, "op4_mixing": ORACLE_OP4, "op8_quality_rules": ORACLE_OP8, "op12_collocations": ORACLE_OP12, "op13_conversation_repair": ORACLE_OP13}
