@@ -14,6 +14,7 @@ from tidemill.llm.html import op5_html_extraction
 from tidemill.llm.mixing import ORACLE_OP4, op4_mixing
 from tidemill.llm.near_dedup import op9_near_dedup
 from tidemill.llm.packing import op1_packing
+from tidemill.llm.pii import op11_pii
 from tidemill.llm.quality import ORACLE_OP8, op8_quality_rules
 from tidemill.llm.repair import ORACLE_OP13, op13_conversation_repair
 from tidemill.llm.suffix_dedup import op2_suffix_dedup
@@ -21,7 +22,7 @@ from tidemill.llm.toxicity import op10_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_packing, op2_suffix_dedup, op3_chat_formatting, op4_mixing, op5_html_extraction, op6_fixity_audit, op7_fingerprints, op8_quality_rules, op9_near_dedup, op10_toxicity, op12_collocations, op13_conversation_repair)
+    found = (op1_packing, op2_suffix_dedup, op3_chat_formatting, op4_mixing, op5_html_extraction, op6_fixity_audit, op7_fingerprints, op8_quality_rules, op9_near_dedup, op10_toxicity, op11_pii, op12_collocations, op13_conversation_repair)
     return {f.__name__: f for f in found}
 
 
