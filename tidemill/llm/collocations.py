@@ -31,7 +31,7 @@ from tidemill.llm.common import by_key, frequent, private, stable, table
 
 LEAST, LONGEST, TOP, COVER_PERCENT = 30, 4, 2000, 80
 #: Words of a shard, but for a longer text.
-SHARD_WORDS = 2_000_000
+SHARD_WORDS = 1_500_000
 #: Bits of the bitmap that a task holds (8 MB).
 FILTER_BITS = 1 << 26
 SEGMENT_BITS = 1 << 19
@@ -121,21 +121,31 @@ class _Ids(dict):
         return n
 
 
-def shard_ids(texts: list[list[bytes]]) -> tuple[np.ndarray, list[bytes]]:
-    """Id array of the texts of one language, 0 where a piece ends, and the word of each id."""
-    ids = _Ids({b"": 0, BREAK: 1})
-    parts = [np.fromiter(map(ids.__getitem__, t), np.int64, len(t)) for t in texts]
-    joined = np.concatenate([x for p in parts for x in (p, np.ones(1, np.int64))])
-    joined = joined[joined > 0] - 1
-    return joined, [b"", *list(ids)[2:]]
+class Shard:
+    """Texts of one language as ids, 0 where a piece ends."""
+
+    def __init__(self) -> None:
+        self.word_ids, self.parts = _Ids({b"": 0, BREAK: 1}), []
+
+    def add(self, words: list[bytes]) -> None:
+        self.parts.append(np.fromiter(map(self.word_ids.__getitem__, words), np.int32, len(words)))
+
+    def ids(self) -> np.ndarray:
+        joined = np.concatenate([x for p in self.parts for x in (p, np.ones(1, np.int32))])
+        return joined[joined > 0] - 1
+
+    def words(self) -> list[bytes]:
+        """The word of each id."""
+        return [b"", *list(self.word_ids)[2:]]
 
 
 def _ranks(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     """Dense ranks of pairs of ranks: one step of prefix doubling."""
-    key = first * (int(second.max(initial=0)) + 1) + second
+    key = first.astype(np.int64) * (int(second.max(initial=0)) + 1) + second
     order = np.argsort(key, kind="stable")
-    new = np.empty(len(key), np.int64)
-    new[order] = np.cumsum(np.concatenate([[1], np.diff(key[order]) != 0])) if len(key) else 0
+    new = np.zeros(len(key), np.int32)
+    if len(key):
+        new[order] = np.cumsum(np.concatenate([[1], np.diff(key[order]) != 0]), dtype=np.int32)
     return new
 
 
@@ -176,13 +186,18 @@ def intervals(ids: np.ndarray, pairs: np.ndarray, depths: tuple[int, ...]) -> It
         yield n, suffixes[heads], ends - heads + 1
 
 
-def counted(texts: list[list[bytes]], lang: str, depth: int, bits: Bits | None) -> Iterator[tuple[int, list[str], np.ndarray]]:
+#: Phrases that a task holds as strings at once.
+PHRASES_AT_ONCE = 50_000
+
+
+def counted(shard: Shard, lang: str, depth: int, bits: Bits | None) -> Iterator[tuple[int, list[str], np.ndarray]]:
     """(words, phrases, counts) of one language's texts in a shard; depth 1, 2 or 3 (three and four words)."""
-    ids, word = shard_ids(texts)
+    ids, word = shard.ids(), shard.words()
     if depth == 1:
-        n = np.bincount(ids, minlength=len(word))[1:]
-        yield 1, [w.decode() for w in word[1:]], n
-        yield 0, [""], np.array([n.sum()])
+        n = np.bincount(ids, minlength=len(word))
+        for i in range(1, len(word), PHRASES_AT_ONCE):
+            yield 1, [w.decode() for w in word[i : i + PHRASES_AT_ONCE]], n[i : i + PHRASES_AT_ONCE]
+        yield 0, [""], np.array([n[1:].sum()])
         return
     hashes = np.array([0] + [_word_hash(w, lang) for w in word[1:]], np.uint64)
     if depth == 2:
@@ -190,12 +205,13 @@ def counted(texts: list[list[bytes]], lang: str, depth: int, bits: Bits | None)
         known[0] = False
         pairs = known[ids] & _ahead(known[ids], 1)
     else:
-        h = hashes[ids]
         pairs = (ids > 0) & (_ahead(ids, 1) > 0)
         at = np.flatnonzero(pairs)
-        pairs[at] = bits.has(_pair_hash(h[at], h[at + 1]))
+        pairs[at] = bits.has(_pair_hash(hashes[ids[at]], hashes[ids[at + 1]]))
     for n, at, count in intervals(ids, pairs, (2,) if depth == 2 else (3, 4)):
-        yield n, [b" ".join([word[i] for i in p]).decode() for p in zip(*(ids[at + k].tolist() for k in range(n)))], count
+        for i in range(0, len(at), PHRASES_AT_ONCE):
+            part = at[i : i + PHRASES_AT_ONCE]
+            yield n, [b" ".join([word[k] for k in p]).decode() for p in zip(*(ids[part + k].tolist() for k in range(n)))], count[i : i + PHRASES_AT_ONCE]
 
 
 def shard_counts(docs: DataFrame, depth: int, bits=None, shard_words: int = SHARD_WORDS) -> DataFrame:
@@ -203,23 +219,22 @@ def shard_counts(docs: DataFrame, depth: int, bits=None, shard_words: int = SHAR
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = bits and Bits(bits.value)
-        held: dict[str, list] = {}
+        held: dict[str, Shard] = {}
         size = 0
 
         def emit() -> Iterator[pa.RecordBatch]:
-            for lang, texts in held.items():
-                for n, phrases, count in counted(texts, lang, depth, known):
-                    for i in range(0, len(phrases), 50_000):
-                        part, c = phrases[i : i + 50_000], count[i : i + 50_000]
-                        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part)), pa.array([n] * len(part), pa.int32()), pa.array(part, pa.string()), pa.array(c.astype(np.int64))], ["lang", "words", "phrase", "n"])
+            while held:
+                lang, shard = held.popitem()
+                for n, phrases, count in counted(shard, lang, depth, known):
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(phrases)), pa.array([n] * len(phrases), pa.int32()), pa.array(phrases, pa.string()), pa.array(count.astype(np.int64))], ["lang", "words", "phrase", "n"])
 
         for b in batches:
             for lang, text in zip(b.column("lang").to_pylist(), b.column("text")):
                 words = words_of(text.as_py())
                 if size and size + len(words) > shard_words:
                     yield from emit()
-                    held, size = {}, 0
-                held.setdefault(lang, []).append(words)
+                    size = 0
+                held.setdefault(lang, Shard()).add(words)
                 size += len(words)
         yield from emit()
 

@@ -281,6 +281,8 @@ def added(g: Graph, model: Model, texts_of: list[str], bases: list[list]) -> lis
         if not label:
             continue
         kind, goes_on = (label - 1) // 2, label % 2 == 0
+        if goes_on and valid(kind, texts_of[g.text[i]][slice(*g.spans[i])].strip(_TRIMMED[kind])):
+            goes_on = False  # whole by itself, as the second of two cards in a row
         if goes_on and runs and i in chained and labels[i - 1] and runs[-1][1] == kind and runs[-1][3] == g.spans[i - 1][1]:
             runs[-1] = (*runs[-1][:3], g.spans[i][1])
         else:
