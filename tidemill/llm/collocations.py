@@ -21,17 +21,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import by_key, frequent, private, stable, table
+from tidemill.llm.common import by_key, few_at_once, frequent, private, stable, table
 
 LEAST, LONGEST, TOP, COVER_PERCENT = 30, 4, 2000, 80
 #: Words of a shard, but for a longer text.
-SHARD_WORDS = 1_500_000
+SHARD_WORDS = 1_000_000
 #: Bits of the bitmap that a task holds (8 MB).
 FILTER_BITS = 1 << 26
 SEGMENT_BITS = 1 << 19
@@ -84,12 +83,12 @@ def _bitmap(hashed: DataFrame) -> bytes:
             at = np.unique(np.concatenate(_places(b.column("hash").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))))
             yield pa.RecordBatch.from_arrays([pa.array(at // SEGMENT_BITS), pa.array((at % SEGMENT_BITS).astype(np.int32))], ["segment", "bit"])
 
-    def segment(g: pd.DataFrame) -> pd.DataFrame:
+    def segment(t: pa.Table) -> pa.Table:
         bits = np.zeros(SEGMENT_BITS, np.uint8)
-        bits[g["bit"].to_numpy()] = 1
-        return pd.DataFrame({"segment": g["segment"].iloc[:1], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
+        bits[t.column("bit").to_numpy()] = 1
+        return pa.table({"segment": t.column("segment").slice(0, 1), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
 
-    rows = hashed.mapInArrow(places, "segment long, bit int").distinct().groupBy("segment").applyInPandas(segment, "segment long, bits binary")
+    rows = hashed.mapInArrow(places, "segment long, bit int").distinct().groupBy("segment").applyInArrow(segment, "segment long, bits binary")
     out, size = bytearray(FILTER_BITS // 8), SEGMENT_BITS // 8
     for r in rows.toLocalIterator():  # FILTER_BITS bits at most
         out[r.segment * size : (r.segment + 1) * size] = r.bits
@@ -249,11 +248,14 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, shard_words: int = SHA
     """lang, words, phrase, n of all phrases of up to LONGEST words that stand least times; words 0: all words of a language."""
     spark = docs.sparkSession
     read = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text")).filter("text <> ''")
-    ones = stable(_merged(shard_counts(read, 1, shard_words=shard_words), least))
+    with few_at_once(spark):
+        ones = stable(_merged(shard_counts(read, 1, shard_words=shard_words), least))
     words = spark.sparkContext.broadcast(_bitmap(_hashes(ones.filter("words = 1"))))
-    twos = stable(_merged(shard_counts(read, 2, words, shard_words), least))
+    with few_at_once(spark):
+        twos = stable(_merged(shard_counts(read, 2, words, shard_words), least))
     pairs = spark.sparkContext.broadcast(_bitmap(_hashes(twos)))
-    more = stable(_merged(shard_counts(read, 3, pairs, shard_words), least))
+    with few_at_once(spark):
+        more = stable(_merged(shard_counts(read, 3, pairs, shard_words), least))
     words.unpersist()
     pairs.unpersist()
     return ones.unionByName(twos).unionByName(more)

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,9 +85,22 @@ CACHED_CHARS = 64
 TEXTS_AT_ONCE = 1000
 
 
-def few_at_once(spark: SparkSession) -> None:
-    """Lower the session's Arrow batches to TEXTS_AT_ONCE rows, so that a batch of long texts, of which the executor
-    and its Python worker hold copies, stays small. A session that asks for fewer keeps its own number."""
+@contextmanager
+def few_at_once(spark: SparkSession) -> Iterator[None]:
+    """TEXTS_AT_ONCE rows in the Arrow batches of the jobs that run inside, so that a batch of long texts, of which the executor
+    and its Python worker hold copies, stays small. A session that asks for fewer keeps its number; afterwards it has its own again."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= TEXTS_AT_ONCE:
+    before = spark.conf.get(name)
+    if not 0 < int(before) <= TEXTS_AT_ONCE:
         spark.conf.set(name, str(TEXTS_AT_ONCE))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches cut to TEXTS_AT_ONCE rows, for a function that runs after its plan is handed out."""
+    for b in batches:
+        for at in range(0, len(b), TEXTS_AT_ONCE):
+            yield b.slice(at, TEXTS_AT_ONCE)

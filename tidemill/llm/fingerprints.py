@@ -114,10 +114,10 @@ def with_next(docs: DataFrame) -> DataFrame:
     One range shuffle by doc_id brings neighbours together; only the texts at the borders of the
     partitions (two each) are joined afterwards.
     """
-    few_at_once(docs.sparkSession)
     hashed = texts(docs).withColumn("tie", F.xxhash64("text"))
     ordered = hashed.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").drop("tie")
-    rows = stable(ordered.mapInArrow(_scan, ROWS))
+    with few_at_once(docs.sparkSession):
+        rows = stable(ordered.mapInArrow(_scan, ROWS))
     heads, tails = (rows.filter(F.col("kind") == k).select("part", "doc_id", "text") for k in (1, 2))
     order = Window.orderBy("part")  # a row for each partition, without its text
     first = F.min("part").over(Window.partitionBy())

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import few_at_once, table
+from tidemill.llm.common import sliced, table
 
 BLOCK_TAGS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -359,11 +359,10 @@ def fit(pages: DataFrame) -> np.ndarray:
 
 def extract(pages: DataFrame, weights: np.ndarray | None = None) -> DataFrame:
     """page_id, url, text, n_chars: one pass over the pages, no shuffle, after ``fit`` on their sample."""
-    few_at_once(pages.sparkSession)
     weights = fit(pages) if weights is None else weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             got = [main_text(h.as_py() or "", weights) for h in batch.column(2)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(got, pa.string()), pa.array([len(x) for x in got], pa.int64())], ["page_id", "url", "text", "n_chars"]

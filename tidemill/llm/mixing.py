@@ -70,9 +70,11 @@ def multipliers(cells: DataFrame) -> DataFrame:
     state = stable(state.select("*", solvable.alias("open"), *[F.lit(x).alias(c) for c, x in (("lambda", 0.0), ("low", -LARGEST), ("high", LARGEST))]))
     fixed, state = state.filter("NOT open"), state.filter("open")
     tilted = cells.filter("size > 0").select(F.col("source").alias("c_source"), "size", "n")
-    for _ in range(NEWTON_STEPS):
-        if not state.filter("open").limit(1).count():
+    for step_no in range(NEWTON_STEPS + 1):
+        if not (left := state.filter("open").count()):
             break
+        if step_no == NEWTON_STEPS:
+            raise ArithmeticError(f"{left} sources miss their target after {NEWTON_STEPS} Newton steps")
         x = F.col("lambda") * F.col("size") / F.col("scale")
         rate, words = F.least(F.exp(F.least(x, F.lit(5.0))), F.lit(float(MOST))), F.col("size") * F.col("n")
         met = tilted.join(state.filter("open").select("source", "lambda", "scale"), F.col("c_source").eqNullSafe(F.col("source"))).groupBy("c_source").agg(
@@ -157,7 +159,8 @@ _RATE = f"least({MOST}.0, exp(least(l * size / scale, 5.0)))"
 #: The multipliers by bisection of the constraint, where the sum of rate * size grows with the multiplier.
 ORACLE_OP4 = rf"""
 WITH RECURSIVE d AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+'))::BIGINT AS size, text FROM documents
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+'))::BIGINT AS size, text FROM documents
 ), s AS (
   SELECT source, sum(size)::BIGINT AS source_size, sum(size)::DOUBLE / nullif(count(*) FILTER (size > 0), 0) AS scale, row_number() OVER (ORDER BY source COLLATE "C" NULLS LAST) - 1 AS k FROM d GROUP BY source
 ), w AS (
