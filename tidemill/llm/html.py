@@ -16,8 +16,8 @@ one-sided pages do no harm.
 
 Defined cases: null or empty html, and pages without content, give an empty text; repeated rows are
 repeated; an empty table gives no rows; other columns are ignored, whatever their names. ``br`` is
-white space inside a block. A very long page is cut in one pass and its tree is kept as parents
-alone. A tag that is never closed hides nothing but where the standard says so (script, style,
+white space inside a block. A very long page is cut in two passes over its tokens and its tree is kept as parents
+alone. An advert inside a paragraph is a block of its own, and the paragraph goes on around it. A tag that is never closed hides nothing but where the standard says so (script, style,
 comment); text in such an element, or in one that is not shown, is no text of the page.
 """
 
@@ -39,21 +39,27 @@ from tidemill.llm.common import sliced, table
 
 BLOCK_TAGS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements whose text is not shown, up to their end tag if they have one.
+#: Elements whose text is not shown, up to their own end tag if they have one.
 SILENT = frozenset("noscript template iframe svg object canvas audio video select button textarea title".split())
+#: Of these, elements that hold no blocks: one of the tags below ends them, so an unclosed one hides no article.
+PHRASING = frozenset("svg select button textarea title".split())
+BREAKOUT = frozenset("article aside blockquote body footer h1 h2 h3 h4 h5 h6 header li main nav ol p pre section table ul".split())
+#: Inline elements that may be set apart inside a block, and the words that set them apart.
+INLINE = frozenset("a abbr b em font i ins label mark q s small span strong sub sup u".split())
+INLINE_BAD = frozenset("ad ads advert adverts advertisement advertising banner newsletter outbrain promo promoted signup sponsor sponsored subscribe taboola".split())
 #: What may stand in a head; any other start tag ends it.
 HEAD_TAGS = frozenset("base link meta noscript script style template title".split())
 TOKEN = re.compile(
-    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<(?P<raw>script|style)(?=[\s/>])(?:[^<>\"']++|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)(?=[\s/>])[^>]*(?:>|\Z)|\Z)"
-    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/<>]*)(?P<attrs>(?:[^<>\"']++|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*(?:>|\Z)|(?P<text>[^<]+|<)",
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<(?P<raw>script|style)(?=[\s/>])(?:=\s*+(?:\"[^\"]*\"|'[^']*')|[^<>])*+>.*?(?:</(?P=raw)(?=[\s/>])[^>]*(?:>|\Z)|\Z)"
+    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/<>]*)(?P<attrs>(?:=\s*+(?:\"[^\"]*\"|'[^']*')|[^<>])*+)>|<[!?/][^>]*(?:>|\Z)|(?P<text>[^<]+|<)",
     re.S | re.I,
 )
 NAMES = re.compile(r"(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 ARTICLE_TAGS = frozenset(("article", "main"))
 BAD_TAGS = frozenset("nav header footer aside form menu dialog fieldset legend search".split())
 #: Words in a class, id or role.
-BAD_NAMES = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright disqus dialog disclaimer footer gdpr header legal links login masthead menu modal nav navbar navigation newsletter notice notices outbrain pager pagination popup promo promoted related recommended reply replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe taboola tags toolbar toc widget".split())
-READER_NAMES = frozenset("comment comments commentlist disqus replies reply respond".split())
+BAD_NAMES = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright disqus dialog disclaimer discussion discussions footer gdpr header legal links login masthead menu modal nav navbar navigation newsletter notice notices outbrain pager pagination popup promo promoted related recommended reply replies respond responses search share sharing sidebar signup skip social sponsor sponsored subscribe taboola tags toolbar toc widget".split())
+READER_NAMES = frozenset("comment comments commentlist discussion discussions disqus replies reply respond responses".split())
 GOOD_NAMES = frozenset("article articlebody body content entry main post story text".split())
 #: Log odds for the page's own marks around a block; they are the training labels and are not fitted.
 ARTICLE, BAD_TAG, BAD_NAME, GOOD_NAME = 3.0, -12.0, -12.0, 1.0
@@ -92,7 +98,7 @@ class Block:
 
 
 def _inside(up: Node, tag: str, attrs: str, number: int) -> Node:
-    words = {w for g in NAMES.findall(attrs) for w in re.split(r"[^a-z]+", "".join(g).lower())} if attrs else ()
+    words = _attr_words(attrs) if attrs else ()
     article = up.article or tag in ARTICLE_TAGS
     bad_words = BAD_NAMES.intersection(words)
     good = bool(GOOD_NAMES.intersection(words))
@@ -100,6 +106,8 @@ def _inside(up: Node, tag: str, attrs: str, number: int) -> Node:
         bad_words = frozenset()
     elif tag == "article":
         bad_words &= READER_NAMES
+    elif good and tag in PARAGRAPHS:
+        bad_words &= INLINE_BAD
     elif article or good:
         bad_words -= {"header"}
     bad = tag in BAD_TAGS and tag != "form" and not (tag == "header" and article)
@@ -107,20 +115,44 @@ def _inside(up: Node, tag: str, attrs: str, number: int) -> Node:
     return Node(tag, number, up.number, article, up.bad or bad, up.bad_name or bool(bad_words), up.good_name or good, up.silent or tag in SILENT, form)
 
 
+def _attr_words(attrs: str) -> set[str]:
+    return {w for g in NAMES.findall(attrs) for w in re.split(r"[^a-z]+", "".join(g).lower())}
+
+
+def _ends(tokens: list[re.Match], wanted: frozenset[str]) -> set[int]:
+    """Numbers of the start tags that have an end tag of their own: an end tag belongs to the last start tag before it
+    that has none. A self-closed svg is empty, and a block ends an open element that holds none."""
+    open_: dict[str, list[int]] = {}
+    out: set[int] = set()
+    for i, m in enumerate(tokens):
+        tag = (m["tag"] or "").lower()
+        if tag in BREAKOUT:
+            for t in PHRASING:
+                open_.pop(t, None)
+        elif tag in wanted:
+            if m["close"]:
+                if open_.get(tag):
+                    out.add(open_[tag].pop())
+            elif not (tag == "svg" and m["attrs"].endswith("/")):
+                open_.setdefault(tag, []).append(i)
+    return out
+
+
 def blocks(page: str) -> list[Block]:
-    """Text blocks in page order. One pass: an element knows its parent and what holds inside it."""
+    """Text blocks in page order. An element knows its parent and what holds inside it; an inline element that is set apart is
+    a block of its own, behind the one that it stands in."""
     out: list[Block] = []
+    aside: list[Block] = []
     stack = [Node("", 0, 0)]
     pieces: list[str] = []
+    outer: list[tuple[list[str], int]] = []
     opened: dict[str, int] = {}
-    ends: dict[str, int] = {}
-    lower = page.lower()
-    if len(lower) != len(page):  # a letter that is longer in lower case
-        lower = page
     number = linked = low = link = 0
 
     def flush() -> None:
         nonlocal linked, low
+        while outer:  # a block ends what is set apart
+            leave()
         if pieces:
             text = " ".join(entities.unescape("".join(pieces)).split())
             if text:
@@ -128,6 +160,20 @@ def blocks(page: str) -> list[Block]:
                 low = len(stack)
             pieces.clear()
             linked = 0
+        for x in aside:
+            x.joint = min(low, len(stack))
+            out.append(x)
+            low = len(stack)
+        aside.clear()
+
+    def leave() -> None:
+        nonlocal pieces, linked
+        node = stack.pop()
+        opened[node.tag] -= 1
+        text = " ".join(entities.unescape("".join(pieces)).split())
+        if text:
+            aside.append(Block(text, linked, node, len(stack) + 1, len(stack)))
+        pieces, linked = outer.pop()
 
     def close(tag: str) -> None:
         nonlocal low, link
@@ -138,7 +184,9 @@ def blocks(page: str) -> list[Block]:
                 break
         low, link = min(low, len(stack)), link if link <= len(stack) else 0
 
-    for m in TOKEN.finditer(page):
+    tokens = list(TOKEN.finditer(page))
+    closed = _ends(tokens, SILENT | INLINE)
+    for i, m in enumerate(tokens):
         if (text := m["text"]) is not None:
             if not stack[-1].silent:
                 pieces.append(text)
@@ -150,7 +198,9 @@ def blocks(page: str) -> list[Block]:
         if m["close"]:
             if tag == "a":
                 link = 0
-            elif opened.get(tag):
+            if outer and stack[-1].tag == tag:
+                leave()
+            elif tag not in INLINE and opened.get(tag):
                 flush()
                 close(tag)
             elif tag in BLOCK_TAGS:
@@ -160,13 +210,18 @@ def blocks(page: str) -> list[Block]:
             close("head")
         if tag == "a":
             link = len(stack)
-        elif tag == "br":
+        if tag == "br":
             pieces.append(" ")
+        elif tag in INLINE:
+            if i in closed and not stack[-1].silent and not stack[-1].bad_name and m["attrs"] and INLINE_BAD.intersection(_attr_words(m["attrs"])):
+                number += 1
+                outer.append((pieces, linked))
+                pieces, linked = [], 0
+                stack.append(_inside(stack[-1], tag, m["attrs"], number))
+                opened[tag] = opened.get(tag, 0) + 1
         elif tag == "head" or tag in SILENT:
-            # without an end tag it would hide the rest of the page
-            if tag not in ends:
-                ends[tag] = lower.rfind(f"</{tag}")
-            if tag == "head" or ends[tag] > m.end() - 1:
+            # without an end tag of its own it would hide the rest of the page
+            if tag == "head" or i in closed:
                 number += 1
                 stack.append(Node(tag, number, stack[-1].number, silent=True))
                 opened[tag] = opened.get(tag, 0) + 1
