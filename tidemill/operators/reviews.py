@@ -6,9 +6,12 @@ A run is one report: run_id, side (ste, nonste, probe), key, word, pos, scored,
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemill.functions import exact
 from tidemill.functions.text import WORD, sentence_case, stems, words_of
 from tidemill.operators.compliance import hit, items, origins
 from tidemill.operators.lexicon import targets
@@ -144,8 +147,13 @@ def fresh_tokens(reports: DataFrame, senses: DataFrame) -> DataFrame:
 
 
 def timing(run: DataFrame, *by: str) -> DataFrame:
-    """Runs, mean and longest seconds, of each group or of all."""
-    return run.groupBy(*by).agg(F.count("*").alias("runs"), F.avg("seconds").alias("mean"), F.max("seconds").alias("most"))
+    """Runs, mean and longest seconds, of each group or of all; the mean does not depend on the order of the rows."""
+    runs = run.groupBy(*by).agg(F.count("*").alias("runs"), F.max("seconds").alias("most"))
+    means = exact.moments(run, [*by], {"seconds": F.col("seconds")}).withColumnRenamed("seconds_mean", "mean")
+    if not by:
+        return runs.join(means.select("mean"), how="left").select("runs", "mean", "most")  # a row on each side
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"m_{c}")) for c in by])
+    return runs.join(means.select(*[F.col(c).alias(f"m_{c}") for c in by], "mean"), same).select(*by, "runs", "mean", "most")
 
 
 def gate_table(gates: DataFrame, *names: str) -> DataFrame:

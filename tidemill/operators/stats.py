@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemill.functions import exact
+
 MEASURES = ("accuracy", "reasoning", "generated", "output", "latency", "compliance", "checker_ok", "gate_ok", "findings")
 COUNTS = ("n", "n_scored", "no_line", "fallback_hits", "n_truncated", "n_degenerate", "n_checked")
 
@@ -18,29 +21,43 @@ def task_counts(tasks: DataFrame, *by: str) -> DataFrame:
 
 def per_sample(records: DataFrame) -> DataFrame:
     """arm, sample -> counts and means. Accuracy leaves out unscored and truncated records; the checker's means
-    are over checked records, gate_ok over those with a gate. Records without a checker column count as unchecked."""
+    are over checked records, gate_ok over those with a gate. Records without a checker column count as unchecked.
+
+    Means do not depend on the order of the rows: whole numbers and flags are summed as such, doubles exactly."""
     if "checker" not in records.columns:
         records = records.withColumn("checker", F.lit(None).cast("struct<status: string, ok: boolean, findings: int, gate_ok: boolean>"))
     checked = F.coalesce(F.col("checker.status") == "checked", F.lit(False))
-    of_checked = lambda c: F.avg(F.when(checked, F.col(c).cast("double")))
     scored = F.col("correct").isNotNull() & ~F.col("truncated")
-    mean = lambda c: F.avg(F.when(~F.isnan(c.cast("double")), c.cast("double")))
-    return records.groupBy("arm", "sample").agg(
-        F.count("*").alias("n"), F.avg(F.when(scored, F.col("correct").cast("double"))).alias("accuracy"), F.count_if(scored).alias("n_scored"),
+    of_checked = lambda c: F.when(checked, F.col(c))
+    measured = {
+        "accuracy": F.when(scored, F.col("correct")), "reasoning": F.col("reasoning_tokens"), "generated": F.col("generated_tokens"), "output": F.col("output_tokens"),
+        "latency": F.col("latency_s"), "compliance": F.col("compliance"), "checker_ok": of_checked("checker.ok"), "gate_ok": of_checked("checker.gate_ok"), "findings": of_checked("checker.findings"),
+    }
+    doubles = {m: F.when(~F.isnan(c), c) for m, c in measured.items() if exact.is_double(records, c)}
+    mean = lambda c: F.try_divide(F.sum(c.cast("long")).cast("double"), F.count(c))
+    out = records.groupBy("arm", "sample").agg(
+        F.count("*").alias("n"), F.count_if(scored).alias("n_scored"),
         F.count("fallback_correct").alias("no_line"), F.count_if("fallback_correct").alias("fallback_hits"), F.count_if("truncated").alias("n_truncated"), F.count_if("degenerate").alias("n_degenerate"),
-        mean(F.col("reasoning_tokens")).alias("reasoning"), mean(F.col("generated_tokens")).alias("generated"), mean(F.col("output_tokens")).alias("output"),
-        mean(F.col("latency_s")).alias("latency"), mean(F.col("compliance")).alias("compliance"), F.count_if(checked).alias("n_checked"),
-        of_checked("checker.ok").alias("checker_ok"), of_checked("checker.gate_ok").alias("gate_ok"), of_checked("checker.findings").alias("findings"),
+        F.count_if(checked).alias("n_checked"), *[mean(c).alias(m) for m, c in measured.items() if m not in doubles],
     )
+    return _beside(out, ["arm", "sample"], exact.moments(records, ["arm", "sample"], doubles).withColumnsRenamed({f"{m}_mean": m for m in doubles}) if doubles else None, [*doubles])
+
+
+def _beside(groups: DataFrame, by: list[str], more: DataFrame | None, names: list[str]) -> DataFrame:
+    """groups with the named columns of more, a row for each of the same groups."""
+    if more is None:
+        return groups
+    renamed = more.select(*[F.col(c).alias(f"more_{c}") for c in by], *names)
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"more_{c}")) for c in by])
+    return groups.join(renamed, same, "left").drop(*[f"more_{c}" for c in by])
 
 
 def spread(samples: DataFrame) -> DataFrame:
     """arm -> mean and sample deviation of the samples' means (0 for a single one), counts summed."""
-    cols = []
-    for m in MEASURES:
-        cols += [F.avg(m).alias(m), F.when(F.count(m) == 1, F.lit(0.0)).otherwise(F.stddev_samp(m)).alias(f"{m}_sd")]
     sums = [F.sum(c).alias(c) for c in COUNTS]
-    return samples.groupBy("arm").agg(F.countDistinct("sample").alias("k"), *sums, *cols)
+    arms = samples.groupBy("arm").agg(F.countDistinct("sample").alias("k"), *sums)
+    means = exact.moments(samples, ["arm"], {m: F.col(m) for m in MEASURES}, spread=True).withColumnsRenamed({f"{m}_mean": m for m in MEASURES})
+    return _beside(arms, ["arm"], means, [c for m in MEASURES for c in (m, f"{m}_sd")])
 
 
 def tax(arms: DataFrame, base: str = "A0") -> DataFrame:
