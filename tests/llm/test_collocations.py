@@ -61,7 +61,7 @@ def test_intervals_count_every_phrase():
         ids = np.array([rng.randrange(4) for _ in range(n)], np.int64)
         ahead = np.concatenate([ids[1:], [0]]) if n else ids
         pairs = (ids > 0) & (ahead > 0)
-        for depths in ((2,), (3, 4)):
+        for depths in ((2,), (3, 4), (2, 3, 4)):
             got = {}
             for k, at, count in C.intervals(ids, pairs, depths):
                 got |= {tuple(ids[a : a + k].tolist()): c for a, c in zip(at, count)}
@@ -74,7 +74,7 @@ def test_wrong_bits_change_nothing(spark, monkeypatch):
     rows = _rows(40)
     df = spark.createDataFrame(rows, "lang string, text string")
     want = sorted(map(tuple, C.collocations(df, 40, 4).collect()))
-    monkeypatch.setattr(C, "_bitmap", lambda hashed: b"\xff" * (C.FILTER_BITS // 8))
+    monkeypatch.setattr(C, "_bitmap", lambda keys: b"\xff" * (C.FILTER_BITS // 8))
     assert sorted(map(tuple, C.collocations(df, 40, 4).collect())) == want
 
 

@@ -6,10 +6,11 @@ suffixes of the id array by their first two, then four words; runs of neighbours
 of depth n) are the phrases of n words and their counts. Each shard sends a row for each of its phrases, so a frequent phrase
 costs as many rows as there are shards, and the counts are summed by phrase.
 
-A phrase of at least ``least`` occurrences holds only such phrases, so three passes over the texts send little: words;
-pairs of frequent words; then phrases of three and four words whose pairs are frequent. Shards tell frequent
-words and pairs by a bitmap of FILTER_BITS bits, of fixed size whatever the corpus: where it is wrong a phrase
-too many is counted, and the exact count removes it, so results do not depend on it.
+A phrase of at least ``least`` occurrences holds only such phrases, so three passes over the texts send little: sums by hash of
+words; sums by hash of pairs of frequent words; then the words, pairs, and phrases of three and four words that may be frequent, as
+text. Hashes only leave out what cannot be frequent: their sums are never too small, a bitmap of FILTER_BITS bits, of
+fixed size whatever the corpus, tells shards which hashes are frequent, and what it lets through by
+mistake is removed by the exact count of the text, so results depend on neither.
 
 Defined cases: a null text has no words; a null lang is ``und``; empty texts count nothing; repeated rows count
 again; ties of score and count go by the bytes of the phrase; an empty table gives no rows; other columns are ignored, whatever
@@ -34,7 +35,8 @@ SHARD_WORDS = 1_000_000
 #: Bits of the bitmap that a task holds (8 MB).
 FILTER_BITS = 1 << 26
 SEGMENT_BITS = 1 << 19
-COUNTS = "lang string, words int, phrase string, n long"
+#: Bits of a hash of a word or pair; fewer bits cost less to send and let more through.
+HASH_BITS = 40
 _BYTES = bytearray(range(256))
 for _b in b".,;:!?\x0a\x0b\x0c\x0d":
     _BYTES[_b] = 0x0A
@@ -58,29 +60,34 @@ def _pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mixed ^ (mixed >> np.uint64(32))
 
 
-def _places(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The two bits of a hash."""
-    return (hashes % np.uint64(FILTER_BITS)).astype(np.int64), ((hashes >> np.uint64(33)) % np.uint64(FILTER_BITS)).astype(np.int64)
+def _key(hashes: np.ndarray) -> np.ndarray:
+    return (hashes & np.uint64((1 << HASH_BITS) - 1)).view(np.int64)
+
+
+def _places(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two bits of a key."""
+    k = keys.view(np.uint64)
+    return (k % np.uint64(FILTER_BITS)).astype(np.int64), ((k * np.uint64(0x94D049BB133111EB) >> np.uint64(31)) % np.uint64(FILTER_BITS)).astype(np.int64)
 
 
 class Bits:
-    """Bitmap of frequent words or pairs, as bytes."""
+    """Bitmap of the keys of frequent words or pairs, as bytes."""
 
     def __init__(self, raw: bytes) -> None:
         self.raw = np.frombuffer(raw, np.uint8)
 
     def has(self, hashes: np.ndarray) -> np.ndarray:
-        a, b = _places(hashes)
+        a, b = _places(_key(hashes))
         bit = lambda p: (self.raw[p >> 3] >> (p & 7).astype(np.uint8)) & 1
         return (bit(a) & bit(b)).astype(bool)
 
 
-def _bitmap(hashed: DataFrame) -> bytes:
-    """FILTER_BITS bits with those of the column ``hash`` set, put together in segments by tasks."""
+def _bitmap(keys: DataFrame) -> bytes:
+    """FILTER_BITS bits with those of the column ``key`` set, put together in segments by tasks."""
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at = np.unique(np.concatenate(_places(b.column("hash").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))))
+            at = np.unique(np.concatenate(_places(b.column("key").to_numpy(zero_copy_only=False))))
             yield pa.RecordBatch.from_arrays([pa.array(at // SEGMENT_BITS), pa.array((at % SEGMENT_BITS).astype(np.int32))], ["segment", "bit"])
 
     def segment(t: pa.Table) -> pa.Table:
@@ -88,27 +95,13 @@ def _bitmap(hashed: DataFrame) -> bytes:
         bits[t.column("bit").to_numpy()] = 1
         return pa.table({"segment": t.column("segment").slice(0, 1), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
 
-    rows = hashed.mapInArrow(places, "segment long, bit int").distinct().groupBy("segment").applyInArrow(segment, "segment long, bits binary")
+    rows = keys.mapInArrow(places, "segment long, bit int").distinct().groupBy("segment").applyInArrow(segment, "segment long, bits binary")
     out, size = bytearray(FILTER_BITS // 8), SEGMENT_BITS // 8
     for r in rows.toLocalIterator():  # FILTER_BITS bits at most
         out[r.segment * size : (r.segment + 1) * size] = r.bits
     return bytes(out)
 
 
-def _hashes(counts: DataFrame) -> DataFrame:
-    """Hashes of the phrases of one and two words in counts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            split = [(p.encode().split(b" "), lang) for p, lang in zip(b.column("phrase").to_pylist(), b.column("lang").to_pylist())]
-            first = np.array([_word_hash(w[0], lang) for w, lang in split], np.uint64)
-            if split and len(split[0][0]) == 2:
-                first = _pair_hash(first, np.array([_word_hash(w[1], lang) for w, lang in split], np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(first.view(np.int64))], ["hash"])
-
-    return counts.select("lang", "phrase").mapInArrow(run, "hash long")
-
-
 # ---- one shard --------------------------------------------------------------------------------------
 
 
@@ -189,59 +182,82 @@ def intervals(ids: np.ndarray, pairs: np.ndarray, depths: tuple[int, ...]) -> It
 PHRASES_AT_ONCE = 50_000
 
 
-def counted(shard: Shard, lang: str, depth: int, bits: Bits | None) -> Iterator[tuple[int, list[str], np.ndarray]]:
-    """(words, phrases, counts) of one language's texts in a shard; depth 1, 2 or 3 (three and four words)."""
+def _pairs(ids: np.ndarray, hashes: np.ndarray, words: Bits) -> tuple[np.ndarray, np.ndarray]:
+    """Whether a frequent word stands at each place, and before another."""
+    known = words.has(hashes)
+    known[0] = False
+    known = known[ids]
+    return known, known & _ahead(known, 1)
+
+
+def hashed(shard: Shard, lang: str, words: Bits | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(keys, counts) of the words of one language's texts in a shard, or of the pairs of frequent words."""
     ids, word = shard.ids(), shard.words()
-    if depth == 1:
-        n = np.bincount(ids, minlength=len(word))
-        for i in range(1, len(word), PHRASES_AT_ONCE):
-            yield 1, [w.decode() for w in word[i : i + PHRASES_AT_ONCE]], n[i : i + PHRASES_AT_ONCE]
-        yield 0, [""], np.array([n[1:].sum()])
+    hashes = np.array([0] + [_word_hash(w, lang) for w in word[1:]], np.uint64)
+    if words is None:
+        yield _key(hashes[1:]), np.bincount(ids, minlength=len(word))[1:]
         return
+    for _, at, count in intervals(ids, _pairs(ids, hashes, words)[1], (2,)):
+        yield _key(_pair_hash(hashes[ids[at]], hashes[ids[at + 1]])), count
+
+
+def counted(shard: Shard, lang: str, words: Bits, pairs: Bits) -> Iterator[tuple[list[str], np.ndarray]]:
+    """(phrases, counts) of what may be frequent, of one word to LONGEST; the empty phrase counts all words."""
+    ids, word = shard.ids(), shard.words()
     hashes = np.array([0] + [_word_hash(w, lang) for w in word[1:]], np.uint64)
-    if depth == 2:
-        known = bits.has(hashes)
-        known[0] = False
-        pairs = known[ids] & _ahead(known[ids], 1)
-    else:
-        pairs = (ids > 0) & (_ahead(ids, 1) > 0)
-        at = np.flatnonzero(pairs)
-        pairs[at] = bits.has(_pair_hash(hashes[ids[at]], hashes[ids[at + 1]]))
-    for n, at, count in intervals(ids, pairs, (2,) if depth == 2 else (3, 4)):
+    known, both = _pairs(ids, hashes, words)
+    yield [""], np.array([(ids > 0).sum()])
+    n = np.bincount(ids[known], minlength=len(word))
+    found = np.flatnonzero(n)
+    yield [word[i].decode() for i in found.tolist()], n[found]
+    at = np.flatnonzero(both)
+    both[at] = pairs.has(_pair_hash(hashes[ids[at]], hashes[ids[at + 1]]))
+    for n, at, count in intervals(ids, both, (2, 3, 4)):
         for i in range(0, len(at), PHRASES_AT_ONCE):
             part = at[i : i + PHRASES_AT_ONCE]
-            yield n, [b" ".join([word[k] for k in p]).decode() for p in zip(*(ids[part + k].tolist() for k in range(n)))], count[i : i + PHRASES_AT_ONCE]
+            yield [b" ".join([word[k] for k in p]).decode() for p in zip(*(ids[part + k].tolist() for k in range(n)))], count[i : i + PHRASES_AT_ONCE]
+
 
+def _shards(batches: Iterator[pa.RecordBatch], shard_words: int) -> Iterator[tuple[str, Shard]]:
+    """(language, shard) of a task's texts."""
+    held: dict[str, Shard] = {}
+    size = 0
+    for b in batches:
+        for lang, text in zip(b.column("lang").to_pylist(), b.column("text")):
+            words = words_of(text.as_py())
+            if size and size + len(words) > shard_words:
+                while held:
+                    yield held.popitem()
+                size = 0
+            held.setdefault(lang, Shard()).add(words)
+            size += len(words)
+    while held:
+        yield held.popitem()
 
-def shard_counts(docs: DataFrame, depth: int, bits=None, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """lang, words, phrase, n for each phrase of each shard; bits is a broadcast of bitmap bytes. words 0 is the total."""
+
+def frequent_keys(docs: DataFrame, least: int, words=None, shard_words: int = SHARD_WORDS) -> DataFrame:
+    """key of each word, or pair of the words of a bitmap, that stands least times or shares its key with others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = bits and Bits(bits.value)
-        held: dict[str, Shard] = {}
-        size = 0
+        known = words and Bits(words.value)
+        for lang, shard in _shards(batches, shard_words):
+            for keys, count in hashed(shard, lang, known):
+                for i in range(0, len(keys), PHRASES_AT_ONCE):
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + PHRASES_AT_ONCE]), pa.array(count[i : i + PHRASES_AT_ONCE].astype(np.int64))], ["key", "n"])
 
-        def emit() -> Iterator[pa.RecordBatch]:
-            while held:
-                lang, shard = held.popitem()
-                for n, phrases, count in counted(shard, lang, depth, known):
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(phrases)), pa.array([n] * len(phrases), pa.int32()), pa.array(phrases, pa.string()), pa.array(count.astype(np.int64))], ["lang", "words", "phrase", "n"])
+    return docs.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("key")
 
-        for b in batches:
-            for lang, text in zip(b.column("lang").to_pylist(), b.column("text")):
-                words = words_of(text.as_py())
-                if size and size + len(words) > shard_words:
-                    yield from emit()
-                    size = 0
-                held.setdefault(lang, Shard()).add(words)
-                size += len(words)
-        yield from emit()
 
-    return docs.mapInArrow(run, COUNTS)
+def shard_counts(docs: DataFrame, words, pairs, shard_words: int = SHARD_WORDS) -> DataFrame:
+    """phrase (language, tab, phrase) and n of what each shard counts; words and pairs are broadcast bitmaps."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Bits(words.value), Bits(pairs.value)
+        for lang, shard in _shards(batches, shard_words):
+            for phrases, count in counted(shard, lang, *known):
+                yield pa.RecordBatch.from_arrays([pa.array([f"{lang}\t{p}" for p in phrases], pa.string()), pa.array(count.astype(np.int64))], ["phrase", "n"])
 
-def _merged(shards: DataFrame, least: int) -> DataFrame:
-    return shards.groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n")).filter((F.col("words") == 0) | (F.col("n") >= least))
+    return docs.mapInArrow(run, "phrase string, n long")
 
 
 def frequent_phrases(docs: DataFrame, least: int = LEAST, shard_words: int = SHARD_WORDS) -> DataFrame:
@@ -249,22 +265,23 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, shard_words: int = SHA
     spark = docs.sparkSession
     read = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text")).filter("text <> ''")
     with few_at_once(spark):
-        ones = stable(_merged(shard_counts(read, 1, shard_words=shard_words), least))
-    words = spark.sparkContext.broadcast(_bitmap(_hashes(ones.filter("words = 1"))))
-    with few_at_once(spark):
-        twos = stable(_merged(shard_counts(read, 2, words, shard_words), least))
-    pairs = spark.sparkContext.broadcast(_bitmap(_hashes(twos)))
-    with few_at_once(spark):
-        more = stable(_merged(shard_counts(read, 3, pairs, shard_words), least))
+        words = spark.sparkContext.broadcast(_bitmap(frequent_keys(read, least, None, shard_words)))
+        pairs = spark.sparkContext.broadcast(_bitmap(frequent_keys(read, least, words, shard_words)))
+        merged = shard_counts(read, words, pairs, shard_words).groupBy("phrase").agg(F.sum("n").alias("n"))
+        # no phrase has a tab
+        phrase = F.substring_index("phrase", "\t", -1)
+        lang = F.expr("substring(phrase, 1, length(phrase) - length(substring_index(phrase, '\t', -1)) - 1)")
+        split = merged.select(lang.alias("lang"), F.when(phrase == "", 0).otherwise(F.size(F.split(phrase, " "))).alias("words"), phrase.alias("phrase"), "n")
+        found = stable(split.filter((F.col("words") == 0) | (F.col("n") >= least)))
     words.unpersist()
     pairs.unpersist()
-    return ones.unionByName(twos).unionByName(more)
+    return found
 
 
 # ---- scores -----------------------------------------------------------------------------------------
 
 
-def _key(phrase: Column) -> Column:
+def _named(phrase: Column) -> Column:
     """Language and phrase in one; a phrase has no tab."""
     return F.concat(F.col("lang"), F.lit("\t"), phrase)
 
@@ -275,7 +292,7 @@ def _part(first: Column, count: Column) -> Column:
 
 def scored(counts: DataFrame) -> DataFrame:
     """lang, words, phrase, a, l, r, score of each phrase of two words or more: its lowest cut, the first of equal ones."""
-    parts = stable(counts.filter("words > 0").select(_key(F.col("phrase")).alias("key"), F.col("n").alias("f")))
+    parts = stable(counts.filter("words > 0").select(_named(F.col("phrase")).alias("key"), F.col("n").alias("f")))
 
     def looked_up(d: DataFrame, key: str, out: str) -> DataFrame:
         hot = frequent(d.groupBy(key).agg(F.count("*").alias("n")), key)
@@ -283,7 +300,7 @@ def scored(counts: DataFrame) -> DataFrame:
 
     k, n = F.col("k"), F.col("words")
     cuts = counts.filter("words > 1").select("lang", "words", "phrase", F.col("n").alias("a"), F.explode(F.sequence(F.lit(1), n - 1)).alias("k"))
-    cuts = cuts.withColumns({"first": _key(_part(F.lit(1), k)), "rest": _key(_part(k + 1, n - k))})
+    cuts = cuts.withColumns({"first": _named(_part(F.lit(1), k)), "rest": _named(_part(k + 1, n - k))})
     cuts = looked_up(looked_up(cuts, "first", "l"), "rest", "r")
     score = F.expr("CAST(2000000 AS decimal(8,0)) * CAST(a AS decimal(20,0)) div (CAST(l AS decimal(20,0)) + CAST(r AS decimal(20,0)))")
     best = cuts.withColumn("score", score).groupBy("lang", "words", "phrase", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("b"))
