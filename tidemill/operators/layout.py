@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemill.operators.scan import LARGE_KEY, Take, free, ordered
 
-def gap_groups(rows: DataFrame, by: str, at: Column, gap: float, order: list) -> DataFrame:
+
+def gap_groups(rows: DataFrame, by: str, at: Column, gap: float, order: list, large: int = LARGE_KEY) -> DataFrame:
     """Number of the chained group: a new one where the gap to the row before is larger than ``gap``."""
-    w = Window.partitionBy(by).orderBy(*order)
-    new = F.coalesce(at - F.lag(at).over(w) > gap, F.lit(True))
-    return rows.withColumn("group_no", F.sum(new.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    (before,) = free(rows, "before")
+    scan = ordered(rows, [by], order, large).take(**{before: Take("lag", at)})
+    new = F.coalesce(at - F.col(before) > gap, F.lit(True)).cast("int")
+    return scan.take(group_no=Take("sum", new)).result().drop(before)
 
 
 #: How far left of a column a word may start, how far in help text starts, gap between rows, reach of a rule line.
@@ -36,10 +39,9 @@ def page_rows(words: DataFrame, pages: DataFrame, rules: DataFrame) -> DataFrame
     return lined.select("page", "group_no", "y", F.col("rule").isNotNull().alias("ruled"), "head", F.when(is_help, "").otherwise(F.col("main")).alias("main"), F.when(is_help, F.col("main")).otherwise("").alias("help"), "ste", "nonste")
 
 
-def carried(rows: DataFrame, by: str, order: str, *names: str) -> DataFrame:
+def carried(rows: DataFrame, by: str, order: str, *names: str, large: int = LARGE_KEY) -> DataFrame:
     """The last value that is not null, up to this row."""
-    w = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return rows.withColumns({n: F.last(n, True).over(w) for n in names})
+    return ordered(rows, [by], [order], large).take(**{n: Take("last", F.col(n)) for n in names}).result()
 
 
 def band_join(rows: DataFrame, rules: DataFrame, below: float, above: float) -> DataFrame:
@@ -57,27 +59,25 @@ def band_join(rows: DataFrame, rules: DataFrame, below: float, above: float) ->
     return rows.join(hit, ["page", "y"], "left")
 
 
-def asof_spans(words: DataFrame, spans: DataFrame) -> DataFrame:
+def asof_spans(words: DataFrame, spans: DataFrame, large: int = LARGE_KEY) -> DataFrame:
     """For each word (row, mid) the first span of its row whose right edge is not left of it, else the last.
 
-    One ordered pass over words and spans together, no range join.
+    One ordered scan of words and spans together, no range join.
     """
     both = spans.select("row", F.col("right").alias("at"), F.lit(1).alias("kind"), F.col("span"), F.lit(None).cast("long").alias("word")).unionByName(
         words.select("row", F.col("mid").alias("at"), F.lit(0).alias("kind"), F.lit(None).cast("string").alias("span"), "word")
     )
-    w = Window.partitionBy("row").orderBy("at", "kind", "span")
-    after = F.first("span", True).over(w.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    before = F.last("span", True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return both.withColumn("hit", F.coalesce(after, before)).filter("kind = 0").select("row", "word", "hit")
+    nearest = ordered(both, ["row"], ["at", "kind", "span", "word"], large).take(after=Take("next", F.col("span")), before=Take("last", F.col("span")))
+    return nearest.result().filter("kind = 0").select("row", "word", F.coalesce("after", "before").alias("hit"))
 
 
-def soft_hyphens(rows: DataFrame, by: str, order: str) -> DataFrame:
+def soft_hyphens(rows: DataFrame, by: str, order: str, large: int = LARGE_KEY) -> DataFrame:
     """Rows joined over line-end hyphens: a row that ends in a letter and a hyphen takes the next row where
     that starts with a letter; chains join in one piece."""
-    w = Window.partitionBy(by).orderBy(order)
-    joins = F.coalesce(F.lag("text").over(w).rlike("[A-Za-z]-$") & F.col("text").rlike("^[A-Za-z]"), F.lit(False))
-    d = rows.withColumn("joins", joins)
-    d = d.withColumn("piece", F.sum((~F.col("joins")).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    (before,) = free(rows, "before")
+    scan = ordered(rows, [by], [order], large).take(**{before: Take("lag", F.col("text"))})
+    joins = F.coalesce(F.col(before).rlike("[A-Za-z]-$") & F.col("text").rlike("^[A-Za-z]"), F.lit(False))
+    d = scan.take(piece=Take("sum", (~joins).cast("int"))).result()
     parts = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("text").alias("t"))))
     text = F.aggregate(parts, F.lit(""), lambda s, x: F.concat(F.when((s != "") & s.rlike("[A-Za-z]-$"), F.regexp_replace(s, "-$", "")).otherwise(s), x["t"]))
     return d.groupBy(by, "piece").agg(text.alias("text"), F.min(order).alias(order))

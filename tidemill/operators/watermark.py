@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemill.operators.scan import LARGE_KEY, Take, free, ordered
 from tidemill.operators.stats import z_statistic
 
 
@@ -45,12 +46,11 @@ def pairs(sequences: DataFrame) -> DataFrame:
     return sequences.filter(n >= 2).select("seq", F.explode(two).alias("p")).select("seq", "p.prev", "p.cur")
 
 
-def row_pairs(rows: DataFrame, *order: str, most: str | None = None) -> DataFrame:
-    """The same from a row for each token (seq, token), without an array of a sequence; with ``most``, a
-    column of seq, only of the first so many tokens."""
-    w = Window.partitionBy("seq").orderBy(*order)
-    two = rows.withColumns({"cur": F.lead("token").over(w), "at": F.row_number().over(w)}).filter("cur IS NOT NULL")
-    return (two.filter(F.col("at") < F.col(most)) if most else two).select("seq", F.col("token").alias("prev"), "cur")
+def row_pairs(rows: DataFrame, *order: str, most: str | None = None, large: int = LARGE_KEY) -> DataFrame:
+    """The same from a row for each token (seq, token), without an array of a sequence and without a task that holds a
+    long one; with ``most``, a column of seq, only of the first so many tokens."""
+    two = ordered(rows, ["seq"], [*order], large).take(cur=Take("lead", F.col("token")), place=Take("sum", F.lit(1))).result().filter("cur IS NOT NULL")
+    return (two.filter(F.col("place") < F.col(most)) if most else two).select("seq", F.col("token").alias("prev"), "cur")
 
 
 def membership(distinct: DataFrame, scheme: Scheme) -> DataFrame:
@@ -105,8 +105,9 @@ def summary_lines(records: DataFrame) -> DataFrame:
 
 def matched(sequences: DataFrame, by: str) -> DataFrame:
     """Sequences cut to the shortest of their group."""
-    least = sequences.groupBy(F.col(by).alias("__by")).agg(F.min(F.size("tokens")).alias("__m"))
-    return sequences.join(least, F.col(by).eqNullSafe(F.col("__by"))).withColumn("tokens", F.slice("tokens", F.lit(1), F.col("__m"))).drop("__by", "__m")
+    group, shortest = free(sequences, "group", "shortest")
+    least = sequences.groupBy(F.col(by).alias(group)).agg(F.min(F.size("tokens")).alias(shortest))
+    return sequences.join(least, F.col(by).eqNullSafe(F.col(group))).withColumn("tokens", F.slice("tokens", F.lit(1), F.col(shortest))).drop(group, shortest)
 
 
 def watermark_records(sequences: DataFrame, scheme: Scheme) -> DataFrame:

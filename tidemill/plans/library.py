@@ -537,6 +537,35 @@ def o6_carry(spark, d):
     return layout.carried(e, "user_id", "event_id", "head").select("event_id", "head")
 
 
+#: The same scans with all events under one key, which then lies in many blocks.
+@query("o3_one_key", """SELECT g AS group_no, count(*) AS n FROM (SELECT sum(CASE WHEN gap > 60 OR gap IS NULL THEN 1 ELSE 0 END) OVER (ORDER BY ts, event_id)::BIGINT AS g
+FROM (SELECT ts, event_id, epoch(ts)::BIGINT - lag(epoch(ts)::BIGINT) OVER (ORDER BY ts, event_id) AS gap FROM events)) GROUP BY g""")
+def o3_one_key(spark, d):
+    e = _t(spark, d, "events").select(F.lit("all").alias("stream"), "ts", "event_id", F.round(F.unix_micros(F.col("ts").cast("timestamp")) / 1000000).cast("long").alias("at"))
+    return layout.gap_groups(e, "stream", F.col("at"), 60, ["ts", "event_id"], large=0).groupBy("group_no").agg(F.count("*").alias("n"))
+
+
+@query("o6_one_key", "SELECT event_id, last_value(h IGNORE NULLS) OVER (ORDER BY event_id) AS head FROM (SELECT event_id, CASE WHEN event_id % 50 = 0 THEN event_type END AS h FROM events)")
+def o6_one_key(spark, d):
+    e = _t(spark, d, "events").select(F.lit(1).alias("book"), "event_id", F.when(F.col("event_id") % 50 == 0, F.col("event_type")).alias("head"))
+    return layout.carried(e, "book", "event_id", "head", large=0).select("event_id", "head")
+
+
+@query("j14_one_row", """WITH s AS (SELECT event_id::DOUBLE AS "right", 's' || event_id AS span FROM events WHERE event_id % 30 = 0), w AS (SELECT event_id AS word, event_id + 0.5 AS mid FROM events WHERE event_id % 30 <> 0)
+SELECT w.word, coalesce(s.span, (SELECT arg_max(span, "right") FROM s)) AS hit FROM w ASOF LEFT JOIN s ON s."right" >= w.mid""")
+def j14_one_row(spark, d):
+    e = _t(spark, d, "events")
+    s = e.filter("event_id % 30 = 0").select(F.lit(0).alias("row"), F.col("event_id").cast("double").alias("right"), F.concat(F.lit("s"), "event_id").alias("span"))
+    w = e.filter("event_id % 30 <> 0").select(F.lit(0).alias("row"), F.col("event_id").alias("word"), (F.col("event_id") + 0.5).alias("mid"))
+    return layout.asof_spans(w, s, large=0).select("word", "hit")
+
+
+@query("w2_one_sequence", "SELECT prev, cur, count(*) AS n FROM (SELECT event_id * 7 % 50 AS prev, lead(event_id * 7 % 50) OVER (ORDER BY ts, event_id) AS cur FROM events) WHERE cur IS NOT NULL GROUP BY ALL")
+def w2_one_sequence(spark, d):
+    rows = _token_rows(spark, d).withColumn("seq", F.lit(0))
+    return watermark.row_pairs(rows, "ts", "event_id", large=0).groupBy("prev", "cur").agg(F.count("*").alias("n"))
+
+
 @query("j13_band_join", """WITH w AS (SELECT event_id % 20 AS page, event_id::DOUBLE AS y FROM events), r AS (SELECT (event_id * 3) % 20 AS page, (event_id * 3)::DOUBLE AS y FROM events)
 SELECT w.page, w.y, min(r.y) AS rule FROM w LEFT JOIN r ON w.page = r.page AND r.y >= w.y - 7.0 AND r.y <= w.y + 2.0 GROUP BY 1, 2""")
 def j13_band_join(spark, d):
