@@ -85,18 +85,25 @@ CACHED_CHARS = 64
 TEXTS_AT_ONCE = 1000
 
 
-@contextmanager
-def few_at_once(spark: SparkSession) -> Iterator[None]:
-    """TEXTS_AT_ONCE rows in the Arrow batches of the jobs that run inside, so that a batch of long texts, of which the executor
-    and its Python worker hold copies, stays small. A session that asks for fewer keeps its number; afterwards it has its own again."""
+def fewer_rows(spark: SparkSession) -> str:
+    """Lower the session's Arrow batches to TEXTS_AT_ONCE rows, so that a batch of long texts, of which the executor
+    and its Python worker hold copies, stays small; what they were. A session that asks for fewer keeps its number. For operators whose
+    jobs run after they have returned; a session has one number for all its jobs, so it stays lowered."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(name)
     if not 0 < int(before) <= TEXTS_AT_ONCE:
         spark.conf.set(name, str(TEXTS_AT_ONCE))
+    return before
+
+
+@contextmanager
+def few_at_once(spark: SparkSession) -> Iterator[None]:
+    """``fewer_rows`` for the jobs that run inside; afterwards the session has its own number again."""
+    before = fewer_rows(spark)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
 
 
 def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -241,9 +241,13 @@ def _settled(ties: DataFrame, found: DataFrame, pairs: DataFrame, held: DataFram
 
 def classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: a row for each row of docs."""
-    source = texts(docs)
     with few_at_once(docs.sparkSession):
-        scanned = stable(source.mapInArrow(_scan, "doc_id long, n long, digest binary, bands binary"))
+        return _classes(docs, percent)
+
+
+def _classes(docs: DataFrame, percent: int) -> DataFrame:
+    source = texts(docs)
+    scanned = stable(source.mapInArrow(_scan, "doc_id long, n long, digest binary, bands binary"))
     known = scanned.filter("doc_id IS NOT NULL AND digest IS NOT NULL")
     firsts = stable(known.groupBy("digest").agg(F.min("doc_id").alias("id"), F.count("*").alias("n")))
     # a repeated doc_id with different texts is several classes under one id; their links are the id's

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import CACHED_CHARS, sliced, table, texts
+from tidemill.llm.common import CACHED_CHARS, fewer_rows, table, texts
 
 MAX_LEN = 2048
 END_ID = 1
@@ -161,11 +161,12 @@ def pack(docs: DataFrame, tokenizer: str | None = None, max_len: int = MAX_LEN,
         tokenizer = public_tokenizers.path("word_bpe_49k.json")
     if max_len < 1 or max_len & (max_len - 1):
         raise ValueError("max_len must be a power of two")
+    fewer_rows(docs.sparkSession)
     schema = PIECES + (", ids binary" if with_ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of, tail = word_ids(tokenizer, cache_words), end_id.to_bytes(4, "little")
-        for batch in sliced(batches):
+        for batch in batches:
             doc, start, length, crc, total, bucket, ids = [], [], [], [], [], [], []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 flat = memoryview(ids_of(text.as_py()) + tail)

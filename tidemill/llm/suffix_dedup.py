@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tidemill.llm.common import stable, table
+from tidemill.llm.common import fewer_rows, stable, table
 
 WINDOW = 50
 K = 20
@@ -437,6 +437,7 @@ def _tasks(spark: SparkSession, total: int) -> int:
 
 
 def _bytes(docs: DataFrame) -> int:
+    fewer_rows(docs.sparkSession)
     return docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
 
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import sliced, table, texts
+from tidemill.llm.common import fewer_rows, table, texts
 
 BUCKETS = 1 << 17
 DIM = 8
@@ -228,12 +228,13 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tuple
 
 def scored(docs: DataFrame, model: tuple[np.ndarray, float], cache_words: int = CACHE_WORDS) -> Column:
     """The scores of docs' texts as a column; one pass, no shuffle. A worker remembers cache_words words."""
+    fewer_rows(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("double")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scorer = Scorer(*shared.value, cache_words)
-        for batch in sliced(batches):  # one text at a time is a Python string
+        for batch in batches:  # one text at a time is a Python string
             yield pa.array([scorer(t.as_py()) for t in batch], pa.float64())
 
     return run(F.coalesce(F.col("text"), F.lit("")))
