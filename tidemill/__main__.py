@@ -16,8 +16,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.functions import text as X
-from tidemill.operators import compliance, lexicon, prompts, report, rescoring, scoring, stats, verification, watermark
+from tidemill.operators import compliance, generation, lexicon, report, rescoring, scoring, stats, verification, watermark
 from tidemill.sources import checkers, environment, files
+from tidemill.streaming import records as resumable
 
 ARMS = ("A0", "A1", "A2")
 #: What each preset of decoding sets.
@@ -53,7 +54,7 @@ def decoding(args: argparse.Namespace) -> dict[str, float | int]:
 
 
 def run(spark: SparkSession, args: argparse.Namespace) -> int:
-    """Every task, sample and arm, task by task, then by sample, then by arm as given."""
+    """Every task, sample and arm, task by task, then by sample, then by arm as given; part by part, so a run can be resumed."""
     paths, chosen = task_files(spark, args), decoding(args)
     drawn = files.seeded_sample(files.load_tasks(spark, paths), ["file_pos", "line_no"], args.limit, args.sample_seed)
     arms = F.posexplode(F.array(*map(F.lit, args.arms))).alias("arm_pos", "arm")
@@ -63,30 +64,37 @@ def run(spark: SparkSession, args: argparse.Namespace) -> int:
         approved, unapproved = files.read_lexicon(spark, args.lexicon)
         words = lexicon.id_list(approved) if args.word_list else None
     answer = checkers.backend(args.backend)
-    flat = lambda d: d.withColumn("prompt", F.array_join(F.transform("messages", lambda m: m["content"]), "\n"))
-    none = {"think_open": "boolean", "draft_truncated": "boolean", "draft_reasoning_tokens": "int", "draft_generated_tokens": "int", "draft_latency_s": "double"}
-    said = answer(flat(prompts.assembled(each, words))).withColumns({k: F.lit(None).cast(v) for k, v in none.items()} | {"truncated": F.lit(False), "latency_s": F.lit(0.0)})
-    made = scoring.measured(said).withColumns({"task_id": F.col("id"), "gold_number": F.col("answer_num"), "gold_text": F.col("answer_str")})
-    terms = scoring.allowed_terms(F.col("kind"), F.coalesce("technical_terms", F.array().cast("array<string>")))
-    if approved is not None:
-        rate = compliance.naive(spark, compliance.lexicon_of(compliance.approved_phrases(approved)))
-        made = made.withColumn("c", rate(F.col("final"), terms)).withColumns({"compliance": F.col("c.rate"), "nonconforming": F.col("c.words")})
-    else:
-        made = made.withColumns({"compliance": F.lit(None).cast("double"), "nonconforming": F.lit(None).cast("array<string>")})
-    places = made.select(F.col("id").alias("task_id"), "arm", "sample", "file_pos", "line_no", "arm_pos")
-    records = scoring.arm_records(made).withColumns({"model": F.lit(args.model), "backend": F.lit(args.backend)})
-    if args.checker == "off":
-        records = records.withColumn("checker", F.struct(F.lit("skipped").alias("status"), F.lit("off").alias("reason")))
-    else:
-        asked = made.select(F.concat_ws("/", "id", "arm", F.col("sample").cast("string")).alias("id"), F.col("final").alias("text"), terms.alias("terms"))
-        done = checkers.checker_column(checkers.outcomes(asked, "id", checkers.named(args.checker)))
-        records = records.withColumn("key", F.concat_ws("/", "task_id", "arm", F.col("sample").cast("string"))).join(done.withColumnRenamed("id", "key"), "key").drop("key")
-    ordered = records.join(places, ["task_id", "arm", "sample"]).repartitionByRange("file_pos", "line_no", "sample", "arm_pos").sortWithinPartitions("file_pos", "line_no", "sample", "arm_pos")
+    phrases = None if approved is None else compliance.lexicon_of(compliance.approved_phrases(approved))
+    order = ["file_pos", "line_no", "sample", "arm_pos"]
+
+    def records(part: DataFrame) -> DataFrame:
+        made = generation.generated(part.withColumns({"gold_number": F.col("answer_num"), "gold_text": F.col("answer_str")}), answer, words).withColumn("task_id", F.col("id"))
+        terms = scoring.allowed_terms(F.col("kind"), F.coalesce("technical_terms", F.array().cast("array<string>")))
+        if phrases is not None:
+            made = made.withColumn("c", compliance.naive(spark, phrases)(F.col("final"), terms)).withColumns({"compliance": F.col("c.rate"), "nonconforming": F.col("c.words")})
+        else:
+            made = made.withColumns({"compliance": F.lit(None).cast("double"), "nonconforming": F.lit(None).cast("array<string>")})
+        places = made.select(F.col("id").alias("task_id"), "arm", *order[:2], "sample", "arm_pos")
+        rows = scoring.arm_records(made).withColumns({"model": F.lit(args.model), "backend": F.lit(args.backend)})
+        if args.checker == "off":
+            rows = rows.withColumn("checker", F.struct(F.lit("skipped").alias("status"), F.lit("off").alias("reason")))
+        else:
+            said = made.select(F.concat_ws("/", "id", "arm", F.col("sample").cast("string")).alias("id"), F.col("final").alias("text"), terms.alias("terms"))
+            done = checkers.checker_column(checkers.outcomes(said, "id", checkers.named(args.checker), args.checker_calls))
+            rows = rows.withColumn("key", F.concat_ws("/", "task_id", "arm", F.col("sample").cast("string"))).join(done.withColumnRenamed("id", "key"), "key").drop("key")
+        placed = rows.join(places, ["task_id", "arm", "sample"])
+        return placed.repartitionByRange(*order).sortWithinPartitions(*order).drop("file_pos", "line_no", "arm_pos")
+
     name = args.run_id or spark.range(1).select(report.run_id(F.lit(args.backend), F.lit(args.model), F.current_timestamp())).first()[0]
     out = f"{args.results}/{name}"
-    files.write_records(ordered.drop("file_pos", "line_no", "arm_pos"), f"{out}/records")
+    if args.resume != checkers.exists(spark, f"{out}/work/_SUCCESS"):
+        print(f"run: {out} is {'not begun' if args.resume else 'there already'}", file=sys.stderr)
+        return 1
+    if not args.resume:
+        resumable.laid_out(each, order, -(-each.count() // args.part), out)
+    resumable.resumed(spark, out, records)
     manifest = {"run_id": name, "mode": "arms", "model": args.model, "arms": args.arms, "decoding": chosen, "files": [r.asDict() for r in files.digests(spark, files.expand(spark, paths)).collect()], "environment": environment.facts()}
-    files.write_manifest(spark, manifest, f"{out}/manifest")
+    files.write_manifest(spark, manifest, f"{out}/manifest", "overwrite")
     print(out)
     return 0
 
@@ -201,6 +209,9 @@ def parser() -> argparse.ArgumentParser:
     r.add_argument("--max-new-tokens", type=positive)
     r.add_argument("--backend", default="mock", help="a registered back end or MODULE:FUNCTION")
     r.add_argument("--checker", default="off", help="off or MODULE:FUNCTION of (text, terms)")
+    r.add_argument("--checker-calls", type=positive, help="calls under way in a task")
+    r.add_argument("--part", type=positive, default=2000, help="generations that are made and kept at once")
+    r.add_argument("--resume", action="store_true", help="go on with the run of --run-id where it ended")
     r.add_argument("--lexicon", metavar="FILE")
     r.add_argument("--word-list", action="store_true")
     r.add_argument("--model", default="mock")

@@ -27,10 +27,12 @@ def message(role: str, content: Column) -> Column:
 
 
 def messages(arm: Column, prompt: Column, terms: Column, words: Column | None = None, draft: Column | None = None) -> Column:
-    """A0: the prompt alone. A1: instruction and prompt. A2: instruction and the request to rewrite its draft."""
+    """A0: the prompt alone. A1: instruction and prompt. A2: instruction and the request to rewrite its draft, without
+    which a row of A2 is an error."""
     plain = F.array(message("user", prompt))
     told = F.array(message("system", instruction(terms, words)), message("user", prompt))
-    again = F.array(message("system", instruction(terms, words)), message("user", F.concat(F.lit(REWRITE), draft if draft is not None else F.lit(""))))
+    missing = F.raise_error(F.lit("a row of A2 has no draft")).cast("string")
+    again = F.array(message("system", instruction(terms, words)), message("user", F.concat(F.lit(REWRITE), missing if draft is None else F.coalesce(draft, missing))))
     return F.when(arm == "A0", plain).when(arm == "A1", told).when(arm == "A2", again)
 
 

@@ -37,13 +37,16 @@ def measured(generations: DataFrame) -> DataFrame:
 
 
 def arm_records(measured_: DataFrame) -> DataFrame:
-    """Measured generations with task columns -> records; arm A2 adds its draft's tokens and latency."""
+    """Measured generations with task columns -> records; arm A2 adds its draft's tokens and latency and, where the rows
+    have a draft, says in ``rewrite`` what is the draft's and what the rewrite's."""
     a2 = F.col("arm") == "A2"
     plus = lambda c, d: F.when(a2, F.col(c) + F.coalesce(d, F.lit(0))).otherwise(F.col(c))
     s = score(F.col("kind"), F.col("gold_number"), F.col("gold_text"), F.col("final"))
+    split = {"draft_text": "draft", "draft_correct": "draft_correct", "draft_generated_tokens": "draft_generated_tokens", "draft_reasoning_tokens": "draft_reasoning_tokens", "rewrite_generated_tokens": "generated_tokens", "rewrite_reasoning_tokens": "reasoning_tokens"}
+    rewrite = [F.when(a2, F.struct(*[F.col(c).alias(n) for n, c in split.items()])).alias("rewrite")] if "draft" in measured_.columns else []
     return measured_.withColumn("s", s).select(
         "task_id", "kind", "arm", "sample", F.col("s.correct").alias("correct"), F.col("s.fallback").alias("fallback_correct"), "degenerate",
         (F.col("truncated") | (a2 & F.coalesce("draft_truncated", F.lit(False)))).alias("truncated"),
         plus("reasoning_tokens", F.col("draft_reasoning_tokens")).alias("reasoning_tokens"), plus("generated_tokens", F.col("draft_generated_tokens")).alias("generated_tokens"),
-        F.col("final").alias("text"), "output_tokens", F.round(plus("latency_s", F.col("draft_latency_s")), 3).alias("latency_s"), F.round("compliance", 4).alias("compliance"), F.slice("nonconforming", 1, 50).alias("nonconforming"),
+        F.col("final").alias("text"), "output_tokens", F.round(plus("latency_s", F.col("draft_latency_s")), 3).alias("latency_s"), F.round("compliance", 4).alias("compliance"), F.slice("nonconforming", 1, 50).alias("nonconforming"), *rewrite,
     )

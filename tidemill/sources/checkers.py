@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import importlib
 import json
+import os
+import signal
 import subprocess
 import tempfile
 import time
-from collections.abc import Callable, Iterator
+from collections import deque
+from collections.abc import Callable, Iterable, Iterator
+from concurrent.futures import Future, ThreadPoolExecutor
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -22,9 +27,26 @@ OUTCOME = "status string, reason string, report string, seconds double"
 SIGNALS = REPORT + ", signals array<struct<kind: string, token: string, mark: string, headword: string>>"
 
 
-def command(argv: list[str], allow_flag: str | None = "--allow:file", seconds: float = 120.0) -> Callable[[str, list[str]], tuple[str, str | None, str | None]]:
+Check = Callable[[str, list[str]], tuple[str, str | None, str | None]]
+
+
+def _answer(line: list[str], text: str, seconds: float) -> tuple[int, str, str]:
+    """Exit code, output and errors of a command; at the time limit it goes with all that it started."""
+    with subprocess.Popen(line, stdin=subprocess.PIPE, stdout=subprocess.PIPE, stderr=subprocess.PIPE, text=True, start_new_session=True) as p:
+        try:
+            out, err = p.communicate(text, timeout=seconds)
+        except BaseException:
+            with contextlib.suppress(ProcessLookupError):
+                os.killpg(p.pid, signal.SIGKILL)
+            p.communicate()
+            raise
+        return p.returncode, out, err
+
+
+def command(argv: list[str], allow_flag: str | None = "--allow:file", seconds: float = 120.0, calls: int = 4) -> Check:
     """A function (text, terms) -> (status, reason, report): the text goes to the command's input, the terms into a
-    file behind allow_flag. An empty text is skipped as empty, a failure as an error with its reason."""
+    file behind allow_flag. An empty text is skipped as empty, a failure as an error with its reason. A task has up to
+    ``calls`` calls under way."""
 
     def check(text: str, terms: list[str]) -> tuple[str, str | None, str | None]:
         if not text.strip():
@@ -36,19 +58,20 @@ def command(argv: list[str], allow_flag: str | None = "--allow:file", seconds: f
                 allow.flush()
                 line += [allow_flag, allow.name]
             try:
-                done = subprocess.run(line, input=text, capture_output=True, text=True, timeout=seconds, check=False)
+                code, out, err = _answer(line, text, seconds)
             except subprocess.TimeoutExpired:
                 return "skipped", f"error: no answer in {seconds:g} s", None
             except OSError as e:
                 return "skipped", f"error: {e.strerror}", None
-        if done.returncode:
-            return "skipped", "error: exit {}: {}".format(done.returncode, "".join(done.stderr.strip().splitlines()[-1:])), None
+        if code:
+            return "skipped", "error: exit {}: {}".format(code, "".join(err.strip().splitlines()[-1:])), None
         try:
-            json.loads(done.stdout)
+            json.loads(out)
         except ValueError:
             return "skipped", "error: no JSON", None
-        return "checked", None, done.stdout
+        return "checked", None, out
 
+    check.calls = calls
     return check
 
 
@@ -56,20 +79,45 @@ def off(_: str, __: list[str]) -> tuple[str, str | None, str | None]:
     return "skipped", "off", None
 
 
-def outcomes(rows: DataFrame, key: str, check: Callable[[str, list[str]], tuple[str, str | None, str | None]]) -> DataFrame:
-    """rows (key, text, terms) -> key, status, reason, report, seconds. A call that fails is a row, never a failed task."""
-    kind = rows.schema[key].dataType.simpleString()
+def in_order(call: Callable, items: Iterable, calls: int) -> Iterator:
+    """The answers in the order of the items, with up to ``calls`` calls under way and at most as many done ahead: where
+    answers are not taken, no more calls begin."""
+    if calls == 1:
+        yield from map(call, items)
+        return
+    with ThreadPoolExecutor(calls) as pool:
+        waiting: deque[Future] = deque()
+        try:
+            for x in items:
+                if len(waiting) >= 2 * calls:
+                    yield waiting.popleft().result()
+                waiting.append(pool.submit(call, x))
+            while waiting:
+                yield waiting.popleft().result()
+        finally:
+            for f in waiting:
+                f.cancel()
+
+
+def outcomes(rows: DataFrame, key: str, check: Check, calls: int | None = None) -> DataFrame:
+    """rows (key, text, terms) -> key, status, reason, report, seconds. A call that fails is a row, never a failed task.
+
+    A task has up to ``calls`` calls under way, by default what the checker says of itself, else one."""
+    kind, at_once = rows.schema[key].dataType.simpleString(), getattr(check, "calls", 1) if calls is None else calls
+    if at_once < 1:
+        raise ValueError("calls must be 1 or more")
+
+    def timed(row: tuple[str | None, list[str] | None]) -> tuple:
+        start = time.perf_counter()
+        try:
+            said = check(row[0] or "", list(row[1] or []))
+        except Exception as e:  # noqa: BLE001  a plug-in's failure is data
+            said = ("skipped", f"error: {type(e).__name__}: {e}", None)
+        return (*said, time.perf_counter() - start)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for text, terms in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                start = time.perf_counter()
-                try:
-                    said = check(text or "", list(terms or []))
-                except Exception as e:  # noqa: BLE001  a plug-in's failure is data
-                    said = ("skipped", f"error: {type(e).__name__}: {e}", None)
-                out.append((*said, time.perf_counter() - start))
+            out = list(in_order(timed, zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True), at_once))
             cols = [[r[k] for r in out] for k in range(4)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.string(), pa.float64()), strict=True)]], [key, "status", "reason", "report", "seconds"])
 
@@ -86,7 +134,7 @@ def checker_column(checked: DataFrame, known=None, h=None) -> DataFrame:
     return done.select("id", struct.alias("checker"))
 
 
-def strict_reports(rows: DataFrame, check: Callable[[str, list[str]], tuple[str, str | None, str | None]]) -> DataFrame:
+def strict_reports(rows: DataFrame, check: Check) -> DataFrame:
     """The same for a validation, which stops at the first call that fails: run_id, seconds, findings, signals."""
     said = outcomes(rows, "run_id", check)
     report = F.when(F.col("status") == "checked", F.col("report")).otherwise(F.raise_error(F.concat(F.lit("checker: "), F.coalesce("reason", F.lit("")))))

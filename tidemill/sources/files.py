@@ -118,7 +118,7 @@ def load_tasks(spark: SparkSession, patterns: list[str], max_shown: int = 1000,
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(RECORD).json(path).withColumn("sample", F.coalesce("sample", F.lit(0)))
+    return spark.read.schema(RECORD).option("recursiveFileLookup", True).json(path).withColumn("sample", F.coalesce("sample", F.lit(0)))
 
 
 def read_manifest(spark: SparkSession, run: str) -> dict:
@@ -247,11 +247,6 @@ def stamp(at: datetime.datetime | None = None) -> str:
     return (at or datetime.datetime.now(datetime.UTC)).strftime("%Y%m%dT%H%M%SZ")
 
 
-def hooked(rows: DataFrame, function: Callable, schema: str) -> DataFrame:
-    """A plug-in over batches: generate, check or count functions of the user, by mapInPandas."""
-    return rows.mapInPandas(function, schema)
-
-
 def mock_answers(prompts: DataFrame) -> DataFrame:
     """Canned texts by what the prompt holds: the deterministic stand-in of a model."""
     p = F.lower("prompt")

@@ -1,23 +1,31 @@
-"""Records as a stream: append sink with a checkpoint, running statistics by arm and sample."""
+"""Records as a stream: a run that can be resumed."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql import functions as F
 
-from tidemill.operators.stats import per_sample
-from tidemill.sources.files import RECORD
+from tidemill.sources.checkers import exists
 
 
-def record_stream(spark: SparkSession, path: str) -> DataFrame:
-    return spark.readStream.schema(RECORD).json(path).fillna(0, ["sample"])
+def laid_out(work: DataFrame, order: list[str], parts: int, folder: str) -> None:
+    """Write down what a run has to do, a file for each part of it in the order; what is written is left as it is."""
+    if not exists(work.sparkSession, f"{folder}/work/_SUCCESS"):
+        dealt = work.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
+        dealt.write.mode("overwrite").parquet(f"{folder}/work")
 
 
-def append(records: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Each record once, also after a crash: the finished part stays and the rest is resumed."""
-    return records.writeStream.format("json").option("checkpointLocation", checkpoint).option("path", path).outputMode("append").trigger(availableNow=True).start()
+def resumed(spark: SparkSession, folder: str, make: Callable[[DataFrame], DataFrame]) -> None:
+    """Make the records of each part that is not done. A part is one batch of a stream over the work and has a folder of its
+    own, which a batch overwrites: a run that ends between the write and the commit of a part makes that part again, in its place."""
+    work = spark.read.parquet(f"{folder}/work")
 
+    def save(batch: DataFrame, _: int) -> None:
+        for (part,) in batch.select("part").distinct().collect():  # a file holds one part
+            made = make(batch.filter(F.col("part") == part).drop("part"))
+            made.write.mode("overwrite").option("ignoreNullFields", False).json(f"{folder}/records/part={part:06d}")
 
-def running_summary(records: DataFrame, name: str, checkpoint: str | None = None) -> StreamingQuery:
-    writer = per_sample(records).writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True)
-    return (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start()
+    stream = spark.readStream.schema(work.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/work")
+    stream.writeStream.foreachBatch(save).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start().awaitTermination()
