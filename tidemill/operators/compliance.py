@@ -5,14 +5,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import lru_cache
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.functions.text import plural, stems, term_phrases, tokens
+from tidemill.operators.matcher import Batch, Phrases
 
 #: Largest lexicon that is sent to every executor; a dictionary has some thousand phrases.
-MAX_PHRASES = 200_000
+MAX_PHRASES = 1_000_000
 
 
 def approved_phrases(approved: DataFrame) -> DataFrame:
@@ -30,7 +32,7 @@ def lexicon_of(phrases: DataFrame) -> frozenset[str]:
 
 
 def longest_match(toks: list[str], phrases: frozenset[str], longest: int) -> tuple[list[str], list[str]]:
-    """From left to right the longest phrase that starts here, else one token that does not conform."""
+    """From left to right the longest phrase that starts here, else one token that does not conform: what a match is, for one list."""
     good, bad, i, n = [], [], 0, len(toks)
     while i < n:
         for k in range(min(longest, n - i), 0, -1):
@@ -44,19 +46,17 @@ def longest_match(toks: list[str], phrases: frozenset[str], longest: int) -> tup
     return good, bad
 
 
-def _longest(phrases: frozenset[str]) -> int:
-    return max((p.count(" ") + 1 for p in phrases), default=0)
-
-
 def match(spark: SparkSession, phrases: frozenset[str]):
-    """Column function: tokens -> struct (conforming phrases, nonconforming tokens)."""
-    shared, longest = spark.sparkContext.broadcast(phrases), _longest(phrases)
+    """Column function: tokens -> struct (conforming phrases, nonconforming tokens), as ``longest_match`` gives them."""
+    shared = spark.sparkContext.broadcast(Phrases(phrases))
 
-    @F.pandas_udf("conforming array<string>, nonconforming array<string>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            got = [longest_match([] if t is None else list(t), shared.value, longest) for t in batch]
-            yield pd.DataFrame({"conforming": [g for g, _ in got], "nonconforming": [b for _, b in got]})
+    @F.arrow_udf("struct<conforming: array<string>, nonconforming: array<string>>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for lists in batches:
+            b = Batch(lists)
+            stops, size = b.match(shared.value)
+            parts = [b.lists(b.texts(stops[of], size[of]), b.row[stops[of]]) for of in (size > 0, size == 0)]
+            yield pa.StructArray.from_arrays(parts, ["conforming", "nonconforming"])
 
     return run
 
@@ -65,26 +65,34 @@ def naive(spark: SparkSession, phrases: frozenset[str]):
     """Column function: (text, terms) -> struct (rate, words).
 
     Digit tokens go, then the declared terms by longest match; the rest, joined anew, is matched
-    against the lexicon. The rate is null where nothing is left.
+    against the lexicon. The rate is null where nothing is left. Rows that declare the same terms are matched together.
     """
-    shared, longest = spark.sparkContext.broadcast(phrases), _longest(phrases)
-
-    @F.pandas_udf("rate double, words array<string>")
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        @lru_cache(maxsize=4096)
-        def terms_of(terms: tuple[str, ...]) -> tuple[frozenset[str], int]:
-            found = frozenset(terms)
-            return found, _longest(found)
-
-        for toks, terms in batches:
-            rates, words = [], []
-            for t, p in zip(toks, terms, strict=True):
-                _, rest = longest_match([x for x in (() if t is None else t) if not x.isdigit()], *terms_of(tuple(() if p is None else p)))
-                good, bad = longest_match(rest, shared.value, longest)
-                n = sum(g.count(" ") + 1 for g in good)
-                rates.append(n / (n + len(bad)) if rest else None)
-                words.append(sorted(set(bad)))
-            yield pd.DataFrame({"rate": pd.Series(rates, dtype="float64"), "words": words})
+    shared = spark.sparkContext.broadcast(Phrases(phrases))
+
+    @F.arrow_udf("struct<rate: double, words: array<string>>")
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        compiled = lru_cache(maxsize=4096)(Phrases)
+        for lists, terms in batches:
+            b = Batch(lists)
+            b = b.kept(~np.array([w.isdigit() for w in b.words], bool)[b.codes])
+            declared: dict[tuple[str, ...], int] = {}
+            kind = np.array([declared.setdefault(tuple(t or ()), len(declared)) for t in terms.to_pylist()], np.int64)
+            rest = np.zeros(len(b.codes), bool)
+            for own, k in declared.items():
+                of = np.flatnonzero(kind[b.row] == k)
+                stops, size = b.kept(of).match(compiled(own))
+                rest[of[stops[size == 0]]] = True
+            b = b.kept(rest)
+            stops, size = b.match(shared.value)
+            row = b.row[stops]
+            good, every = np.bincount(row, size, minlength=b.n), np.bincount(row, np.maximum(size, 1), minlength=b.n)
+            rate = pa.array(np.divide(good, every, out=np.zeros(b.n), where=every > 0), mask=every == 0)
+            order = np.argsort(np.array(b.words, object)) if b.words else np.zeros(0, np.int64)
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            odd = np.unique(row[size == 0] * max(1, len(order)) + rank[b.codes[stops[size == 0]]])
+            words = pa.array(b.words, pa.string()).take(pa.array(order[odd % max(1, len(order))]))
+            yield pa.StructArray.from_arrays([rate, b.lists(words, odd // max(1, len(order)))], ["rate", "words"])
 
     return lambda text, terms: run(tokens(text), term_phrases(terms))
 
