@@ -9,7 +9,7 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.functions import exact
+from tidemill.functions import exact, normal
 
 MEASURES = ("accuracy", "reasoning", "generated", "output", "latency", "compliance", "checker_ok", "gate_ok", "findings")
 COUNTS = ("n", "n_scored", "no_line", "fallback_hits", "n_truncated", "n_degenerate", "n_checked")
@@ -91,6 +91,19 @@ def pairs_needed(sd: float, rho: float, effect: float, alpha: float, power: floa
     return math.ceil((z * sd * math.sqrt(2 * (1 - rho)) / math.log1p(effect)) ** 2)
 
 
+def pairs_needed_column(sd: Column, rho: Column, effect: Column, alpha: Column, power: Column) -> Column:
+    """``pairs_needed`` of a table of designs."""
+    z = normal.quantile(1.0 - alpha / 2.0) + normal.quantile(power)
+    return F.ceil(F.pow(z * sd * F.sqrt(2.0 * (1.0 - rho)) / F.log1p(effect), F.lit(2.0))).cast("long")
+
+
+def discordance_power_column(n: Column, p10: Column, p01: Column, alpha: Column) -> Column:
+    """``discordance_power`` of a table of designs; null where no pair is discordant."""
+    both, gap = p10 + p01, p10 - p01
+    z = normal.quantile(1.0 - alpha / 2.0)
+    return normal.cdf(F.try_divide(F.abs(gap) * F.sqrt(n) - z * F.sqrt(both), F.sqrt(both - gap * gap)))
+
+
 def z_statistic(greens: Column, scored: Column, gamma: float) -> Column:
     g = F.lit(gamma)
     return F.when(scored == 0, F.lit(0.0)).otherwise((greens - g * scored) / F.sqrt(scored * g * (1 - g)))
