@@ -299,3 +299,38 @@ def test_soft_hyphens_of_page_rows(spark):
 def test_targets(spark):
     df = spark.createDataFrame([("Few", ["Fewer Ones"], "a few")], "w string, f array<string>, q string")
     assert set(df.select(lexicon.targets(F.col("w"), F.col("f"), F.col("q"))).first()[0]) == {"few", "fewer ones", "fewer", "ones", "a few", "a"}
+
+
+def test_verify_with_all_files(spark, tmp_path, capsys):
+    import hashlib
+
+    from tidemill.__main__ import main
+
+    (tmp_path / "lexicon.json").write_text(json.dumps(LEXICON))
+    entry = {"word": "CUT", "pos": "v", "qualifier": None, "status": {"kind": "approved"}, "forms": ["CUTS"], "ste_example": "CUT THE WIRE (5 mm).", "nonste_example": "Slice it."}
+    entries = [entry, entry | {"word": "pump"}, entry | {"word": "SEAL", "ste_example": "SEAL the box."}, entry | {"word": "X", "pos": "zzz"}, entry | {"word": "OPEN", "nonste_example": "Blank Page"}, entry]
+    (tmp_path / "dictionary.json").write_text(json.dumps({"entries": entries}))
+    row = {"id": "5.1", "section": {"number": 5, "title": "t"}, "title": "t", "paraphrase": "Write a maximum of 20 words.", "check": "c", "parameters": {"max_words_per_sentence": 25, "approved_ing": ["cut (v)", "going (n)"]}}
+    (tmp_path / "rules.json").write_text(json.dumps({"rules": [row, row | {"id": "6.3", "parameters": {"max_words_per_sentence": 20}}]}))
+    (tmp_path / "text.txt").write_text("Approved words that have an \u201c-ing\u201d form: cut, going. A sentence in a note is 20 words.")
+    (tmp_path / "verbs.txt").write_text("CUT\nSEAL\n\nOPEN\nTURN\n")
+    kept = {p: (tmp_path / p).read_bytes() for p in ("lexicon.json", "dictionary.json", "rules.json")}
+    artifacts = [{"path": p, "bytes": len(x), "digest": hashlib.sha256(x).hexdigest()} for p, x in kept.items()]
+    (tmp_path / "manifest.json").write_text(json.dumps({"artifacts": artifacts[:2] + [artifacts[2] | {"digest": "0"}, {"path": "gone.json", "bytes": 1, "digest": "1"}]}))
+    line = ["verify", "--lexicon", str(tmp_path / "lexicon.json")]
+    for name, file in (("dictionary", "dictionary.json"), ("rules", "rules.json"), ("text", "text.txt"), ("verbs", "verbs.txt"), ("manifest", "manifest.json")):
+        line += [f"--{name}", str(tmp_path / file)]
+    assert main(line) == 1
+    said = capsys.readouterr().out.splitlines()
+    faults = [x.removeprefix("fault ") for x in said if x.startswith("fault ")]
+    of = lambda check: [json.loads(x.split(": ", 1)[1]) for x in faults if x.startswith(f"{check}: ")]
+    assert {(x["word"], x["fault"]) for x in of("entry")} == {("pump", "case"), ("X", "pos")}
+    assert {x["word"] for x in of("case")} == {"pump"}
+    assert {x["word"]: x["blank"] for x in of("example")} == {"SEAL": False, "OPEN": True}
+    assert [(x["word"], x["n"]) for x in of("key")] == [("CUT", 2)]
+    assert {(x["word"], x["side"]) for x in of("verbs")} == {("TURN", "listed"), ("pump", "parsed")}
+    assert {(x["rule"], x["parameter"], x.get("value"), x.get("stated")) for x in of("parameter")} >= {("5.1", "max_words_per_sentence", 25, 20)}
+    assert not [x for x in of("parameter") if x["rule"] == "6.3"]
+    assert {x["id"] for x in of("ing")} == {"going (n)"}
+    assert {(x["path"], x["gap"]) for x in of("artifact")} == {("gone.json", "missing"), ("rules.json", "digest")}
+    assert "count entries: 6, keys: 5, words: 5" in said

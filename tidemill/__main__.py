@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.functions import text as X
-from tidemill.operators import compliance, generation, lexicon, report, rescoring, scoring, stats, verification, watermark
+from tidemill.operators import compliance, generation, lexicon, report, rescoring, rules, scoring, stats, validation, verification, watermark
 from tidemill.sources import checkers, environment, files
 from tidemill.streaming import records as resumable
 
@@ -123,11 +123,34 @@ def validate(spark: SparkSession, args: argparse.Namespace) -> int:
 
 
 def verify(spark: SparkSession, args: argparse.Namespace) -> int:
-    """Faults of a lexicon and a rule table; the notes are no faults."""
+    """Faults of a lexicon and of what stands beside it: dictionary entries, a rule table, the text and the verb list that both
+    come from, and the artifacts' manifest. Each file that is named adds its checks; the notes are no faults."""
     approved, unapproved = files.read_lexicon(spark, args.lexicon)
     refs = unapproved.select(F.col("word").alias("from_word"), F.explode("alternatives").alias("a")).filter("a.ref IS NOT NULL").select("from_word", F.col("a.ref").alias("ref"))
     unresolved = unapproved.select("word", F.explode("alternatives").alias("a")).filter("a.unresolved IS NOT NULL").select("word", "a.unresolved")
-    faults = verification.report(dangling=lexicon.dangling(refs, approved), unresolved=unresolved, dead_end=verification.dead_ends(unapproved), repeated=approved.groupBy("id").count().filter("count > 1"))
+    checks = {"dangling": lexicon.dangling(refs, approved), "unresolved": unresolved, "dead_end": verification.dead_ends(unapproved), "repeated": approved.groupBy("id").count().filter("count > 1")}
+    text = spark.read.text(args.text, wholetext=True).agg(F.array_join(F.collect_list("value"), " ").alias("text")) if args.text else None
+    if args.dictionary:
+        entries = files.read_entries(spark, args.dictionary)
+        checks |= {"entry": verification.entry_faults(entries), "case": validation.case_violations(entries).select("word"), "example": validation.example_faults(entries), "key": validation.repeated_keys(entries, "word", "pos", "qualifier")}
+        if args.verbs:
+            verbs = spark.read.text(args.verbs).select(F.trim("value").alias("word")).filter("word <> ''")
+            checks["verbs"] = verification.set_gaps(verbs, entries.filter("pos = 'v' AND approved").select("word"))
+        for r in verification.dictionary_counts(entries).collect():
+            print(f"count entries: {r.entries}, keys: {r['keys']}, words: {r.words}")
+    if args.rules:
+        table = rules.rule_table(spark, args.rules)
+        checks["rule"] = validation.repeated_keys(table, "id")
+        if text is not None:
+            checks["parameter"] = verification.parameter_faults(table.select("id", F.col("paraphrase").alias("statement"), "parameters"), text)
+            listed = table.select(F.explode(F.from_json(F.get_json_object("parameters", "$.approved_ing"), "array<string>")).alias("id"))
+            checks["ing"] = verification.ing_faults(listed, approved, text)
+    if args.manifest:
+        root = args.manifest.rpartition("/")[0] or "."
+        listed = spark.read.option("multiLine", True).schema("artifacts array<struct<path: string, bytes: long, digest: string>>").json(args.manifest).select(F.inline("artifacts"))
+        there = files.digests(spark, files.expand(spark, [f"{root}/*.json"])).withColumn("path", F.element_at(F.split("path", "/"), -1)).filter(F.col("path") != args.manifest.rpartition("/")[2])
+        checks["artifact"] = validation.file_gaps(listed, there)
+    faults = verification.report(**checks)
     for r in verification.notes(unapproved, approved).orderBy("note", "word", "detail").collect():
         print(f"note {r.note}: {r.word or ''} {r.detail}")
     found = faults.orderBy("check", "fault").collect()
@@ -230,8 +253,11 @@ def parser() -> argparse.ArgumentParser:
     v = add(validate)
     v.add_argument("text", nargs="*")
     v.add_argument("-f", "--file")
-    for p in (v, add(verify)):
+    c = add(verify)
+    for p in (v, c):
         p.add_argument("--lexicon", required=True, metavar="FILE")
+    for name in ("dictionary", "rules", "text", "verbs", "manifest"):
+        c.add_argument(f"--{name}", metavar="FILE")
     f = add(preflight)
     f.add_argument("--backend", choices=["hf", "vllm"], default="vllm")
     f.add_argument("--results", default="results")

@@ -117,6 +117,16 @@ def load_tasks(spark: SparkSession, patterns: list[str], max_shown: int = 1000,
     return parsed.select("*", F.when(F.col("kind") == "math", F.col("answer").cast("double")).alias("answer_num"), F.when(F.col("kind") == "qa", F.col("answer")).alias("answer_str")).drop("answer")
 
 
+#: An entry of a dictionary file.
+ENTRY = "word: string, pos: string, qualifier: string, status: struct<kind: string>, forms: array<string>, ste_example: string, nonste_example: string"
+
+
+def read_entries(spark: SparkSession, path: str) -> DataFrame:
+    """The entries of a dictionary file, with ``approved`` from their status."""
+    raw = spark.read.option("multiLine", True).schema(f"entries array<struct<{ENTRY}>>").json(path)
+    return raw.select(F.inline("entries")).withColumns({"approved": F.col("status.kind") == "approved", "forms": F.coalesce("forms", F.array().cast("array<string>"))}).drop("status")
+
+
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(RECORD).option("recursiveFileLookup", True).json(path).withColumn("sample", F.coalesce("sample", F.lit(0)))
 
