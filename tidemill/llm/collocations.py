@@ -32,6 +32,8 @@ from tidemill.llm.common import by_key, few_at_once, frequent, private, stable,
 LEAST, LONGEST, TOP, COVER_PERCENT = 30, 4, 2000, 80
 #: Words of a shard, but for a longer text.
 SHARD_WORDS = 1_000_000
+#: File splits that a task takes: what repeats within a task is sent once.
+SPLITS_PER_TASK = 2
 #: Bits of the bitmap that a task holds (8 MB).
 FILTER_BITS = 1 << 26
 SEGMENT_BITS = 1 << 19
@@ -264,6 +266,7 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, shard_words: int = SHA
     """lang, words, phrase, n of all phrases of up to LONGEST words that stand least times; words 0: all words of a language."""
     spark = docs.sparkSession
     read = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text")).filter("text <> ''")
+    read = read.coalesce(max(1, -(-read.rdd.getNumPartitions() // SPLITS_PER_TASK)))
     with few_at_once(spark):
         words = spark.sparkContext.broadcast(_bitmap(frequent_keys(read, least, None, shard_words)))
         pairs = spark.sparkContext.broadcast(_bitmap(frequent_keys(read, least, words, shard_words)))
