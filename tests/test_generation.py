@@ -163,3 +163,39 @@ def test_run_command_resumes(spark, tmp_path, capsys):
     assert all((r.rewrite is not None) == (r.arm == "A2") for r in got)
     assert {r.rewrite.draft_text for r in got if r.arm == "A2"} == {"Work.\nAnswer: 4"}
     assert main(["run", "--tasks", f"{tmp_path}/a.jsonl", "--results", str(tmp_path), "--run-id", "other", "--resume"]) == 1
+
+
+START, END = 90, 91
+
+
+def _split(ids, opened):
+    if END in ids:
+        j = ids.index(END)
+        if START in ids[:j]:
+            i = ids.index(START)
+            return ids[i + 1 : j], ids[:i] + ids[j + 1 :]
+        return ids[:j], ids[j + 1 :]
+    if START in ids:
+        i = ids.index(START)
+        return ids[i + 1 :], ids[:i]
+    return (ids, []) if opened else ([], ids)
+
+
+def test_split_of_ids(spark):
+    from itertools import product
+
+    from tidemill.functions import text as X
+
+    rows = [(list(ids), opened) for n in range(5) for ids in product((1, 2, START, END), repeat=n) for opened in (False, True)]
+    got = spark.createDataFrame(rows, "ids array<bigint>, opened boolean").withColumn("s", X.split_think_ids(F.col("ids"), START, END, F.col("opened"))).collect()
+    for r in got:
+        assert (r.s.reasoning, r.s.final) == _split(r.ids, r.opened)
+        marks = (END in r.ids) + (START in (r.ids[: r.ids.index(END)] if END in r.ids else r.ids))
+        assert len(r.s.reasoning) + len(r.s.final) + marks == len(r.ids)
+
+
+def test_measures_by_ids(spark):
+    tokens = checkers.tokenizer(lambda texts: [[int(w) for w in t.split()] for t in texts], lambda ids: [" ".join(map(str, i)) + " " for i in ids], START, END)
+    rows = [("ignored", [START, 1, 2, END, 7, 8], False), ("ignored", [3, 3], True), ("<think>a b</think> 5 6 7", None, False), ("x", [], False)]
+    got = scoring.measured(spark.createDataFrame(rows, "text string, token_ids array<int>, think_open boolean"), tokens).collect()
+    assert [(r.reasoning_tokens, r.generated_tokens, r.output_tokens, r.final) for r in got] == [(2, 6, 2, "7 8 "), (2, 2, 0, " "), (2, 5, 3, "5 6 7"), (0, 0, 0, " ")]

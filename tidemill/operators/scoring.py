@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.functions.text import answer_line, contains_run, degenerate, n_space_words, normal_words, number_is, numbers, split_think
+from tidemill.functions.text import answer_line, contains_run, degenerate, n_space_words, normal_words, number_is, numbers, split_think, split_think_ids
 
 ANSWER_LABEL = "Answer"
 
@@ -27,8 +30,28 @@ def allowed_terms(kind: Column, terms: Column) -> Column:
     return F.when(kind == "writing", terms).otherwise(F.array_append(terms, F.lit(ANSWER_LABEL)))
 
 
-def measured(generations: DataFrame) -> DataFrame:
-    """text, think_open -> reasoning, final, their white-space word counts and the degenerate flag."""
+class Tokens(NamedTuple):
+    """A tokenizer as columns: the ids of the think marks, ids to text, and text to its number of ids."""
+
+    start: int
+    end: int
+    decode: Callable[[Column], Column]
+    count: Callable[[Column], Column]
+
+
+def measured(generations: DataFrame, tokens: Tokens | None = None) -> DataFrame:
+    """text, think_open -> reasoning, final, their white-space word counts and the degenerate flag.
+
+    With a tokenizer, rows that have ``token_ids`` are split and counted by them, and their final text is what the final ids
+    decode to, as it is; a row without ids is split by its text, and its output is counted by the tokenizer too."""
+    if tokens is not None:
+        ids = F.col("token_ids").cast("array<bigint>")
+        split = split_think_ids(ids, tokens.start, tokens.end, F.coalesce("think_open", F.lit(False)))
+        own = measured(generations).withColumn("ids", split)
+        own = own.withColumns({"reasoning": F.when(ids.isNotNull(), tokens.decode(F.col("ids.reasoning"))).otherwise(F.col("reasoning")), "final": F.when(ids.isNotNull(), tokens.decode(F.col("ids.final"))).otherwise(F.col("final"))})
+        by_ids = lambda mine, other: F.when(ids.isNotNull(), mine).otherwise(F.col(other)).cast("int")
+        counts = {"reasoning_tokens": by_ids(F.size("ids.reasoning"), "reasoning_tokens"), "generated_tokens": by_ids(F.size(ids), "generated_tokens")}
+        return own.withColumns(counts | {"output_tokens": tokens.count(F.col("final")).cast("int"), "degenerate": degenerate(F.col("final"))}).drop("ids")
     d = generations.withColumn("parts", split_think(F.col("text"), F.coalesce("think_open", F.lit(False))))
     d = d.withColumns({"reasoning": F.trim("parts.reasoning"), "final": F.trim("parts.final")}).drop("parts")
     return d.withColumns({"reasoning_tokens": n_space_words(F.col("reasoning")), "output_tokens": n_space_words(F.col("final")), "degenerate": degenerate(F.col("final"))}).withColumn(

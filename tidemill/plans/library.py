@@ -182,6 +182,20 @@ def t7_degenerate(spark, d):
     return _t(spark, d, "documents").select("doc_id", X.degenerate(F.col("text")).alias("degenerate"))
 
 
+#: The letters of a text as ids; T opens and the first full stop ends the reasoning.
+@query("t8_split_ids", """WITH c AS (SELECT conv_id, turn, turn % 2 = 1 AS opened, list_transform(list_filter(string_split(coalesce(text, ''), ''), lambda x: x <> ''), lambda x: ord(x)::BIGINT) AS ids FROM conversations),
+e AS (SELECT *, coalesce(list_position(ids, 46), 0) AS pos FROM c), h AS (SELECT *, CASE WHEN pos > 0 THEN ids[1:pos - 1] ELSE ids END AS head FROM e), s AS (SELECT *, coalesce(list_position(head, 84), 0) AS start FROM h),
+r AS (SELECT conv_id, turn, ids, CASE WHEN pos > 0 AND start > 0 THEN head[start + 1:] WHEN pos > 0 THEN head WHEN start > 0 THEN head[start + 1:] WHEN opened THEN ids ELSE [] END AS reasoning,
+  CASE WHEN pos > 0 AND start > 0 THEN list_concat(head[1:start - 1], ids[pos + 1:]) WHEN pos > 0 THEN ids[pos + 1:] WHEN start > 0 THEN head[1:start - 1] WHEN opened THEN [] ELSE ids END AS final FROM s)
+SELECT conv_id, turn, len(reasoning)::INT AS reasoning_tokens, len(final)::INT AS final_tokens, md5(array_to_string(reasoning, ',')) AS reasoning_md5, md5(array_to_string(final, ',')) AS final_md5 FROM r""")
+def t8_split_ids(spark, d):
+    letters = F.filter(F.split(F.coalesce("text", F.lit("")), ""), lambda x: x != "")
+    c = _t(spark, d, "conversations").withColumn("ids", F.transform(letters, lambda x: F.ascii(x).cast("long")))
+    s = c.withColumn("s", X.split_think_ids(F.col("ids"), ord("T"), ord("."), F.col("turn") % 2 == 1))
+    joined = lambda a: F.md5(F.array_join(F.transform(a, lambda i: i.cast("string")), ","))
+    return s.select("conv_id", "turn", F.size("s.reasoning").alias("reasoning_tokens"), F.size("s.final").alias("final_tokens"), joined(F.col("s.reasoning")).alias("reasoning_md5"), joined(F.col("s.final")).alias("final_md5"))
+
+
 @query("t9_think_split", """
 WITH c AS (SELECT conv_id, turn, text AS x, (conv_id + turn) % 4 AS k FROM conversations)
 SELECT conv_id, turn,

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from tidemill.operators import compliance
 from tidemill.operators.rescoring import REPORT
+from tidemill.operators.scoring import Tokens
 from tidemill.sources.files import mock_answers
 
 OUTCOME = "status string, reason string, report string, seconds double"
@@ -185,6 +186,22 @@ def backend(name: str) -> Callable[[DataFrame], DataFrame]:
     return named(name)
 
 
+def tokenizer(encode: Callable[[list[str]], list[list[int]]], decode: Callable[[list[list[int]]], list[str]], start: int, end: int) -> Tokens:
+    """A tokenizer's batch functions and the ids of its think marks, as columns."""
+
+    @F.arrow_udf("string")
+    def decoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array(decode([i or [] for i in batch.to_pylist()]), pa.string())
+
+    @F.arrow_udf("int")
+    def counted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array([len(i) for i in encode([t or "" for t in batch.to_pylist()])], pa.int32())
+
+    return Tokens(start, end, decoded, counted)
+
+
 def token_counts(rows: DataFrame, column: str, encode: Callable[[list[str]], list[list[int]]], start: int | None = None, end: int | None = None) -> DataFrame:
     """rows with token ids of a text column and their number, by a tokenizer's batch function; with the ids of the think
     marks also how many ids the reasoning and the final part have."""
