@@ -34,15 +34,15 @@ def resolved(alternatives: DataFrame, approved: DataFrame) -> DataFrame:
     verb = forms.filter("pos = 'v'").groupBy("form").agg(F.min_by("id", "seq").alias("by_verb")).withColumnRenamed("form", "v_w")
     first = approved.groupBy("word").agg(F.min_by("id", "seq").alias("by_any")).withColumnRenamed("word", "a_w")
     known = forms.select("form").union(approved.select("word")).distinct().withColumnRenamed("form", "p_w")
-    a = alternatives.withColumn("__n", F.monotonically_increasing_id())
-    parts = a.filter("contains(word, ' ')").select("__n", F.explode(F.split("word", " ")).alias("p_w"))
-    phrase = parts.join(known.withColumn("ok", F.lit(True)), "p_w", "left").groupBy("__n").agg(F.bool_and(F.coalesce("ok", F.lit(False))).alias("is_phrase"))
+    # whether a word is a phrase of known words follows from the word alone
+    parts = alternatives.filter("contains(word, ' ')").select(F.col("word").alias("h_w")).distinct().select("h_w", F.explode(F.split("h_w", " ")).alias("p_w"))
+    phrase = parts.join(known.withColumn("ok", F.lit(True)), "p_w", "left").groupBy("h_w").agg(F.bool_and(F.coalesce("ok", F.lit(False))).alias("is_phrase"))
     out = (
-        a.join(key, (F.col("word") == F.col("k_w")) & F.col("pos").eqNullSafe(F.col("k_p")), "left")
+        alternatives.join(key, (F.col("word") == F.col("k_w")) & F.col("pos").eqNullSafe(F.col("k_p")), "left")
         .join(by_form, (F.col("word") == F.col("f_w")) & F.col("pos").eqNullSafe(F.col("f_p")), "left")
         .join(verb, (F.col("word") == F.col("v_w")) & (F.col("pos") == "adj"), "left")
         .join(first, F.col("word") == F.col("a_w"), "left")
-        .join(phrase, "__n", "left")
+        .join(phrase, F.col("word") == F.col("h_w"), "left")
     )
     ref = F.coalesce("by_key", "by_form", "by_verb", F.when(F.coalesce("is_phrase", F.lit(False)), F.lit(None)).otherwise(F.col("by_any")))
     how = F.when(F.col("by_key").isNotNull(), "word").when(F.col("by_form").isNotNull(), "form").when(F.col("by_verb").isNotNull(), "participle").when(F.coalesce("is_phrase", F.lit(False)), "phrase").when(F.col("by_any").isNotNull(), "any").otherwise("unresolved")

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.functions.text import PLAIN_NUMBER
+from tidemill.operators.scan import cut
 from tidemill.operators.validation import duplicates, gold_number, task_errors, undated_single
 
 TASK = "id string, kind string, prompt string, technical_terms array<string>, source string, split string, license string"
@@ -176,10 +177,10 @@ def pinned(spark: SparkSession, path: str, digest: str) -> DataFrame:
 def positions(rows: DataFrame, order: list[str], name: str) -> DataFrame:
     """rows with their place from 0 in the order, by ranges: no task sees more than its range.
 
-    The ranges are kept while they are counted and read; a row for each range reaches the driver.
+    The ranges are written down before they are counted, so a lost executor cannot deal them anew; a row for each range reaches the driver.
     """
     ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    placed = ranged.withColumns({f"{name}_part": F.spark_partition_id(), f"{name}_row": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}).persist()
+    placed = cut(ranged.withColumns({f"{name}_part": F.spark_partition_id(), f"{name}_row": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}))
     counts = sorted((r[0], r[1]) for r in placed.groupBy(f"{name}_part").count().collect())
     before, starts = 0, []
     for part, n in counts:
