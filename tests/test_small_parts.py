@@ -37,6 +37,18 @@ def test_biased_scores(spark):
     assert {i for i, x in enumerate(r.b) if x} == green and len(green) == 10
 
 
+def test_green_lists_of_a_large_vocabulary(spark):
+    scheme, prevs = watermark.Scheme(151_936), [0, 7, 151_935, 7]
+    table = watermark.green_table(spark.createDataFrame([(p,) for p in prevs] + [(None,)], "prev long"), scheme)
+    assert sorted(r.prev for r in table.select("prev").collect()) == [0, 7, 151_935]
+    tokens = [0, 1, 63, 64, 65, 4095, 151_935, 151_936, -1, *range(1000, 1400)]
+    pairs = spark.createDataFrame([(p, t) for p in set(prevs) for t in tokens], "prev long, cur long")
+    lists = {p: watermark.green_list(scheme, p) for p in set(prevs)}
+    for r in watermark.membership(pairs, scheme, table).collect():
+        assert r.green == (r.cur in lists[r.prev])
+    assert {len(x) for x in lists.values()} == {37_984}
+
+
 def test_records_of_sequences_and_of_rows_agree(spark):
     seqs = [("t", "A0", [1, 2, 3, 4, 5, 6]), ("t", "A1", [7, 8, 9]), ("u", "A0", [4]), (None, "A0", [1, 2])]
     scheme = watermark.Scheme(50)
