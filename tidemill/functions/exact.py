@@ -23,13 +23,20 @@ SHIFT = 4294967296.0
 
 def limbs(x: Column) -> Column:
     """Array of (k, v): x is the sum of v * 2**(32 * k); infinities and NaN have powers of their own, zero and null none."""
-    k = F.floor(F.log2(F.abs(x)) / 32).cast("int")
-    half = F.pow(F.lit(2.0), (k * -16).cast("double"))
-    # the logarithm may be a digit off, which only moves a bit between neighbouring powers
-    parts = F.flatten(F.transform(F.array(x * half * half), lambda q: _split(k, q)))
-    special = F.when(F.isnan(x), NAN).when(x == math.inf, PLUS).when(x == -math.inf, MINUS)
-    one = F.array(F.struct(special.cast("int").alias("k"), F.lit(1).cast("decimal(20,0)").alias("v")))
-    return F.when(x.isNull() | (x == 0), F.array().cast("array<struct<k:int,v:decimal(20,0)>>")).when(special.isNotNull(), one).otherwise(parts)
+
+    def of(v: Column) -> Column:
+        # the logarithm may be a digit off, which only moves a bit between neighbouring powers
+        parts = _bound(F.floor(F.log2(F.abs(v)) / 32).cast("int"), lambda k: _bound(v * F.pow(F.lit(2.0), (k * -16).cast("double")) * F.pow(F.lit(2.0), (k * -16).cast("double")), lambda q: _split(k, q)))
+        special = F.when(F.isnan(v), NAN).when(v == math.inf, PLUS).when(v == -math.inf, MINUS)
+        one = F.array(F.struct(special.cast("int").alias("k"), F.lit(1).cast("decimal(20,0)").alias("v")))
+        return F.when(v.isNull() | (v == 0), F.array().cast("array<struct<k:int,v:decimal(20,0)>>")).when(F.isnan(v) | (F.abs(v) == math.inf), one).otherwise(parts)
+
+    return _bound(x, of)
+
+
+def _bound(value: Column, body) -> Column:
+    """body of a value that is computed once, however often body names it."""
+    return F.get(F.transform(F.array(value), body), 0)
 
 
 def _whole(x: Column) -> Column:
@@ -100,16 +107,15 @@ def moments(df: DataFrame, by: list[str], measures: dict[str, Column], spread: b
     rows = df.select(*[F.col(c).alias(f"by_{i}") for i, c in enumerate(by)], *[measures[m].cast("double").alias(f"m_{i}") for i, m in enumerate(names)])
     keys = [f"by_{i}" for i in range(len(by))]
     count = F.struct(F.lit(None).cast("int").alias("k"), F.lit(1).cast("decimal(20,0)").alias("v"))
-    tagged = []
-    for i in range(len(names)):
-        x = F.col(f"m_{i}")
-        tag = lambda power, a, i=i: F.transform(a, lambda s: F.struct(F.lit(i).alias("m"), F.lit(power).alias("p"), s["k"].alias("k"), s["v"].alias("v")))
-        # the count of a measure is a power of its own, 0 where all are null, so that each group stands
-        tagged.append(tag(0, F.array(F.when(x.isNotNull(), count).otherwise(F.struct(F.lit(None).cast("int").alias("k"), F.lit(0).cast("decimal(20,0)").alias("v"))))))
-        tagged.append(tag(1, limbs(x)))
-        if spread:
-            tagged += [tag(2, limbs(s)) for s in _square(x)]
-    each = rows.select(*keys, F.explode(F.concat(*tagged)).alias("s")).select(*keys, "s.*")
+    # a row for each value, so that its parts are one expression whatever the number of measures
+    values = rows.select(*keys, F.explode(F.array(*[F.struct(F.lit(i).alias("m"), F.col(f"m_{i}").alias("x")) for i in range(len(names))])).alias("s")).select(*keys, "s.*")
+    x = F.col("x")
+    tag = lambda power, a: F.transform(a, lambda s: F.struct(F.lit(power).alias("p"), s["k"].alias("k"), s["v"].alias("v")))
+    # the count of a measure is a power of its own, 0 where all are null, so that each group stands
+    tagged = [tag(0, F.array(F.when(x.isNotNull(), count).otherwise(F.struct(F.lit(None).cast("int").alias("k"), F.lit(0).cast("decimal(20,0)").alias("v"))))), tag(1, limbs(x))]
+    if spread:
+        tagged += [tag(2, limbs(s)) for s in _square(x)]
+    each = values.select(*keys, "m", F.explode(F.concat(*tagged)).alias("s")).select(*keys, "m", "s.*")
     by_power = each.groupBy(*keys, "m", "p", "k").agg(F.sum("v").alias("v"))
     held = lambda p: F.collect_list(F.when(F.col("p") == p, F.struct("k", F.col("v").cast("decimal(38,0)").alias("v"))))
     groups = by_power.groupBy(*keys, "m").agg(F.sum(F.when(F.col("p") == 0, F.col("v"))).cast("long").alias("n"), held(1).alias("x"), (held(2) if spread else F.lit(None).cast("array<struct<k:int,v:decimal(38,0)>>")).alias("xx"))
