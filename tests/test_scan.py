@@ -38,6 +38,16 @@ def test_no_keys_and_no_rows(spark):
     assert Scan(df.filter("at < 0"), [], ["at"], 7).take(total=Take("sum", F.col("v"))).result().count() == 0
 
 
+def test_next_value_reads_each_row_once(spark):
+    n = 200_000
+    df = spark.range(n).select(F.lit("k").alias("k"), F.col("id").alias("at"), F.when(F.col("id") % 40_000 == 0, F.col("id")).alias("v"))
+    for scan in (Windows(df, ["k"], ["at"]), Scan(df, ["k"], ["at"], 2)):
+        got = scan.take(coming=Take("next", F.col("v"))).result()
+        assert "unboundedfollowing" not in got._jdf.queryExecution().toString().lower()
+        want = F.ceil(F.col("at") / 40_000) * 40_000
+        assert got.filter(~F.col("coming").eqNullSafe(F.when(F.col("at") <= 160_000, want))).count() == 0 and got.count() == n
+
+
 def test_layout_in_blocks(spark):
     rng = random.Random(2)
     rows = spark.createDataFrame([("p", float(y), rng.choice(["ab-", "cd", "1-", "x"])) for y in sorted(rng.sample(range(5000), 400))], "page string, y double, text string")

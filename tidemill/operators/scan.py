@@ -55,18 +55,23 @@ _WINDOWED = {
     "lag": lambda v, w: F.lag(v).over(w), "lead": lambda v, w: F.lead(v).over(w),
     "sum": lambda v, w: F.sum(v).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
     "last": lambda v, w: F.last(v, True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
-    "next": lambda v, w: F.first(v, True).over(w.rowsBetween(Window.currentRow, Window.unboundedFollowing)),
 }
+#: From the last row back: a frame up to the last row would be read anew for each row.
+_WINDOWED["next"] = _WINDOWED["last"]
 
 
 class Windows:
     """``Scan`` for keys that a task can hold, without blocks."""
 
     def __init__(self, rows: DataFrame, by: list[str], order: list[str | Column]) -> None:
-        self.rows, self.window = rows, Window.partitionBy(*by).orderBy(*order)
+        self.rows, self.by, self.window = rows, by, Window.partitionBy(*by).orderBy(*order)
 
     def take(self, **wanted: Take) -> Windows:
-        self.rows = self.rows.withColumns({n: _WINDOWED[t.kind](t.value, self.window) for n, t in wanted.items()})
+        rows, (pos,) = self.rows, free(self.rows, "pos")
+        if any(t.kind == "next" for t in wanted.values()):
+            rows = rows.withColumn(pos, F.row_number().over(self.window))
+        back = Window.partitionBy(*self.by).orderBy(F.desc(pos))
+        self.rows = rows.withColumns({n: _WINDOWED[t.kind](t.value, back if t.kind == "next" else self.window) for n, t in wanted.items()}).drop(pos)
         return self
 
     def result(self) -> DataFrame:
@@ -93,7 +98,7 @@ class Scan:
     def take(self, **wanted: Take) -> Scan:
         """The same rows with a column for each wanted one. Columns taken before can be used in those that follow."""
         by, block, pos = self.by, self.block, self.pos
-        here = Window.partitionBy(*by, block).orderBy(pos)
+        here = {k: Window.partitionBy(*by, block).orderBy(F.desc(pos) if k == "next" else F.asc(pos)) for k in _WINDOWED}
         # of a block's summary: its last, first, total, last and first value
         first, last = lambda v: F.min_by(v, F.col(pos)), lambda v: F.max_by(v, F.col(pos))
         held = {
@@ -103,13 +108,13 @@ class Scan:
         names = list(wanted)
         mine, more, at = free(self.rows, *[f"own_{i}" for i in range(len(names))]), free(self.rows, *[f"more_{i}" for i in range(len(names))]), free(self.rows, "k_block", "first_pos", "last_pos")
         keys = free(self.rows, *[f"k_{i}" for i in range(len(by))])
-        rows = self.rows.withColumns({m: _WINDOWED[wanted[n].kind](wanted[n].value, here) for m, n in zip(mine, names)})
+        rows = self.rows.withColumns({m: _WINDOWED[wanted[n].kind](wanted[n].value, here[wanted[n].kind]) for m, n in zip(mine, names)})
         blocks = self.rows.groupBy(*by, block).agg(*[held[wanted[n].kind](wanted[n].value).alias(m) for m, n in zip(more, names)], F.min(pos).alias(at[1]), F.max(pos).alias(at[2]))
         over = Window.partitionBy(*by).orderBy(block)
-        before, after = over.rowsBetween(Window.unboundedPreceding, -1), over.rowsBetween(1, Window.unboundedFollowing)
+        before, after = (w.rowsBetween(Window.unboundedPreceding, -1) for w in (over, Window.partitionBy(*by).orderBy(F.desc(block))))
         beside = {
             "lag": lambda m: F.lag(f"{m}.v").over(over), "lead": lambda m: F.lead(f"{m}.v").over(over), "sum": lambda m: F.sum(f"{m}.v").over(before),
-            "last": lambda m: F.last(f"{m}.v", True).over(before), "next": lambda m: F.first(f"{m}.v", True).over(after),
+            "last": lambda m: F.last(f"{m}.v", True).over(before), "next": lambda m: F.last(f"{m}.v", True).over(after),
         }
         summary = blocks.select(*[F.col(c).alias(k) for c, k in zip(by, keys)], F.col(block).alias(at[0]), at[1], at[2], *[beside[wanted[n].kind](m).alias(m) for m, n in zip(more, names)])
         same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(k)) for c, k in zip(by, keys)], F.col(block) == F.col(at[0]))
