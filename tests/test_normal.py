@@ -33,3 +33,11 @@ def test_designs(spark):
         assert r.k == stats.pairs_needed(r.sd, r.rho, r.effect, r.alpha, r.power)
         assert r.w == pytest.approx(stats.discordance_power(r.n, r.a, r.b, r.alpha), abs=1e-12)
     assert rows.select(stats.pairs_needed_column(c("sd"), c("rho"), c("effect"), c("alpha"), c("power")).alias("k")).first().k == 1108
+
+
+def test_levels_of_all_designs_are_solved_once(spark):
+    rows = spark.range(1, 400).select((F.col("id") / 400).alias("sd"), (F.col("id") % 7 / 8).alias("rho"), (F.col("id") % 11 / 20 + 0.01).alias("effect"))
+    got = rows.withColumn("k", stats.pairs_needed_column(F.col("sd"), F.col("rho"), F.col("effect"), 0.0125, 0.8))
+    assert "lambda" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert all(r.k == stats.pairs_needed(r.sd, r.rho, r.effect, 0.0125, 0.8) for r in got.collect())
+    assert spark.range(1).select(normal.quantile(1.0)).first()[0] is None

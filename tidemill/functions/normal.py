@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from statistics import NormalDist
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -49,8 +50,12 @@ def _poly(x: Column, factors: tuple[float, ...]) -> Column:
     return out
 
 
-def quantile(p: Column, steps: int = 3) -> Column:
-    """The value below which a share p lies: a rational guess and Newton's method with its second-order term. Null outside 0 to 1."""
+def quantile(p: Column | float, steps: int = 3) -> Column:
+    """The value below which a share p lies: a rational guess and Newton's method with its second-order term. Null outside 0 to 1.
+
+    Spark does not fold the series of a literal, so a share that all rows have is given as a number, whose value is a literal."""
+    if not isinstance(p, Column):
+        return F.lit(NormalDist().inv_cdf(p) if 0 < p < 1 else None).cast("double")
 
     def guess(q: Column) -> Column:
         tail = F.least(q, 1.0 - q)

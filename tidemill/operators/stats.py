@@ -91,14 +91,14 @@ def pairs_needed(sd: float, rho: float, effect: float, alpha: float, power: floa
     return math.ceil((z * sd * math.sqrt(2 * (1 - rho)) / math.log1p(effect)) ** 2)
 
 
-def pairs_needed_column(sd: Column, rho: Column, effect: Column, alpha: Column, power: Column) -> Column:
-    """``pairs_needed`` of a table of designs."""
+def pairs_needed_column(sd: Column, rho: Column, effect: Column, alpha: Column | float, power: Column | float) -> Column:
+    """``pairs_needed`` of a table of designs; levels that all designs have are given as numbers."""
     z = normal.quantile(1.0 - alpha / 2.0) + normal.quantile(power)
     return F.ceil(F.pow(z * sd * F.sqrt(2.0 * (1.0 - rho)) / F.log1p(effect), F.lit(2.0))).cast("long")
 
 
-def discordance_power_column(n: Column, p10: Column, p01: Column, alpha: Column) -> Column:
-    """``discordance_power`` of a table of designs; null where no pair is discordant."""
+def discordance_power_column(n: Column, p10: Column, p01: Column, alpha: Column | float) -> Column:
+    """``discordance_power`` of a table of designs, alpha as there; null where no pair is discordant."""
     both, gap = p10 + p01, p10 - p01
     z = normal.quantile(1.0 - alpha / 2.0)
     return normal.cdf(F.try_divide(F.abs(gap) * F.sqrt(n) - z * F.sqrt(both), F.sqrt(both - gap * gap)))

@@ -356,9 +356,9 @@ _Z_ALPHA, _Z_POWER = NormalDist().inv_cdf(1 - 0.0125 / 2), NormalDist().inv_cdf(
 @query("g19_pairs_needed", f"""SELECT l_quantity, l_discount, ceil(power(({_Z_ALPHA!r} + {_Z_POWER!r}) * (0.5 + l_discount) * sqrt(2 * (1 - l_tax)) / ln(1 + l_quantity / 100.0), 2))::BIGINT AS pairs, count(*) AS n
 FROM lineitem GROUP BY l_quantity, l_discount, pairs""")
 def g19_pairs_needed(spark, d):
-    line = _t(spark, d, "lineitem")
-    pairs = stats.pairs_needed_column(F.lit(0.5) + F.col("l_discount"), F.col("l_tax"), F.col("l_quantity") / 100.0, F.lit(0.0125), F.lit(0.8))
-    return line.groupBy("l_quantity", "l_discount", pairs.alias("pairs")).agg(F.count("*").alias("n"))
+    designs = _t(spark, d, "lineitem").groupBy("l_quantity", "l_discount", "l_tax").agg(F.count("*").alias("n"))
+    pairs = stats.pairs_needed_column(F.lit(0.5) + F.col("l_discount"), F.col("l_tax"), F.col("l_quantity") / 100.0, 0.0125, 0.8)
+    return designs.groupBy("l_quantity", "l_discount", pairs.alias("pairs")).agg(F.sum("n").alias("n"))
 
 
 @query("g20_discordance_power", f"""WITH d AS (SELECT DISTINCT l_quantity, l_discount, l_tax, (abs(l_discount - l_tax) * sqrt(l_quantity * 20) - {_Z_ALPHA!r} * sqrt(l_discount + l_tax)) / sqrt(l_discount + l_tax - (l_discount - l_tax) * (l_discount - l_tax)) AS x
@@ -366,7 +366,7 @@ def g19_pairs_needed(spark, d):
 SELECT l_quantity, l_discount, l_tax, round(0.5 + exp(-x * x / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(0, 150), lambda k: sign(x) * exp((2 * k + 1) * ln(abs(x)) + k * ln(2) + lgamma(k + 1) - lgamma(2 * k + 2)))), 6) AS power FROM d""")
 def g20_discordance_power(spark, d):
     line = _t(spark, d, "lineitem").filter("l_discount + l_tax > 0").select("l_quantity", "l_discount", "l_tax").distinct()
-    power = stats.discordance_power_column(F.col("l_quantity") * 20, F.col("l_discount"), F.col("l_tax"), F.lit(0.0125))
+    power = stats.discordance_power_column(F.col("l_quantity") * 20, F.col("l_discount"), F.col("l_tax"), 0.0125)
     return line.select("l_quantity", "l_discount", "l_tax", F.round(power, 6).alias("power"))
 
 
