@@ -1,10 +1,12 @@
 """Phrase matches of whole batches against the walk over one list, and large lexicons."""
 
 import random
+import tracemalloc
 
 import pyarrow as pa
 
 from tidemill.operators import compliance
+from tidemill.operators import matcher
 from tidemill.operators.matcher import Batch, Phrases
 
 
@@ -46,3 +48,31 @@ def test_column_functions(spark):
     terms = spark.createDataFrame([("b set up 12 a it b", ["a"]), ("b set up 12 a it b", ["b"]), ("a a", ["a"]), ("z y z", None)], "t string, terms array<string>")
     got = [(r.c.rate, r.c.words) for r in terms.select(rate(terms.t, terms.terms).alias("c")).collect()]
     assert got == [(3 / 5, ["B"]), (3 / 4, ["A"]), (None, []), (0.0, ["Y", "Z"])]
+
+
+def test_slices_cover_all_rows():
+    rng = random.Random(5)
+    for n in (0, 1, 40):
+        rows = [rng.choice([None, [], ["a"] * rng.randrange(30)]) for _ in range(n)]
+        got = list(matcher.parts(pa.array(rows, pa.list_(pa.string())), 20))
+        assert [i for at, k in got for i in range(at, at + k)] == list(range(n))
+        assert all(k <= 1 or sum(len(r or []) for r in rows[at : at + k]) <= 20 for at, k in got)
+
+
+def test_memory_does_not_grow_with_the_batch(spark):
+    phrases = frozenset({"A B", "C"})
+    rate, match = compliance.naive(spark, phrases), compliance.match(spark, phrases)
+    run = next(c.cell_contents for c in rate.__closure__ if hasattr(c.cell_contents, "func"))
+    terms = pa.array([["D"]], pa.list_(pa.string()))
+
+    def peak(n):
+        lists = pa.array([["A", "B", "C", "D", "E"] * 200], pa.list_(pa.string())).take(pa.array([0] * n))
+        tracemalloc.start()
+        (rated,), (found,) = run.func(iter([(lists, terms.take(pa.array([0] * n)))])), match.func(iter([lists]))
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert rated.to_pylist() == [{"rate": 3 / 4, "words": ["E"]}] * n
+        assert found.to_pylist() == [{"conforming": ["A B", "C"] * 200, "nonconforming": ["D", "E"] * 200}] * n
+        return most
+
+    assert peak(1600) < 1.5 * peak(400)

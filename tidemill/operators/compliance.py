@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.functions.text import plural, stems, term_phrases, tokens
-from tidemill.operators.matcher import Batch, Phrases
+from tidemill.operators.matcher import Batch, Phrases, parts
 
 #: Largest lexicon that is sent to every executor; a dictionary has some thousand phrases.
 MAX_PHRASES = 1_000_000
@@ -53,10 +53,13 @@ def match(spark: SparkSession, phrases: frozenset[str]):
     @F.arrow_udf("struct<conforming: array<string>, nonconforming: array<string>>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for lists in batches:
-            b = Batch(lists)
-            stops, size = b.match(shared.value)
-            parts = [b.lists(b.texts(stops[of], size[of]), b.row[stops[of]]) for of in (size > 0, size == 0)]
-            yield pa.StructArray.from_arrays(parts, ["conforming", "nonconforming"])
+            yield pa.concat_arrays([matched(lists.slice(at, n)) for at, n in parts(lists)])
+
+    def matched(lists: pa.Array) -> pa.Array:
+        b = Batch(lists)
+        stops, size = b.match(shared.value)
+        found = [b.lists(b.texts(stops[of], size[of]), b.row[stops[of]]) for of in (size > 0, size == 0)]
+        return pa.StructArray.from_arrays(found, ["conforming", "nonconforming"])
 
     return run
 
@@ -73,26 +76,29 @@ def naive(spark: SparkSession, phrases: frozenset[str]):
     def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         compiled = lru_cache(maxsize=4096)(Phrases)
         for lists, terms in batches:
-            b = Batch(lists)
-            b = b.kept(~np.array([w.isdigit() for w in b.words], bool)[b.codes])
-            declared: dict[tuple[str, ...], int] = {}
-            kind = np.array([declared.setdefault(tuple(t or ()), len(declared)) for t in terms.to_pylist()], np.int64)
-            rest = np.zeros(len(b.codes), bool)
-            for own, k in declared.items():
-                of = np.flatnonzero(kind[b.row] == k)
-                stops, size = b.kept(of).match(compiled(own))
-                rest[of[stops[size == 0]]] = True
-            b = b.kept(rest)
-            stops, size = b.match(shared.value)
-            row = b.row[stops]
-            good, every = np.bincount(row, size, minlength=b.n), np.bincount(row, np.maximum(size, 1), minlength=b.n)
-            rate = pa.array(np.divide(good, every, out=np.zeros(b.n), where=every > 0), mask=every == 0)
-            order = np.argsort(np.array(b.words, object)) if b.words else np.zeros(0, np.int64)
-            rank = np.empty(len(order), np.int64)
-            rank[order] = np.arange(len(order))
-            odd = np.unique(row[size == 0] * max(1, len(order)) + rank[b.codes[stops[size == 0]]])
-            words = pa.array(b.words, pa.string()).take(pa.array(order[odd % max(1, len(order))]))
-            yield pa.StructArray.from_arrays([rate, b.lists(words, odd // max(1, len(order)))], ["rate", "words"])
+            yield pa.concat_arrays([rated(lists.slice(at, n), terms.slice(at, n), compiled) for at, n in parts(lists)])
+
+    def rated(lists: pa.Array, terms: pa.Array, compiled: Callable[[tuple[str, ...]], Phrases]) -> pa.Array:
+        b = Batch(lists)
+        b = b.kept(~np.array([w.isdigit() for w in b.words], bool)[b.codes])
+        declared: dict[tuple[str, ...], int] = {}
+        kind = np.array([declared.setdefault(tuple(t or ()), len(declared)) for t in terms.to_pylist()], np.int64)
+        rest = np.zeros(len(b.codes), bool)
+        for own, k in declared.items():
+            of = np.flatnonzero(kind[b.row] == k)
+            stops, size = b.kept(of).match(compiled(own))
+            rest[of[stops[size == 0]]] = True
+        b = b.kept(rest)
+        stops, size = b.match(shared.value)
+        row = b.row[stops]
+        good, every = np.bincount(row, size, minlength=b.n), np.bincount(row, np.maximum(size, 1), minlength=b.n)
+        rate = pa.array(np.divide(good, every, out=np.zeros(b.n), where=every > 0), mask=every == 0)
+        order = np.argsort(np.array(b.words, object)) if b.words else np.zeros(0, np.int64)
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        odd = np.unique(row[size == 0] * max(1, len(order)) + rank[b.codes[stops[size == 0]]])
+        words = pa.array(b.words, pa.string()).take(pa.array(order[odd % max(1, len(order))]))
+        return pa.StructArray.from_arrays([rate, b.lists(words, odd // max(1, len(order)))], ["rate", "words"])
 
     return lambda text, terms: run(tokens(text), term_phrases(terms))
 

@@ -2,12 +2,26 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 
 
+#: Tokens that are matched at once: the arrays of a match are several times as large as its tokens.
+TOKENS_AT_ONCE = 1 << 18
+
+
+def parts(lists: pa.Array, most: int = TOKENS_AT_ONCE) -> Iterator[tuple[int, int]]:
+    """First row and number of rows of slices of at most ``most`` tokens, or of one row that has more."""
+    ends, at = np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)), 0
+    while at < len(lists) or at == 0:
+        before = int(ends[at - 1]) if at else 0
+        stop = max(at + 1, int(np.searchsorted(ends, before + most, "right")))
+        yield at, min(stop, len(lists)) - at
+        at = stop
+
+
 class Phrases:
     """Phrases as a trie in arrays. A key is a state and a token number; states of deeper levels have larger numbers, so
     the keys of all levels are one sorted array. State 0 is the root and 0 the number of every token in no phrase."""
