@@ -11,7 +11,7 @@ its marks (scripts without spaces, joined or encoded runs) is cut into pieces of
 each a word of a run; they overlap so that every n-gram of the word is in a piece.
 
 Labels come only from rows whose crc32(doc_id as text) mod 3 is not 1, and of those at most
-``per_class`` of each label by the order of a hash: the bounded sample that the driver trains on. The
+``per_class`` of each label by the order of a hash: the bounded sample that one task trains on. The
 trained table reaches the executors as one number for each bucket (BUCKETS floats, a fixed size).
 
 Defined cases: a null or empty text has no run and scores as the bias alone; with one label or none
@@ -24,7 +24,8 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +44,8 @@ PER_CLASS = 1500
 LEAST_CALIBRATION = 10
 THRESHOLD = 0.7
 CACHE_WORDS = 400_000
+#: Entries of a sparse sum of the training that are gathered at once, and words that its scorer remembers.
+CHUNK, TRAINING_WORDS = 1 << 16, 20_000
 LONG, PIECE = 200, 12
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 
@@ -82,16 +85,27 @@ class Bags:
 
     def __init__(self) -> None:
         self.number: dict[str, int] = {}
-        self.grams: list[np.ndarray] = []
+        #: the buckets of all words in turn, and where each word's end
+        self.grams, self.ends = array("i"), array("q", [0])
 
     def words(self, text: str) -> np.ndarray:
-        out = []
+        out = array("i")
         for w in units(text):
             if (k := self.number.get(w)) is None:
-                k = self.number[w] = len(self.grams)
-                self.grams.append(np.array(buckets(w), np.int32))
+                k = self.number[w] = len(self.number)
+                self.grams.extend(buckets(w))
+                self.ends.append(len(self.grams))
             out.append(k)
-        return np.array(out, np.int64)
+        return np.array(out, np.int32)
+
+
+def summed(index: np.ndarray, values: Callable[[slice], np.ndarray], size: int) -> np.ndarray:
+    """``np.bincount(index, values, size)`` to the last bit, with CHUNK of the values at a time."""
+    out = np.zeros(size)
+    for at in range(0, len(index), CHUNK):
+        part = slice(at, at + CHUNK)
+        np.add.at(out, index[part].astype(np.intp), values(part))
+    return out
 
 
 def train(rows: list[tuple[str, int]], seed: int = 0, noisy_rounds: int = 25, best_rounds: int = 50, rate: float = 1.0, least_docs: int = 2) -> tuple[np.ndarray, float]:
@@ -107,19 +121,21 @@ def train(rows: list[tuple[str, int]], seed: int = 0, noisy_rounds: int = 25, be
     if len(set(y.tolist())) < 2:
         share = min(max(float(y.mean()) if len(y) else 0.0, 1e-6), 1 - 1e-6)
         return np.zeros(BUCKETS, np.float32), float(np.log(share / (1 - share)))
-    size = np.array([len(g) for g in bags.grams])
-    gram = np.concatenate(bags.grams)
+    gram, ends = np.array(bags.grams, np.int32), np.array(bags.ends)
+    del bags
+    size = np.diff(ends)
     owner = np.repeat(np.arange(len(size), dtype=np.int32), size)
     held = np.zeros(BUCKETS, np.int64)  # documents of each bucket
     for w, _ in docs:
-        held[np.unique(np.concatenate([bags.grams[k] for k in set(w.tolist())]))] += 1
+        held[np.unique(np.concatenate([gram[ends[k] : ends[k + 1]] for k in np.unique(w)]))] += 1
     live = held[gram] >= least_docs
     gram, owner = gram[live], owner[live]
     word = np.concatenate([w for w, _ in docs])
     runs = np.array([-(-len(w) // RUN) for w, _ in docs])
     first = np.concatenate([[0], np.cumsum(runs)[:-1]])
-    run_of = np.concatenate([k + np.arange(len(w)) // RUN for k, (w, _) in zip(first, docs, strict=True)])
+    run_of = np.concatenate([(k + np.arange(len(w)) // RUN).astype(np.int32) for k, (w, _) in zip(first, docs, strict=True)])
     length, doc_run = np.bincount(run_of).astype(float), np.repeat(np.arange(len(docs)), runs)
+    del docs, live
     run_y = y[doc_run].astype(float)
     vectors, soft, bias = np.zeros((BUCKETS, DIM)), rng.normal(0, 0.3, (DIM, 2)), 0.0
     vectors[:] = rng.normal(0, 0.01, (BUCKETS, DIM))
@@ -128,15 +144,17 @@ def train(rows: list[tuple[str, int]], seed: int = 0, noisy_rounds: int = 25, be
     sq_v, sq_s, sq_b = np.full(len(used), 1e-8), 1e-8, 1e-8
 
     def scores() -> np.ndarray:
-        a = np.bincount(owner, (vectors @ (soft[:, 1] - soft[:, 0]))[gram], len(size)) / size
-        return np.bincount(run_of, a[word], len(length)) / length + bias
+        v = vectors @ (soft[:, 1] - soft[:, 0])
+        a = summed(owner, lambda part: v[gram[part]], len(size)) / size
+        return summed(run_of, lambda part: a[word[part]], len(length)) / length + bias
 
     def step(z: np.ndarray, weight: np.ndarray) -> None:
         nonlocal bias, sq_v, sq_s, sq_b
         u = soft[:, 1] - soft[:, 0]
         g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - run_y) * weight
-        back = np.bincount(word, (g / length)[run_of], len(size)) / size
-        d = np.bincount(gram, back[owner], BUCKETS)[used]
+        per_word = g / length
+        back = summed(word, lambda part: per_word[run_of[part]], len(size)) / size
+        d = summed(gram, lambda part: back[owner[part]], BUCKETS)[used]
         grad = d[:, None] * u[None, :]
         size_g = (grad**2).sum(1)
         sq_v = sq_v + size_g
@@ -175,7 +193,7 @@ def calibrated(rows: list[tuple[str, int]], clean_weight: float = 1.0, threshold
     seen, unseen = ([r for r, o in zip(rows, out, strict=True) if o == left] for left in (False, True))
     if min((sum(y for _, y in part) for part in (seen, unseen)), default=0) < LEAST_CALIBRATION or all(y for _, y in unseen) or all(y for _, y in seen):
         return numbers, bias
-    scorer = Scorer(*train(seen))
+    scorer = Scorer(*train(seen), TRAINING_WORDS)
     z = sorted(((scorer.logit(t), y) for t, y in unseen), reverse=True)
     y = np.array([b for _, b in z], float)
     hits, wrong = np.cumsum(y), np.cumsum(1 - y) * clean_weight
@@ -215,15 +233,24 @@ def held_out(key):
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tuple[np.ndarray, float]:
-    """Train on at most per_class rows of each label; the sample's ids are a table of bounded size."""
+    """Train on at most per_class rows of each label, in one task; the sample's ids are a table of bounded size, and
+    the driver gets the model, not the texts."""
     named = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     named = named.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     mark = F.xxhash64("doc_id")
     picked = [named.filter(c).orderBy(mark, "doc_id").limit(per_class) for c in (F.col("toxic") > 0, F.col("toxic") <= 0)]
     sample = texts(docs).join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id").select("doc_id", "text", "toxic")
-    rows = sorted(sample.toLocalIterator(), key=lambda r: (r.doc_id, r.text))
     counted = {bool(r.toxic): r["count"] for r in named.select((F.col("toxic") > 0).alias("toxic")).groupBy("toxic").count().collect()}
-    return calibrated([(r.text, int(r.toxic > 0)) for r in rows], max(1.0, counted.get(False, 0) / per_class) / max(1.0, counted.get(True, 0) / per_class))
+    weight = max(1.0, counted.get(False, 0) / per_class) / max(1.0, counted.get(True, 0) / per_class)
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((r for b in batches for r in b.to_pylist()), key=lambda r: (r["doc_id"], r["text"]))
+        if rows:
+            numbers, bias = calibrated([(r["text"], int(r["toxic"] > 0)) for r in rows], weight)
+            yield pa.RecordBatch.from_pydict({"numbers": [numbers.tobytes()], "bias": [bias]})
+
+    made = sample.repartition(1).mapInArrow(learn, "numbers binary, bias double").first()
+    return (np.frombuffer(made.numbers, np.float32), made.bias) if made else calibrated([], weight)
 
 
 def scored(docs: DataFrame, model: tuple[np.ndarray, float], cache_words: int = CACHE_WORDS) -> Column:
