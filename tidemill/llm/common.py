@@ -58,12 +58,12 @@ def frequent(counts: DataFrame, key: str, over: int = 1) -> DataFrame:
     return F.broadcast(stable(most.select(F.col(key).alias("hot_key"), F.col("n").alias("hot_n"))))
 
 
-def by_key(left: DataFrame, right: DataFrame, key: str, hot: DataFrame) -> DataFrame:
-    """Inner join of left with right, whose ``key`` is unique, without a task that gathers a frequent key:
+def by_key(left: DataFrame, right: DataFrame, key: str, hot: DataFrame, how: str = "inner") -> DataFrame:
+    """Inner or left join of left with right, whose ``key`` is unique, without a task that gathers a frequent key:
     those of hot, the ``frequent`` keys of left, are joined by broadcast, so rows of right are small."""
     is_hot = F.col(key) == F.col("hot_key")
-    often = left.join(hot, is_hot, "left_semi").join(F.broadcast(right.join(hot, is_hot, "left_semi")), key)
-    return often.unionByName(left.join(hot, is_hot, "left_anti").join(right, key))
+    often = left.join(hot, is_hot, "left_semi").join(F.broadcast(right.join(hot, is_hot, "left_semi")), key, how)
+    return often.unionByName(left.join(hot, is_hot, "left_anti").join(right, key, how))
 
 
 def private(df: DataFrame, *wanted: str) -> list[str]:

@@ -10,7 +10,7 @@ more than one component are then settled in full: in those of up to SMALL member
 components that was not yet compared is confirmed like the others; larger ones are dealt by salts
 into blocks, and each pair of salts is compared as a whole, by products of 0/1 matrices of the
 shingles that more than one of its members holds. A block gives a forest of links, so rows grow with
-the members and not with their pairs. Components are found by distributed label propagation.
+the members and not with their pairs. Components are found by contraction of the links.
 
 A pair at the threshold shares no band with probability (1 - 0.85**6)**42, about 2e-9, and at 0.8
 about 3e-6. Every pair that shares a band is compared or in one component already.
@@ -273,7 +273,7 @@ def _classes(docs: DataFrame, percent: int) -> DataFrame:
     found = components(edges.union(same))
     gained = _settled(ties.select("key", "id", "n"), found, pairs, held, percent)
     if gained.limit(1).count():
-        found = components(edges.union(gained).union(same))
+        found = components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(gained))
     found = found.withColumnRenamed("id", "doc_id")
     out = scanned.select("doc_id", "n").join(found, "doc_id", "left")
     component = F.coalesce("component", "doc_id")
